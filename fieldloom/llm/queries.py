@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, work_path
 from .packing import pack
+from .quality_rules import judge
+from .secrets import secret_digest
 from .token_files import write_token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -18,13 +20,22 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=2, length=4096, ids=False)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(read(spark, sf_dir, "documents"), work_path(spark, "token-files"), WORD_BPE, end_id=1)
     return files.documents(ids=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op7_token_files)}
+    return {f.__name__: f for f in (op2_packing, op5_secrets, op7_token_files, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
