@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, work_path
+from .near_dup import near_dup_classes
 from .packing import pack
 from .quality_rules import judge
 from .secrets import secret_digest
 from .token_files import write_token_files
+from .toxicity import score, train
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +22,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=2, length=4096, ids=False)
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup_classes(read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
@@ -34,8 +40,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.documents(ids=False)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return score(docs, *train(docs, read(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op5_secrets, op7_token_files, op8_quality_rules)}
+    return {f.__name__: f for f in (op2_packing, op3_near_dup, op5_secrets, op7_token_files, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
