@@ -5,15 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import graded_quality, toxicity
 from .common import read, work_path
 from .near_dup import near_dup_classes
 from .packing import pack
 from .quality_rules import judge
 from .secrets import secret_digest
 from .token_files import write_token_files
-from .toxicity import score, train
+from .url_filter import judge_urls
+from .vector_search import scaled, top_k
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,6 +28,13 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup_classes(read(spark, sf_dir, "documents"))
 
 
+def op4_graded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    graded = read(spark, sf_dir, "labels").select("doc_id", graded_quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    scored = graded_quality.score(docs, graded_quality.train(docs, graded))
+    return scored.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_best"), "kept")
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(read(spark, sf_dir, "documents"))
 
@@ -35,6 +44,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label of the same number stands for a page's outcome: good if its quality is 1."""
+    outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    return judge_urls(read(spark, sf_dir, "pages"), outcomes)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_token_files(read(spark, sf_dir, "documents"), work_path(spark, "token-files"), WORD_BPE, end_id=1)
     return files.documents(ids=False)
@@ -42,12 +57,32 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return score(docs, *train(docs, read(spark, sf_dir, "labels")))
+    return toxicity.score(docs, *toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = scaled(read(spark, sf_dir, "embeddings"), scale=64)
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_near_dup, op5_secrets, op7_token_files, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_vector_search": TOP_K_SQL}
+
+
+TOP_K_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
