@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import graded_quality, toxicity
 from .common import read, work_path
+from .lattice_sampling import sample_segmentations
 from .near_dup import near_dup_classes
 from .packing import pack
 from .quality_rules import judge
@@ -17,9 +18,14 @@ from .token_files import write_token_files
 from .url_filter import judge_urls
 from .vector_search import scaled, top_k
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(read(spark, sf_dir, "documents"), PIECE_BPE, k=3, digest=True)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=2, length=4096, ids=False)
 
@@ -66,7 +72,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search)}
+    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search)}
 
 
 def oracle_sql() -> dict[str, str]:
