@@ -1 +1 @@
-
+"""Column expressions: rounding, quantising, hashing, parsing, labels and question texts."""
