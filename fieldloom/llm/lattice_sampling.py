@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, rows_out, text_batches
-from .hashing import STEP, mix
+from .hashing import BASE, STEP, mix
 
 SPACE = "▁"
-POOL_EDGES = 3_000_000
+POOL_EDGES = 6_000_000
 #: Exponent of the Zipf weights; below one, so that fine segmentations keep some mass.
 SHARPNESS = 0.3
 
@@ -60,57 +60,43 @@ class Lattices:
                 self.ids[piece] = i
                 self.weight[i] = -sharpness * log(2.0 - self.model.get_score(i))
         self.byte_weight = -sharpness * log(2.0 + size)
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.cut = re.compile(r"(?s).+" if crossing else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        # a word of letters ends a chunk before any mark that no piece joins to a letter
+        marks = "".join(c for c in ".,;:!?|" if not any(x.isalpha() and y == c for p in self.ids for x, y in zip(p, p[1:], strict=False)))
+        letters = f"{SPACE}*[^\\W\\d_]+(?=[{re.escape(marks)}{SPACE}]|$)|" if marks else ""
+        self.cut = re.compile(r"(?s).+" if crossing else f"{letters}{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.size = size
+        self._index()
         self.clear()
 
+    def _index(self) -> None:
+        """By length, the sorted hashes of pieces with their ids, and of the beginnings of longer pieces."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        starts: dict[int, set[int]] = {}
+        for piece, i in self.ids.items():
+            h, power = 0, 1
+            for n, c in enumerate(piece, 1):
+                h = (h + (ord(c) + 1) * power) % (1 << 64)
+                power = power * int(BASE) % (1 << 64)
+                if n < len(piece):
+                    starts.setdefault(n, set()).add(h)
+            by.setdefault(len(piece), []).append((h, i))
+        self.pieces = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in by.items()}
+        self.starts = {n: np.array(sorted(x), np.uint64) for n, x in starts.items()}
+        self.weights = np.zeros(self.size)
+        for i, w in self.weight.items():
+            self.weights[i] = w
+
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
-        self.first, self.next, self.logp, self.cum, self.piece = [0], [], [], [], []
         self.fallback: list[list[int]] = []
         self.fallback_of: dict[str, int] = {}
-        self.flat: tuple[np.ndarray, ...] | None = None
+        self.nodes, self.edges = 0, 0
+        self.flat = (np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14), np.zeros(1 << 14, np.float32), np.zeros(1 << 14, np.int32))
 
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(self.model.normalize(text)) if text else []
 
-    def add(self, chunk: str) -> None:
-        n, ids, weight, prefixes = len(chunk), self.ids, self.weight, self.prefixes
-        edges = []
-        for i in range(n):
-            own, end = [], i
-            while end < n:
-                end += 1
-                piece = chunk[i:end]
-                found = ids.get(piece)
-                if found is not None:
-                    own.append((end, found, weight[found]))
-                elif piece not in prefixes:
-                    break
-            if chunk[i] not in ids:  # characters out of the vocabulary are spelled in bytes
-                own.append((i + 1, self._spelled(chunk[i]), self.byte_weight * len(chunk[i].encode("utf-8", "replace"))))
-            edges.append(own)
-        beta = [0.0] * (n + 1)
-        for i in range(n - 1, -1, -1):
-            values = [w + beta[end] for end, _, w in edges[i]]
-            top = max(values)
-            beta[i] = top + log(sum([exp(v - top) for v in values]))
-        root = len(self.first) - 1
-        for i in range(n):
-            own = sorted([(w + beta[end] - beta[i], end, p) for end, p, w in edges[i]], reverse=True) if len(edges[i]) > 1 else [(0.0, edges[i][0][0], edges[i][0][1])]
-            total = 0.0
-            for lp, end, p in own:
-                total += exp(lp)
-                self.cum.append(total)
-                self.logp.append(lp)
-                self.next.append(root + end if end < n else -1)
-                self.piece.append(p)
-            self.cum[-1] = 2.0
-            self.first.append(len(self.cum))
-        self.roots[chunk] = root
-
     def _spelled(self, char: str) -> int:
         at = self.fallback_of.get(char)
         if at is None:
@@ -119,19 +105,74 @@ class Lattices:
         return at
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.cum) > POOL_EDGES:
+        if self.edges > POOL_EDGES:
             self.clear()
         new = [c for c in chunks if c not in self.roots]
-        for c in new:
-            self.add(c)
-        if new or self.flat is None:
-            self._freeze()
-
-    def _freeze(self) -> None:
-        """Append what is new to the arrays."""
-        parts = ((self.first, np.int64), (self.next, np.int64), (self.logp, np.float64), (self.cum, np.float64), (self.piece, np.int64))
-        old = self.flat or tuple(np.empty(0, t) for _, t in parts)
-        self.flat = tuple(np.concatenate([o, np.array(x[len(o) :], t)]) for o, (x, t) in zip(old, parts, strict=True))
+        if new:
+            self._add(new)
+
+    def _add(self, new: list[str]) -> None:
+        """The lattices of new chunks, all at once: pieces by hashed substrings, backward masses by distance to the chunk's end."""
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        starts = np.cumsum(lengths) - lengths
+        codes = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        left = np.repeat(starts + lengths, lengths) - np.arange(n)  # characters up to the chunk's end
+        src, span, piece = [], [], []
+        live, h, power, length = np.arange(n), np.zeros(n, np.uint64), np.uint64(1), 0
+        while len(live):
+            h = h + (codes[live + length] + np.uint64(1)) * power
+            length, power = length + 1, power * BASE
+            if length in self.pieces:
+                hashes, ids = self.pieces[length]
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = np.flatnonzero(hashes[at] == h)
+                src.append(live[hit])
+                span.append(np.full(len(hit), length))
+                piece.append(ids[at[hit]])
+            if length == 1:  # characters out of the vocabulary are spelled in bytes
+                lone = np.setdiff1d(live, src[0] if src else live[:0], assume_unique=True)
+                src.append(lone)
+                span.append(np.ones(len(lone), np.int64))
+                piece.append(np.fromiter((self._spelled(chr(int(c))) for c in codes[lone]), np.int64, len(lone)))
+            if length not in self.starts:
+                break
+            more = self.starts[length]
+            at = np.minimum(np.searchsorted(more, h), len(more) - 1)
+            on = (more[at] == h) & (left[live] > length)
+            live, h = live[on], h[on]
+        src, span, piece = map(np.concatenate, (src, span, piece))
+        spelled = piece >= self.size
+        w = np.where(spelled, 0.0, self.weights[np.where(spelled, 0, piece)])
+        if spelled.any():
+            w[spelled] = [self.byte_weight * len(self.fallback[p - self.size]) for p in piece[spelled].tolist()]
+        dst = np.where(span == left[src], n, src + span)
+        order = np.lexsort((src, left[src]))
+        src, dst, w, piece = src[order], dst[order], w[order], piece[order]
+        beta = np.zeros(n + 1)
+        cuts = np.flatnonzero(np.diff(left[src], prepend=0))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(src)], strict=True):
+            own = src[a:b]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            v = w[a:b] + beta[dst[a:b]]
+            top = np.maximum.reduceat(v, first)
+            total = np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(first, b - a)))), first)
+            beta[own[first]] = top + np.log(total)
+        logp = w + beta[dst] - beta[src]
+        order = np.lexsort((-logp, src))
+        src, dst, logp, piece = src[order], dst[order], logp[order], piece[order]
+        first = np.searchsorted(src, np.arange(n))
+        running = np.cumsum(np.exp(logp))
+        cum = running - np.concatenate([[0.0], running])[first][src]
+        cum[np.append(first[1:], len(src)) - 1] = 2.0
+        k = len(src)
+        self.flat = tuple(_room(x, used) for x, used in zip(self.flat, (self.nodes + n + 1, *[self.edges + k] * 4), strict=True))
+        nodes, edges = self.nodes, self.edges
+        self.flat[0][nodes : nodes + n + 1] = edges + np.append(first, k)
+        for x, values in zip(self.flat[1:], (np.where(dst == n, -1, nodes + dst), logp, cum, piece), strict=True):
+            x[edges : edges + k] = values
+        self.roots.update(zip(new, (nodes + starts).tolist(), strict=True))
+        self.nodes, self.edges = nodes + n, edges + k
 
     def draw(self, roots: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(log-probability of each chunk's path, end of its edges, edges), by ancestral sampling."""
@@ -148,7 +189,7 @@ class Lattices:
             total[live] += logp[e]
             counts[live] += 1
             steps.append((live, e))
-            node = nxt[e]
+            node = nxt[e].astype(np.int64)
             on = node >= 0
             live, node, step = live[on], node[on], step + 1
         ends = np.cumsum(counts)
@@ -187,7 +228,14 @@ class Lattices:
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         pieces = self.flat[4][edges]
         if len(pieces) and pieces.max() >= self.size:
-            return np.array([i for p in pieces.tolist() for i in (self.fallback[p - self.size] if p >= self.size else (p,))], np.int32)
+            spelled = pieces >= self.size
+            sizes = np.fromiter(map(len, self.fallback), np.int64, len(self.fallback))
+            bytes_ = np.fromiter((i for x in self.fallback for i in x), np.int64, int(sizes.sum()))
+            which = np.where(spelled, pieces - self.size, 0)
+            counts = np.where(spelled, sizes[which], 1)
+            rank = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            begin = (np.cumsum(sizes) - sizes)[which]
+            return np.where(np.repeat(spelled, counts), bytes_[np.minimum(np.repeat(begin, counts) + rank, len(bytes_) - 1)], np.repeat(pieces, counts)).astype(np.int32)
         return pieces.astype(np.int32)
 
     def decode(self, ids) -> str:
@@ -195,6 +243,15 @@ class Lattices:
         return text[1:] if text.startswith(" ") else text
 
 
+def _room(x: np.ndarray, used: int) -> np.ndarray:
+    """x, or a copy of at least twice its size if it is too small."""
+    if used <= len(x):
+        return x
+    out = np.zeros(max(used, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 @lru_cache(maxsize=2)
 def lattices(path: str, sharpness: float) -> Lattices:
     return Lattices(path, sharpness)
