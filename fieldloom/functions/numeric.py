@@ -34,10 +34,10 @@ def exact_round(v: Column, digits: int) -> Column:
 
 
 def draw(n: Column | int, *key: Column | str | int) -> Column:
-    """An integer in [0, n) from the SHA-256 of the key's parts, joined by ':'."""
+    """An integer in [0, n), or null if n is 0, from the SHA-256 of the key's parts, joined by ':'."""
     parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in key]
     h = F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("bigint")
-    return (h % (n if isinstance(n, Column) else F.lit(n))).cast("int")
+    return F.try_mod(h, n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
 def order_key(*key: Column | str | int) -> Column:

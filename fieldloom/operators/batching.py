@@ -89,8 +89,8 @@ def _balance(parts: int, frame: pd.DataFrame) -> pd.DataFrame:
     most = math.ceil(len(frame) / parts)
     size, longest, out = [0] * parts, [0] * parts, []
     for length in frame["length"]:
-        costs = [(max(longest[p], length) * (size[p] + 1), p) for p in range(parts) if size[p] < most]
-        p = min(costs)[1]
+        growth = [(max(longest[p], length) * (size[p] + 1) - longest[p] * size[p], -longest[p], p) for p in range(parts) if size[p] < most]
+        p = min(growth)[2]
         size[p], longest[p] = size[p] + 1, max(longest[p], length)
         out.append(p)
     return frame.assign(part=out)

@@ -1 +1,25 @@
+"""Scoring predictions as they arrive: an addition to the batch engine."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators import scoring
+
+PREDICTIONS = "qa_id string, prediction string, terminated boolean"
+
+
+def score_stream(spark: SparkSession, records: DataFrame, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Score each file of JSON predictions that lands in folder, once, and append rows to out.
+
+    A prediction that comes again is a row again; rows without a record are dropped by the join.
+    """
+    arriving = spark.readStream.schema(PREDICTIONS).json(folder)
+
+    def each(batch: DataFrame, number: int) -> None:
+        known = records.join(batch.select("qa_id"), "qa_id", "left_semi")
+        scored = scoring.score(known, batch.dropDuplicates(["qa_id"]))
+        scored.select("qa_id", "task", "valid", "error", "units", "hits", "all_correct").write.mode("append").parquet(out)
+
+    return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
