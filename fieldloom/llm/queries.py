@@ -11,6 +11,7 @@ from . import graded_quality, toxicity
 from .common import read, work_path
 from .lattice_sampling import sample_segmentations
 from .near_dup import near_dup_classes
+from .oracles import ORACLE
 from .packing import pack
 from .quality_rules import judge
 from .secrets import secret_digest
@@ -53,7 +54,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label of the same number stands for a page's outcome: good if its quality is 1."""
     outcomes = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return judge_urls(read(spark, sf_dir, "pages"), outcomes)
+    return judge_urls(read(spark, sf_dir, "pages"), outcomes).withColumn("reputation", F.round("reputation", 9))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,19 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_vector_search": TOP_K_SQL}
-
-
-TOP_K_SQL = """
-WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-    FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
-), ranked AS (
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scores
-)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
-"""
+    return dict(ORACLE)
