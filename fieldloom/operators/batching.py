@@ -165,3 +165,13 @@ def paired_speed(timings: DataFrame, slow: str = "serialized", fast: str = "inte
     side = lambda m, p: done.filter(F.col("method") == m).select(*keys, F.col("request_ms").alias(f"{p}_ms"), F.col("generated_tokens").alias(f"{p}_tokens"))
     j = side(slow, "slow").join(side(fast, "fast"), keys)
     return j.groupBy("decode_mode", "bin").agg(F.count("*").alias("pairs"), (F.sum("slow_ms") / F.sum("fast_ms")).alias("time_ratio"), F.avg("slow_tokens").alias("slow_tokens_mean"), F.avg("fast_tokens").alias("fast_tokens_mean"))
+
+
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The first row of each key by order."""
+    return rows.withColumn("n_", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("n_ = 1").drop("n_")
+
+
+def in_order_of(rows: DataFrame, order: DataFrame, key: str = "qa_id", position: str = "pos") -> DataFrame:
+    """rows with the position that order (key, position) gives them, sorted by it; rows without one are left out."""
+    return rows.join(order.select(key, position), key).orderBy(position)

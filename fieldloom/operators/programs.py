@@ -329,3 +329,9 @@ def tampered(records_df: DataFrame, cells: DataFrame) -> DataFrame:
     joined = records_df.join(again, ["state_ref", "task"], "left")
     checks = {"semantic_id": ~F.col("semantic_id").eqNullSafe(F.col("s2")), "answer": ~F.col("answer").eqNullSafe(F.col("a2")), "values": ~F.col("values").eqNullSafe(F.col("v2")), "metadata": ~(F.col("query_point_count").eqNullSafe(F.col("n2")) & F.col("difficulty").eqNullSafe(F.col("d2")))}
     return joined.select("qa_id", F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]), lambda x: x.isNotNull())).alias("problem"))
+
+
+def unit_lines(programs: DataFrame) -> DataFrame:
+    """Line programs that step by one cell, rightwards or downwards: those that the older protocol allows."""
+    steps = F.zip_with(F.slice("left", 1, F.size("left") - 1), F.slice("left", 2, F.size("left") - 1), lambda a, b: ((b["r1"] - a["r1"] == 1) & (b["c1"] == a["c1"])) | ((b["c1"] - a["c1"] == 1) & (b["r1"] == a["r1"])))
+    return programs.filter(F.col("task") == "line_profile").filter(F.forall(steps, lambda x: x))
