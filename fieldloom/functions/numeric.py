@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,20 +18,30 @@ def fp16(x: Column) -> Column:
     return F.when(F.abs(x) < HALF_LIMIT, F.rint(x / ulp) * ulp + 0.0)
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def exact_round(v: Column, digits: int) -> Column:
-    """v rounded to `digits` decimals by its exact binary value, ties to even, never -0."""
+    """v rounded to `digits` decimals by its exact binary value, ties to even, never -0.
+
+    |v| times 2 * 10**digits is kept as a sum and its rounding error, so that the half is told from its neighbours.
+    """
     k = float(2 * 10**digits)
-    a = F.abs(v)
-    g = a * 134217729.0
-    hi = g - (g - a)
-    x, y = hi * k, (a - hi) * k
-    s = x + y
-    err = (x - (s - (s - x))) + (y - (s - x))
-    f = F.floor(s / 2).cast("double")
-    t = (s / 2 - f - 0.5) + err / 2
-    even = F.when(F.pmod(f, F.lit(2.0)) == 0, f).otherwise(f + 1)
-    n = F.when(t > 0, f + 1).when(t < 0, f).otherwise(even)
-    return F.signum(v) * n / float(10**digits) + 0.0
+
+    def nearest(q: Column) -> Column:
+        f, t = q["f"], q["t"]
+        return F.when(t > 0, f + 1).when(t < 0, f).when(F.pmod(f, F.lit(2.0)) == 0, f).otherwise(f + 1)
+
+    def split(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        rest = lambda s, f: F.struct(f.alias("f"), ((s / 2 - f - 0.5) + ((x - (s - (s - x))) + (y - (s - x))) / 2).alias("t"))
+        return bound(x + y, lambda s: bound(bound(F.floor(s / 2).cast("double"), lambda f: rest(s, f)), nearest))
+
+    high = lambda a: bound(a * 134217729.0, lambda g: g - (g - a))
+    size = bound(F.abs(v), lambda a: bound(high(a), lambda hi: bound(F.struct((hi * k).alias("x"), ((a - hi) * k).alias("y")), split)))
+    return F.signum(v) * size / float(10**digits) + 0.0
 
 
 def draw(n: Column | int, *key: Column | str | int) -> Column:
