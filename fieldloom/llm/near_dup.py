@@ -12,10 +12,9 @@ link is verified on the whole shingle multisets (32-bit hashes). Links form clas
 one node from the start. First every node is tried with the member of its buckets that shares
 most bands with others. Then small buckets (at most SMALL nodes) that still hold several classes
 try all pairs of different classes. Nodes of larger ones are dealt anew by their rarest shingles,
-which any similar pair shares and a common passage doesn't reach; such buckets are tried alike,
-and in large ones every node outside the largest class meets a member of each other class (of
-CLASSES classes at a time, others each round) until a round finds no link. So no task gathers a
-large bucket, and the number of tries grows with the number of nodes.
+which any similar pair shares and a common passage doesn't reach; in small and large ones of these
+alike, every pair of different classes is tried that weights, places and bits of the shingles
+don't rule out. Large ones are joined block by block, so no task gathers a large bucket.
 """
 
 from __future__ import annotations
@@ -34,7 +33,8 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 SMALL = 16
-CLASSES = 8
+BLOCK = 256
+BITS = tuple(f"bits{k}" for k in range(4))
 RARE_SLOTS = 1 << 18
 FIRST_RANK = 1 / 64
 
@@ -226,12 +226,10 @@ def near_dup_classes(docs: DataFrame) -> DataFrame:
     apart = large.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("comp", "node").alias("comp"))
     mixed = materialize(apart.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1"), "mixed")
     nodes = apart.join(mixed.select("band"), "band", "left_semi").groupBy("node").agg(F.first("weight").alias("weight"))
-    pool, turn = small.select("band", "node", "weight", "n").unionByName(rare_shingle_buckets(materialize(nodes, "apart"), shingles)), 0
-    while True:
-        new = materialize(verified(_tries(pool, labels, turn), shingles), "links")
-        if new.isEmpty():
-            break
-        links, turn = links.unionByName(new), turn + 1
+    rare = rare_shingle_buckets(materialize(nodes, "apart"), shingles)
+    small = small.select("band", "node", "weight").unionByName(rare.filter(F.col("n") <= SMALL).select("band", "node", "weight"))
+    for tries, pool in ((_small_tries, small), (_large_tries, rare.filter(F.col("n") > SMALL))):
+        links = links.unionByName(materialize(verified(materialize(tries(pool, labels), "tries"), shingles), "links"))
         labels = components(links)
     placed = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
     placed = materialize(placed, "placed")
@@ -253,6 +251,12 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
 
 
+def _bits(elements: np.ndarray) -> np.ndarray:
+    """By hash of the elements, the parity of their number in each of 64 * len(BITS) bits."""
+    odd = np.bincount((mix(elements + np.uint64(7)) >> np.uint64(40)).astype(np.int64) % (64 * len(BITS)), minlength=64 * len(BITS)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common = counts.value
     for batch in batches:
@@ -260,11 +264,13 @@ def _prefixes(counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             own = _numbered(np.frombuffer(batch.column("shingles")[at].as_py(), "<u4"))
             size = len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1
             rare = own[np.lexsort((own, common[_slot(own)]))[:size]].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rare), pa.array(np.full(len(rare), batch.column("node")[at].as_py())), pa.array(np.full(len(rare), batch.column("weight")[at].as_py(), np.int32))], names=["band", "node", "weight"])
+            same = lambda v, kind=np.int64: pa.array(np.full(len(rare), v, kind))  # noqa: B023, E731
+            columns = [pa.array(rare), same(batch.column("node")[at].as_py()), same(batch.column("weight")[at].as_py(), np.int32), pa.array(np.arange(len(rare), dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *map(same, _bits(own))], names=["band", "node", "weight", "place", *BITS])
 
 
 def rare_shingle_buckets(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(band, node, weight, n): buckets of nodes (node, weight) by rare shingles, such that any two similar nodes share one.
+    """(band, node, weight, place, bits, n): buckets of nodes (node, weight) by rare shingles, such that any two similar nodes share one.
 
     All nodes order shingles alike, rare ones first; two multisets of a similarity of SIMILAR or
     more share an element among the first fifth of theirs. What only a common passage holds
@@ -276,30 +282,50 @@ def rare_shingle_buckets(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
     for row in own.select("shingles").mapInArrow(_common, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[row.slot] = row.n
     shared = own.sparkSession.sparkContext.broadcast(counts)
-    held = materialize(own.mapInArrow(partial(_prefixes, shared), "band long, node long, weight int"), "prefixes")
+    held = materialize(own.mapInArrow(partial(_prefixes, shared), "band long, node long, weight int, place int, " + ", ".join(f"{c} long" for c in BITS)), "prefixes")
     sizes = materialize(held.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     return materialize(held.join(sizes, "band"), "rare")
 
 
-def _tries(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of this round, from buckets that still hold several classes.
+def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
-    Of a small bucket all pairs of different classes, in the first round. In a larger one, each
-    node outside the bucket's largest class with one member of each other class, of at most CLASSES
-    classes; which members and classes stand for the bucket changes each round.
-    """
-    now = members.join(labels, "node", "left").select("band", "node", "weight", "n", F.coalesce("comp", "node").alias("comp"))
-    now = now if turn == 0 else now.filter(F.col("n") > SMALL)
-    now = materialize(now, "now")
-    one = F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "weight")
-    classes = now.groupBy("band", "comp").agg(F.count("*").alias("k"), F.min(one).alias("one"))
-    place = F.row_number().over(Window.partitionBy("band").orderBy(F.col("k").desc(), F.xxhash64("comp", F.lit(turn)), "comp"))
-    stand = classes.withColumn("place", place).filter(F.col("place") <= CLASSES).groupBy("band").agg(F.min_by("comp", "place").alias("main"), F.collect_list(F.struct("comp", "one.node", "one.weight")).alias("ends")).filter("size(ends) > 1")
-    mixed = now.join(materialize(stand, "several"), "band")
+
+def _small_tries(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes of each bucket; members: (band, node, weight), at most SMALL a bucket."""
     fits = lambda wa, ca, y: (ca != y["comp"]) & (F.least(wa, y["weight"]) >= F.greatest(wa, y["weight"]) * SIMILAR)
-    large = mixed.filter((F.col("n") > SMALL) & (F.col("comp") != F.col("main"))).select(F.col("node").alias("a"), F.explode(F.filter("ends", lambda y: fits(F.col("weight"), F.col("comp"), y))).alias("y")).select("a", "y.node")
-    # at most SMALL nodes a bucket
-    listed = mixed.filter(F.col("n") <= SMALL).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "weight", "comp"))).alias("all"))
+    listed = _placed(members, labels).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "weight", "comp"))).alias("all"))
     each = listed.select(F.posexplode("all").alias("i", "x"), "all")
-    small = each.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("all", F.col("i") + 2, SMALL), lambda y: fits(F.col("x.weight"), F.col("x.comp"), y))).alias("y")).select("a", "y.node")
-    return large.union(small).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("all", F.col("i") + 2, SMALL), lambda y: fits(F.col("x.weight"), F.col("x.comp"), y))).alias("y"))
+    return pairs.select("a", F.col("y.node").alias("b")).distinct()
+
+
+def _large_tries(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every pair (a, b) of different classes of each bucket that can be similar; members: rows of rare_shingle_buckets.
+
+    One of a pair is outside the bucket's largest class. Those outside and all nodes are split into
+    blocks of about BLOCK by hash, and each block of the one meets each block of the other under a
+    key of its own. What is left out is surely not similar: by weights, by the places of the shingle
+    (the bucket of a pair's first common shingle has them right), and by the bits in which the
+    two texts differ, which are at most the elements in which they do.
+    """
+    now = materialize(_placed(members, labels), "now")
+    classes = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
+    several = classes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    several = several.select("band", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("ins"), blocks(F.col("n")).alias("outs"))
+    mixed = now.select("band", "node", "weight", "place", "comp", *BITS).join(materialize(several, "several"), "band")
+    own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = mixed.filter("comp <> main").withColumn("l", own(F.col("ins"), 1)).withColumn("r", every(F.col("outs")))
+    right = mixed.withColumn("r", own(F.col("outs"), 2)).withColumn("l", every(F.col("ins")))
+    left = left.select("band", "l", "r", *[F.col(c).alias(f"x_{c}") for c in ("node", "weight", "place", "comp", *BITS)])
+    right = right.select("band", "l", "r", *[F.col(c).alias(f"y_{c}") for c in ("node", "weight", "place", "comp", *BITS)], (F.col("comp") == F.col("main")).alias("largest"))
+    x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
+    both = x("weight") + y("weight")
+    least = both * (SIMILAR / (1 + SIMILAR)) - 1e-6  # elements that similar texts share at least
+    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in BITS[1:]), F.bit_count(x(BITS[0]).bitwiseXOR(y(BITS[0]))))
+    can = (x("comp") != y("comp")) & (F.col("largest") | (x("node") < y("node"))) & (F.least(x("weight"), y("weight")) >= F.greatest(x("weight"), y("weight")) * SIMILAR)
+    can = can & (F.least(x("weight") - x("place"), y("weight") - y("place")) >= least) & (differ <= both - 2 * least)
+    met = left.alias("left").join(right.alias("right"), (F.col("left.band") == F.col("right.band")) & (F.col("left.l") == F.col("right.l")) & (F.col("left.r") == F.col("right.r")) & can)
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()

@@ -76,6 +76,24 @@ def test_classes_match_all_pairs(spark):
     assert not wrong, [(i, got[i], want[i]) for i in wrong]
 
 
+def test_large_bucket_of_many_classes(spark):
+    # sets of one pool of common shingles: one class of 12, eight of 3, and singles, all in the same large buckets
+    rng = np.random.default_rng(4)
+    sets = {i: np.sort(rng.choice(60, 51, replace=False)).astype("<u4") for i in range(100)}
+    comp = {i: 0 if i < 12 else 12 + (i - 12) // 3 if i < 36 else i for i in sets}
+    nodes = spark.createDataFrame([(i, 51) for i in sets], "node long, weight int")
+    shingles = spark.createDataFrame([(i, x.tobytes()) for i, x in sets.items()], "node long, shingles binary")
+    labels = spark.createDataFrame(list(comp.items()), "node long, comp long")
+    large = N.rare_shingle_buckets(nodes, shingles).filter(N.F.col("n") > N.SMALL)
+    got = {(r.a, r.b) for r in N.verified(N._large_tries(large, labels), shingles).collect()}
+    held = {}
+    for r in large.collect():
+        held.setdefault(r.band, set()).add(r.node)
+    want = {(a, b) for x in held.values() for a in x for b in x if a < b and comp[a] != comp[b] and N.overlap(sets[a], sets[b]) >= N.SIMILAR}
+    singles = {(a, b) for a, b in want if a >= 36}
+    assert len(singles) > 20 and got == want
+
+
 @pytest.mark.parametrize("rows", [[], [(None, "x y"), (None, "x y"), (4, "x y"), (4, "x y"), (5, None)]])
 def test_null_ids_and_empty_tables(spark, rows):
     got = N.near_dup_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
