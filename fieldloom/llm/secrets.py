@@ -37,9 +37,14 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
+#: A key block: from BEGIN to END if no other line of five dashes comes first, else over headers, base64 lines (with the first word of a line after them) and up to 300 long runs of base64 that are indented or follow spaces. No look-around: SQL uses it, too.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\r?\n(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}[A-Za-z0-9+/=\r\n]*" + r"(?:\s+[A-Za-z0-9+/]{16,}={0,2}){0,60}" * 5 + r"[A-Za-z0-9+/=\r\n]*)"
+)
 #: Kinds that the ledger's rule set adds: key blocks, web tokens, and tokens with an issuer's prefix.
 ADDED = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM, version=2),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
