@@ -134,22 +134,46 @@ def field_pairs(scored: DataFrame) -> DataFrame:
     return out.withColumn("both_correct_rate", F.try_divide(F.col("both_correct"), F.col("complete_pairs")))
 
 
-def changed_answer_candidates(records: DataFrame, per_query: int = 32) -> DataFrame:
-    """(qa_id, other_state): for each record the first state of the same shape, in hash order, on which the same program has a disjoint answer.
+def changed_answer_candidates(records: DataFrame, cells: DataFrame, per_query: int = 32) -> DataFrame:
+    """(rank, qa_id, other_qa_id, other_state): for each record the states of its shape on which its own program has a disjoint answer.
 
-    Candidates are the next `per_query` states of the shape in the hash order, wrapping at its end: no pair of states is listed beyond those.
+    Tried are the next `per_query` states of the shape in the hash order, wrapping at its end: no pair of states is listed beyond those.
+    The record's program runs on them as any other; rank is the order in which records and their states are taken.
     """
+    from . import programs as P
     from ..functions.numeric import order_key
 
-    order = Window.partitionBy("h", "w", "task").orderBy(order_key("pair", F.col("state_ref")))
-    ranked = records.select("qa_id", "state_ref", "h", "w", "task", "values", "tolerance", "runs", F.row_number().over(order).alias("i"))
-    ahead = ranked.select("qa_id", F.col("state_ref").alias("s"), "h", "w", "task", F.col("values").alias("v"), F.col("tolerance").alias("t"), F.col("runs").alias("a"), "i", F.explode(F.sequence(F.lit(1), F.lit(per_query))).alias("step")).withColumn("j", F.col("i") + F.col("step"))
-    other = ranked.select("h", "w", "task", F.col("i").alias("j"), F.col("state_ref").alias("other_state"), "values", "tolerance", "runs")
-    joined = ahead.join(other, ["h", "w", "task", "j"]).filter("s <> other_state")
-    numbers = (F.size("v") != F.size("values")) | F.exists(F.zip_with("v", "values", lambda a, b: F.abs(a - b)), lambda d: d > F.col("t") + F.col("tolerance"))
+    states = records.select("state_ref", "h", "w").distinct()
+    states = states.withColumn("i", F.row_number().over(Window.partitionBy("h", "w").orderBy(order_key("pair", F.col("state_ref")), "state_ref")))
+    rows = records.select("qa_id", "state_ref", "h", "w", "task", "op", "left", "right", "target", "template_family", F.col("values").alias("v"), F.col("tolerance").alias("t"), F.col("runs").alias("a"))
+    rows = rows.join(states.select("state_ref", "i"), "state_ref").join(states.groupBy("h", "w").agg(F.count("*").alias("n")), ["h", "w"]).filter("n > 1")
+    ahead = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_query), F.col("n") - 1).cast("int")))).withColumn("j", (F.col("i") - 1 + F.col("step")) % F.col("n") + 1)
+    ahead = ahead.join(states.select("h", "w", F.col("i").cast("long").alias("j"), F.col("state_ref").alias("other_state")), ["h", "w", "j"]).withColumn("key", F.concat_ws(":", "qa_id", "step"))
+    # execute tells programs of a state apart by task only
+    done = P.execute(ahead.select(F.col("other_state").alias("state_ref"), "h", "w", F.col("key").alias("task"), "op", "left", "right", "target"), cells)
+    joined = ahead.join(done.select(F.col("task").alias("key"), "values", "runs"), "key")
+    numbers = (F.size("v") != F.size("values")) | F.exists(F.zip_with("v", "values", lambda a, b: F.abs(a - b)), lambda d: d > F.col("t") * 2)
     meets = F.exists("a", lambda p: F.exists("runs", lambda q: (p["r"] == q["r"]) & (p["c0"] <= q["c1"]) & (q["c0"] <= p["c1"])))
-    apart = F.when(F.col("a").isNull(), numbers).otherwise(~meets)
-    return joined.filter(apart).groupBy("qa_id").agg(F.min_by("other_state", "step").alias("other_state"))
+    apart = joined.filter(F.when(F.col("a").isNull(), numbers).otherwise(~meets))
+    named = apart.withColumn("state_ref", F.col("other_state")).withColumn("semantic_id", P.semantic_id())
+    other_id = F.substring(F.sha2(F.concat_ws("|", "semantic_id", "template_family"), 256), 1, 24)
+    return named.select(F.struct(order_key("query", F.col("qa_id")).alias("order"), "qa_id", "step").alias("rank"), "qa_id", other_id.alias("other_qa_id"), "other_state")
+
+
+def changed_answer_pairs(records: DataFrame, cells: DataFrame, per_query: int = 32) -> DataFrame:
+    """(qa_id, other_qa_id, other_state): candidates taken in order, each qa_id in one pair at most.
+
+    A candidate is taken when it is the first left at both of its ids, which gives the same pairs as one after the other.
+    """
+    left, pairs = changed_answer_candidates(records, cells, per_query).localCheckpoint(), None
+    while pairs is None or not left.isEmpty():
+        ends = left.select("rank", F.explode(F.array("qa_id", "other_qa_id")).alias("id")).groupBy("id").agg(F.min("rank").alias("rank"))
+        won = left.join(ends.select("rank", F.col("id").alias("qa_id")), ["rank", "qa_id"]).join(ends.select("rank", F.col("id").alias("other_qa_id")), ["rank", "other_qa_id"])
+        won = won.select("qa_id", "other_qa_id", "other_state").localCheckpoint()
+        used = won.select(F.explode(F.array("qa_id", "other_qa_id")).alias("id"))
+        left = left.join(used.select(F.col("id").alias("qa_id")), "qa_id", "left_anti").join(used.select(F.col("id").alias("other_qa_id")), "other_qa_id", "left_anti").localCheckpoint()
+        pairs = won if pairs is None else pairs.unionByName(won)
+    return pairs
 
 
 def zero_baseline(records: DataFrame) -> DataFrame:

@@ -341,9 +341,8 @@ def zero_baseline(s, d):
 
 @query
 def changed_answers(s, d):
-    """Records for which another state changes the answer."""
-    found = scoring.changed_answer_candidates(records(s, d))
-    return found.groupBy(F.lit("pairs").alias("kind")).agg(F.count("*").alias("records"))
+    """Pairs of a record and its program on another state that changes the answer."""
+    return scoring.changed_answer_pairs(records(s, d), cells(s, d).select("state_ref", "r", "c", "z"))
 
 
 def _prediction_rows(s, d) -> DataFrame:

@@ -171,3 +171,40 @@ def test_offsets_over_partitions(spark):
     got = batching.running_offsets(rows, "id", "n").orderBy("id").collect()
     assert [r.offset for r in got] == np.cumsum([0] + [i % 7 for i in range(999)]).tolist()
     assert audit.repeated_ids(rows, "id").count() == 0
+
+
+def test_changed_answers_run_the_same_program(spark):
+    rng = np.random.default_rng(6)
+    names = [f"s{i}" for i in range(9)]
+    fields = {n: rng.integers(0, 3, (4, 4)).astype(float) for n in names}
+    cells = spark.createDataFrame([(n, r + 1, c + 1, float(z[r, c])) for n, z in fields.items() for r in range(4) for c in range(4)], "state_ref string, r int, c int, z double")
+    at = {n: (1 + i % 3 // 2, 1) for i, n in enumerate(names)}  # six states have one program, three another
+    leaves = [(n, 4, 4, "single_point", "read", [(0, r, r, c, c)], None, None) for n, (r, c) in at.items()]
+    leaves += [(n, 4, 4, "region_argmin", "argmin", region(1, 1, 2, 2), None, None) for n in names]
+    rec = P.records(P.execute(spark.createDataFrame(leaves, SCHEMA), cells))
+    rows = {r.qa_id: r for r in rec.collect()}
+    order = {r.qa_id: r.k for r in rec.select("qa_id", N.order_key("query", F.col("qa_id")).alias("k")).collect()}
+    ring = [r.s for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(N.order_key("pair", F.col("s"))).collect()]
+    ids = {(r.state_ref, r.task, str(r.left)): q for q, r in rows.items()}
+
+    def answer(n, r):
+        if r.task == "single_point":
+            return fields[n][r.left[0].r1 - 1, r.left[0].c1 - 1]
+        z = fields[n][:2, :2]
+        return set(zip(*np.where(z == z.min()), strict=True))
+
+    used, want = set(), {}
+    for q in sorted(rows, key=lambda q: (order[q], q)):
+        r = rows[q]
+        for step in range(1, 9):
+            n = ring[(ring.index(r.state_ref) + step) % 9]
+            program = (n, r.task, str(r.left))
+            other = ids.get(program, program)
+            x, y = answer(r.state_ref, r), answer(n, r)
+            if q in used or other in used or (x & y if isinstance(x, set) else abs(x - y) <= 2 * r.tolerance):
+                continue
+            used |= {q, other}
+            want[q] = n
+    got = scoring.changed_answer_pairs(rec, cells).collect()
+    assert {r.qa_id: r.other_state for r in got} == want and len(want) > 4
+    assert len({x for r in got for x in (r.qa_id, r.other_qa_id)}) == 2 * len(got)
