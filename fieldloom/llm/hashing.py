@@ -16,6 +16,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mix_one(x: int) -> int:
+    """mix of one number, modulo 2**64."""
+    x &= (1 << 64) - 1
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & ((1 << 64) - 1)
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & ((1 << 64) - 1)
+    return x ^ (x >> 31)
+
+
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of values from starts to ends: the difference of running sums of value times power, brought back to power zero by the base's inverse."""
+    up, down = _powers(1 << int(len(values)).bit_length())
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)])])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base, and of its inverse, modulo 2**64."""
@@ -32,15 +47,9 @@ def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, 64-bit hash) of every word, in order; words are runs between ASCII white space.
-
-    A word's hash comes from the difference of running sums of byte times power, brought back to
-    power zero by the base's inverse.
-    """
+    """(document index, 64-bit hash) of every word, in order; words are runs between ASCII white space."""
     data, edges = joined_bytes(texts)
-    up, down = _powers(1 << int(len(data)).bit_length())
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-    return np.searchsorted(edges[1:], starts, side="right"), mix((total[ends] - total[starts]) * down[starts])
+    return np.searchsorted(edges[1:], starts, side="right"), run_hashes(data, starts, ends)

@@ -7,31 +7,34 @@ regions of path space are kept with their largest perturbed value, an upper boun
 hold, and the best one is opened, as A-star does. An opened region gives its best path at once,
 and splits into one region for each place where another path can leave it. Values are kept as
 logarithms of arrival times, t = exp(-value), since a region's t is its parent's plus an
-exponential over its mass. Pieces never cross from a word into the next space, so a text is a
-row of chunks whose lattices are independent and are cached by chunk; drawing runs over all chunks
-of many texts at once. Noise is a hash of (seed, row key, sample, chunk, step): no draw depends on
-how rows are dealt to tasks.
+exponential over its mass. No piece joins certain pairs of characters, so a text is a row of chunks
+between these, whose lattices are independent and are cached by chunk; drawing runs over all chunks
+of many texts at once. Masses are sums of positive terms only, so rare paths count as they are.
+Noise is a hash of (seed, row key, sample, chunk, step): no draw depends on how rows are dealt to
+tasks.
 
 The inclusion score of a path is log P(it is among the k drawn), given the (k+1)th value.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
-from math import exp, log
+from math import exp, expm1, inf, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, rows_out, text_batches
-from .hashing import BASE, STEP, mix
+from .hashing import BASE, STEP, mix, mix_one, run_hashes
 
 SPACE = "▁"
 POOL_EDGES = 6_000_000
+#: Characters whose pairs are looked up in a table.
+DENSE = 512
 #: Exponent of the Zipf weights; below one, so that fine segmentations keep some mass.
 SHARPNESS = 0.3
 
@@ -60,15 +63,25 @@ class Lattices:
                 self.ids[piece] = i
                 self.weight[i] = -sharpness * log(2.0 - self.model.get_score(i))
         self.byte_weight = -sharpness * log(2.0 + size)
-        crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        # a word of letters ends a chunk before any mark that no piece joins to a letter
-        marks = "".join(c for c in ".,;:!?|" if not any(x.isalpha() and y == c for p in self.ids for x, y in zip(p, p[1:], strict=False)))
-        letters = f"{SPACE}*[^\\W\\d_]+(?=[{re.escape(marks)}{SPACE}]|$)|" if marks else ""
-        self.cut = re.compile(r"(?s).+" if crossing else f"{letters}{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.size = size
+        shown = [r.replace(SPACE.encode(), b" ") for r in self.raw]
+        self.shown = np.frombuffer(b"".join(shown), np.uint8), np.fromiter(map(len, shown), np.int64, size)
+        self._join_pairs()
         self._index()
         self.clear()
 
+    def _join_pairs(self) -> None:
+        """The pairs of characters that stand side by side in a piece: a table over the characters with most pairs, a sorted array of the rest."""
+        pairs = {(x, y) for p in self.ids for x, y in zip(p, p[1:], strict=False)}
+        met = Counter(c for pair in pairs for c in pair)
+        dense = {c: n for n, (c, _) in enumerate(sorted(met.items(), key=lambda x: (-x[1], x[0]))[: DENSE - 1], 1)}
+        self.dense = np.zeros(0x110000, np.int16)
+        self.dense[[ord(c) for c in dense]] = list(dense.values())
+        self.joins = np.zeros((DENSE, DENSE), bool)
+        for x, y in pairs:
+            self.joins[dense.get(x, 0), dense.get(y, 0)] |= x in dense and y in dense
+        self.far = np.array(sorted(ord(x) << 21 | ord(y) for x, y in pairs if x not in dense or y not in dense), np.int64)
+
     def _index(self) -> None:
         """By length, the sorted hashes of pieces with their ids, and of the beginnings of longer pieces."""
         by: dict[int, list[tuple[int, int]]] = {}
@@ -92,10 +105,36 @@ class Lattices:
         self.fallback: list[list[int]] = []
         self.fallback_of: dict[str, int] = {}
         self.nodes, self.edges = 0, 0
-        self.flat = (np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14), np.zeros(1 << 14, np.float32), np.zeros(1 << 14, np.int32))
-
-    def chunks(self, text: str) -> list[str]:
-        return self.cut.findall(self.model.normalize(text)) if text else []
+        self.flat = (np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14), np.zeros(1 << 14), np.zeros(1 << 14, np.int32))
+
+    def roots_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(lattice of every chunk of all texts, in order; end of each text's chunks)."""
+        normal = [self.model.normalize(t) if t else "" for t in texts]
+        joined = "".join(normal)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        text_ends = np.cumsum(np.fromiter(map(len, normal), np.int64, len(normal)))
+        begins = np.ones(len(codes) + 1, bool)
+        if len(codes) > 1:
+            d = self.dense[codes]
+            on = self.joins[d[:-1], d[1:]]
+            if len(self.far):
+                rest = np.flatnonzero((d[:-1] == 0) | (d[1:] == 0))
+                pair = (codes[rest] << 21) | codes[rest + 1]
+                on[rest] = self.far[np.minimum(np.searchsorted(self.far, pair), len(self.far) - 1)] == pair
+            begins[1:-1] = ~on
+        begins[text_ends] = True
+        starts = np.flatnonzero(begins)
+        starts, ends = starts[:-1], starts[1:]
+        _, which, of = np.unique(run_hashes(codes, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        chunk = np.repeat(np.arange(len(starts)), sizes)
+        same = codes == codes[np.minimum(starts[which][of][chunk] + np.arange(len(codes)) - starts[chunk], len(codes) - 1)] if len(codes) else begins[:0]
+        if not same.all() or (sizes != sizes[which][of]).any():  # two chunks of one hash
+            which = of = np.arange(len(starts))
+        distinct = [joined[a:b] for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
+        self.learn(distinct)
+        roots = np.fromiter(map(self.roots.__getitem__, distinct), np.int64, len(distinct))[of]
+        return roots, np.searchsorted(starts, text_ends)
 
     def _spelled(self, char: str) -> int:
         at = self.fallback_of.get(char)
@@ -104,10 +143,10 @@ class Lattices:
             self.fallback.append([self.bytes_of[b] for b in char.encode("utf-8", "replace")])
         return at
 
-    def learn(self, chunks: set[str]) -> None:
+    def learn(self, chunks: list[str]) -> None:
         if self.edges > POOL_EDGES:
             self.clear()
-        new = [c for c in chunks if c not in self.roots]
+        new = list(dict.fromkeys(c for c in chunks if c not in self.roots))
         if new:
             self._add(new)
 
@@ -162,7 +201,11 @@ class Lattices:
         order = np.lexsort((-logp, src))
         src, dst, logp, piece = src[order], dst[order], logp[order], piece[order]
         first = np.searchsorted(src, np.arange(n))
-        running = np.cumsum(np.exp(logp))
+        p = np.exp(logp)
+        # a likely piece's logarithm comes from the sum of its rivals, so that it is right however little they hold
+        other = np.add.reduceat(np.where(np.isin(np.arange(len(src)), first, assume_unique=True), 0.0, p), first)
+        logp[first] = np.where(other < 0.5, np.log1p(-np.minimum(other, 0.5)), logp[first])
+        running = np.cumsum(p)
         cum = running - np.concatenate([[0.0], running])[first][src]
         cum[np.append(first[1:], len(src)) - 1] = 2.0
         k = len(src)
@@ -199,33 +242,55 @@ class Lattices:
             edges[starts[at] + s] = e
         return total, ends, edges
 
-    def draw_other(self, root: int, excluded: list[list[int]], noise: np.uint64) -> tuple[list[int], float] | None:
-        """A path of a chunk other than those excluded, or None if they hold all its mass."""
+    def left(self, root: int, excluded: list[list[int]]) -> tuple[list[dict[int, int]], list[float]]:
+        """Over the trie of the excluded paths of a chunk: per trie node, its excluded edges with the node that each leads to (-1 at the end), and the share of its mass that no excluded path holds."""
+        first, nxt, logp, _, _ = self.flat
+        todo, kids = [(root, 0, excluded)], []
+        for node, step, paths in todo:  # grows as it goes
+            by: dict[int, list[list[int]]] = {}
+            for x in paths:
+                by.setdefault(x[step], []).append(x)
+            own = {}
+            for e, those in by.items():
+                after = int(nxt[e])
+                own[e] = -1 if after < 0 else len(todo)
+                if after >= 0:
+                    todo.append((after, step + 1, those))
+            kids.append(own)
+        share = [0.0] * len(todo)
+        for i in range(len(todo) - 1, -1, -1):
+            node, own = todo[i][0], kids[i]
+            for e in range(int(first[node]), int(first[node + 1])):
+                j = own.get(e)
+                share[i] += exp(logp[e]) * (1.0 if j is None else share[j] if j >= 0 else 0.0)
+        return kids, share
+
+    def draw_other(self, root: int, excluded: list[list[int]], noise: int) -> tuple[list[int], float] | None:
+        """A path of a chunk other than those excluded, or None if there is no other."""
         first, nxt, logp, _, _ = self.flat
-        node, out, total, alive, step = root, [], 0.0, excluded, 0
+        kids, share = self.left(root, excluded)
+        if not share[0]:
+            return None
+        node, at, out, total, step = root, 0, [], 0.0, 0
         while node >= 0:
-            span = range(int(first[node]), int(first[node + 1]))
-            mass = [exp(logp[e]) for e in span]
-            for x in alive:
-                mass[x[step] - span.start] -= exp(sum(logp[e] for e in x[step:]))
-            mass = [m if m > 1e-13 else 0.0 for m in mass]
-            if not sum(mass):
-                return None
-            u = float(_uniform(mix(np.array([noise + np.uint64(step) * STEP], np.uint64)))[0]) * sum(mass)
-            e = max(i for i, m in enumerate(mass) if m)
-            for i, m in enumerate(mass):
-                if m and u < m:
-                    e = i
-                    break
-                u -= m
-            e += span.start
-            out.append(e)
-            total += float(logp[e])
-            alive = [x for x in alive if x[step] == e]
-            node, step = int(nxt[e]), step + 1
+            own = kids[at] if at >= 0 else {}
+            u = _uniform_one(mix_one(noise + step * int(STEP))) * (share[at] if at >= 0 else 1.0)
+            pick = -1
+            for e in range(int(first[node]), int(first[node + 1])):
+                j = own.get(e)
+                mass = exp(logp[e]) * (1.0 if j is None else share[j] if j >= 0 else 0.0)
+                if mass:
+                    pick = e  # the last one, if rounding leaves u over
+                    if u < mass:
+                        break
+                    u -= mass
+            out.append(pick)
+            total += float(logp[pick])
+            node, at, step = int(nxt[pick]), own.get(pick, -1) if at >= 0 else -1, step + 1
         return out, total
 
-    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+    def ids_of(self, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all paths one after the other, end of each path's ids), of paths of edges that end at `ends`."""
         pieces = self.flat[4][edges]
         if len(pieces) and pieces.max() >= self.size:
             spelled = pieces >= self.size
@@ -233,15 +298,32 @@ class Lattices:
             bytes_ = np.fromiter((i for x in self.fallback for i in x), np.int64, int(sizes.sum()))
             which = np.where(spelled, pieces - self.size, 0)
             counts = np.where(spelled, sizes[which], 1)
-            rank = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+            total = np.cumsum(counts)
+            rank = np.arange(int(total[-1])) - np.repeat(total - counts, counts)
             begin = (np.cumsum(sizes) - sizes)[which]
-            return np.where(np.repeat(spelled, counts), bytes_[np.minimum(np.repeat(begin, counts) + rank, len(bytes_) - 1)], np.repeat(pieces, counts)).astype(np.int32)
-        return pieces.astype(np.int32)
+            ids = np.where(np.repeat(spelled, counts), bytes_[np.minimum(np.repeat(begin, counts) + rank, len(bytes_) - 1)], np.repeat(pieces, counts))
+            return ids.astype(np.int32), np.concatenate([[0], total])[ends]
+        return pieces.astype(np.int32), ends
 
     def decode(self, ids) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def restored(self, ids: np.ndarray, ends: np.ndarray, texts: list[str]) -> list[bool]:
+        """Whether decoding each path's ids gives its text back, its space marks being spaces."""
+        flat, sizes = self.shown
+        counts = sizes[ids]
+        total = np.cumsum(counts)
+        at = np.arange(int(total[-1]) if len(total) else 0) + np.repeat((np.cumsum(sizes) - sizes)[ids] - (total - counts), counts)
+        raw = flat[at].tobytes()
+        cuts = np.concatenate([[0], total])[np.concatenate([[0], ends])].tolist()
+        out = []
+        for i, text in enumerate(texts):
+            want, a, b = text.replace(SPACE, " "), cuts[i], cuts[i + 1]
+            a += raw[a : a + 1] == b" "
+            out.append(raw[a:b] == want.encode("utf-8", "surrogatepass") or self.decode(ids[ends[i - 1] if i else 0 : ends[i]].tolist()) == want)
+        return out
+
 
 def _room(x: np.ndarray, used: int) -> np.ndarray:
     """x, or a copy of at least twice its size if it is too small."""
@@ -261,8 +343,12 @@ def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
-def _noise(key: np.ndarray, sample: np.ndarray, chunk: np.ndarray) -> np.ndarray:
-    return mix(mix(key + sample.astype(np.uint64) * STEP) + chunk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _uniform_one(h: int) -> float:
+    return ((h >> 11) + 0.5) / (1 << 53)
+
+
+def _noise(key: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    return mix(key + chunk.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 class _Path:
@@ -279,65 +365,85 @@ class _Path:
 
 
 @np.errstate(over="ignore")
-def sample_texts(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
-    """Per text its (ids, log_prob, perturbed, log_inclusion) by falling perturbed value: k distinct segmentations, or all there are."""
-    chunks = [lat.chunks(t) for t in texts]
-    lat.learn({c for own in chunks for c in own})
-    roots = [np.fromiter(map(lat.roots.__getitem__, own), np.int64, len(own)) for own in chunks]
+def sample_paths(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int = 0) -> tuple[list[list[_Path]], list[list[float]]]:
+    """Per text its k distinct segmentations by falling perturbed value, or all there are, and their inclusion scores."""
+    roots, ends = lat.roots_of(texts)
+    firsts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
     key = mix(keys.astype(np.int64).view(np.uint64) * STEP + np.uint64(seed + 1))
     drawn: list[list[_Path]] = [[] for _ in texts]
-    nth = np.zeros(len(texts), np.uint64)
-    log_t = np.log(-np.log(_uniform(mix(key + np.uint64(77)))))
+    log_t = np.log(-np.log(_uniform(mix(key + np.uint64(77))))).tolist()
     # (text, chunk that was opened or -1, its edges, log-probability up to and with it, arrival, parent, excluded paths)
-    jobs = [(i, -1, [], 0.0, float(log_t[i]), None, []) for i in range(len(texts))]
+    jobs = [(i, -1, [], 0.0, log_t[i], None, []) for i in range(len(texts))]
+    plain = key.tolist()
     for sample in range(k):
-        _extend(lat, jobs, roots, key, nth + np.uint64(sample), drawn)
+        _extend(lat, jobs, roots, firsts, ends, key, sample, drawn)
         if sample + 1 < k:
-            jobs = [j for i in range(len(texts)) if (j := _open(lat, i, drawn[i], roots[i], key[i], sample + 1))]
-    out = []
+            jobs = [j for i in range(len(texts)) if (j := _open(lat, i, drawn[i], roots, int(firsts[i]), plain[i], sample + 1))]
+    scores = []
     for own in drawn:
-        bound = min((float(p.open.min()) for p in own if len(p.open)), default=float("inf"))
-        rows = []
-        for p in own:
-            x = p.log_prob + bound
-            inclusion = 0.0 if x > 40 else (log(-np.expm1(-exp(x))) if x > -700 else x)
-            rows.append((lat.ids_of(p.edges), p.log_prob, -p.log_t, inclusion))
-        out.append(rows)
-    return out
+        bound = min((float(p.open.min()) for p in own if len(p.open)), default=inf)
+        scores.append([_log_inclusion(p.log_prob + bound) for p in own])
+    return drawn, scores
 
 
-def _open(lat: Lattices, text: int, own: list[_Path], roots: np.ndarray, key: np.uint64, sample: int):
+def _log_inclusion(x: float) -> float:
+    """log P(arrival before the bound), x the logarithm of rate times bound."""
+    return 0.0 if x > 40 else (log(-expm1(-exp(x))) if x > -700 else x)
+
+
+def sample_texts(lat: Lattices, keys: np.ndarray, texts: list[str], k: int, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
+    """Per text its (ids, log_prob, perturbed, log_inclusion), as sample_paths has them."""
+    drawn, scores = sample_paths(lat, keys, texts, k, seed)
+    ids, ends = _all_ids(lat, drawn)
+    each = iter(np.split(ids, ends[:-1]) if len(ends) else [])
+    return [[(next(each), p.log_prob, -p.log_t, x) for p, x in zip(own, score, strict=True)] for own, score in zip(drawn, scores, strict=True)]
+
+
+def _all_ids(lat: Lattices, drawn: list[list[_Path]]) -> tuple[np.ndarray, np.ndarray]:
+    paths = [p.edges for own in drawn for p in own]
+    edges = np.concatenate(paths) if paths else np.empty(0, np.int64)
+    return lat.ids_of(edges, np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths))))
+
+
+def _open(lat: Lattices, text: int, own: list[_Path], roots: np.ndarray, first: int, key: int, sample: int):
     """The best open region of a text, taken: the job that draws its path, or None if all paths are drawn."""
     while True:
-        best = min((p for p in own if len(p.open)), key=lambda p: p.open.min(), default=None)
-        if best is None or not np.isfinite(best.open.min()):
+        best, at, t = None, 0, inf
+        for p in own:
+            if len(p.open) and (least := p.open[i := int(p.open.argmin())]) < t:
+                best, at, t = p, i, float(least)
+        if best is None:
             return None
-        at = int(np.argmin(best.open))
-        i, t = best.from_chunk + at, float(best.open[at])
-        best.open[at] = np.inf
+        i = best.from_chunk + at
+        best.open[at] = inf
         excluded = best.excluded.get(i, []) + [best.chunk(i)]
-        noise = mix(np.array([key + np.uint64(sample) * STEP + np.uint64(i) + np.uint64(1 << 40)], np.uint64))[0]
-        other = lat.draw_other(int(roots[i]), excluded, noise)
+        other = lat.draw_other(int(roots[first + i]), excluded, mix_one(key + sample * int(STEP) + i + (1 << 40)))
         if other is not None:
             edges, lp = other
             return text, i, edges, float(best.before[i]) + lp, t, best, excluded
 
 
-def _extend(lat: Lattices, jobs: list, roots: list[np.ndarray], key: np.ndarray, sample: np.ndarray, drawn: list[list[_Path]]) -> None:
+def _extend(lat: Lattices, jobs: list, roots: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, key: np.ndarray, sample: int, drawn: list[list[_Path]]) -> None:
     """Draw all chunks after the opened ones, for all jobs at once, and set the arrival times of the new regions."""
     if not jobs:
         return
-    sizes = np.array([len(roots[j[0]]) - (j[1] + 1) for j in jobs], np.int64)
+    text = np.array([j[0] for j in jobs])
+    begin = np.array([j[1] + 1 for j in jobs], np.int64)
+    sizes = lasts[text] - firsts[text] - begin
     row = np.repeat(np.arange(len(jobs)), sizes)
     starts = np.cumsum(sizes) - sizes
-    text = np.array([j[0] for j in jobs])
-    place = np.arange(len(row)) - starts[row] + np.array([j[1] + 1 for j in jobs], np.int64)[row]
-    noise = _noise(key[text][row], sample[text][row], place)
-    lp, ends, edges = lat.draw(np.concatenate([roots[j[0]][j[1] + 1 :] for j in jobs]), noise)
+    place = np.arange(len(row)) - (starts - begin)[row]
+    noise = _noise(mix(key[text] + np.uint64(sample) * STEP)[row], place)
+    lp, ends, edges = lat.draw(roots[firsts[text][row] + place], noise)
     # sums by text, so that no value depends on the texts around it
-    before = np.concatenate([np.cumsum(np.concatenate([[j[3]], lp[a : a + n]]))[:-1] for j, a, n in zip(jobs, starts.tolist(), sizes.tolist(), strict=True)])
+    before = np.empty(len(row))
+    for j, a, n in zip(jobs, starts.tolist(), sizes.tolist(), strict=True):
+        if n:
+            before[a] = j[3]
+            before[a + 1 : a + n] = lp[a : a + n - 1]
+            before[a : a + n].cumsum(out=before[a : a + n])
     with np.errstate(divide="ignore"):
-        rest = np.log1p(-np.exp(np.minimum(lp, 0.0)))  # -inf where a chunk has one path only
+        rest = np.log(-np.expm1(np.minimum(lp, 0.0)))  # -inf where a chunk has one path only
         wait = np.log(-np.log(_uniform(mix(noise + np.uint64(0xABCDEF))))) - before - rest
     arrive = np.logaddexp(np.array([j[4] for j in jobs])[row], wait) if len(row) else np.empty(0)
     edge_starts = np.concatenate([[0], ends])
@@ -353,10 +459,10 @@ def _extend(lat: Lattices, jobs: list, roots: list[np.ndarray], key: np.ndarray,
         all_ends = np.concatenate([parent.ends[:opened], [head + len(new)], head + len(new) + own_ends])
         all_before = np.concatenate([parent.before[: opened + 1], before[a:b]])
         # the opened chunk may be left again, for a path that is neither excluded nor the new one
-        left = 1.0 - sum(exp(float(lat.flat[2][x].sum())) for x in (*excluded, new))
-        again = np.inf
-        if left > 1e-12:
-            u = float(_uniform(mix(np.array([key[i] + sample[i] * STEP + np.uint64(opened) + np.uint64(1 << 41)], np.uint64)))[0])
+        left = lat.left(int(roots[firsts[i] + opened]), [*excluded, new])[1][0]
+        again = inf
+        if left > 0:
+            u = _uniform_one(mix_one(int(key[i]) + sample * int(STEP) + opened + (1 << 41)))
             again = float(np.logaddexp(t, log(-log(u)) - float(parent.before[opened]) - log(left)))
         drawn[i].append(_Path(all_edges, all_ends, all_before, total, t, opened, np.concatenate([[again], arrive[a:b]]), {opened: excluded}))
 
@@ -366,15 +472,19 @@ def _sample(path: str, sharpness: float, k: int, seed: int, digest: bool, batche
     for batch in text_batches(batches, most_bytes=1 << 20, most_rows=1024):
         texts, docs = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
         keys = np.array([d or 0 for d in docs], np.int64)
-        rows = []
-        for doc, text, own in zip(docs, texts, sample_texts(lat, keys, texts, k, seed), strict=True):
-            for rank, (ids, log_prob, perturbed, inclusion) in enumerate(own):
-                if digest:
-                    whole = lat.decode(ids.tolist()) == text.replace(SPACE, " ")
-                    rows.append((doc, rank + 1, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_prob, perturbed, inclusion, whole))
-                else:
-                    rows.append((doc, rank + 1, ids.tolist(), log_prob, perturbed, inclusion))
-        yield rows_out(DIGEST if digest else SAMPLES, list(map(list, zip(*rows, strict=True))))
+        drawn, scores = sample_paths(lat, keys, texts, k, seed)
+        ids, ends = _all_ids(lat, drawn)
+        counts = [len(own) for own in drawn]
+        of = [i for i, n in enumerate(counts) for _ in range(n)]
+        paths = [p for own in drawn for p in own]
+        columns = [[docs[i] for i in of], [r + 1 for n in counts for r in range(n)]]
+        values = [[p.log_prob for p in paths], [-p.log_t for p in paths], [x for own in scores for x in own]]
+        if digest:
+            raw, cuts = ids.astype("<u4").tobytes(), [0, *(4 * ends).tolist()]
+            sizes = np.diff(ends, prepend=0)
+            yield rows_out(DIGEST, [*columns, sizes, [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], *values, lat.restored(ids, ends, [texts[i] for i in of])])
+        else:
+            yield rows_out(SAMPLES, [*columns, pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids)), *values])
 
 
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 3, sharpness: float = SHARPNESS, seed: int = 0, digest: bool = False) -> DataFrame:
@@ -383,8 +493,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 3, sharpness
     With digest, ids become (n_pieces, ids_crc32, restored), restored telling whether decoding
     gives the text back. Null or empty text: one segmentation without ids. Null doc_id: seeded as
     0. Rows that repeat key and text repeat the samples. A text with fewer segmentations than k
-    gives all of them, with inclusion score 0; paths that hold less than 1e-12 of their word, which
-    doubles cannot tell from none beside the others, may be left out. Empty table: no rows. Other columns are ignored.
+    gives all of them, with inclusion score 0. Empty table: no rows. Other columns are ignored.
     """
     last = "n_pieces long, ids_crc32 long, log_prob double, perturbed double, log_inclusion double, restored boolean" if digest else "ids array<int>, log_prob double, perturbed double, log_inclusion double"
     return id_and_text(docs).mapInArrow(partial(_sample, model_path, sharpness, k, seed, digest), f"doc_id long, rank int, {last}")

@@ -95,3 +95,39 @@ def test_spark_round_trip(spark, n):
         assert all(len({r.ids_crc32 for r in got if r.doc_id == i}) == 3 for i in (2, 4, 5, 6))
     back = {(r.doc_id, r["rank"]): r.text for r in L.decode_ids(L.sample_segmentations(df, PATH, k=2), PATH).collect()}
     assert all(text == (ODD[i].replace("▁", " ") if i is not None else "") for (i, _), text in back.items())
+
+
+@pytest.mark.parametrize("sharpness", [L.SHARPNESS, 6.0])
+def test_all_paths_of_a_long_word(sharpness):
+    """More draws than a word has paths: every path comes once, however little it holds."""
+    own = L.Lattices(PATH, sharpness)
+    truth = all_paths(own, "thonener")
+    got = L.sample_texts(own, np.array([3]), ["thonener"], len(truth) + 5)[0]
+    assert len(truth) > 60 and {tuple(g[0].tolist()) for g in got} == set(truth) and len(got) == len(truth)
+    assert all(g[3] == 0 and g[1] == pytest.approx(log(truth[tuple(g[0].tolist())]), rel=1e-9, abs=1e-300) for g in got)
+    assert sharpness < 1 or min(truth.values()) < 1e-16
+
+
+def test_law_of_rare_paths():
+    """Where the first path holds nearly all mass, the second draw follows the masses of the rest."""
+    own, n = L.Lattices(PATH, 12.0), 4000
+    truth = all_paths(own, "over")
+    top = max(truth, key=truth.get)
+    rest = {k: v for k, v in truth.items() if k != top}
+    seconds = Counter()
+    for draws in L.sample_texts(own, np.arange(n), ["over"] * n, 2):
+        assert tuple(draws[0][0].tolist()) == top
+        seconds[tuple(draws[1][0].tolist())] += 1
+    total = sum(rest.values())
+    assert total < 1e-6
+    for k, v in rest.items():
+        assert abs(seconds[k] / n - v / total) < 5 * (v / total / n) ** 0.5 + 2e-3
+
+
+def test_chunks_do_not_cut_pieces(lat):
+    """Pairs that no piece joins part the chunks; the rest stays together."""
+    text = "of\nthe é中x ok!!  a"
+    roots, ends = lat.roots_of(["", text, ""])
+    assert ends.tolist()[0] == 0 and ends.tolist()[1] == ends.tolist()[2] == len(roots)
+    back = {v: k for k, v in lat.roots.items()}
+    assert "".join(back[r] for r in roots.tolist()) == lat.model.normalize(text)
