@@ -12,9 +12,11 @@ link is verified on the whole shingle multisets (32-bit hashes). Links form clas
 one node from the start. First every node is tried with the member of its buckets that shares
 most bands with others. Then small buckets (at most SMALL nodes) that still hold several classes
 try all pairs of different classes. Nodes of larger ones are dealt anew by their rarest shingles,
-which any similar pair shares and a common passage doesn't reach; in small and large ones of these
-alike, every pair of different classes is tried that weights, places and bits of the shingles
-don't rule out. Large ones are joined block by block, so no task gathers a large bucket.
+which any similar pair shares and a common passage doesn't reach, and all pairs of different
+classes are tried there; large ones of these are joined block by block, so no task gathers a large
+bucket. A pair is spared its reading of shingles only where weights, places or signatures tell that
+it is not similar: by FAR of the K coordinates or more, of which a similar pair has fewer but for
+a chance below 1e-11.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import id_and_text, materialize, rows_out, text_batches
+from .common import materialize, text_batches
 from .hashing import BASE, STEP, mix, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -34,11 +36,13 @@ BANDS, ROWS = 20, 5
 K = BANDS * ROWS
 SMALL = 16
 BLOCK = 256
-BITS = tuple(f"bits{k}" for k in range(4))
+#: Of every coordinate PLANES bits are kept, a plane of bits in two longs; a pair whose planes differ at over FAR coordinates is not similar.
+PLANES, FAR = 4, 50
+SKETCH = tuple(f"s{k}" for k in range(2 * PLANES))
 RARE_SLOTS = 1 << 18
 FIRST_RANK = 1 / 64
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("weight", pa.int32()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary())])
+
 def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(document index, 32-bit hash) of every shingle, in order of both, repeats kept.
 
@@ -120,13 +124,32 @@ def dart_signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n:
     return out
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(n x 2 * PLANES) the lowest PLANES bits of every coordinate, two longs a plane."""
+    bits = np.zeros((len(signature), PLANES, 128), np.uint8)
+    for j in range(PLANES):
+        bits[:, j, :K] = (signature >> np.uint64(j)) & np.uint64(1)
+    return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(len(signature), 2 * PLANES)
+
+
+def differing(x, y) -> Column:
+    """At how many coordinates two sketches differ; x and y give the columns of their longs."""
+    parts = []
+    for half in (0, 1):
+        odd = x(SKETCH[half]).bitwiseXOR(y(SKETCH[half]))
+        for j in range(1, PLANES):
+            odd = odd.bitwiseOR(x(SKETCH[2 * j + half]).bitwiseXOR(y(SKETCH[2 * j + half])))
+        parts.append(F.bit_count(odd))
+    return parts[0] + parts[1]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, most_bytes=1 << 20):
         texts = batch.column("text").to_pylist()
         n = len(texts)
         doc, hashes = shingle_hashes(texts)
         ends = np.searchsorted(doc, np.arange(n), side="right")
-        starts = np.concatenate([[0], ends[:-1]])
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if n else ends
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])]) if len(doc) else np.zeros(0, bool)
         at = np.flatnonzero(new)
         weight = np.diff(np.concatenate([at, [len(doc)]]))
@@ -136,16 +159,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = mix(bands * STEP + signature[:, j::ROWS] + np.uint64(1))
         bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
         raw = hashes.astype("<u4").tobytes()
-        yield rows_out(
-            SIGNED,
-            [batch.column("doc_id"), batch.column("node"), (ends - starts).astype(np.int32), [b.tolist() if e > s else [] for b, s, e in zip(bands, starts, ends, strict=True)], [raw[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)]],
-        )
+        columns = {name: batch.column(name) for name in batch.schema.names if name != "text"}
+        columns["weight"] = pa.array((ends - starts).astype(np.int32))
+        columns["bands"] = pa.array([b.tolist() if e > s else [] for b, s, e in zip(bands, starts, ends, strict=True)], pa.list_(pa.int64()))
+        columns |= {c: pa.array(v) for c, v in zip(SKETCH, sketches(signature).T.copy(), strict=True)}
+        columns["shingles"] = pa.array([raw[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)], pa.binary())
+        yield pa.RecordBatch.from_pydict(columns)
 
 
-def sign(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, weight, bands, shingles): node is a 64-bit hash of the whole text, weight its number of shingles."""
-    rows = id_and_text(docs).select("doc_id", F.xxhash64("text").alias("node"), "text")
-    return rows.mapInArrow(_sign, "doc_id long, node long, weight int, bands array<long>, shingles binary")
+def sign(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(key, if one is named, doc_id, node, weight, bands, sketch, shingles): node is a 128-bit hash of the whole text, weight its number of shingles."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*([F.col(key).alias("key")] if key else []), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("node"), text.alias("text"))
+    made = "weight int, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH) + ", shingles binary"
+    return rows.mapInArrow(_sign, ("key binary, " if key else "") + "doc_id long, node binary, " + made)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -179,7 +206,7 @@ def verified(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose multisets are similar; shingles: (node, shingles), one row per node."""
     left = pairs.join(shingles.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
     both = left.join(shingles.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long")
+    return both.select("a", "b", "left", "right").mapInArrow(_verify, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,43 +227,66 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_dup_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id): the smallest doc_id of the class of texts linked, directly or over others, by a similarity of SIMILAR or more.
-
-    Null text: empty. Empty texts are copies of each other and similar to nothing else; texts of
-    fewer than SHINGLE words are similar to their copies only. Null doc_id: a row as any; a class
-    of null ids only has a null class_id. Repeated rows: a row each, of one class. Empty table: no
-    rows. Other columns are ignored.
-    """
-    signed = materialize(sign(docs), "signed")
-    nodes = materialize(signed.filter(F.size("bands") > 0).select("node", "weight", "bands").groupBy("node").agg(F.first("weight").alias("weight"), F.first("bands").alias("bands")), "nodes")
-    held = nodes.select("node", "weight", F.explode("bands").alias("band"))
+def _placed(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(key, doc_id, comp) of every row; rows of one comp are one class."""
+    signed = materialize(sign(docs, key), "signed")
+    full = signed.filter(F.size("bands") > 0)
+    own = ("weight", "bands", *SKETCH)
+    nodes = materialize(full.select("node", *own).groupBy("node").agg(*[F.first(c).alias(c) for c in own]), "nodes")
+    held = nodes.select("node", F.explode("bands").alias("band"))
     buckets = held.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(held.join(materialize(buckets, "buckets"), "band"), "members")
-    shingles = signed.filter(F.size("bands") > 0).select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    shingles = full.select("node", "shingles").groupBy("node").agg(F.first("shingles").alias("shingles"))
     shingles = materialize(shingles.join(members.select("node").hint("merge"), "node", "left_semi"), "shingles", codec="none")
+    profiles = materialize(nodes.drop("bands").join(members.select("node").hint("merge"), "node", "left_semi"), "profiles")
     # one try per node, with the member of its buckets that shares most bands with others: what copies were made from, if it is there
     known = materialize(members.join(members.groupBy("node").agg(F.sum("n").alias("shared")), "node").select("band", "node", F.struct("shared", "node").alias("rank")), "known")
     top = materialize(known.groupBy("band").agg(F.max("rank").alias("top")), "tops")
     first = known.join(top, "band").groupBy(F.col("node").alias("b")).agg(F.max("top")["node"].alias("a")).filter("a <> b").select("a", "b")
     links = materialize(verified(first, shingles), "links")
     labels = components(links)
+    cards = _cards(profiles, labels)
     small, large = members.filter(F.col("n") <= SMALL), members.filter(F.col("n") > SMALL)
     # what large buckets leave apart is dealt anew by rare shingles
-    apart = large.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("comp", "node").alias("comp"))
+    apart = large.select("band", "node").join(cards.select("node", "weight", "comp"), "node")
     mixed = materialize(apart.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1"), "mixed")
-    nodes = apart.join(mixed.select("band"), "band", "left_semi").groupBy("node").agg(F.first("weight").alias("weight"))
-    rare = rare_shingle_buckets(materialize(nodes, "apart"), shingles)
-    small = small.select("band", "node", "weight").unionByName(rare.filter(F.col("n") <= SMALL).select("band", "node", "weight"))
-    for tries, pool in ((_small_tries, small), (_large_tries, rare.filter(F.col("n") > SMALL))):
-        links = links.unionByName(materialize(verified(materialize(tries(pool, labels), "tries"), shingles), "links"))
-        labels = components(links)
-    placed = signed.select("doc_id", "node").join(labels, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("comp"))
-    placed = materialize(placed, "placed")
+    again = apart.join(mixed.select("band"), "band", "left_semi").groupBy("node").agg(F.first("weight").alias("weight"))
+    rare = rare_shingle_buckets(materialize(again, "apart"), shingles)
+    small = small.select("band", "node").unionByName(rare.filter(F.col("n") <= SMALL).select("band", "node"))
+    links = links.unionByName(materialize(verified(materialize(_small_tries(small, cards), "tries"), shingles), "links"))
+    labels = components(links)
+    tries = _large_tries(rare.filter(F.col("n") > SMALL), _cards(profiles, labels))
+    more = materialize(verified(materialize(tries, "tries"), shingles), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
+    rows = signed.select(*["key"] * bool(key), "doc_id", "node").join(labels, "node", "left")
+    return materialize(rows.select(*["key"] * bool(key), "doc_id", F.coalesce("comp", "node").alias("comp")), "placed")
+
+
+def near_dup_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id): the smallest doc_id of the class of texts linked, directly or over others, by a similarity of SIMILAR or more.
+
+    Null text: empty. Empty texts are copies of each other and similar to nothing else; texts of
+    fewer than SHINGLE words are similar to their copies only. Null doc_id: a row as any; a class
+    of null ids only has a null class_id. Repeated rows: a row each, of one class. Empty table: no
+    rows. Other columns are ignored.
+    """
+    placed = _placed(docs)
     least = materialize(placed.groupBy("comp").agg(F.min("doc_id").alias("class_id")), "classes")
     return placed.join(least, "comp").select("doc_id", "class_id")
 
 
+def near_dup_keepers(docs: DataFrame, key: str) -> DataFrame:
+    """(key): one key per class, of the row with the smallest doc_id (null ids last, then the smallest key). key: a binary column that differs between different rows."""
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    return _placed(docs, key).groupBy("comp").agg(F.min(rank)["key"].alias("key")).select("key")
+
+
+def _cards(profiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, weight, sketch, comp) of the nodes that share buckets."""
+    return materialize(profiles.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "cards")
+
+
 def _slot(elements: np.ndarray) -> np.ndarray:
     return (mix(elements) & np.uint64(RARE_SLOTS - 1)).astype(np.int64)
 
@@ -251,12 +301,6 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
 
 
-def _bits(elements: np.ndarray) -> np.ndarray:
-    """By hash of the elements, the parity of their number in each of 64 * len(BITS) bits."""
-    odd = np.bincount((mix(elements + np.uint64(7)) >> np.uint64(40)).astype(np.int64) % (64 * len(BITS)), minlength=64 * len(BITS)) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def _prefixes(counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     common = counts.value
     for batch in batches:
@@ -264,68 +308,66 @@ def _prefixes(counts, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             own = _numbered(np.frombuffer(batch.column("shingles")[at].as_py(), "<u4"))
             size = len(own) - int(np.ceil(SIMILAR * len(own) - 1e-9)) + 1
             rare = own[np.lexsort((own, common[_slot(own)]))[:size]].view(np.int64)
-            same = lambda v, kind=np.int64: pa.array(np.full(len(rare), v, kind))  # noqa: B023, E731
-            columns = [pa.array(rare), same(batch.column("node")[at].as_py()), same(batch.column("weight")[at].as_py(), np.int32), pa.array(np.arange(len(rare), dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays([*columns, *map(same, _bits(own))], names=["band", "node", "weight", "place", *BITS])
+            node = pa.array([batch.column("node")[at].as_py()], pa.binary()).take(pa.array(np.zeros(len(rare), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(rare), node, pa.array(np.arange(len(rare), dtype=np.int32))], names=["band", "node", "place"])
 
 
 def rare_shingle_buckets(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
-    """(band, node, weight, place, bits, n): buckets of nodes (node, weight) by rare shingles, such that any two similar nodes share one.
+    """(band, node, place, n): buckets of nodes (node) by rare shingles, such that any two similar nodes share one.
 
     All nodes order shingles alike, rare ones first; two multisets of a similarity of SIMILAR or
     more share an element among the first fifth of theirs. What only a common passage holds
     together falls apart here. Frequencies are hashed to RARE_SLOTS counters, the only thing that
     goes over the driver; they change the order, not the result.
     """
-    own = materialize(shingles.join(nodes, "node"), "own", codec="none")
+    own = materialize(shingles.join(nodes.select("node"), "node"), "own", codec="none")
     counts = np.zeros(RARE_SLOTS, np.int64)
     for row in own.select("shingles").mapInArrow(_common, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         counts[row.slot] = row.n
     shared = own.sparkSession.sparkContext.broadcast(counts)
-    held = materialize(own.mapInArrow(partial(_prefixes, shared), "band long, node long, weight int, place int, " + ", ".join(f"{c} long" for c in BITS)), "prefixes")
+    held = materialize(own.mapInArrow(partial(_prefixes, shared), "band long, node binary, place int"), "prefixes")
     sizes = materialize(held.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     return materialize(held.join(sizes, "band"), "rare")
 
 
-def _placed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _small_tries(members: DataFrame, cards: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes of each bucket that can be similar; members: (band, node), at most SMALL a bucket."""
+    known = members.join(cards, "node")
+    listed = known.groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "weight", "comp", *SKETCH))).alias("all"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    each = listed.select(F.posexplode("all").alias("i", "x"), "all")
 
+    def fits(y: Column) -> Column:
+        x, weights = (lambda c: F.col(f"x.{c}")), (F.col("x.weight"), y["weight"])
+        return (x("comp") != y["comp"]) & (F.least(*weights) >= F.greatest(*weights) * SIMILAR) & (differing(x, lambda c: y[c]) <= FAR)
 
-def _small_tries(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different classes of each bucket; members: (band, node, weight), at most SMALL a bucket."""
-    fits = lambda wa, ca, y: (ca != y["comp"]) & (F.least(wa, y["weight"]) >= F.greatest(wa, y["weight"]) * SIMILAR)
-    listed = _placed(members, labels).groupBy("band").agg(F.array_sort(F.collect_list(F.struct("node", "weight", "comp"))).alias("all"))
-    each = listed.select(F.posexplode("all").alias("i", "x"), "all")
-    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("all", F.col("i") + 2, SMALL), lambda y: fits(F.col("x.weight"), F.col("x.comp"), y))).alias("y"))
+    pairs = each.select(F.col("x.node").alias("a"), F.explode(F.filter(F.slice("all", F.col("i") + 2, SMALL), fits)).alias("y"))
     return pairs.select("a", F.col("y.node").alias("b")).distinct()
 
 
-def _large_tries(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _large_tries(members: DataFrame, cards: DataFrame) -> DataFrame:
     """Every pair (a, b) of different classes of each bucket that can be similar; members: rows of rare_shingle_buckets.
 
     One of a pair is outside the bucket's largest class. Those outside and all nodes are split into
     blocks of about BLOCK by hash, and each block of the one meets each block of the other under a
-    key of its own. What is left out is surely not similar: by weights, by the places of the shingle
-    (the bucket of a pair's first common shingle has them right), and by the bits in which the
-    two texts differ, which are at most the elements in which they do.
+    key of its own. What is left out is not similar: by weights, by the places of the shingle (the
+    bucket of a pair's first common shingle has them right), and by the signatures.
     """
-    now = materialize(_placed(members, labels), "now")
+    now = materialize(members.select("band", "node", "place").join(cards, "node"), "now")
     classes = now.groupBy("band", "comp").agg(F.count("*").alias("k"))
     several = classes.groupBy("band").agg(F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     several = several.select("band", F.col("main.comp").alias("main"), blocks(F.col("n") - F.col("main.k")).alias("ins"), blocks(F.col("n")).alias("outs"))
-    mixed = now.select("band", "node", "weight", "place", "comp", *BITS).join(materialize(several, "several"), "band")
+    mixed = now.join(materialize(several, "several"), "band")
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left = mixed.filter("comp <> main").withColumn("l", own(F.col("ins"), 1)).withColumn("r", every(F.col("outs")))
     right = mixed.withColumn("r", own(F.col("outs"), 2)).withColumn("l", every(F.col("ins")))
-    left = left.select("band", "l", "r", *[F.col(c).alias(f"x_{c}") for c in ("node", "weight", "place", "comp", *BITS)])
-    right = right.select("band", "l", "r", *[F.col(c).alias(f"y_{c}") for c in ("node", "weight", "place", "comp", *BITS)], (F.col("comp") == F.col("main")).alias("largest"))
+    facts = ("node", "weight", "place", "comp", *SKETCH)
+    left = left.select("band", "l", "r", *[F.col(c).alias(f"x_{c}") for c in facts])
+    right = right.select("band", "l", "r", *[F.col(c).alias(f"y_{c}") for c in facts], (F.col("comp") == F.col("main")).alias("largest"))
     x, y = (lambda c: F.col(f"x_{c}")), (lambda c: F.col(f"y_{c}"))
-    both = x("weight") + y("weight")
-    least = both * (SIMILAR / (1 + SIMILAR)) - 1e-6  # elements that similar texts share at least
-    differ = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in BITS[1:]), F.bit_count(x(BITS[0]).bitwiseXOR(y(BITS[0]))))
+    least = (x("weight") + y("weight")) * (SIMILAR / (1 + SIMILAR)) - 1e-6  # elements that similar texts share at least
     can = (x("comp") != y("comp")) & (F.col("largest") | (x("node") < y("node"))) & (F.least(x("weight"), y("weight")) >= F.greatest(x("weight"), y("weight")) * SIMILAR)
-    can = can & (F.least(x("weight") - x("place"), y("weight") - y("place")) >= least) & (differ <= both - 2 * least)
+    can = can & (F.least(x("weight") - x("place"), y("weight") - y("place")) >= least) & (differing(x, y) <= FAR)
     met = left.alias("left").join(right.alias("right"), (F.col("left.band") == F.col("right.band")) & (F.col("left.l") == F.col("right.l")) & (F.col("left.r") == F.col("right.r")) & can)
     return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()

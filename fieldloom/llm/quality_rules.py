@@ -29,10 +29,11 @@ def stratum_of(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise("other")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, the base counts and the measures of every whole text (null: no words)."""
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, stratum, the base counts and the measures of every whole text (null: no words), and the columns to carry as the struct `row`."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(F.col("lang")).alias("stratum")).alias("own"), text.alias("text"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), stratum_of(F.col("lang")).alias("stratum"), *row).alias("own"), text.alias("text"))
     words = own.select("own", "text", F.array_remove(F.split("text", f"[{SPACES}]+"), "").alias("w"))
     grams = words.select("own", "text", "w", F.expr("slice(transform(w, (x, i) -> xxhash64(slice(w, i + 1, 5))), 1, greatest(size(w) - 4, 0))").alias("g"))
     # windows that occur twice, by sorting (hash, place) only where a text has any
@@ -42,8 +43,7 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = "filter(split(text, '\\n'), l -> rlike(l, '[^\\\\x20\\\\x09-\\\\x0D]'))"
     marks = grams.select("own", "text", "w", F.expr(repeated).alias("r"), F.expr(lines).alias("lines"))
     counted = marks.select(
-        "own.doc_id",
-        "own.stratum",
+        "own.*",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -118,14 +118,14 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     return admitted.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Measures of every document, base_failed and kept.
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Measures of every document, base_failed and kept, and the columns to carry along as the struct `row`.
 
     Null text: no words, so base_failed. Null doc_id: judged, never a holdout. Repeated rows: a row
     each. Null or undeclared language: the stratum 'other'. Empty table or labels: nothing beyond
     the base rules is rejected. Other columns are ignored.
     """
-    measured = materialize(measures(docs), "measures")
+    measured = materialize(measures(docs, carry), "measures")
     cuts = F.broadcast(select_cutoffs(measured, labels, alpha, delta))  # at most a row per declared stratum and one more
     over = F.lit(False)
     for r in RULES:

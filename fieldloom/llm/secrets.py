@@ -45,11 +45,13 @@ PEM = (
 #: Kinds that the ledger's rule set adds: key blocks, web tokens, and tokens with an issuer's prefix.
 ADDED = (
     Rule("pem", PEM, version=2),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2),  # a bounded head, so that a long run of heads isn't read once for each
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + ADDED
 
+#: Matches of one text that are placed, and cut, at once.
+BLOCK = 256
 SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob binary, found map<string,{SPANS}>"
 
@@ -58,25 +60,46 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), the value computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def blocks_of(items: Column) -> Column:
+    """An array cut into arrays of BLOCK items."""
+    n = F.ceil(F.size(items) / BLOCK).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))).otherwise(F.array(items))
+
+
+def running(values: Column, combine) -> Column:
+    """Of an array of whole numbers, what those before each one combine to (0 before the first). Blocks are combined first, so that no long array is copied at each step."""
+
+    def along(x: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(x, zero, lambda acc, v: F.struct(combine(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    total = lambda x: F.aggregate(x, F.lit(0), combine)
+    return bound(blocks_of(values), lambda blocks: F.flatten(F.zip_with(blocks, along(F.transform(blocks, total), F.lit(0)), along)))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """Spans of a rule's matches, leftmost and not overlapping: start and end (exclusive) in code points."""
     pattern = F.lit(rule.pattern)
-    parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+    parts = F.transform(
+        F.arrays_zip(
+            F.split(text, rule.pattern, -1).alias("gap"),
+            F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"),
+            F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
+        ),
+        lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"), F.coalesce(F.length(x["value"]) >= rule.least, F.lit(False)).alias("counts")),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        counts = x["hit"].isNotNull() & (F.length(x["value"]) >= rule.least)
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(counts, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(x: Column) -> Column:
+        before = running(F.transform(x, lambda y: y["gap"] + y["hit"]), lambda a, b: a + b)
+        spans = F.zip_with(x, before, lambda y, at: F.struct((at + y["gap"]).alias("start"), (at + y["gap"] + y["hit"]).alias("end"), y["counts"].alias("counts")))
+        return F.transform(F.filter(spans, lambda y: y["counts"]), lambda y: F.struct(y["start"], y["end"]))
 
-    none = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(text.rlike(rule.pattern), F.aggregate(parts, zero, step, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), bound(parts, placed)).otherwise(F.array()).cast(SPANS)
 
 
 def scan_versions(versions: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
@@ -115,15 +138,18 @@ def findings(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", tex
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     paths = versions.select(F.col(id_col).alias("path_id"), blob_id(text).alias("blob"))
+    return paths.join(_marked(ledger, rules), "blob").select(F.col("path_id").alias(id_col), "all")
+
+
+def _marked(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, all) of the ledger's rows."""
     found = ledger.select("blob", *[F.col("found")[r.key].alias(r.kind) for r in rules])
 
     def marked(rank: int, kind: str) -> Column:
         spans = F.coalesce(F.col(kind), F.array().cast(SPANS))
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
-    every = F.concat(*[marked(k, r.kind) for k, r in enumerate(rules)])
-    rows = found.select("blob", F.array_sort(every).alias("all"))
-    return paths.join(rows, "blob").select(F.col("path_id").alias(id_col), "all")
+    return found.select("blob", F.array_sort(F.concat(*[marked(k, r.kind) for k, r in enumerate(rules)])).alias("all"))
 
 
 def written(spans: Column) -> Column:
@@ -143,14 +169,40 @@ def find_secrets(versions: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """text with every span (from `all`) replaced by mark; overlapping spans are replaced together."""
+    """text with every span (from `all`) replaced by mark; overlapping spans are replaced together.
+
+    The text between spans is cut block by block, so that a long text isn't walked from its start for each span.
+    """
+    cut = lambda t, a, b: F.substring(t, a + 1, b - a)
+
+    def kept(x: Column) -> Column:
+        """(from, to) of the text before each group of overlapping spans."""
+        before = running(F.transform(x, lambda y: y["end"]), lambda a, b: F.greatest(a, b))
+        return F.filter(F.zip_with(x, before, lambda y, at: F.struct(at.alias("a"), y["start"].alias("b"))), lambda y: y["b"] >= y["a"])
+
+    def block_text(block: Column) -> Column:
+        first, last = block[0]["a"], F.element_at(block, -1)["b"]
+        return bound(cut(text, first, last), lambda t: F.array_join(F.transform(block, lambda y: cut(t, y["a"] - first, y["b"] - first)), mark))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    head = bound(kept(spans), lambda x: F.array_join(F.transform(blocks_of(x), block_text), mark))
+    tail = F.substring(text, F.array_max(F.transform(spans, lambda y: y["end"])) + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(head, F.lit(mark), tail))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))))
+
+def redacted(docs: DataFrame, text_col: str = "text", count_col: str | None = None, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """docs, a row each, with every finding of the rules replaced in the text; count_col, if named, follows the changed texts' length.
+
+    Rows meet the ledger by their blob, so ids play no part: null and repeated ids are as good as
+    any. Rows without findings stay as they are, null texts too. Empty table: no rows.
+    """
+    full = merge_ledger(ledger, materialize(scan_versions(docs, text_col, rules, ledger), "ledger"))
+    hits = _marked(full, rules).filter(F.size("all") > 0)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = docs.select(blob_id(text).alias("blob"), F.struct(*docs.columns).alias("row")).join(hits, "blob", "left")
+    clean = F.when(F.col("all").isNull(), F.col("row")[text_col]).otherwise(redact(F.col("row")[text_col], F.col("all")))
+    made = row.select("row", clean.alias("clean"), F.col("all").isNotNull().alias("changed"))
+    size = lambda c: F.when(F.col("changed"), F.length("clean")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType)
+    return made.select(*[F.col("clean").alias(c) if c == text_col else (size(c) if c == count_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

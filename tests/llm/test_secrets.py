@@ -85,3 +85,19 @@ def test_redact_removes_key_bodies(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.out for r in S.find_secrets(df).join(df, "doc_id").select("doc_id", S.redact(F.col("text"), F.col("all")).alias("out")).collect()}
     assert [got[i] for i in range(len(texts))] == [want for _, want in texts]
+
+
+def test_many_matches_in_one_text(spark):
+    """More matches than a block holds: every place and every replacement is right, across blocks and overlaps."""
+    text = "".join(f"é{i} secret={i:08d}{'ab' * 20 if i % 3 == 0 else ''} token: zz " for i in range(2 * S.BLOCK + 37))
+    df = spark.createDataFrame([(1, text), (2, None), (None, "plain"), (None, "plain")], "doc_id long, text string")
+    got = {r.doc_id: r for r in S.secret_digest(df).collect()}
+    line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base(text))
+    assert got[1].base_sha256 == hashlib.sha256(line.encode()).hexdigest() and got[1].spans == line
+    out = S.redacted(df).collect()
+    want, at = "", 0
+    for a, _, b, _ in base(text):
+        if a >= at:
+            want += text[at:a] + "[secret]"
+        at = max(at, b)
+    assert sorted((str(r.doc_id), r.text) for r in out) == sorted([("1", want + text[at:]), ("2", None), ("None", "plain"), ("None", "plain")], key=str)
