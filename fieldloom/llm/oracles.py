@@ -5,7 +5,7 @@ from __future__ import annotations
 from .quality_rules import ALPHA, CUTOFFS, DELTA, RULES, STRATA
 from .secrets import BASE
 from .secrets import RULES as SECRETS
-from .url_filter import DEVIATIONS, FLOOR, LONG_SUFFIXES, PRIOR, STRONGEST, WEAKEST
+from .url_filter import FLOOR, LONG_SUFFIXES, PRIOR, RISK, STRONGEST, WEAKEST
 from .url_filter import RULES as URL_RULES
 
 ORACLE: dict[str, str] = {}
@@ -29,9 +29,9 @@ per AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)
 """
 
-_LEVELS = " UNION ALL ".join(f"SELECT stratum, '{r}' AS rule, {r} AS v FROM held" for r in RULES)
-_CUTS = ", ".join(f"({i}, {c})" for i, c in enumerate(CUTOFFS))
-_P = ALPHA / len(RULES)
+_KEPT_BY = "len(list_filter([" + ", ".join(map(str, CUTOFFS)) + "], lambda x: x >= {}))"
+_STEP = "least(" + ", ".join(f"{_KEPT_BY.format(r)} * {len(RULES)} + {j}" for j, r in enumerate(RULES)) + ")"
+_CHOSEN = ", ".join(f"[{', '.join(map(str, CUTOFFS))}][CAST(floor((last - {j}) / {len(RULES)}) AS INTEGER) + 1] AS cut_{r}" for j, r in enumerate(RULES))
 ORACLE["op8_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, CASE WHEN lang IN ({", ".join(f"'{s}'" for s in STRATA)}) THEN lang ELSE 'other' END AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, stratum, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -42,11 +42,10 @@ m AS (SELECT w.doc_id, stratum, len(w) AS n_words, length(array_to_string(w, '')
     length(t) - length(replace(t, '!', '')) AS n_exclaims, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, len(lines) AS n_lines FROM w LEFT JOIN covered c ON c.doc_id = w.doc_id),
 judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_rate, coalesce(n_exclaims / nullif(n_words, 0), 0.0) AS exclaim_rate, coalesce(n_upper / nullif(word_chars, 0), 0.0) AS upper_share, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_share FROM m),
 held AS (SELECT j.* FROM judged j WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1)),
-cuts AS (SELECT * FROM (VALUES {_CUTS}) AS c(i, cutoff)),
-tests AS (SELECT stratum, rule, i, cutoff, count(*) AS n, count(*) FILTER (v > cutoff) AS k FROM ({_LEVELS}), cuts GROUP BY ALL),
-tails AS (SELECT *, CASE WHEN k >= n * {_P} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) END AS p FROM tests),
-passed AS (SELECT *, min(CASE WHEN p <= {DELTA / (len(RULES) * (len(STRATA) + 1))!r} THEN 1 ELSE 0 END) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tails),
-chosen AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM passed WHERE ok = 1 GROUP BY stratum)
+counts AS (SELECT stratum, {_STEP} AS step, count(*) AS n FROM held GROUP BY ALL),
+tests AS (SELECT stratum, t AS step, sum(n) AS n, coalesce(sum(n) FILTER (step <= t), 0) AS k FROM counts, (SELECT unnest(range(0, {len(RULES) * len(CUTOFFS)})) AS t) GROUP BY stratum, t),
+tails AS (SELECT *, CASE WHEN k >= n * {ALPHA} THEN 1.0 ELSE list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) END AS p FROM tests),
+chosen AS (SELECT stratum, {_CHOSEN} FROM (SELECT stratum, max(step) AS last FROM tails WHERE p <= {DELTA / (len(STRATA) + 1)!r} GROUP BY stratum))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
     NOT (base_failed OR {" OR ".join(f"coalesce({r} > cut_{r}, false)" for r in RULES)}) AS kept FROM judged LEFT JOIN chosen USING (stratum)
 """
@@ -72,6 +71,14 @@ def _strength(groups: str) -> str:
         FROM (SELECT k, n, (n - n2 / n) / (k - 1) AS typical, b / (k - 1) AS b, w / (n - k) AS w FROM (SELECT count(*) AS k, sum(n) AS n, CAST(sum(n * n) AS DOUBLE) AS n2, sum(n * (good / n - above) * (good / n - above)) AS b, sum(n * (good / n) * (1 - good / n)) AS w FROM {groups} WHERE n > 0)))"""
 
 
+
+
+def _below(a: str, b: str, x: float) -> str:
+    """P(Beta(a, b) < x) by the series in x, where the mean is x or more."""
+    terms = f"range(0, CAST(ceil(10 * sqrt(({a} + {b}) / {1 - x})) + ceil(45 / -ln({x})) AS BIGINT) + 1)"
+    return f"exp(lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b}) + {a} * ln({x}) + {b} * ln({1 - x})) * list_sum(list_transform({terms}, lambda m: exp(lgamma({a} + {b} + m) - lgamma({a} + {b}) - lgamma({a} + 1 + m) + lgamma({a} + 1) + m * ln({x}))))"
+
+
 _LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
 _FITS = " UNION ALL ".join(f"SELECT page_id, '{r.text}' AS rule, '{r.verdict}' AS verdict FROM p WHERE (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in URL_RULES)
 ORACLE["op6_url_filter"] = f"""
@@ -81,14 +88,15 @@ best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, l
 one AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT host, count(*) AS n, CAST(sum(good) AS BIGINT) AS good FROM p JOIN one USING (page_id) GROUP BY host),
 h0 AS (SELECT host, coalesce(n, 0) AS n, coalesce(good, 0) AS good, string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM p) LEFT JOIN lab USING (host)),
-h AS (SELECT host, n, good, CASE WHEN len(l) < 2 OR regexp_matches(host, '^[0-9.]+$|:|^\\[') THEN host WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS domain,
-    CASE WHEN len(l) < 2 OR regexp_matches(host, '^[0-9.]+$|:|^\\[') THEN host WHEN array_to_string(l[-2:], '.') IN ({_LONG}) THEN array_to_string(l[-2:], '.') ELSE l[-1] END AS suffix FROM h0),
+parts AS (SELECT host, n, good, l, len(l) < 2 OR regexp_matches(host, '^[0-9.]+$|:|^\\[') AS figures, CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ({_LONG}) THEN 2 ELSE 1 END AS k FROM h0),
+h AS (SELECT host, n, good, CASE WHEN figures THEN host ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN figures THEN host ELSE array_to_string(l[-k:], '.') END AS suffix FROM parts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (coalesce(sum(good), 0) + {PRIOR}) / (coalesce(sum(n), 0) + 1) FROM h) AS above FROM h GROUP BY suffix),
 s AS (SELECT suffix, (good + m * above) / (n + m) AS mean FROM s0, (SELECT {_strength("s0")} AS m)),
 d0 AS (SELECT domain, any_value(s.mean) AS above, sum(n) AS n, sum(good) AS good FROM h JOIN s USING (suffix) GROUP BY domain),
 d AS (SELECT domain, (good + m * above) / (n + m) AS mean FROM d0, (SELECT {_strength("d0")} AS m)),
 l0 AS (SELECT host, n, good, d.mean AS above FROM h JOIN d USING (domain)),
-l AS (SELECT host, (good + m * above) / (n + m) AS mean, n + m AS strength FROM l0, (SELECT {_strength("l0")} AS m))
-SELECT p.page_id, p.host, p.path, rule, coalesce(best.verdict, CASE WHEN mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (strength + 1)) < {FLOOR} THEN 'block' ELSE 'allow' END) AS verdict, round(mean - {DEVIATIONS} * sqrt(mean * (1 - mean) / (strength + 1)), 9) AS reputation
-FROM p JOIN l ON l.host = p.host LEFT JOIN best ON best.page_id = p.page_id
+l AS (SELECT host, mean * strength AS a, (1 - mean) * strength AS b FROM (SELECT host, (good + m * above) / (n + m) AS mean, n + m AS strength FROM l0, (SELECT {_strength("l0")} AS m))),
+sure AS (SELECT host, 1 - CASE WHEN a >= (a + b) * {FLOOR} THEN {_below("a", "b", FLOOR)} ELSE 1 - {_below("b", "a", 1 - FLOOR)} END AS sure FROM l)
+SELECT p.page_id, p.host, p.path, rule, coalesce(best.verdict, CASE WHEN sure < 1 - {RISK} THEN 'block' ELSE 'allow' END) AS verdict, round(sure, 9) AS reputation
+FROM p JOIN sure ON sure.host = p.host LEFT JOIN best ON best.page_id = p.page_id
 """

@@ -1,20 +1,20 @@
 """Quality rules whose cutoffs are risk-controlled on labelled holdouts.
 
-Every rule rejects documents whose measure lies above a cutoff. A cutoff is admitted for a stratum
-only if labelled good documents of that stratum show, by the exact binomial tail, that it rejects
-at most a set share of good documents. The share is split over the rules, the error level over
-rules and strata (Bonferroni), and within one rule candidates are tested from the loosest to the
-strictest until the first that fails (fixed sequence), so no further correction is due. With
-too few labels no cutoff is admitted and nothing is rejected. DataFrame functions only.
+Every rule rejects documents whose measure lies above a cutoff. The rules are tightened together
+along one path that is fixed beforehand: all rules at the loosest cutoff, one after the other, then
+at the next, and so on. A stratum goes along the path as far as its labelled good documents show,
+by the exact binomial tail, that the rules so far reject together at most a set share of good
+documents. Steps are tested in order until the first that fails (fixed sequence), so a stratum
+takes one share of the error level, which is split over the strata (Bonferroni). With too few
+labels no cutoff is admitted and nothing is rejected. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import SPACES, materialize
+from .special import binomial_tail
 
 #: Measures, each a share or a rate for which more is worse.
 RULES = ("symbol_rate", "exclaim_rate", "upper_share", "dup_line_share")
@@ -64,38 +64,6 @@ def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def _log_gamma(x: Column) -> Column:
-    """Of x >= 1, by Stirling's series after a shift of 8: relative error below 1e-12."""
-    y = x + 8.0
-    shift = x
-    for k in range(1, 8):
-        shift = shift * (x + float(k))
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5)))
-    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(shift)
-
-
-def binomial_tail(k: Column, n: Column, p: float, most: int = 20_000) -> Column:
-    """P(Binomial(n, p) <= k): the sum downwards from k, whose terms fall where k < n p; 1 where k >= n p.
-
-    After `most` terms the rest is replaced by the geometric series above it, so the value never
-    falls below the true tail.
-    """
-    kd, nd = k.cast("double"), n.cast("double")
-    log_term = _log_gamma(nd + 1) - _log_gamma(kd + 1) - _log_gamma(nd - kd + 1) + kd * math.log(p) + (nd - kd) * math.log1p(-p)
-    odds = (1 - p) / p
-    ratio = lambda j: (kd - j + 1) / (nd - kd + j) * F.lit(odds)
-    zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-
-    def step(a: Column, j: Column) -> Column:
-        t = a["t"] * ratio(j.cast("double"))
-        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
-
-    terms = F.least(k.cast("int"), F.lit(most))
-    rest = F.when(k > most, ratio(F.lit(float(most))) / (1 - ratio(F.lit(float(most))))).otherwise(0.0)
-    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), zero, step, lambda a: a["s"] + a["t"] * rest)
-    return F.when(n == 0, 1.0).when(kd >= nd * p, 1.0).otherwise(F.least(F.lit(1.0), F.exp(log_term) * total))
-
-
 def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one cutoff column per rule, null if none is admitted): at most a row per declared stratum and one more.
 
@@ -104,18 +72,18 @@ def select_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     """
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).filter("quality = 1").select("doc_id")
     held = measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    # the number of candidate cutoffs, loosest first, that would keep the document
-    level = lambda c: F.size(F.filter(F.array(*[F.lit(x) for x in CUTOFFS]), lambda x: x >= F.col(c)))
-    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("kept_by")) for r in RULES])
-    counts = held.select("stratum", F.explode(levels).alias("x")).groupBy("stratum", "x.rule", "x.kept_by").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("kept_by", "n")).alias("by"))  # a rule's levels: one more than its candidates at most
-    tests = totals.select("stratum", "rule", "n", "by", F.posexplode(F.array(*[F.lit(x) for x in CUTOFFS])).alias("i", "cutoff"))
-    tests = tests.select("stratum", "rule", "i", "cutoff", "n", F.expr("aggregate(by, 0L, (s, b) -> s + if(b.kept_by <= i, b.n, 0L))").alias("k"))
-    level_of = delta / (len(RULES) * (len(STRATA) + 1))
-    tested = tests.withColumn("passes", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= level_of)
-    so_far = Window.partitionBy("stratum", "rule").orderBy("i")
-    admitted = tested.withColumn("passes", F.min(F.col("passes").cast("int")).over(so_far)).filter("passes = 1")
-    return admitted.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    # the first step of the path that rejects the document: candidates that keep it, loosest first, then the rule's place
+    kept_by = lambda r: F.size(F.filter(F.array(*[F.lit(x) for x in CUTOFFS]), lambda x: x >= F.col(r)))
+    step = F.least(*[kept_by(r) * len(RULES) + j for j, r in enumerate(RULES)])
+    counts = held.select("stratum", step.alias("step")).groupBy("stratum", "step").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("stratum").agg(F.sum("n").alias("n"), F.collect_list(F.struct("step", "n")).alias("by"))  # a row per step of the path and one more, at most
+    tests = totals.select("stratum", "n", "by", F.explode(F.sequence(F.lit(0), F.lit(len(RULES) * len(CUTOFFS) - 1))).alias("step"))
+    tests = tests.select("stratum", "n", "step", F.expr("aggregate(by, 0L, (s, b) -> s + if(b.step <= step, b.n, 0L))").alias("k"))
+    # rejections only grow along the path, and with them the tail: the steps that pass come first
+    passed = tests.filter(binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / (len(STRATA) + 1)).groupBy("stratum").agg(F.max("step").alias("last"))
+    level = lambda j: F.floor((F.col("last") - j) / len(RULES)).cast("int")
+    cut = lambda j: F.when(level(j) >= 0, F.element_at(F.array(*[F.lit(x) for x in CUTOFFS]), level(j) + 1))
+    return passed.select("stratum", *[cut(j).alias(f"cut_{r}") for j, r in enumerate(RULES)])
 
 
 def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -3,8 +3,8 @@
 Labelled page outcomes are counted per host. Beta-binomial priors shrink a host's share of good
 pages to its registered domain's, that to its suffix's, and that to the share over all; each
 level's prior strength comes from the spread between its groups beyond chance (method of
-moments). A page without a rule is blocked if the lower posterior bound of its host's share
-lies below a floor.
+moments). A page without a rule is blocked if the lower bound of its host's share lies below a
+floor: if the beta posterior gives shares below the floor a chance above RISK.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
+from .special import beta_below
 
 
 @dataclass(frozen=True)
@@ -35,11 +36,11 @@ RULES = (
     UrlRule("block", "net", "/es/"),
     UrlRule("block", "net", "/fr/"),
 )
-#: Suffixes of two labels under which names are registered.
+#: Suffixes of several labels under which names are registered, where the caller has no table of them.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
-#: Prior strengths lie between these; the bound is this many posterior standard deviations below the mean.
 PRIOR = 0.9  # the share of good pages before any is seen, worth one page
-WEAKEST, STRONGEST, DEVIATIONS, FLOOR = 2.0, 200.0, 1.645, 0.5
+#: Prior strengths lie between the first two; a host is good enough if its share is below FLOOR with a chance of RISK at most.
+WEAKEST, STRONGEST, FLOOR, RISK = 2.0, 200.0, 0.5, 0.05
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -61,16 +62,20 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
     return out
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host: the last labels; a host of one label, or an address in figures, is its own domain and suffix."""
-    labels = F.split(host, r"\.")
-    figures = host.rlike(r"^[0-9.]+$|:|^\[") | (F.size(labels) < 2)
-    last2 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
-    last3 = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    long = last2.isin(*LONG_SUFFIXES)
-    domain = F.when(figures, host).when(long, last3).otherwise(last2)
-    suffix = F.when(figures, host).when(long, last2).otherwise(F.element_at(labels, -1))
-    return domain, suffix
+def domains_of(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, domain, suffix) of distinct hosts: the longest suffix of the table that is a proper end of the host, else its last label; the domain has one label more.
+
+    suffixes: (suffix), a table of any size; LONG_SUFFIXES if none is given. A host of one label, or an address in figures, is its own domain and suffix.
+    """
+    if suffixes is None:
+        suffixes = hosts.sparkSession.createDataFrame([(x,) for x in LONG_SUFFIXES], "suffix string")
+    labels = F.split("host", r"\.")
+    figures = F.col("host").rlike(r"^[0-9.]+$|:|^\[") | (F.size(labels) < 2)
+    end = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    ends = hosts.filter(~figures).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.struct(n.alias("n"), end(n).alias("suffix")))).alias("x"))
+    known = ends.select("host", "x.*").join(suffixes.select("suffix").distinct(), "suffix", "left_semi").groupBy("host").agg(F.max("n").alias("n"))
+    n = F.coalesce("n", F.lit(1))
+    return hosts.join(known, "host", "left").select("host", F.when(figures, F.col("host")).otherwise(end(n + 1)).alias("domain"), F.when(figures, F.col("host")).otherwise(end(n)).alias("suffix"))
 
 
 def prior_strength(groups: DataFrame, parent_mean: Column) -> float:
@@ -88,12 +93,12 @@ def prior_strength(groups: DataFrame, parent_mean: Column) -> float:
     return min(STRONGEST, max(WEAKEST, (1 - rho) / rho)) if rho > 0 else STRONGEST
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(host, mean, strength, bound) of every host of pages (page_id, host); outcomes: (page_id, good 0/1)."""
+def reputation(pages: DataFrame, outcomes: DataFrame, floor: float = FLOOR, suffixes: DataFrame | None = None) -> DataFrame:
+    """(host, mean, strength, sure) of every host of pages (page_id, host): the posterior's mean and strength, and its chance of a share of floor or more; outcomes: (page_id, good 0/1)."""
     one = outcomes.filter(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg(F.min("good").cast("long").alias("good"))
     labelled = pages.join(one, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
-    domain, suffix = domain_and_suffix(F.col("host"))
-    hosts = pages.select("host").distinct().join(labelled, "host", "left").select("host", domain.alias("domain"), suffix.alias("suffix"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
+    names = materialize(pages.select("host").distinct(), "host-names")
+    hosts = domains_of(names, suffixes).join(labelled, "host", "left").select("host", "domain", "suffix", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("good", F.lit(0)).alias("good"))
     hosts = materialize(hosts, "hosts")
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
@@ -107,22 +112,22 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     domains = materialize(shrunk(materialize(domains, "domains").join(suffixes, "suffix"), F.col("above")), "domains").select("domain", F.col("mean").alias("above"))
     leaves = shrunk(materialize(hosts.join(domains, "domain"), "leaves"), F.col("above"))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
-    return materialize(leaves.select("host", "mean", "strength", (F.col("mean") - DEVIATIONS * spread).alias("bound")), "reputation")
+    sure = 1 - beta_below(F.col("mean") * F.col("strength"), (1 - F.col("mean")) * F.col("strength"), floor)
+    return materialize(leaves.select("host", "mean", "strength", sure.alias("sure")), "reputation")
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, floor: float = FLOOR) -> DataFrame:
-    """(page_id, host, path, rule, verdict, reputation) of every page row.
+def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, floor: float = FLOOR, suffixes: DataFrame | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, reputation) of every page row; reputation is the chance that the host's share of good pages is floor or more.
 
     Null or malformed urls: empty host and path, judged as the host ''. Null page_id: judged,
     never labelled. Repeated rows: a row each; a page labelled good and bad counts as bad. Empty
-    outcomes: every host has the mean PRIOR, so nothing without a rule is blocked. Other columns
+    outcomes: every host has the mean PRIOR and the greatest strength, so nothing without a rule is blocked. Other columns
     are ignored.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    known = reputation(own.select("page_id", "host"), outcomes)
+    known = reputation(own.select("page_id", "host"), outcomes, floor, suffixes)
     ruled = own.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
-    method = F.when(F.col("bound") < floor, "block").otherwise("allow")
+    method = F.when(F.col("sure") < 1 - RISK, "block").otherwise("allow")
     # a host of very many pages is a hot key of one side only
-    return ruled.join(known, "host").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), F.col("bound").alias("reputation"))
+    return ruled.join(known, "host").select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), F.col("sure").alias("reputation"))

@@ -64,7 +64,7 @@ def test_reputation_shrinks_and_blocks(spark):
         if i % 3 == 0:
             good.append((i, 0 if host.startswith("bad") else int(i % 10 != 0)))
     known = {r.host: r for r in U.reputation(*_frames(spark, pages, good)).collect()}
-    assert known["bad.spam.org"].mean < 0.1 < 0.5 < known["www.fine.org"].bound < known["www.fine.org"].mean
+    assert known["bad.spam.org"].mean < 0.1 < 0.5 < known["www.fine.org"].mean and known["bad.spam.org"].sure < 1e-6 and known["www.fine.org"].sure > 0.999
     rare = known["h3.fine.org"]
     assert known["bad.spam.org"].mean < rare.mean and abs(rare.mean - 0.9) < 0.1
     df = spark.createDataFrame(pages, "page_id long, url string")
@@ -84,7 +84,16 @@ def test_empty(spark):
     assert U.judge_urls(spark.createDataFrame([(None, "http://a.org/")], "page_id long, url string"), labels).count() == 1
 
 
-def test_long_suffix(spark):
-    df = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.org",), ("host",), ("1.2.3.4",)], "host string")
-    d, s = U.domain_and_suffix(F.col("host"))
-    assert [tuple(r) for r in df.select(d, s).collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.org", "org"), ("host", "host"), ("1.2.3.4", "1.2.3.4")]
+def test_bound_is_the_beta_quantile(spark):
+    """A posterior Beta(1.8, 0.2) has 5 % of its mass below 0.49: the normal bound of 0.615 would let it pass a floor of 0.5."""
+    row = spark.range(1).select(U.beta_below(F.lit(1.8), F.lit(0.2), 0.5).alias("p"), U.beta_below(F.lit(1.8), F.lit(0.2), 0.45).alias("q")).first()
+    assert row.p > U.RISK > row.q
+
+
+def test_suffixes(spark):
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.org",), ("host",), ("1.2.3.4",), ("co.uk",), ("q.x.y.deep.io",)], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in U.domains_of(hosts).collect()}
+    assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.y.org": ("y.org", "org"), "host": ("host", "host"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "co.uk": ("co.uk", "uk"), "q.x.y.deep.io": ("deep.io", "io")}
+    table = spark.createDataFrame([("deep.io",), ("y.deep.io",), ("io",)], "suffix string")
+    got = {r.host: (r.domain, r.suffix) for r in U.domains_of(hosts, table).collect()}
+    assert got["q.x.y.deep.io"] == ("x.y.deep.io", "y.deep.io") and got["b.co.uk"] == ("co.uk", "uk")
