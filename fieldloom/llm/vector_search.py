@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 
-BITS = 5
+#: Bits of a cell's number: a component is a byte of the approximation file.
+BITS = 8
 DATA_BLOCK, QUERY_BLOCK = 8192, 8192
 #: Queries whose bounds are in memory at once.
 CHUNK = 128
@@ -133,7 +134,7 @@ def build_index(vectors: DataFrame, k: int) -> DataFrame:
 def cells_of(index: DataFrame, bits: int = BITS) -> Cells:
     """Quantile edges of every dimension; a row per dimension comes to the driver."""
     shares = F.array(*[F.lit(i / (1 << bits)) for i in range(1, 1 << bits)])
-    each = index.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", shares, 1000).alias("edges"), F.count("*").alias("n"))
+    each = index.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("least"), F.max("x").alias("most"), F.percentile_approx("x", shares, 16 << bits).alias("edges"), F.count("*").alias("n"))
     total = index.count()
     # a vector that ends before a dimension has zero there
     dims = [(r.least, r.most, r.edges) if r.n == total else (min(r.least, 0), max(r.most, 0), r.edges) for r in sorted(each.collect(), key=lambda r: r.d)]
