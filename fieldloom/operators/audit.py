@@ -70,10 +70,12 @@ def shared_digests(rows: DataFrame, digest: str, split: str = "split") -> DataFr
     return rows.groupBy(digest).agg(F.countDistinct(split).alias("splits"), F.count("*").alias("n")).filter("splits > 1")
 
 
-def content_digests(cells: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
-    """An order-independent digest per key of its cells (r, c, value): SHA-256 over the sorted row digests of each grid row."""
-    row = cells.groupBy(*keys, "r").agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("c", value))), lambda x: F.format_string("%.9f", x[value]))), 256).alias("d"))
-    return row.groupBy(*keys).agg(F.sha2(F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("r", "d"))), lambda x: x["d"])), 256).alias("digest"))
+def content_digests(cells: DataFrame, keys: list[str], value: str = "x", scale: float = 2.0**30) -> DataFrame:
+    """(keys, digest): SHA-256 over the digests of a grid's rows in order, a row's over its values in order, as whole multiples of 1 / scale."""
+    number = F.floor(F.col(value) * scale).cast("decimal(38,0)").cast("string")
+    joined = lambda order, what: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), what.alias("v")))), lambda x: x["v"]), ","), 256)
+    row = cells.groupBy(*keys, "r").agg(joined("c", number).alias("d"))
+    return row.groupBy(*keys).agg(joined("r", F.col("d")).alias("digest"))
 
 
 def leaks(states: DataFrame, splits: DataFrame, key: str = "trajectory") -> DataFrame:
@@ -108,3 +110,18 @@ def preflight(cells: DataFrame, least: int = 20) -> DataFrame:
     """Per source: trajectories, shapes, whether there are enough trajectories and one shape."""
     per = cells.groupBy("source_id").agg(F.countDistinct("trajectory").alias("trajectories"), F.countDistinct("h", "w").alias("shapes"))
     return per.withColumn("sound", (F.col("trajectories") >= least) & (F.col("shapes") == 1))
+
+
+def counters(rows: DataFrame, part: str, dims: list[str]) -> DataFrame:
+    """(part, dim, key, records, states): rows and distinct states of each part by every dimension, by grouping sets in one pass."""
+    named = rows.select(part, "state_ref", *[F.col(d).cast("string").alias(d) for d in dims])
+    out = named.groupingSets([[F.col(part), F.col(d)] for d in dims], F.col(part), *[F.col(d) for d in dims]).agg(F.count("*").alias("records"), F.countDistinct("state_ref").alias("states"), *[F.grouping(d).alias(f"g_{d}") for d in dims])
+    dim, key = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for d in dims:
+        dim, key = F.when(F.col(f"g_{d}") == 0, d).otherwise(dim), F.when(F.col(f"g_{d}") == 0, F.col(d)).otherwise(key)
+    return out.select(part, dim.alias("dim"), key.alias("key"), "records", "states")
+
+
+def coverage(rows: DataFrame, keys: list[str], distinct: dict[str, list[str]]) -> DataFrame:
+    """keys and, for each name, the number of distinct combinations of its columns; a null is a value of its own."""
+    return rows.groupBy(*keys).agg(*[F.countDistinct(F.struct(*columns)).alias(name) for name, columns in distinct.items()])

@@ -7,7 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numeric import order_key
+from ..functions.numeric import draw, order_key
 
 
 def running_offsets(rows: DataFrame, order: str, size: str, out: str = "offset") -> DataFrame:
@@ -73,8 +73,9 @@ def merge_strided(parts: DataFrame) -> DataFrame:
     return parts.select((F.col("part") + F.col("k") * F.col("parts")).alias("i"), "length").groupBy("i").agg(F.sum("length").alias("length"))
 
 
-def length_summary(rows: DataFrame) -> DataFrame:
-    return rows.agg(F.min("tokens").alias("least"), F.max("tokens").alias("most"), F.avg("tokens").alias("mean"))
+def length_summary(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """One row: least, greatest and mean length."""
+    return rows.agg(F.min(tokens).alias("least"), F.max(tokens).alias("most"), F.avg(tokens).alias("mean"))
 
 
 def field_runs(rows: DataFrame, group: str, order: str, key: str) -> DataFrame:
@@ -103,7 +104,7 @@ def length_balanced(rows: DataFrame, parts: int, group: str = "batch") -> DataFr
 
 def state_shards(rows: DataFrame, shards: int) -> DataFrame:
     """rows with shard: all rows of a state share one, by hash."""
-    return rows.withColumn("shard", F.pmod(F.xxhash64("state_ref"), F.lit(shards)).cast("int"))
+    return rows.withColumn("shard", draw(shards, "shard", F.col("state_ref")))
 
 
 def geometry_extrema(rows: DataFrame) -> DataFrame:

@@ -38,16 +38,20 @@ def roughness(cells: DataFrame, value: str = "z") -> DataFrame:
 
 def scale_channels(values: DataFrame, mode: str, keys: list[str], clip: float | None = None) -> DataFrame:
     """values (keys..., v) with y: none, minmax or zscore over each group of keys, optionally clipped to +-clip; a and b hold y = (v - a) / b."""
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     if mode == "minmax":
-        a, b = F.min("v").over(own), F.max("v").over(own) - F.min("v").over(own) + EPSILON
+        a, b = F.min("v"), F.max("v") - F.min("v") + EPSILON
     elif mode == "zscore":
-        a, b = F.avg("v").over(own), F.stddev_pop("v").over(own) + EPSILON
+        a, b = F.avg("v"), F.stddev_pop("v") + EPSILON
     elif mode == "none":
-        a, b = F.lit(0.0), F.lit(1.0)
+        a, b = F.min(F.lit(0.0)), F.min(F.lit(1.0))
     else:
         raise ValueError(f"unknown mode {mode}")
-    out = values.withColumn("a", a).withColumn("b", b).withColumn("y", (F.col("v") - F.col("a")) / F.col("b"))
+    if keys:
+        out = values.join(values.groupBy(*keys).agg(a.alias("a"), b.alias("b")), keys)
+    else:
+        one = values.agg(a.alias("a"), b.alias("b")).first()  # two numbers
+        out = values.withColumn("a", F.lit(one.a)).withColumn("b", F.lit(one.b))
+    out = out.withColumn("y", (F.col("v") - F.col("a")) / F.col("b"))
     return out if clip is None else out.withColumn("y", F.greatest(F.lit(-clip), F.least(F.lit(clip), "y")))
 
 

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as L
-from ..functions.numeric import draw, exact_round
+from ..functions.numeric import bound, draw, exact_round
 
 SPANS = "array<struct<pos:int,r1:int,r2:int,c1:int,c2:int>>"
 #: Operator of each task's leaves, limits of sampled selectors, and answer precision.
@@ -118,10 +118,14 @@ def sample_programs(states: DataFrame, seed: int = 1, tasks: tuple[str, ...] = L
     return drawn.select("state_ref", "h", "w", "task", op.alias("op"), left.cast(SPANS).alias("left"), right.cast(SPANS).alias("right"), target.alias("target_cell"))
 
 
-def with_targets(programs: DataFrame, cells: DataFrame) -> DataFrame:
+def with_targets(programs: DataFrame, grids: DataFrame) -> DataFrame:
     """target: the displayed (one-decimal) value of each program's target cell, null where it has none."""
-    at = cells.select("state_ref", F.struct("r", "c").alias("target_cell"), exact_round(F.col("z"), 1).alias("target"))
-    return programs.join(at, ["state_ref", "target_cell"], "left")
+    return _with_target(_on_grids(programs, grids)).drop("grid_w", "grid")
+
+
+def _with_target(attached: DataFrame) -> DataFrame:
+    cell = F.get("grid", (F.col("target_cell.r") - 1) * F.col("grid_w") + F.col("target_cell.c") - 1)
+    return attached.withColumn("target", F.when(F.col("target_cell").isNotNull(), exact_round(cell, 1)))
 
 
 # ---------------------------------------------------------------- geometry and validation
@@ -192,53 +196,72 @@ def violations(programs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- execution
 
 
-def selected(programs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(state_ref, task, side, op, target, pos, r, c, z): an equi-join by state with the spans as residual ranges."""
-    sides = [programs.filter(F.col(s).isNotNull()).select("state_ref", "task", "op", "target", F.lit(s).alias("side"), F.explode(s).alias("s")) for s in ("left", "right")]
-    spans = sides[0].union(sides[1])
-    grid = cells.select("state_ref", "r", "c", "z")
-    hit = (spans.state_ref == grid.state_ref) & grid.r.between(F.col("s.r1"), F.col("s.r2")) & grid.c.between(F.col("s.c1"), F.col("s.c2"))
-    place = F.col("s.pos") + (F.col("r") - F.col("s.r1")) * (F.col("s.c2") - F.col("s.c1") + 1) + F.col("c") - F.col("s.c1")
-    return spans.join(grid, hit).select(spans.state_ref, "task", "side", "op", "target", place.alias("pos"), "r", "c", "z")
+def _on_grids(programs: DataFrame, grids: DataFrame, how: str = "inner") -> DataFrame:
+    """programs with their state's width (grid_w) and row-major values (grid): one join, by state."""
+    return programs.join(grids.select("state_ref", F.col("w").alias("grid_w"), F.col("z").alias("grid")), "state_ref", how)
 
 
-def execute_values(chosen: DataFrame) -> DataFrame:
-    """(state_ref, task, values, operands) of all tasks but locations, in one aggregation."""
-    numeric = chosen.filter(~F.col("op").isin("argmin", "argmax", "nearest"))
-    one = numeric.groupBy("state_ref", "task", "side").agg(
-        F.first("op").alias("op"), F.array_sort(F.collect_list(F.when(F.col("op") == "read", F.struct("pos", "z")))).alias("read"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"),
-        F.min("z").alias("min"), F.max("z").alias("max"), F.avg((F.col("z") > F.col("target")).cast("int")).alias("fraction_gt"),
-    )
-    pick = F.when(F.col("op") == "mean", F.col("mean")).when(F.col("op") == "std", F.col("std")).when(F.col("op") == "min", F.col("min")).when(F.col("op") == "max", F.col("max")).otherwise(F.col("fraction_gt"))
-    leaf = one.select("state_ref", "task", "side", F.when(F.col("op") == "read", F.transform("read", lambda x: x["z"])).otherwise(F.array(pick)).alias("v"))
-    both = leaf.groupBy("state_ref", "task").agg(F.max(F.when(F.col("side") == "left", F.col("v"))).alias("a"), F.max(F.when(F.col("side") == "right", F.col("v"))).alias("b"))
-    two = F.col("b").isNotNull()
-    return both.select("state_ref", "task", F.when(two, F.array(F.col("a")[0] - F.col("b")[0])).otherwise(F.col("a")).alias("values"), F.when(two, F.array(F.col("a")[0], F.col("b")[0])).otherwise(F.array().cast("array<double>")).alias("operands"))
+def _cells(spans: Column) -> Column:
+    """The values of a leaf's cells, span by span, each in row-major order: slices of the grid's rows."""
+    rows = lambda s: F.transform(F.sequence(s["r1"], s["r2"]), lambda r: F.slice("grid", (r - 1) * F.col("grid_w") + s["c1"], s["c2"] - s["c1"] + 1))
+    return F.flatten(F.flatten(F.transform(spans, rows)))
+
+
+def _leaf(spans: Column) -> Column:
+    """The values that a leaf's operator gives: means are exact sums of half-precision values, deviations are summed in row-major order, so neither depends on partitions."""
+    op, target = F.col("op"), F.col("target")
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    mean = lambda v: total(v) / F.size(v)
+
+    def of(v: Column) -> Column:
+        std = bound(mean(v), lambda m: F.sqrt(total(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v)))
+        return (
+            F.when(op == "read", v).when(op == "mean", F.array(mean(v))).when(op == "std", F.array(std)).when(op == "min", F.array(F.array_min(v))).when(op == "max", F.array(F.array_max(v)))
+            .when(op == "fraction_gt", F.array(F.size(F.filter(v, lambda x: x > target)) / F.size(v)))
+        )
+
+    return bound(_cells(spans), of)
+
+
+def _tie_runs(span: Column) -> Column:
+    """Row runs of all cells of a region that reach the least, greatest or nearest value: a run begins where the cell to the left is no tie or no part of the row, and ends likewise."""
+    op, target, width = F.col("op"), F.col("target"), span["c2"] - span["c1"] + 1
+    goal = F.transform(_cells(F.array(span)), lambda z: F.when(op == "argmin", z).when(op == "argmax", -z).otherwise(F.abs(z - target)))
+
+    def of(g: Column) -> Column:
+        return bound(F.array_min(g), lambda best: runs(g, lambda i: F.get(g, i) == best))
 
+    def runs(g: Column, tied) -> Column:
+        places = F.sequence(F.lit(0), F.size(g) - 1)
+        first = F.filter(places, lambda i: tied(i) & ((i % width == 0) | ~F.coalesce(tied(i - 1), F.lit(False))))
+        last = F.filter(places, lambda i: tied(i) & ((i % width == width - 1) | ~F.coalesce(tied(i + 1), F.lit(False))))
+        return F.zip_with(first, last, lambda i, j: F.struct((span["r1"] + F.floor(i / width)).cast("int").alias("r"), (span["c1"] + i % width).cast("int").alias("c0"), (span["c1"] + j % width).cast("int").alias("c1")))
 
-def tie_runs(chosen: DataFrame) -> DataFrame:
-    """(state_ref, task, r, c0, c1): row runs of all cells that reach the least, greatest or nearest value."""
-    goal = F.when(F.col("op") == "argmin", F.col("z")).when(F.col("op") == "argmax", -F.col("z")).otherwise(F.abs(F.col("z") - F.col("target")))
-    own = Window.partitionBy("state_ref", "task")
-    cells = chosen.filter(F.col("op").isin("argmin", "argmax", "nearest")).withColumn("goal", goal).withColumn("best", F.min("goal").over(own)).filter("goal = best")
-    island = F.col("c") - F.row_number().over(Window.partitionBy("state_ref", "task", "r").orderBy("c"))
-    return cells.withColumn("g", island).groupBy("state_ref", "task", "r", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).drop("g")
+    return bound(goal, of)
 
 
-def execute_locations(chosen: DataFrame, programs: DataFrame) -> DataFrame:
-    """(state_ref, task, values, encoding, runs): the first tie in row-major order, and all ties as a rectangle or as row runs."""
-    runs = tie_runs(chosen).groupBy("state_ref", "task").agg(F.array_sort(F.collect_list(F.struct("r", "c0", "c1"))).alias("runs"), F.sum(F.col("c1") - F.col("c0") + 1).alias("ties"))
-    size = programs.select("state_ref", "task", bounds(F.col("left"))["n"].alias("n"))
-    first = F.array(F.col("runs")[0]["r"].cast("double"), F.col("runs")[0]["c0"].cast("double"))
-    return runs.join(size, ["state_ref", "task"]).select("state_ref", "task", first.alias("values"), F.when(F.col("ties") == F.col("n"), "rectangle").otherwise("row_runs").alias("encoding"), "runs")
+def execute(programs: DataFrame, grids: DataFrame) -> DataFrame:
+    """programs with (values, operands, encoding, runs); programs need target, or target_cell, from which it is set.
+
+    grids: (state_ref, w, z in row-major order). Programs have to be valid: a cell outside its grid fails the job or is missed. One join by state; each program reads its own cells from the array.
+    Locations give the first tie in row-major order, and all ties as a rectangle or as row runs.
+    """
+    attached = _on_grids(programs, grids)
+    if "target" not in programs.columns:
+        attached = _with_target(attached)
+    return _executed(attached).drop("grid_w", "grid")
 
 
-def execute(programs: DataFrame, cells: DataFrame) -> DataFrame:
-    """programs with (values, operands, encoding, runs); programs need target."""
-    chosen = selected(programs, cells)
-    results = execute_values(chosen).withColumn("encoding", F.lit(None).cast("string")).withColumn("runs", F.lit(None).cast("array<struct<r:int,c0:int,c1:int>>"))
-    places = execute_locations(chosen, programs).select("state_ref", "task", "values", F.array().cast("array<double>").alias("operands"), "encoding", "runs")
-    return programs.join(results.unionByName(places), ["state_ref", "task"])
+def _executed(attached: DataFrame) -> DataFrame:
+    place = F.col("op").isin("argmin", "argmax", "nearest")
+    two = F.col("right").isNotNull()
+    rest = attached.columns
+    leaves = attached.select(*rest, F.when(~place, _leaf(F.col("left"))).alias("a_"), F.when(~place & two, _leaf(F.col("right"))).alias("b_"), F.when(place, _tie_runs(F.col("left")[0])).alias("runs"))
+    runs, none = F.col("runs"), F.array().cast("array<double>")
+    values = F.when(place, F.array(runs[0]["r"].cast("double"), runs[0]["c0"].cast("double"))).when(two, F.array(F.col("a_")[0] - F.col("b_")[0])).otherwise(F.col("a_"))
+    ties = F.aggregate(runs, F.lit(0), lambda n, x: n + x["c1"] - x["c0"] + 1)
+    encoding = F.when(place, F.when(ties == bounds(F.col("left"))["n"], "rectangle").otherwise("row_runs"))
+    return leaves.select(*rest, values.alias("values"), F.when(two & ~place, F.array(F.col("a_")[0], F.col("b_")[0])).otherwise(none).alias("operands"), encoding.alias("encoding"), runs.cast("array<struct<r:int,c0:int,c1:int>>").alias("runs"))
 
 
 def invalid_ties(located: DataFrame) -> DataFrame:
@@ -308,27 +331,50 @@ def semantic_id() -> Column:
     return F.substring(F.sha2(F.concat_ws("|", "state_ref", "task", spans_text(F.col("left")), F.coalesce(spans_text(F.col("right")), F.lit("")), F.coalesce(F.col("target").cast("decimal(18,1)").cast("string"), F.lit(""))), 256), 1, 24)
 
 
-def records(executed: DataFrame, templates: tuple[str, ...] = ("direct",)) -> DataFrame:
-    """A record per executed program and template: ids, answer text, precision, tolerance, capability and difficulty."""
+#: What a record says of its program besides the program itself; all of it follows from the grid.
+CLAIMS = ("semantic_id", "answer", "tolerance", "decimals", "answer_kind", "query_point_count", "operand_point_count", "output_count", "operation_count", "query_extent_cells", "capability", "difficulty", "encoding", "runs")
+
+
+def _answered(executed: DataFrame) -> DataFrame:
+    """Executed programs with their ids, answer text, precision, tolerance, capability and difficulty."""
     from ..functions.answers import answer_text
 
     place, share = F.col("task").isin(*L.LOCATION_TASKS), F.col("task") == "threshold_fraction"
     digits = lambda d: F.transform("values", lambda v: exact_round(v, d))
     answer = F.when(place, answer_text(F.transform("values", lambda v: v.cast("int")))).when(share, answer_text(digits(FRACTION_DECIMALS))).otherwise(answer_text(digits(DECIMALS)))
     base = with_geometry(executed).withColumn("semantic_id", semantic_id()).withColumn("answer", answer)
-    base = base.withColumn("tolerance", F.when(share, FRACTION_TOLERANCE).otherwise(TOLERANCE)).withColumn("decimals", F.when(share, FRACTION_DECIMALS).otherwise(DECIMALS)).withColumn("answer_kind", F.when(place, "coordinate").otherwise("values"))
-    worded = base.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("template_family"), F.lit("seen" if t in L.TEMPLATES["train"] else "heldout").alias("language_group"), question(t).alias("question")) for t in templates])).alias("t"))
-    return worded.select(*base.columns, "t.*").withColumn("qa_id", F.substring(F.sha2(F.concat_ws("|", "semantic_id", "template_family"), 256), 1, 24))
+    return base.withColumn("tolerance", F.when(share, FRACTION_TOLERANCE).otherwise(TOLERANCE)).withColumn("decimals", F.when(share, FRACTION_DECIMALS).otherwise(DECIMALS)).withColumn("answer_kind", F.when(place, "coordinate").otherwise("values"))
+
+
+def _qa_id() -> Column:
+    return F.substring(F.sha2(F.concat_ws("|", "semantic_id", "template_family"), 256), 1, 24)
 
 
-def tampered(records_df: DataFrame, cells: DataFrame) -> DataFrame:
-    """(qa_id, problem) of records that don't replay: identity, answer, values or metadata differ from what the grid gives."""
-    keys = ["state_ref", "h", "w", "task", "op", "left", "right", "target"]
-    programs = records_df.select(*keys).distinct()
-    again = records(execute(programs, cells)).select("state_ref", "task", F.col("semantic_id").alias("s2"), F.col("answer").alias("a2"), F.col("values").alias("v2"), F.col("query_point_count").alias("n2"), F.col("difficulty").alias("d2"))
-    joined = records_df.join(again, ["state_ref", "task"], "left")
-    checks = {"semantic_id": ~F.col("semantic_id").eqNullSafe(F.col("s2")), "answer": ~F.col("answer").eqNullSafe(F.col("a2")), "values": ~F.col("values").eqNullSafe(F.col("v2")), "metadata": ~(F.col("query_point_count").eqNullSafe(F.col("n2")) & F.col("difficulty").eqNullSafe(F.col("d2")))}
-    return joined.select("qa_id", F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in checks.items()]), lambda x: x.isNotNull())).alias("problem"))
+def records(executed: DataFrame, templates: tuple[str, ...] = ("direct",)) -> DataFrame:
+    """A record per executed program and template: ids, answer text, precision, tolerance, capability and difficulty."""
+    base = _answered(executed)
+    worded = base.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("template_family"), F.lit("seen" if t in L.TEMPLATES["train"] else "heldout").alias("language_group"), question(t).alias("question")) for t in templates])).alias("t"))
+    return worded.select(*base.columns, "t.*").withColumn("qa_id", _qa_id())
+
+
+def tampered(records_df: DataFrame, grids: DataFrame) -> DataFrame:
+    """(qa_id, problem) of records that don't replay. Each record's own program runs again on its grid; what the record claims is compared field by field, values to 1e-9 of their size. A missing grid is a problem of its own."""
+    known = {"semantic_id": ["semantic_id"], "answer": ["answer"], "precision": ["tolerance", "decimals", "answer_kind"], "metadata": list(CLAIMS[5:12]), "ties": ["encoding", "runs"]}
+    program = ["state_ref", "h", "w", "task", "op", "left", "right", "target", "template_family"]
+    claims = records_df.select(*program, F.struct("qa_id", "question", "values", "operands", *CLAIMS).alias("claimed"))
+    again = _on_grids(claims, grids, "left")
+    found = _answered(_executed(again.filter("grid is not null")).drop("grid_w", "grid")).withColumn("qa_id", _qa_id())
+    said = lambda c: F.col("claimed")[c]
+    near = lambda a, b: F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: F.abs(x - y) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(y))), lambda x: x), F.lit(False))
+    wording = F.lit(None).cast("string")
+    for t in (t for group in L.TEMPLATES.values() for t in group):
+        wording = F.when(F.col("template_family") == t, question(t)).otherwise(wording)
+    same = lambda c: said(c).eqNullSafe(F.col(c))
+    rules = {k: ~reduce(lambda x, y: x & y, map(same, columns)) for k, columns in known.items()}
+    rules |= {"values": ~(near(said("values"), F.col("values")) & near(said("operands"), F.col("operands"))), "question": ~said("question").eqNullSafe(wording)}
+    rules["qa_id"] = ~rules["semantic_id"] & ~same("qa_id")  # it follows from the semantic id
+    problems = found.select(said("qa_id").alias("qa_id"), F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]), lambda x: x.isNotNull())).alias("problem"))
+    return problems.unionByName(again.filter("grid is null").select(said("qa_id").alias("qa_id"), F.lit("missing_state").alias("problem")))
 
 
 def unit_lines(programs: DataFrame) -> DataFrame:

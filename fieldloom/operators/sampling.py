@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import draw, order_key
 
 
-def trajectory_splits(trajectories: DataFrame, seed: int = 1, key: str = "trajectory") -> DataFrame:
-    """(key, split): 80/10/10 by rank in hash order, with exact cuts at floor(.8 n) and floor(.9 n).
+def ranked(rows: DataFrame, order: str, out: str = "rank") -> DataFrame:
+    """rows with their place (from 0) in the order of a column that has no equal values; many tasks, as running_offsets."""
+    from .batching import running_offsets
+
+    return running_offsets(rows.withColumn("one_", F.lit(1)), order, "one_", out).drop("one_")
 
-    Ranks need one order over all trajectories, of which there is one row each; cells never take part.
-    """
-    rank = F.row_number().over(Window.orderBy(order_key(seed, F.col(key).cast("string")))) - 1
-    n = F.count("*").over(Window.partitionBy())
-    cut = lambda tenths: F.floor(n * tenths / 10)
-    return trajectories.select(key).distinct().withColumn("rank", rank).withColumn("n", n).withColumn("split", F.when(F.col("rank") < cut(8), "train").when(F.col("rank") < cut(9), "val").otherwise("test")).select(key, "split")
+
+def trajectory_splits(trajectories: DataFrame, seed: int = 1, key: str = "trajectory") -> DataFrame:
+    """(key, split): 80/10/10 by rank in hash order, with exact cuts at floor(.8 n) and floor(.9 n)."""
+    rows = trajectories.select(key).distinct()
+    n = rows.count()
+    order = ranked(rows.withColumn("order_", order_key(seed, F.col(key).cast("string"))), "order_")
+    return order.select(key, F.when(F.col("rank") < n * 8 // 10, "train").when(F.col("rank") < n * 9 // 10, "val").otherwise("test").alias("split"))
 
 
 def shape_pools(spark: SparkSession, heights: tuple[int, int], widths: tuple[int, int], fraction: float = 0.2, seed: int = 1) -> DataFrame:
@@ -27,10 +31,15 @@ def shape_pools(spark: SparkSession, heights: tuple[int, int], widths: tuple[int
     return shapes.withColumn("anchor", corner).withColumn("pool", F.when(~F.col("anchor") & (rank <= count), "heldout").otherwise("train"))
 
 
-def balanced_counts(spark: SparkSession, groups: list[str], total: int) -> DataFrame:
-    """(name, quota): total split over groups with a difference of one at most, the first ones larger."""
-    k = len(groups)
-    return spark.createDataFrame([(g, i) for i, g in enumerate(groups)], "name string, i int").select("name", (F.lit(total // k) + (F.col("i") < total % k).cast("int")).alias("quota"))
+def allocation(groups: DataFrame, total: int, family: str, source: str) -> DataFrame:
+    """(family, source, quota): total split over families, then each family's share over its sources, with a difference of one at most, the first by name larger. groups: (family, source), a row for each."""
+    split = lambda whole, i, k: F.floor(whole / k).cast("long") + (i < whole % k).cast("long")
+    families = groups.select(family).distinct()
+    k = families.count()
+    shares = ranked(families, family, "i").select(family, split(F.lit(total), F.col("i"), F.lit(k)).alias("share"))
+    own = Window.partitionBy(family)
+    within = groups.withColumn("j", F.row_number().over(own.orderBy(source)) - 1).withColumn("k", F.count("*").over(own))
+    return within.join(shares, family).select(family, source, split(F.col("share"), F.col("j"), F.col("k")).alias("quota"))
 
 
 def plan(spark: SparkSession, pools: DataFrame, fields: list[str], count: int, seed: int = 1, evaluation: bool = False) -> DataFrame:
@@ -98,6 +107,10 @@ def quota(candidates: DataFrame, group: str, key: str, budget: int, seed: int =
     return ranked.withColumn("i", short).filter(F.col("i") <= budget).drop("n")
 
 
-def balanced_parts(rows: DataFrame, order: Column, parts: int) -> DataFrame:
-    """rows with part: contiguous pieces in order whose sizes differ by one at most, larger ones first."""
-    return rows.withColumn("part", F.ntile(parts).over(Window.orderBy(order)) - 1)
+def balanced_parts(rows: DataFrame, order: str, parts: int) -> DataFrame:
+    """rows with part: contiguous pieces in order whose sizes differ by one at most, larger ones first; order has no equal values."""
+    n = rows.count()
+    size, larger = n // parts, n % parts
+    cut = larger * (size + 1)
+    part = F.when(F.col("rank") < cut, F.floor(F.col("rank") / (size + 1))).otherwise(larger + F.floor((F.col("rank") - cut) / max(1, size)))
+    return ranked(rows, order).withColumn("part", part.cast("int")).drop("rank")

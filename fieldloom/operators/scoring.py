@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.answers import parse_answer
 from ..functions.labels import count_bucket
@@ -74,14 +74,22 @@ def _sums() -> list[Column]:
 
 
 def summarize(scored: DataFrame, dims: list[str]) -> DataFrame:
-    """(dim, key, questions, units, unit_accuracy, answer_accuracy, valid_rate): the whole ('all') and every value of each dimension, by grouping sets in one pass."""
-    named = scored.select(*[F.col(d).cast("string").alias(d) for d in dims], "units", "hits", "all_correct", "valid")
+    """(dim, key, questions, units, unit_accuracy, answer_accuracy, valid_rate): the whole ('all') and every value of each dimension, by grouping sets in one pass.
+
+    A dimension that no row has is left out; one that only some rows have fails the job.
+    """
+    named = scored.select(*[F.col(d).cast("string").alias(d) for d in dims], *[F.col(d).isNotNull().cast("int").alias(f"has_{d}") for d in dims], "units", "hits", "all_correct", "valid")
     sets = [[F.col(d)] for d in dims]
-    out = named.groupingSets([[], *sets], *[F.col(d) for d in dims]).agg(*_sums(), *[F.grouping(d).alias(f"g_{d}") for d in dims])
-    dim, key = F.lit("all"), F.lit("all")
+    out = named.groupingSets([[], *sets], *[F.col(d) for d in dims]).agg(*_sums(), *[F.grouping(d).alias(f"g_{d}") for d in dims], *[F.sum(f"has_{d}").alias(f"has_{d}") for d in dims])
+    dim, key, whole = F.lit("all"), F.lit("all"), F.lit(True)
     for d in dims:
         dim, key = F.when(F.col(f"g_{d}") == 0, d).otherwise(dim), F.when(F.col(f"g_{d}") == 0, F.col(d)).otherwise(key)
-    return out.select(dim.alias("dim"), key.alias("key"), "questions", "units", "unit_accuracy", "answer_accuracy", "valid_rate")
+        whole = whole & (F.col(f"g_{d}") == 1)
+    partly = F.lit(None).cast("string")
+    for d in dims:
+        partly = F.when(whole & (F.col(f"has_{d}") > 0) & (F.col(f"has_{d}") < F.col("questions")), d).otherwise(partly)
+    checked = F.when(partly.isNotNull(), F.raise_error(F.concat(F.lit("some rows lack the dimension "), partly)).cast("string")).otherwise(dim)
+    return out.select(checked.alias("dim"), key.alias("key"), "questions", "units", "unit_accuracy", "answer_accuracy", "valid_rate").filter("key is not null")
 
 
 def errors(scored: DataFrame, dim: str) -> DataFrame:
@@ -134,46 +142,44 @@ def field_pairs(scored: DataFrame) -> DataFrame:
     return out.withColumn("both_correct_rate", F.try_divide(F.col("both_correct"), F.col("complete_pairs")))
 
 
-def changed_answer_candidates(records: DataFrame, cells: DataFrame, per_query: int = 32) -> DataFrame:
-    """(rank, qa_id, other_qa_id, other_state): for each record the states of its shape on which its own program has a disjoint answer.
+def changed_answer_pairs(records: DataFrame, grids: DataFrame, max_pairs: int = 128, max_candidates: int = 4096, per_query: int = 32) -> DataFrame:
+    """(qa_id, other_qa_id, other_state, pair_id): up to max_pairs records, each with a state of its shape on which its own program has a disjoint answer; an id is in one pair at most.
 
-    Tried are the next `per_query` states of the shape in the hash order, wrapping at its end: no pair of states is listed beyond those.
-    The record's program runs on them as any other; rank is the order in which records and their states are taken.
+    A bounded diagnostic: records are taken in hash order, and for each the next per_query states of
+    its shape, in a hash order that wraps at its end, until max_candidates states were tried. So
+    max_candidates records at most are looked at, and the picking is done on the driver.
     """
     from . import programs as P
+    from .sampling import ranked
     from ..functions.numeric import order_key
 
-    states = records.select("state_ref", "h", "w").distinct()
-    states = states.withColumn("i", F.row_number().over(Window.partitionBy("h", "w").orderBy(order_key("pair", F.col("state_ref")), "state_ref")))
+    states = records.select("state_ref", "h", "w").distinct().withColumn("order_", F.concat_ws(":", "h", "w", order_key("pair", F.col("state_ref"))))
+    placed = ranked(states, "order_", "place")
+    shapes = placed.groupBy("h", "w").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1")
     rows = records.select("qa_id", "state_ref", "h", "w", "task", "op", "left", "right", "target", "template_family", F.col("values").alias("v"), F.col("tolerance").alias("t"), F.col("runs").alias("a"))
-    rows = rows.join(states.select("state_ref", "i"), "state_ref").join(states.groupBy("h", "w").agg(F.count("*").alias("n")), ["h", "w"]).filter("n > 1")
-    ahead = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_query), F.col("n") - 1).cast("int")))).withColumn("j", (F.col("i") - 1 + F.col("step")) % F.col("n") + 1)
-    ahead = ahead.join(states.select("h", "w", F.col("i").cast("long").alias("j"), F.col("state_ref").alias("other_state")), ["h", "w", "j"]).withColumn("key", F.concat_ws(":", "qa_id", "step"))
-    # execute tells programs of a state apart by task only
-    done = P.execute(ahead.select(F.col("other_state").alias("state_ref"), "h", "w", F.col("key").alias("task"), "op", "left", "right", "target"), cells)
-    joined = ahead.join(done.select(F.col("task").alias("key"), "values", "runs"), "key")
+    asked = rows.join(shapes, ["h", "w"]).withColumn("order", order_key("query", F.col("qa_id"))).orderBy("order", "qa_id").limit(max_candidates)
+    asked = asked.join(placed.select("state_ref", "place"), "state_ref")
+    ahead = asked.withColumn("step", F.explode(F.sequence(F.lit(1), F.least(F.lit(per_query), F.col("n") - 1).cast("int"))))
+    ahead = ahead.withColumn("place", F.col("first") + (F.col("place") - F.col("first") + F.col("step")) % F.col("n")).drop("state_ref").join(placed.select("place", "state_ref"), "place")
+    done = P.execute(ahead, grids)
     numbers = (F.size("v") != F.size("values")) | F.exists(F.zip_with("v", "values", lambda a, b: F.abs(a - b)), lambda d: d > F.col("t") * 2)
     meets = F.exists("a", lambda p: F.exists("runs", lambda q: (p["r"] == q["r"]) & (p["c0"] <= q["c1"]) & (q["c0"] <= p["c1"])))
-    apart = joined.filter(F.when(F.col("a").isNull(), numbers).otherwise(~meets))
-    named = apart.withColumn("state_ref", F.col("other_state")).withColumn("semantic_id", P.semantic_id())
-    other_id = F.substring(F.sha2(F.concat_ws("|", "semantic_id", "template_family"), 256), 1, 24)
-    return named.select(F.struct(order_key("query", F.col("qa_id")).alias("order"), "qa_id", "step").alias("rank"), "qa_id", other_id.alias("other_qa_id"), "other_state")
-
-
-def changed_answer_pairs(records: DataFrame, cells: DataFrame, per_query: int = 32) -> DataFrame:
-    """(qa_id, other_qa_id, other_state): candidates taken in order, each qa_id in one pair at most.
-
-    A candidate is taken when it is the first left at both of its ids, which gives the same pairs as one after the other.
-    """
-    left, pairs = changed_answer_candidates(records, cells, per_query).localCheckpoint(), None
-    while pairs is None or not left.isEmpty():
-        ends = left.select("rank", F.explode(F.array("qa_id", "other_qa_id")).alias("id")).groupBy("id").agg(F.min("rank").alias("rank"))
-        won = left.join(ends.select("rank", F.col("id").alias("qa_id")), ["rank", "qa_id"]).join(ends.select("rank", F.col("id").alias("other_qa_id")), ["rank", "other_qa_id"])
-        won = won.select("qa_id", "other_qa_id", "other_state").localCheckpoint()
-        used = won.select(F.explode(F.array("qa_id", "other_qa_id")).alias("id"))
-        left = left.join(used.select(F.col("id").alias("qa_id")), "qa_id", "left_anti").join(used.select(F.col("id").alias("other_qa_id")), "other_qa_id", "left_anti").localCheckpoint()
-        pairs = won if pairs is None else pairs.unionByName(won)
-    return pairs
+    named = done.withColumn("semantic_id", P.semantic_id()).withColumn("apart", F.when(F.col("a").isNull(), numbers).otherwise(~meets))
+    other = F.substring(F.sha2(F.concat_ws("|", "semantic_id", "template_family"), 256), 1, 24)
+    tried = named.select("order", "qa_id", "step", other.alias("other_qa_id"), F.col("state_ref").alias("other_state"), "apart").orderBy("order", "qa_id", "step").collect()  # max_candidates x per_query rows at most
+    pairs, used, closed, attempts = [], set(), set(), 0
+    for r in tried:
+        if len(pairs) >= max_pairs or attempts >= max_candidates:
+            break
+        if r.qa_id in closed or r.qa_id in used:
+            continue
+        attempts += 1
+        if r.apart and r.other_qa_id not in used:
+            pairs.append((r.qa_id, r.other_qa_id, r.other_state))
+            used |= {r.qa_id, r.other_qa_id}
+            closed.add(r.qa_id)
+    frame = records.sparkSession.createDataFrame(pairs, "qa_id string, other_qa_id string, other_state string")
+    return frame.withColumn("pair_id", F.substring(F.sha2(F.concat_ws("|", "qa_id", "other_qa_id"), 256), 1, 24))
 
 
 def zero_baseline(records: DataFrame) -> DataFrame:
@@ -208,6 +214,15 @@ def numeric_pairs(rows: DataFrame) -> DataFrame:
     return p.agg(F.count(F.when(~full, 1)).alias("incomplete"), F.count(F.when(full, 1)).alias("total"), c(F.col("nr") == F.col("rr")).alias("same_value_rank"), c(n & r).alias("both_correct"), c(n & ~r).alias("norm_correct_raw_wrong"), c(~n & r).alias("norm_wrong_raw_correct"), c(~n & ~r).alias("both_wrong"))
 
 
+def compare_runs(a: DataFrame, b: DataFrame, group: str, value: str) -> DataFrame:
+    """compare() of two runs' scored rows (qa_id, group, value) by group; both have to hold the same ids, or the job fails."""
+    odd = unequal_sets(a, b).count()
+    if odd:
+        raise ValueError(f"{odd} ids are not in both runs alike")
+    mean = lambda x: x.groupBy(F.col(group).alias("key")).agg(F.avg(F.col(value).cast("int")).alias(value))
+    return compare(mean(a), mean(b), ["key"], value)
+
+
 def compare(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, both values and the difference in percentage points, for groups that both have."""
     left, right = a.select(*keys, F.col(value).alias("a")), b.select(*keys, F.col(value).alias("b"))

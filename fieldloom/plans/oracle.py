@@ -91,8 +91,10 @@ RECORDS = f"""{EXECUTED}, {GEOMETRY},
     records AS (SELECT r.*, s.points, s.operands AS operand_points, s.outputs, s.operations, s.extent, s.capability, s.difficulty, CASE WHEN place THEN 'coordinate' ELSE 'values' END AS answer_kind,
         '[' || array_to_string(list_transform(shown, lambda q: CASE WHEN place THEN CAST(CAST(q AS INTEGER) AS VARCHAR) ELSE CAST(q AS VARCHAR) END), ', ') || ']' AS answer FROM rounded r JOIN digits USING (state_ref, task) JOIN sized s USING (state_ref, task))"""
 _NUM = r"-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?"
-SCORED = f"""{RECORDS},
-    given AS (SELECT *, (n + length(task)) % 8 AS mode FROM records),
+def scored(shift: int) -> str:
+    """CTE done: records scored with the predictions of the state's number plus shift."""
+    return f"""{RECORDS},
+    given AS (SELECT *, (n + {shift} + length(task)) % 8 AS mode FROM records),
     said AS (SELECT *, CASE mode WHEN 1 THEN '[' || array_to_string(list_transform(vals, lambda q: CAST(CASE WHEN place THEN q WHEN task = 'threshold_fraction' THEN round(q + 0.01, 4) ELSE round(q + 0.1, 4) END AS VARCHAR)), ', ') || ']'
         WHEN 2 THEN CASE WHEN place THEN '[99, 1]' ELSE '[' || array_to_string(list_transform(vals, lambda q: CAST(round(q + 0.5, 4) AS VARCHAR)), ', ') || ']' END WHEN 3 THEN answer[:-2] || ', 1.0]' WHEN 4 THEN 'it is ' || answer WHEN 7 THEN '[NaN]' ELSE answer END AS said FROM given),
     parsed AS (SELECT *, CASE WHEN regexp_full_match(said, '\\[({_NUM})(, *{_NUM})*\\]') THEN list_transform(string_split(said[2:-2], ','), lambda q: CAST(trim(q) AS DOUBLE)) END AS p FROM said),
@@ -102,6 +104,9 @@ SCORED = f"""{RECORDS},
         CASE WHEN error IS NOT NULL THEN 0 WHEN place THEN CAST(len(list_filter(runs, lambda q: q.r = p[1] AND p[2] BETWEEN q.c0 AND q.c1)) > 0 AS INTEGER) ELSE len(list_filter(range(1, len(vals) + 1), lambda i: abs(p[i] - vals[i]) <= tolerance)) END AS hits,
         CASE WHEN mode IN (6) THEN 0 WHEN p IS NULL THEN 0 ELSE len(p) END AS observed FROM judged),
     done AS (SELECT *, valid AND hits = units AS all_correct, CASE WHEN n % 10 < 8 THEN 'train' WHEN n % 10 = 8 THEN 'val' ELSE 'test' END AS split FROM scored)"""
+
+
+SCORED = scored(0)
 _SUMS = "count(*) AS questions, CAST(sum(units) AS BIGINT) AS units, round(sum(hits) / sum(units), 9) AS unit_accuracy, round(avg(CAST(all_correct AS INTEGER)), 9) AS answer_accuracy"
 
 ORACLE["crop_read"] = f"WITH {RAW} SELECT state_ref, field, r - 1 AS r, c - 2 AS c, x FROM raw WHERE r BETWEEN 2 AND 5 AND c BETWEEN 3 AND 7"
@@ -121,7 +126,8 @@ ORACLE["full_matrix_prompt"] = f"""WITH {CELLS}, rows_ AS (SELECT state_ref, r,
     SELECT state_ref, '8 x 8 grid: [' || string_agg(t, ',' ORDER BY r) || ']' AS prompt FROM rows_ GROUP BY state_ref"""
 ORACLE["program_values"] = f"WITH {EXECUTED} SELECT state_ref, task, {text6('vals')} AS answer, {text6('operands')} AS operands FROM numeric_"
 ORACLE["program_locations"] = f"WITH {EXECUTED} SELECT state_ref, task, runs[1].r AS r, runs[1].c0 AS c, encoding, array_to_string(list_transform(runs, lambda q: q.r || ':' || q.c0 || '-' || q.c1), ';') AS runs FROM located"
-ORACLE["tie_set_audit"] = f"WITH {CHOSEN} SELECT task, count(*) AS bad FROM chosen WHERE r < 1 GROUP BY task"
+ORACLE["tie_set_audit"] = f"""WITH {EXECUTED}, bent AS (SELECT l.state_ref, l.task, s.c1 AS low, s.c2 AS high, CASE l.n % 4 WHEN 1 THEN runs[2:1] WHEN 2 THEN list_concat(runs[1:1], runs) WHEN 3 THEN list_transform(runs, lambda q: {{'r': q.r, 'c0': q.c0 + 2, 'c1': q.c1 + 2}}) ELSE runs END AS runs FROM located l JOIN spans s ON s.state_ref = l.state_ref AND s.task = l.task)
+    SELECT state_ref, task FROM bent WHERE len(runs) = 0 OR len(list_filter(runs, lambda q: q.c0 < low OR q.c1 > high)) > 0 OR len(list_filter(range(1, len(runs)), lambda i: runs[i + 1].r < runs[i].r OR runs[i + 1].r = runs[i].r AND runs[i + 1].c0 <= runs[i].c1 + 1)) > 0"""
 ORACLE["program_geometry"] = f"WITH {PROGRAMS}, {GEOMETRY} SELECT state_ref, task, points, operands, outputs, operations, extent, capability, difficulty FROM sized"
 ORACLE["block_relations"] = f"""WITH {CHOSEN}, hit AS (SELECT DISTINCT state_ref, task, r, c FROM chosen), k AS (SELECT state_ref, task, count(DISTINCT (r - 1) // 3 * 100 + (c - 1) // 3) AS distinct_blocks, round(avg(CASE WHEN r % 3 = 0 OR c % 3 = 0 THEN 1.0 ELSE 0.0 END), 9) AS boundary_point_fraction FROM hit GROUP BY ALL)
     SELECT *, CASE WHEN distinct_blocks = 1 THEN 'single_block' ELSE 'multiple_blocks' END AS block_relation FROM k"""
@@ -132,13 +138,19 @@ ORACLE["program_violations"] = f"""WITH {PROGRAMS}, {GEOMETRY}, bent AS (SELECT
     UNION ALL SELECT task, 'target_needed' FROM bent WHERE m = 4 AND task IN ('nearest_value_location', 'threshold_fraction'))
     SELECT task, problem, count(*) AS programs FROM found GROUP BY ALL"""
 ORACLE["record_build"] = f"WITH {RECORDS} SELECT state_ref, task, answer, CAST(tolerance AS DOUBLE) AS tolerance, CAST(decimals AS INTEGER) AS decimals, answer_kind, difficulty, capability FROM records"
-ORACLE["record_identity"] = f"WITH {PROGRAMS} SELECT state_ref, task, CAST(1 AS BIGINT) AS semantic_ids, CAST(6 AS BIGINT) AS qa_ids, CAST(6 AS BIGINT) AS questions, CAST(1 AS BIGINT) AS answers FROM (SELECT DISTINCT state_ref, task FROM spans)"
-ORACLE["record_tampering"] = """WITH k AS (SELECT CAST(vec_id % 5 AS INTEGER) AS m, count(*) * 14 AS n FROM embeddings GROUP BY ALL) SELECT CASE m WHEN 1 THEN 'answer' WHEN 2 THEN 'values' WHEN 3 THEN 'metadata' ELSE 'semantic_id' END AS problem, CAST(n AS BIGINT) AS records FROM k WHERE m > 0"""
+_TEMPLATES = "(SELECT unnest(['direct', 'question', 'region_first', 'coordinate_tuple', 'interval', 'relative']) AS template_family)"
+_IDENTITY = """listed AS (SELECT state_ref, task, string_agg(pos || ',' || r1 || ',' || r2 || ',' || c1 || ',' || c2, ';' ORDER BY pos) FILTER (side = 'left') AS a, string_agg(pos || ',' || r1 || ',' || r2 || ',' || c1 || ',' || c2, ';' ORDER BY pos) FILTER (side = 'right') AS b FROM spans GROUP BY ALL),
+    named AS (SELECT l.state_ref, task, sha256(concat_ws('|', l.state_ref, task, a, coalesce(b, ''), CASE WHEN task IN ('nearest_value_location', 'threshold_fraction') THEN CAST(CAST(target AS DECIMAL(18,1)) AS VARCHAR) ELSE '' END))[:24] AS semantic_id FROM listed l JOIN target t ON t.state_ref = l.state_ref)"""
+ORACLE["record_identity"] = f"WITH {CHOSEN}, {_IDENTITY} SELECT state_ref, task, template_family, semantic_id, sha256(semantic_id || '|' || template_family)[:24] AS qa_id FROM named, {_TEMPLATES}"
+ORACLE["record_tampering"] = f"""WITH {RECORDS}, found AS (SELECT 'answer' AS problem FROM records WHERE n % 5 = 1 AND answer <> '[9.9]' UNION ALL SELECT 'values' FROM records WHERE n % 5 = 2 AND (len(vals) <> 1 OR abs(vals[1] - 77) > 1e-9)
+    UNION ALL SELECT 'metadata' FROM records WHERE n % 5 = 3 AND difficulty <> '0' UNION ALL SELECT 'semantic_id' FROM records WHERE n % 5 = 4) SELECT problem, count(*) AS records FROM found GROUP BY problem"""
 _FORMS = [("[1]", "ok"), ("[0.5, 2]", "ok"), (" [1e3] ", "ok"), ("[NaN]", "nonfinite_number"), ("[-Infinity, 1]", "nonfinite_number"), ("[true]", "nonnumeric_item"), ("[]", "not_nonempty_array"), ("[0.2,]", "invalid_json"), ("[1e999]", "nonfinite_number"), ("0.2", "not_nonempty_array"), ("[0.2] or [0.3]", "invalid_json"), ('{"a": 1}', "not_nonempty_array"), ("[[1]]", "nonnumeric_item"), ('["1"]', "nonnumeric_item"), ("", "invalid_json"), ("null", "not_nonempty_array"), ("[1 2]", "invalid_json"), ("[01]", "invalid_json"), ("[.5]", "invalid_json"), ("[1]//c", "invalid_json")]
 ORACLE["answer_parsing"] = "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}', '{o}')" for i, (t, o) in enumerate(_FORMS)) + f") AS v(i, text, outcome)) SELECT text, outcome, count(*) AS n FROM customer JOIN f ON c_custkey % {len(_FORMS)} = i GROUP BY ALL"
 ORACLE["scored_answers"] = f"WITH {SCORED} SELECT state_ref, task, coalesce(error, 'none') AS error, valid, CAST(units AS INTEGER) AS units, CAST(hits AS INTEGER) AS hits, all_correct, CAST(observed AS INTEGER) AS observed_count FROM done"
-_DIMS = {"task": "task", "shape": "'8x8'", "field": "field", "answer_kind": "answer_kind", "capability": "capability", "difficulty": "difficulty", "source_id": "'emb'", "split": "split", "operation_count": "CAST(operations AS VARCHAR)", "query_points_bucket": _case_counts("points", COUNT_ENDS), "query_area_bucket": _case_counts("extent", COUNT_ENDS), "output_length_bucket": _case_counts("outputs", COUNT_ENDS)}
-ORACLE["score_summary"] = f"WITH {SCORED}, long_ AS (SELECT 'all' AS dim, 'all' AS key, * FROM done" + "".join(f" UNION ALL SELECT '{k}', {v}, * FROM done" for k, v in _DIMS.items()) + f") SELECT dim, key, {_SUMS}, round(avg(CAST(valid AS INTEGER)), 9) AS valid_rate FROM long_ GROUP BY dim, key"
+_DIMS = {"task": "task", "shape": "'8x8'", "field": "field", "answer_kind": "answer_kind", "capability": "capability", "difficulty": "difficulty", "source_id": "'emb'", "split": "split", "shape_partition": "'seen'", "family": "CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END", "is_static": "CAST(n % 3 = 0 AS VARCHAR)", "is_constant": "CAST(rough = 'constant' AS VARCHAR)", "roughness_bin": "rough", "block_relation": "relation", "language_group": "'seen'", "template_family": "'direct'", "operation_count": "CAST(operations AS VARCHAR)", "query_points_bucket": _case_counts("points", COUNT_ENDS), "query_area_bucket": _case_counts("extent", COUNT_ENDS), "output_length_bucket": _case_counts("outputs", COUNT_ENDS)}
+_ANNOTATED = f"""rough AS (SELECT state_ref, roughness_bin AS rough FROM ({ORACLE["roughness"]})), blocks AS (SELECT state_ref, task, CASE WHEN count(DISTINCT (r - 1) // 3 * 100 + (c - 1) // 3) = 1 THEN 'single_block' ELSE 'multiple_blocks' END AS relation FROM chosen GROUP BY ALL),
+    full_ AS (SELECT done.*, rough, relation FROM done JOIN rough USING (state_ref) JOIN blocks USING (state_ref, task))"""
+ORACLE["score_summary"] = f"WITH {SCORED}, {_ANNOTATED}, long_ AS (SELECT 'all' AS dim, 'all' AS key, * FROM full_" + "".join(f" UNION ALL SELECT '{k}', {v}, * FROM full_" for k, v in _DIMS.items()) + f") SELECT dim, key, {_SUMS}, round(avg(CAST(valid AS INTEGER)), 9) AS valid_rate FROM long_ GROUP BY dim, key"
 ORACLE["score_errors"] = f"WITH {SCORED} SELECT task AS key, error, count(*) AS questions FROM done WHERE error IS NOT NULL GROUP BY ALL"
 ORACLE["macro_average"] = f"WITH {SCORED}, per AS (SELECT task, sum(hits) / sum(units) AS u, avg(CAST(all_correct AS INTEGER)) AS a FROM done GROUP BY task) SELECT count(*) AS tasks, round(avg(u), 9) AS macro_unit_accuracy, round(avg(a), 9) AS macro_answer_accuracy FROM per"
 ORACLE["incomplete_annotations"] = "SELECT 'half' AS dim, CAST(14 * count(*) FILTER (vec_id % 2 = 0) AS BIGINT) AS present, CAST(14 * count(*) AS BIGINT) AS questions FROM embeddings"
@@ -156,7 +168,10 @@ _KEYS = ["'all'", "'task:' || task", "'source:' || source", "'source_task:' || s
 ORACLE["prediction_breakdowns"] = f"WITH {_ROWS}, k AS ({' UNION ALL '.join(f'SELECT {x} AS key, ok, err FROM p' for x in _KEYS)}) SELECT key, CAST(sum(CAST(ok AS INTEGER)) AS BIGINT) AS correct, count(*) AS total, round(avg(CAST(ok AS INTEGER)), 9) AS accuracy, round(avg(CAST(err AS DOUBLE)), 9) AS mean_absolute_z_error FROM k WHERE key IS NOT NULL GROUP BY key"
 ORACLE["numeric_format_pairs"] = f"""WITH {_ROWS}, m AS (SELECT pair_id, max(ok) FILTER (task LIKE 'norm%') AS n, max(ok) FILTER (task LIKE 'raw%') AS r, max(rank) FILTER (task LIKE 'norm%') AS nr, max(rank) FILTER (task LIKE 'raw%') AS rr FROM p WHERE pair_id IS NOT NULL GROUP BY pair_id)
     SELECT count(*) FILTER (n IS NULL OR r IS NULL) AS incomplete, count(*) FILTER (n IS NOT NULL AND r IS NOT NULL) AS total, count(*) FILTER (nr = rr) AS same_value_rank, count(*) FILTER (n AND r) AS both_correct, count(*) FILTER (n AND NOT r) AS norm_correct_raw_wrong, count(*) FILTER (NOT n AND r) AS norm_wrong_raw_correct, count(*) FILTER (NOT n AND NOT r) AS both_wrong FROM m"""
-ORACLE["run_comparison"] = f"WITH {SCORED}, a AS (SELECT task AS key, n % 2 AS h, avg(CAST(all_correct AS INTEGER)) AS v FROM done GROUP BY ALL) SELECT x.key, round(x.v, 7) AS a, round(y.v, 7) AS b, round((y.v - x.v) * 100, 7) AS delta_points FROM a x JOIN a y ON x.key = y.key AND x.h = 0 AND y.h = 1"
+_SECOND = scored(1).split(RECORDS + ",")[1].replace("given", "given2").replace("said AS", "said2 AS").replace("FROM said", "FROM said2").replace("parsed", "parsed2").replace("judged", "judged2").replace("scored", "scored2").replace("done AS", "done2 AS")
+ORACLE["run_comparison"] = f"WITH {SCORED}, {_SECOND}, a AS (SELECT task, avg(CAST(all_correct AS INTEGER)) AS v FROM done GROUP BY task), b AS (SELECT task, avg(CAST(all_correct AS INTEGER)) AS v FROM done2 GROUP BY task) SELECT a.task AS key, round(a.v, 7) AS a, round(b.v, 7) AS b, round((b.v - a.v) * 100, 7) AS delta_points FROM a JOIN b USING (task)"
+ORACLE["language_pairs"] = f"""WITH {SCORED}, {_SECOND}, j AS (SELECT a.all_correct AS s, b.all_correct AS h, a.valid AND b.valid AND a.p = b.p AS agree FROM done a JOIN done2 b ON a.state_ref = b.state_ref AND a.task = b.task)
+    SELECT count(*) AS complete_pairs, CAST(0 AS BIGINT) AS incomplete_pairs, count(*) FILTER (s) AS seen_correct, count(*) FILTER (h) AS heldout_correct, count(*) FILTER (s AND h) AS both_correct, count(*) FILTER (s AND NOT h) AS seen_correct_heldout_wrong, count(*) FILTER (NOT s AND h) AS seen_wrong_heldout_correct, count(*) FILTER (agree) AS valid_prediction_agreement, round(count(*) FILTER (s AND h) / count(*), 9) AS both_correct_rate FROM j"""
 ORACLE["finite_scan"] = "SELECT 'label' || label AS field, CAST(64 * count(*) AS BIGINT) AS n, CAST(64 * count(*) FILTER (vec_id % 50 = 0) AS BIGINT) AS bad FROM embeddings GROUP BY label"
 ORACLE["monotone_axes"] = "SELECT user_id, count(*) AS steps_back FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE value <= b GROUP BY user_id"
 ORACLE["trajectory_repair"] = """WITH k AS (SELECT s_nationkey, min(CASE WHEN s_nationkey % 3 = 0 THEN -1 ELSE 5 END) AS declared, count(DISTINCT s_suppkey % (s_nationkey % 2 + 1)) AS kinds, min(s_suppkey % (s_nationkey % 2 + 1)) AS o FROM supplier GROUP BY s_nationkey)
@@ -172,12 +187,13 @@ ORACLE["duplicate_content"] = "SELECT sha256(text) AS digest, count(DISTINCT doc
 ORACLE["trajectory_leaks"] = "SELECT 'emb:' || vec_id AS state_ref, CASE WHEN vec_id % 97 = 0 THEN 'test' ELSE 'train' END AS split FROM embeddings WHERE vec_id % 97 = 0 OR vec_id % 50 = 49"
 ORACLE["partition_overlaps"] = "SELECT o_custkey, count(DISTINCT o_orderpriority) AS parts FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1"
 ORACLE["repeated_ids"] = "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1"
-ORACLE["wanted_states"] = "SELECT 'label' || label AS field, count(*) AS states FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1"
+ORACLE["wanted_states"] = """WITH w AS (SELECT DISTINCT doc_id FROM labels WHERE doc_id IS NOT NULL) SELECT 'label' || label AS field, count(*) AS states FROM embeddings JOIN w ON doc_id = vec_id GROUP BY label UNION ALL SELECT 'missing', count(*) FROM w WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"""
 ORACLE["offset_audit"] = """WITH b AS (SELECT o_custkey, o_orderkey, o_orderkey % 5 + 1 AS size, coalesce(sum(o_orderkey % 5 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN o_orderkey % 101 = 0 THEN 1 ELSE 0 END AS off FROM orders),
     e AS (SELECT *, coalesce(lag(off + size) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0) AS expected FROM b) SELECT o_custkey, o_orderkey, CAST(off AS BIGINT) AS "offset", CAST(expected AS BIGINT) AS expected FROM e WHERE off <> expected"""
 ORACLE["precision_audit"] = "SELECT d AS decimals, CAST(sum(k) AS BIGINT) AS records FROM (SELECT 1 AS d, 13 * count(*) AS k FROM embeddings WHERE vec_id % 4 = 0 UNION ALL SELECT 3, count(*) FROM embeddings WHERE vec_id % 4 = 0) GROUP BY d"
 ORACLE["source_preflight"] = "SELECT 'emb' AS source_id, count(DISTINCT vec_id) AS trajectories, CAST(1 AS BIGINT) AS shapes, count(DISTINCT vec_id) >= 20 AS sound FROM embeddings UNION ALL SELECT 'evt', count(DISTINCT event_type), 1, count(DISTINCT event_type) >= 20 FROM events UNION ALL SELECT 'lin', count(DISTINCT l_suppkey), 1, count(DISTINCT l_suppkey) >= 20 FROM lineitem"
-ORACLE["content_digests"] = "SELECT 'label' || label AS field, count(DISTINCT CAST(embedding AS VARCHAR)) AS digests, count(*) AS states FROM embeddings GROUP BY label"
+ORACLE["content_digests"] = f"""WITH {RAW}, rows_ AS (SELECT state_ref, field, r, sha256(string_agg(CAST(CAST(floor(x * 1073741824) AS HUGEINT) AS VARCHAR), ',' ORDER BY c)) AS d FROM raw GROUP BY ALL)
+    SELECT state_ref, field, sha256(string_agg(d, ',' ORDER BY r)) AS digest FROM rows_ GROUP BY ALL"""
 ORACLE["trajectory_split"] = "WITH r AS (SELECT c_custkey AS trajectory, row_number() OVER (ORDER BY sha256('1:' || c_custkey)) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT trajectory, CASE WHEN i < n * 8 // 10 THEN 'train' WHEN i < n * 9 // 10 THEN 'val' ELSE 'test' END AS split FROM r"
 _POOLS = "s AS (SELECT h, w, h IN (1, 32) AND w IN (1, 24) AS anchor FROM (SELECT unnest(range(1, 33)) AS h), (SELECT unnest(range(1, 25)) AS w)), pools AS (SELECT CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, anchor, CASE WHEN NOT anchor AND row_number() OVER (PARTITION BY anchor ORDER BY sha256('1:' || h || ':' || w)) <= 153 THEN 'heldout' ELSE 'train' END AS pool FROM s)"
 ORACLE["shape_pools"] = f"WITH {_POOLS} SELECT h, w, anchor, pool FROM pools"
@@ -185,14 +201,27 @@ ORACLE["evaluation_plan"] = """WITH f AS (SELECT r_name AS field, row_number() O
     SELECT part, field, count(*) AS rows FROM p GROUP BY ALL"""
 ORACLE["fitting_tasks"] = """WITH s AS (SELECT CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w FROM (SELECT unnest(range(1, 5)) AS h), (SELECT unnest(range(1, 5)) AS w)), t AS (SELECT unnest(['single_point', 'region_values', 'region_min', 'region_max', 'region_argmin', 'region_argmax', 'nearest_value_location', 'threshold_fraction']) AS task, 1 AS least_ UNION ALL SELECT unnest(['multi_point', 'point_difference', 'region_mean', 'region_std', 'region_mean_difference', 'line_profile']), 2)
     SELECT h, w, task FROM s, t WHERE h * w >= least_"""
-ORACLE["balanced_quotas"] = "SELECT r_name, n_name, CAST(1000 // k + CASE WHEN i < 1000 % k THEN 1 ELSE 0 END AS BIGINT) AS quota FROM (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS i, count(*) OVER (PARTITION BY r_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey)"
+ORACLE["balanced_quotas"] = """WITH f AS (SELECT r_name, 1000 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY r_name) - 1 < 1000 % count(*) OVER () THEN 1 ELSE 0 END AS share FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)),
+    m AS (SELECT r_name, n_name, share, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS j, count(*) OVER (PARTITION BY r_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey JOIN f USING (r_name)) SELECT r_name, n_name, CAST(share // k + CASE WHEN j < share % k THEN 1 ELSE 0 END AS BIGINT) AS quota FROM m"""
 ORACLE["trajectory_cycles"] = """WITH m AS (SELECT s_nationkey, s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), y AS (SELECT m.*, unnest(range(0, 39 // n + 1)) AS cycle FROM m), r AS (SELECT *, cycle * n + row_number() OVER (PARTITION BY s_nationkey, cycle ORDER BY sha256('1:' || cycle || ':' || s_suppkey)) - 1 AS i FROM y)
     SELECT s_nationkey, CAST(i AS INTEGER) AS i, s_suppkey, CAST(cycle AS INTEGER) AS cycle FROM r WHERE i < 40"""
-ORACLE["time_cycles"] = "SELECT s_suppkey AS key, CAST(12 AS BIGINT) AS times FROM supplier"
-ORACLE["weighted_tasks"] = "SELECT p_brand, least(3, count(*)) AS picked, least(3, count(*)) AS parts FROM part GROUP BY p_brand"
+
+
+def draw(n: str, key: str) -> str:
+    """A number in [0, n) from the SHA-256 of a key."""
+    return f"(CAST('0x' || sha256({key})[:12] AS BIGINT) % {n})"
+
+
+ORACLE["time_cycles"] = f"""SELECT s_suppkey AS key, CAST(visit AS INTEGER) AS visit, CAST(({draw("12", "'1:offset:' || s_suppkey")} + visit * [1, 5, 7, 11][{draw("4", "'1:stride:' || s_suppkey")} + 1]) % 12 AS INTEGER) AS time FROM supplier, (SELECT unnest(range(0, 12)) AS visit)"""
+ORACLE["weighted_tasks"] = f"""WITH u AS (SELECT p_brand, p_partkey, -ln(({draw("1000003", "'1:' || p_brand || ':' || p_partkey")} + 0.5) / 1000003.0::DOUBLE) / (p_size + 1) AS race FROM part), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY race, p_partkey) AS INTEGER) AS rank FROM u) SELECT p_brand, p_partkey, rank FROM r WHERE rank <= 3"""
 ORACLE["crop_quota"] = "WITH u AS (SELECT DISTINCT 'label' || label AS field, CAST(vec_id % 40 AS VARCHAR) AS crop FROM embeddings), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY field ORDER BY sha256('1:' || crop)) AS INTEGER) AS i FROM u) SELECT field, crop, i FROM r WHERE i <= 2"
 ORACLE["balanced_parts"] = "SELECT s_suppkey, CAST(ntile(7) OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS part FROM supplier"
-ORACLE["build_counters"] = f"WITH {PROGRAMS}, {GEOMETRY} " + " UNION ALL ".join(f"SELECT {c} AS key, count(*) AS records, count(DISTINCT state_ref) AS states FROM sized GROUP BY {c}" for c in ("task", "capability", "difficulty"))
+_SPLIT = "CASE WHEN n % 10 < 8 THEN 'train' WHEN n % 10 = 8 THEN 'val' ELSE 'test' END"
+_COUNTED = {"family": "CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END", "source_id": "'emb'", "field": "field", "shape": "'8x8'", "task": "task", "capability": "capability", "difficulty": "difficulty"}
+ORACLE["build_counters"] = f"WITH {PROGRAMS}, {GEOMETRY} " + " UNION ALL ".join(f"SELECT {_SPLIT} AS split, '{k}' AS dim, {v} AS key, count(*) AS records, count(DISTINCT state_ref) AS states FROM sized GROUP BY ALL" for k, v in _COUNTED.items())
+ORACLE["coverage_counts"] = f"SELECT {_SPLIT} AS split, 'emb' AS source_id, count(DISTINCT n % 6) AS source_files, count(DISTINCT (n % 6, n % 50)) AS trajectories, count(DISTINCT (n % 6, field, n % 50)) AS field_trajectories, count(DISTINCT (n % 6, field, n % 50, n % 7)) AS field_frames, count(DISTINCT (n % 3, n % 5)) AS top_left_coordinates, CAST(1 AS BIGINT) AS shapes, count(*) AS sampled_crops FROM (SELECT vec_id AS n, label AS field FROM embeddings) GROUP BY ALL"
+ORACLE["template_partitions"] = "WITH t AS (SELECT * FROM (VALUES ('train', 'direct'), ('train', 'question'), ('train', 'region_first'), ('train', 'coordinate_tuple'), ('val', 'interval'), ('test', 'relative')) AS v(split, template)), x AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT split) > 1) SELECT split, count(*) AS templates, count(*) FILTER (template IN (SELECT template FROM x)) AS shared FROM t GROUP BY split"
+ORACLE["prompt_lengths"] = f"WITH q AS ({ORACLE['full_matrix_prompt']}) SELECT CAST(min(length(prompt)) AS INTEGER) AS least, CAST(max(length(prompt)) AS INTEGER) AS most, avg(length(prompt)) AS mean FROM q"
 _REQ = "q AS (SELECT o_orderkey AS id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS h, CAST(o_custkey % 3 + 1 AS INTEGER) AS w, CAST(floor(o_totalprice % 997 + 1) AS INTEGER) AS tokens FROM orders)"
 ORACLE["shape_batches"] = f"""WITH {_REQ}, n AS (SELECT count(*) AS n FROM q GROUP BY h, w), b AS (SELECT unnest(list_concat(list_transform(range(0, n // 32), lambda x: 32), CASE WHEN n % 32 > 0 THEN [n % 32] ELSE [] END)) AS k FROM n)
     SELECT count(*) AS batches, CAST(sum(k) AS BIGINT) AS total, CAST(min(k) AS BIGINT) AS least, CAST(max(k) AS BIGINT) AS most, round(avg(k), 9) AS mean, count(*) FILTER (k < 32) AS partial FROM b"""
@@ -212,7 +241,7 @@ ORACLE["channel_scaling"] = "WITH k AS (SELECT l_returnflag AS ch, min(l_quantit
 ORACLE["value_basis"] = f"WITH {CELLS} SELECT state_ref, r, c, round(z, 9) + 0.0 AS z, round(tanh(z), 9) + 0.0 AS tanh, round(abs(z), 9) + 0.0 AS abs, CAST(sign(z) AS DOUBLE) + 0.0 AS sign, round(sin(z * pi()), 9) + 0.0 AS sin0, round(cos(z * pi()), 9) + 0.0 AS cos0, round(sin(z * 2 * pi()), 9) + 0.0 AS sin1, round(cos(z * 2 * pi()), 9) + 0.0 AS cos1 FROM cells"
 ORACLE["positions"] = "SELECT n_nationkey AS p, round(sin(n_nationkey), 9) + 0.0 AS sin0, round(cos(n_nationkey), 9) + 0.0 AS cos0, round(sin(n_nationkey / 100.0), 9) + 0.0 AS sin1, round(cos(n_nationkey / 100.0), 9) + 0.0 AS cos1 FROM nation"
 ORACLE["schedule"] = "SELECT n_nationkey AS step, round(CASE WHEN n_nationkey < 5 THEN (n_nationkey + 1) / 5.0 ELSE 0.1 + 0.9 * 0.5 * (1 + cos((n_nationkey - 5) / 20.0 * pi())) END, 9) AS factor FROM nation"
-ORACLE["integer_functions"] = "SELECT p_partkey, CAST(gcd(p_size, 24) AS BIGINT) AS gcd, CAST(ceil(p_size / 7) AS INTEGER) AS pieces, CAST(length(bin(p_size)) AS INTEGER) AS bits, CAST(pow(2, floor(log2(p_size))) AS BIGINT) AS power FROM part"
+ORACLE["integer_functions"] = "SELECT p_partkey, CAST(gcd(p_partkey * 7, 3360) AS BIGINT) AS gcd, CAST(ceil(p_size / 7) AS INTEGER) AS pieces, CAST(length(bin(p_size)) AS INTEGER) AS bits, CAST(pow(2, floor(log2(p_size))) AS BIGINT) AS power FROM part"
 ORACLE["exact_rounding"] = f"WITH d AS (SELECT DISTINCT l_partkey % 2000 AS k, l_suppkey % 97 + 1 AS n FROM lineitem) SELECT k, n, {exact('k / n', 1)} AS r1, {exact('k / n', 2)} AS r2, {exact('k / n', 3)} AS r3 FROM d"
 ORACLE["half_precision"] = f"WITH d AS (SELECT DISTINCT l_extendedprice / 1000 / l_quantity AS v FROM lineitem) SELECT v, {fp16('v')} AS half FROM d"
 ORACLE["count_buckets"] = f"SELECT p_partkey, {_case_counts('p_size * p_size', COUNT_ENDS)} AS bucket, {_case_counts('p_size * p_size', COUNT_ENDS[:6])} AS difficulty FROM part"
@@ -224,4 +253,10 @@ ORACLE["efficiency_summary"] = f"""WITH {_TIMES}, u AS (SELECT *, status IN ('co
     SELECT method, decode_mode, bin, count(*) AS attempts, count(DISTINCT qa_id) AS unique_questions, count(*) FILTER (done) AS completed, count(*) FILTER (status = 'length_limit') AS length_limited, count(*) FILTER (status = 'oom') AS out_of_memory, round(count(*) FILTER (done) / (sum(ms) / 1000), 7) AS completed_per_second, round(sum(tok) / (sum(ms) / 1000), 7) AS tokens_per_second,
     round(quantile_cont(ms, 0.5) FILTER (done), 7) AS completed_p50_ms, round(quantile_cont(ms, 0.95) FILTER (done), 7) AS completed_p95_ms, round(avg(ms) FILTER (ran), 7) AS request_ms_mean, round(quantile_cont(ttft, 0.5) FILTER (ran), 7) AS ttft_ms_p50, round(avg(ttft) FILTER (ran), 7) AS ttft_ms_mean, round(avg(tok) FILTER (ran), 7) AS generated_tokens_mean, round(max(peak) FILTER (ran), 7) AS peak_gib, round(max(peak) FILTER (status = 'oom'), 7) AS oom_peak_gib FROM u GROUP BY method, decode_mode, bin"""
 ORACLE["paired_speed"] = f"WITH {_TIMES}, g AS (SELECT * FROM t WHERE status IN ('complete', 'fixed_length')) SELECT a.decode_mode, a.bin, count(*) AS pairs, round(sum(a.ms) / sum(b.ms), 9) AS time_ratio, round(avg(a.tok), 9) AS slow_tokens_mean, round(avg(b.tok), 9) AS fast_tokens_mean FROM g a JOIN g b ON a.method = 'serialized' AND b.method = 'interface' AND a.decode_mode = b.decode_mode AND a.bin = b.bin AND a.qa_id = b.qa_id GROUP BY ALL"
-ORACLE["state_shards"] = "SELECT 'emb:' || vec_id AS state_ref, CAST(2 AS BIGINT) AS parts FROM embeddings WHERE vec_id IS NULL"
+ORACLE["state_shards"] = f"SELECT 'emb:' || vec_id AS state_ref, CAST({draw('8', "'shard:emb:' || vec_id")} AS INTEGER) AS shard, CAST(1 AS BIGINT) AS shards, CAST(14 AS BIGINT) AS rows FROM embeddings"
+ORACLE["benchmark_requests"] = """WITH q AS (SELECT 'q' || vec_id AS qa_id, 'label' || label AS task, CAST((CAST(vec_id AS INTEGER) * 37) % 300 + 1 AS INTEGER) AS cells FROM embeddings),
+    b AS (SELECT *, CASE WHEN cells <= 64 THEN 'cells_1_64' ELSE 'cells_65_256' END AS bin, sha256('1:' || qa_id) AS h FROM q WHERE cells <= 256), t AS (SELECT *, row_number() OVER (PARTITION BY bin, task ORDER BY h) AS turn FROM b),
+    r AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY turn, sha256('1:' || bin || ':' || task)) AS rank, max(cells) OVER (PARTITION BY bin) AS largest FROM t),
+    top AS (SELECT bin, max(cells) AS had, max(rank) AS last FROM r WHERE rank <= 12 GROUP BY bin),
+    stand AS (SELECT r.bin, qa_id, task, cells, last AS rank FROM r JOIN top ON top.bin = r.bin AND had < largest AND cells = largest QUALIFY row_number() OVER (PARTITION BY r.bin ORDER BY h) = 1)
+    SELECT bin, qa_id, task, cells, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12 AND (bin, rank) NOT IN (SELECT (bin, rank) FROM stand) UNION ALL SELECT bin, qa_id, task, cells, CAST(rank AS INTEGER) FROM stand"""

@@ -13,7 +13,7 @@ from ..sources import grids
 from ..sources.grids import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-DIMS = ["task", "shape", "field", "answer_kind", "capability", "difficulty", "source_id", "split", "operation_count", "query_points_bucket", "query_area_bucket", "output_length_bucket"]
+DIMS = ["task", "shape", "field", "answer_kind", "shape_partition", "source_id", "family", "is_static", "is_constant", "capability", "difficulty", "language_group", "template_family", "query_area_bucket", "query_points_bucket", "output_length_bucket", "block_relation", "operation_count", "roughness_bin", "split"]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -70,9 +70,12 @@ def fixed_programs(st: DataFrame) -> DataFrame:
     return st.select("state_ref", "n", "h", "w", "field", "source_id", F.explode(F.array(*rows)).alias("p")).select("state_ref", "n", "h", "w", "field", "source_id", "p.*")
 
 
+def packed(s: SparkSession, d: str) -> DataFrame:
+    return grids.grids_of(cells(s, d))
+
+
 def executed(s: SparkSession, d: str) -> DataFrame:
-    grid = cells(s, d).select("state_ref", "r", "c", "z")
-    return P.execute(P.with_targets(fixed_programs(states(s, d)), grid), grid)
+    return P.execute(fixed_programs(states(s, d)), packed(s, d))
 
 
 def records(s: SparkSession, d: str, templates: tuple[str, ...] = ("direct",)) -> DataFrame:
@@ -97,6 +100,17 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     return scoring.annotate(scoring.score(rec, predictions(rec)))
 
 
+def annotated(s: SparkSession, d: str) -> DataFrame:
+    """Scored rows with what the metric groups need of their states and blocks: shapes seen in training, family, static and constant fields, roughness, block relation."""
+    sc = scored(s, d)
+    grid = cells(s, d)
+    own = normalize.roughness(grid).select("state_ref", "roughness_bin", (F.col("roughness_bin") == "constant").alias("is_constant"))
+    seen = states(s, d).filter("n % 10 < 8").select("h", "w").distinct().withColumn("shape_partition", F.lit("seen"))
+    blocks = P.block_diagnostics(fixed_programs(states(s, d)), 3, 3).select("state_ref", "task", "block_relation")
+    rows = sc.join(own, "state_ref").join(blocks, ["state_ref", "task"]).join(seen, ["h", "w"], "left")
+    return rows.withColumn("shape_partition", F.coalesce("shape_partition", F.lit("heldout"))).withColumn("family", F.when(F.col("n") % 2 == 0, "even").otherwise("odd")).withColumn("is_static", F.col("n") % 3 == 0)
+
+
 # ---------------------------------------------------------------- sources and standardising
 
 
@@ -148,7 +162,7 @@ def event_min_ties(s, d):
     """Row runs of each event grid's least value."""
     grid = normalize.standardize(grids.event_cells(s, d))
     whole = grid.select("state_ref", "h", "w").distinct().select("state_ref", F.lit("region_argmin").alias("task"), F.lit("argmin").alias("op"), F.lit(None).cast("double").alias("target"), P.region_spans(F.lit(1), F.lit(1), F.col("h"), F.col("w")).cast(P.SPANS).alias("left"), F.lit(None).cast(P.SPANS).alias("right"))
-    return P.tie_runs(P.selected(whole, grid)).select("state_ref", "r", "c0", "c1")
+    return P.execute(whole, grids.grids_of(grid)).select("state_ref", F.explode("runs").alias("x")).select("state_ref", "x.*")
 
 
 @query
@@ -161,16 +175,15 @@ def vector_components(s, d):
 @query
 def packed_grids(s, d):
     """Grids as row-major arrays, and the number of cells before each by id."""
-    packed = grids.grids_of(cells(s, d)).withColumn("id", F.substring("state_ref", 5, 12).cast("long")).withColumn("size", F.size("z"))
-    return batching.running_offsets(packed, "id", "size", "cache_offset").select("state_ref", long("cache_offset").alias("cache_offset"), "size", listed("z").alias("z"))
+    rows = packed(s, d).withColumn("id", F.substring("state_ref", 5, 12).cast("long")).withColumn("size", F.size("z"))
+    return batching.running_offsets(rows, "id", "size", "cache_offset").select("state_ref", long("cache_offset").alias("cache_offset"), "size", listed("z").alias("z"))
 
 
 @query
 def full_matrix_prompt(s, d):
     """The whole grid as text, with nothing but its shape."""
-    packed = grids.grids_of(cells(s, d))
     rows = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.concat(F.lit("["), F.array_join(F.transform(F.slice("z", i * F.col("w") + 1, F.col("w")), lambda v: F.round(v, 3).cast("decimal(12,3)").cast("string")), ","), F.lit("]")))
-    return packed.select("state_ref", F.concat(F.format_string("%d x %d grid: [", "h", "w"), F.array_join(rows, ","), F.lit("]")).alias("prompt"))
+    return packed(s, d).select("state_ref", F.concat(F.format_string("%d x %d grid: [", "h", "w"), F.array_join(rows, ","), F.lit("]")).alias("prompt"))
 
 
 # ---------------------------------------------------------------- programs
@@ -192,8 +205,11 @@ def program_locations(s, d):
 
 @query
 def tie_set_audit(s, d):
-    """Tie sets that are out of bounds, unsorted or mergeable (none)."""
-    return P.invalid_ties(executed(s, d).filter("encoding is not null")).groupBy("task").agg(F.count("*").alias("bad"))
+    """Tie sets that are empty, out of bounds, unsorted or mergeable: by the state's number sound, emptied, with the first run twice, or with runs moved to the right."""
+    runs, n = F.col("runs"), F.col("n") % 4
+    moved = F.transform(runs, lambda x: F.struct(x["r"].alias("r"), (x["c0"] + 2).alias("c0"), (x["c1"] + 2).alias("c1")))
+    bent = F.when(n == 1, F.slice(runs, 1, 0)).when(n == 2, F.concat(F.slice(runs, 1, 1), runs)).when(n == 3, moved).otherwise(runs)
+    return P.invalid_ties(executed(s, d).filter("encoding is not null").withColumn("runs", bent)).select("state_ref", "task")
 
 
 @query
@@ -227,9 +243,9 @@ def record_build(s, d):
 
 @query
 def record_identity(s, d):
-    """H4: ids shared by wordings, and ids of wordings."""
+    """H4: ids of programs, shared by all wordings, and ids of wordings."""
     r = records(s, d, L.TEMPLATES["train"] + L.TEMPLATES["val"] + L.TEMPLATES["test"])
-    return r.groupBy("state_ref", "task").agg(F.countDistinct("semantic_id").alias("semantic_ids"), F.countDistinct("qa_id").alias("qa_ids"), F.countDistinct("question").alias("questions"), F.countDistinct("answer").alias("answers"))
+    return r.select("state_ref", "task", "template_family", "semantic_id", "qa_id")
 
 
 @query
@@ -244,7 +260,7 @@ def record_tampering(s, d):
     r = records(s, d)
     n = F.col("n") % 5
     bent = r.withColumn("answer", F.when(n == 1, F.lit("[9.9]")).otherwise(F.col("answer"))).withColumn("values", F.when(n == 2, F.array(F.lit(77.0))).otherwise(F.col("values"))).withColumn("difficulty", F.when(n == 3, F.lit("0")).otherwise(F.col("difficulty"))).withColumn("semantic_id", F.when(n == 4, F.lit("x")).otherwise(F.col("semantic_id")))
-    return P.tampered(bent, cells(s, d)).groupBy("problem").agg(F.count("*").alias("records"))
+    return P.tampered(bent, packed(s, d)).groupBy("problem").agg(F.count("*").alias("records"))
 
 
 @query
@@ -277,7 +293,7 @@ def scored_answers(s, d):
 @query
 def score_summary(s, d):
     """Metrics of the whole and of every dimension, in one pass."""
-    out = scoring.summarize(scored(s, d), DIMS)
+    out = scoring.summarize(annotated(s, d), DIMS).orderBy("dim", "key")
     return out.select("dim", "key", "questions", long("units").alias("units"), *[F.round(c, 9).alias(c) for c in ("unit_accuracy", "answer_accuracy", "valid_rate")])
 
 
@@ -342,7 +358,7 @@ def zero_baseline(s, d):
 @query
 def changed_answers(s, d):
     """Pairs of a record and its program on another state that changes the answer."""
-    return scoring.changed_answer_pairs(records(s, d), cells(s, d).select("state_ref", "r", "c", "z"))
+    return scoring.changed_answer_pairs(records(s, d), packed(s, d))
 
 
 def _prediction_rows(s, d) -> DataFrame:
@@ -370,10 +386,10 @@ def numeric_format_pairs(s, d):
 
 @query
 def run_comparison(s, d):
-    """Two runs' accuracy by task, in percentage points."""
-    sc = scored(s, d)
-    by = lambda cond: scoring.summarize(sc.filter(cond), ["task"]).filter("dim = 'task'")
-    out = scoring.compare(by("n % 2 = 0"), by("n % 2 = 1"), ["key"], "answer_accuracy")
+    """Two runs' accuracy by task over the same questions, in percentage points; the second run's predictions are those of the next state's number."""
+    rec = records(s, d)
+    second = scoring.score(rec, predictions(rec.withColumn("n", F.col("n") + 1)))
+    out = scoring.compare_runs(scored(s, d), second, "task", "all_correct")
     return out.select("key", *[F.round(c, 7).alias(c) for c in ("a", "b", "delta_points")])
 
 
@@ -457,9 +473,10 @@ def repeated_ids(s, d):
 
 @query
 def wanted_states(s, d):
-    """C14: states that some record names, per field."""
-    rec = fixed_programs(states(s, d).filter("n % 3 = 0"))
-    return audit.wanted_states(states(s, d), rec).groupBy("field").agg(F.count("*").alias("states"))
+    """C14: per field the states that labelled ids name, and how many ids name no state."""
+    rec = table(s, d, "labels").select(F.concat(F.lit("emb:"), F.col("doc_id").cast("string")).alias("state_ref"))
+    have = audit.wanted_states(states(s, d), rec).groupBy("field").agg(F.count("*").alias("states"))
+    return have.unionByName(audit.missing_states(rec, states(s, d)).agg(F.count("*").alias("states")).select(F.lit("missing").alias("field"), "states"))
 
 
 @query
@@ -489,8 +506,8 @@ def source_preflight(s, d):
 
 @query
 def content_digests(s, d):
-    """A digest per state; counts of distinct digests by field."""
-    return audit.content_digests(raw(s, d), ["state_ref", "field"]).groupBy("field").agg(F.countDistinct("digest").alias("digests"), F.count("*").alias("states"))
+    """A digest per state of its values in order."""
+    return audit.content_digests(raw(s, d), ["state_ref", "field"])
 
 
 # ---------------------------------------------------------------- sampling and plans
@@ -511,7 +528,7 @@ def shape_pools(s, d):
 @query
 def evaluation_plan(s, d):
     """Corners with every field, then held-out and seen shapes in turn."""
-    fields = [r.r_name for r in table(s, d, "region").orderBy("r_regionkey").limit(5).collect()]
+    fields = [r.r_name for r in table(s, d, "region").orderBy("r_regionkey").collect()]  # field names are a parameter of the plan
     p = sampling.plan(s, sampling.shape_pools(s, (1, 32), (1, 24)), fields, 200, evaluation=True)
     return p.groupBy("part", "field").agg(F.count("*").alias("rows"))
 
@@ -525,12 +542,9 @@ def fitting_tasks(s, d):
 
 @query
 def balanced_quotas(s, d):
-    """1000 states over the nations of each region."""
+    """1000 states over the regions, then over the nations of each."""
     n = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    from pyspark.sql import Window
-
-    i, k = F.row_number().over(Window.partitionBy("r_name").orderBy("n_name")) - 1, F.count("*").over(Window.partitionBy("r_name"))
-    return n.select("r_name", "n_name", long(F.floor(F.lit(1000) / k) + (i < F.lit(1000) % k).cast("int")).alias("quota"))
+    return sampling.allocation(n.select("r_name", "n_name"), 1000, "r_name", "n_name")
 
 
 @query
@@ -542,16 +556,16 @@ def trajectory_cycles(s, d):
 
 @query
 def time_cycles(s, d):
-    """12 time steps with a co-prime stride; distinct times per trajectory."""
+    """12 time steps with a co-prime stride."""
     v = table(s, d, "supplier").select(F.col("s_suppkey").alias("key"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("visit"))
-    return sampling.coprime_times(v, 12).groupBy("key").agg(F.countDistinct("time").alias("times"))
+    return sampling.coprime_times(v, 12).select("key", "visit", "time")
 
 
 @query
 def weighted_tasks(s, d):
     """Three weighted parts per brand without replacement."""
     p = table(s, d, "part").withColumn("weight", (F.col("p_size") + 1).cast("double"))
-    return sampling.weighted_order(p, "p_brand", "p_partkey", "weight", 3).groupBy("p_brand").agg(F.count("*").alias("picked"), F.countDistinct("p_partkey").alias("parts"))
+    return sampling.weighted_order(p, "p_brand", "p_partkey", "weight", 3).select("p_brand", "p_partkey", "rank")
 
 
 @query
@@ -573,15 +587,41 @@ def crop_quota(s, d):
 @query
 def balanced_parts(s, d):
     """Suppliers in 7 contiguous parts."""
-    return sampling.balanced_parts(table(s, d, "supplier").select("s_suppkey"), F.col("s_suppkey"), 7).select("s_suppkey", "part")
+    return sampling.balanced_parts(table(s, d, "supplier").select("s_suppkey"), "s_suppkey", 7).select("s_suppkey", "part")
+
+
+def _build_rows(s, d) -> DataFrame:
+    """Programs of all states with the keys that builds count: split, family, file, trajectory, frame and corner."""
+    n = F.col("n")
+    st = states(s, d).select("state_ref", F.when(n % 10 < 8, "train").when(n % 10 == 8, "val").otherwise("test").alias("split"), F.when(n % 2 == 0, "even").otherwise("odd").alias("family"), (n % 6).alias("file"), (n % 50).alias("trajectory"), (n % 7).alias("time"), (n % 3).alias("top"), (n % 5).alias("from_left"))
+    return P.with_geometry(fixed_programs(states(s, d))).join(st, "state_ref").withColumn("shape", L.shape_label(F.col("h"), F.col("w")))
 
 
 @query
 def build_counters(s, d):
-    """Records by task, capability and difficulty, and distinct states."""
-    r = P.with_geometry(fixed_programs(states(s, d)))
-    g = r.groupingSets([[F.col("task")], [F.col("capability")], [F.col("difficulty")]], F.col("task"), F.col("capability"), F.col("difficulty")).agg(F.count("*").alias("records"), F.countDistinct("state_ref").alias("states"))
-    return g.select(F.coalesce("task", "capability", "difficulty").alias("key"), "records", "states")
+    """Records and states of each split, by family, source, field, shape, task, capability and difficulty."""
+    return audit.counters(_build_rows(s, d), "split", ["family", "source_id", "field", "shape", "task", "capability", "difficulty"])
+
+
+@query
+def coverage_counts(s, d):
+    """Distinct files, trajectories, frames, corners, shapes and crops by split and source."""
+    distinct = {"source_files": ["file"], "trajectories": ["file", "trajectory"], "field_trajectories": ["file", "field", "trajectory"], "field_frames": ["file", "field", "trajectory", "time"], "top_left_coordinates": ["top", "from_left"], "shapes": ["h", "w"], "sampled_crops": ["state_ref"]}
+    return audit.coverage(_build_rows(s, d), ["split", "source_id"], distinct)
+
+
+@query
+def template_partitions(s, d):
+    """Wordings that more than one split has, and the number of each split's."""
+    rows = [(split, t) for split, names in L.TEMPLATES.items() for t in names]
+    frame = s.createDataFrame(rows, "split string, template string")
+    return frame.join(audit.overlaps(frame, "template", "split"), "template", "left").groupBy("split").agg(F.count("*").alias("templates"), F.count("parts").alias("shared"))
+
+
+@query
+def prompt_lengths(s, d):
+    """Least, greatest and mean length of the full-matrix prompts."""
+    return batching.length_summary(full_matrix_prompt(s, d).select(F.length("prompt").alias("n")), "n")
 
 
 # ---------------------------------------------------------------- batches, budgets, features
@@ -653,8 +693,9 @@ def length_balance(s, d):
 
 @query
 def state_shards(s, d):
-    """States that lie in several shards (none)."""
-    return audit.overlaps(batching.state_shards(fixed_programs(states(s, d)), 8), "state_ref", "shard")
+    """The shard of each state, with its rows and shards (one)."""
+    rows = batching.state_shards(fixed_programs(states(s, d)), 8)
+    return rows.groupBy("state_ref").agg(F.min("shard").alias("shard"), F.countDistinct("shard").alias("shards"), F.count("*").alias("rows"))
 
 
 @query
@@ -709,7 +750,7 @@ def schedule(s, d):
 def integer_functions(s, d):
     """Divisor, ceiling, bits and powers of two of part sizes."""
     p, k = table(s, d, "part"), F.col("p_size")
-    return p.select("p_partkey", long(N.gcd(k, F.lit(24))).alias("gcd"), N.ceil_div(k, 7).alias("pieces"), N.cost_bucket(k + 1).alias("bits"), N.floor_power_of_two(k).alias("power"))
+    return p.select("p_partkey", long(N.gcd(F.col("p_partkey") * 7, F.lit(3360))).alias("gcd"), N.ceil_div(k, 7).alias("pieces"), N.cost_bucket(k + 1).alias("bits"), N.floor_power_of_two(k).alias("power"))
 
 
 @query

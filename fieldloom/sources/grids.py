@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SIDE = 8
 
@@ -11,6 +11,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _within(name: str, most: int) -> Column:
+    """The column, which has to lie in 1 ... most: a row outside would be missed silently."""
+    return F.when(F.col(name).between(1, most), F.col(name)).otherwise(F.raise_error(F.lit(f"{name} lies outside the grid")).cast("int"))
+
+
 def embedding_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Each vector of 64 as an 8 x 8 grid."""
     long = table(spark, folder, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "v"))
@@ -25,7 +30,7 @@ def event_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Per event type the mean value by day (30) and hour (24), in hundredths so that sums are exact; hours without events are 0."""
     e = table(spark, folder, "events")
     day = (F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 86400) + 1).cast("int")
-    sums = e.select("event_type", day.alias("r"), (F.hour("ts") + 1).alias("c"), F.round(F.col("value") * 100).cast("bigint").alias("cents")).filter("r between 1 and 30").groupBy("event_type", "r", "c").agg((F.sum("cents") / F.count("*") / 100.0).alias("x"))
+    sums = e.select("event_type", day.alias("r"), (F.hour("ts") + 1).alias("c"), F.round(F.col("value") * 100).cast("bigint").alias("cents")).withColumn("r", _within("r", 30)).groupBy("event_type", "r", "c").agg((F.sum("cents") / F.count("*") / 100.0).alias("x"))
     frame = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("r")).select("event_type", "r", F.explode(F.sequence(F.lit(1), F.lit(24))).alias("c"))
     full = frame.join(sums, ["event_type", "r", "c"], "left")
     return full.select(F.concat(F.lit("evt:"), "event_type").alias("state_ref"), F.lit("evt").alias("source_id"), F.col("event_type").alias("field"), F.xxhash64("event_type").alias("trajectory"), F.lit(30).alias("h"), F.lit(24).alias("w"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"))
@@ -34,7 +39,7 @@ def event_cells(spark: SparkSession, folder: str) -> DataFrame:
 def lineitem_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Per supplier the mean discount by line number (7) and ship year (1995-2001), in hundredths; missing cells are 0."""
     li = table(spark, folder, "lineitem")
-    sums = li.select("l_suppkey", F.col("l_linenumber").alias("r"), (F.year("l_shipdate") - 1994).alias("c"), F.round(F.col("l_discount") * 100).cast("bigint").alias("cents")).filter("r between 1 and 7 and c between 1 and 7").groupBy("l_suppkey", "r", "c").agg((F.sum("cents") / F.count("*") / 100.0).alias("x"))
+    sums = li.select("l_suppkey", F.col("l_linenumber").alias("r"), (F.year("l_shipdate") - 1994).alias("c"), F.round(F.col("l_discount") * 100).cast("bigint").alias("cents")).withColumn("r", _within("r", 7)).withColumn("c", _within("c", 7)).groupBy("l_suppkey", "r", "c").agg((F.sum("cents") / F.count("*") / 100.0).alias("x"))
     frame = li.select("l_suppkey").distinct().select("l_suppkey", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("r")).select("l_suppkey", "r", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("c"))
     full = frame.join(sums, ["l_suppkey", "r", "c"], "left")
     return full.select(F.concat(F.lit("lin:"), F.col("l_suppkey").cast("string")).alias("state_ref"), F.lit("lin").alias("source_id"), F.lit("discount").alias("field"), F.col("l_suppkey").alias("trajectory"), F.lit(7).alias("h"), F.lit(7).alias("w"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"))
@@ -46,6 +51,24 @@ def crop(cells: DataFrame, top: int, left: int, h: int, w: int) -> DataFrame:
     return inside.withColumn("r", F.col("r") - top).withColumn("c", F.col("c") - left).withColumn("h", F.lit(h)).withColumn("w", F.lit(w))
 
 
+def crop_states(frames: DataFrame, states: DataFrame, value: str = "x") -> DataFrame:
+    """states with (h, w, x): each state's rectangle of its own frame, row-major.
+
+    frames: (source_file_id, field_key, component, sample_index, time_index, height, width, values):
+    a static field has null as time, one that all samples share null as sample, a scalar field null
+    as component; nulls meet nulls. states: the same five keys, top, left (zero-based), h, w. A
+    state without a frame, and a rectangle that leaves its frame, fail the job.
+    """
+    keys = ["source_file_id", "field_key", "component", "sample_index", "time_index"]
+    named = frames.select(*[F.col(k).alias(f"f_{k}") for k in keys], "height", "width", "values")
+    met = states.join(named, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in keys], "left")
+    inside = (F.col("top") >= 0) & (F.col("left") >= 0) & (F.col("top") + F.col("h") <= F.col("height")) & (F.col("left") + F.col("w") <= F.col("width"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda i: F.slice("values", (F.col("top") + i) * F.col("width") + F.col("left") + 1, F.col("w")))
+    fail = lambda text: F.raise_error(F.lit(text)).cast("array<double>")
+    read = F.when(F.col("width").isNull(), fail("a state has no frame")).when(~inside, fail("a crop leaves its frame")).otherwise(F.flatten(rows))
+    return met.select(*[states[c] for c in states.columns], read.alias(value))
+
+
 def components(frames: DataFrame, key: str = "field", vector: str = "vector") -> DataFrame:
     """Vector-valued cells as scalar fields key[0], key[1], ...; other columns stay."""
     rest = [c for c in frames.columns if c not in (key, vector)]

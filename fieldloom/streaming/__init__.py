@@ -11,15 +11,16 @@ PREDICTIONS = "qa_id string, prediction string, terminated boolean"
 
 
 def score_stream(spark: SparkSession, records: DataFrame, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Score each file of JSON predictions that lands in folder, once, and append rows to out.
+    """Score each file of JSON predictions that lands in folder, once, into out, a folder per batch (column batch).
 
-    A prediction that comes again is a row again; rows without a record are dropped by the join.
+    A batch that is tried again overwrites its own folder, so no row is there twice. A prediction
+    that comes again in a later batch is a row again; rows without a record are dropped by the join.
     """
     arriving = spark.readStream.schema(PREDICTIONS).json(folder)
 
     def each(batch: DataFrame, number: int) -> None:
         known = records.join(batch.select("qa_id"), "qa_id", "left_semi")
         scored = scoring.score(known, batch.dropDuplicates(["qa_id"]))
-        scored.select("qa_id", "task", "valid", "error", "units", "hits", "all_correct").write.mode("append").parquet(out)
+        scored.select("qa_id", "task", "valid", "error", "units", "hits", "all_correct").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

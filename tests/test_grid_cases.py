@@ -29,7 +29,11 @@ def region(r, c, h, w):
 
 
 def run(spark, rows, *leaves):
-    return {x.task: x for x in P.execute(spark.createDataFrame(list(leaves), SCHEMA), grid(spark, rows)).collect()}
+    return {x.task: x for x in P.execute(spark.createDataFrame(list(leaves), SCHEMA), packed(grid(spark, rows), len(rows), len(rows[0]))).collect()}
+
+
+def packed(cells, h, w):
+    return grids.grids_of(cells.withColumn("h", F.lit(h)).withColumn("w", F.lit(w)))
 
 
 def test_reverse_line_and_region_statistics(spark):
@@ -181,7 +185,7 @@ def test_changed_answers_run_the_same_program(spark):
     at = {n: (1 + i % 3 // 2, 1) for i, n in enumerate(names)}  # six states have one program, three another
     leaves = [(n, 4, 4, "single_point", "read", [(0, r, r, c, c)], None, None) for n, (r, c) in at.items()]
     leaves += [(n, 4, 4, "region_argmin", "argmin", region(1, 1, 2, 2), None, None) for n in names]
-    rec = P.records(P.execute(spark.createDataFrame(leaves, SCHEMA), cells))
+    rec = P.records(P.execute(spark.createDataFrame(leaves, SCHEMA), packed(cells, 4, 4)))
     rows = {r.qa_id: r for r in rec.collect()}
     order = {r.qa_id: r.k for r in rec.select("qa_id", N.order_key("query", F.col("qa_id")).alias("k")).collect()}
     ring = [r.s for r in spark.createDataFrame([(n,) for n in names], "s string").orderBy(N.order_key("pair", F.col("s"))).collect()]
@@ -193,18 +197,96 @@ def test_changed_answers_run_the_same_program(spark):
         z = fields[n][:2, :2]
         return set(zip(*np.where(z == z.min()), strict=True))
 
-    used, want = set(), {}
-    for q in sorted(rows, key=lambda q: (order[q], q)):
-        r = rows[q]
-        for step in range(1, 9):
-            n = ring[(ring.index(r.state_ref) + step) % 9]
-            program = (n, r.task, str(r.left))
-            other = ids.get(program, program)
-            x, y = answer(r.state_ref, r), answer(n, r)
-            if q in used or other in used or (x & y if isinstance(x, set) else abs(x - y) <= 2 * r.tolerance):
+    def pairs(max_pairs, max_candidates, per_query):
+        used, want, tried = set(), {}, 0
+        for q in sorted(rows, key=lambda q: (order[q], q)):
+            r = rows[q]
+            if q in used:
                 continue
-            used |= {q, other}
-            want[q] = n
-    got = scoring.changed_answer_pairs(rec, cells).collect()
-    assert {r.qa_id: r.other_state for r in got} == want and len(want) > 4
-    assert len({x for r in got for x in (r.qa_id, r.other_qa_id)}) == 2 * len(got)
+            for step in range(1, per_query + 1):
+                if len(want) >= max_pairs or tried >= max_candidates:
+                    return want
+                tried += 1
+                n = ring[(ring.index(r.state_ref) + step) % 9]
+                program = (n, r.task, str(r.left))
+                other = ids.get(program, program)
+                x, y = answer(r.state_ref, r), answer(n, r)
+                if other in used or (x & y if isinstance(x, set) else abs(x - y) <= 2 * r.tolerance):
+                    continue
+                used |= {q, other}
+                want[q] = n
+                break
+        return want
+
+    grid_rows = packed(cells, 4, 4)
+    for limits in ((128, 4096, 8), (3, 4096, 8), (128, 6, 8), (128, 4096, 2)):
+        got = scoring.changed_answer_pairs(rec, grid_rows, *limits).collect()
+        assert {r.qa_id: r.other_state for r in got} == pairs(*limits), limits
+        assert len({x for r in got for x in (r.qa_id, r.other_qa_id)}) == 2 * len(got)
+    assert len(pairs(128, 4096, 8)) > 4
+
+
+def test_replay_finds_every_change(spark):
+    """Sound records raise no alarm, whatever the partitions; each claim that is changed is named."""
+    rng = np.random.default_rng(1)
+    fields = {f"s{i}": rng.normal(size=(5, 6)).round(3) for i in range(6)}
+    cells = spark.createDataFrame([(n, r + 1, c + 1, float(np.float16(z[r, c]))) for n, z in fields.items() for r in range(5) for c in range(6)], "state_ref string, r int, c int, z double")
+    g = packed(cells, 5, 6)
+    leaves = [(n, 5, 6, t, P.OPS[t], region(1, 2, 3, 4), None, 0.1 if t in ("nearest_value_location", "threshold_fraction") else None) for n in fields for t in ("region_std", "region_mean", "region_argmax", "nearest_value_location", "threshold_fraction")]
+    leaves += [(n, 5, 6, "region_std", "std", region(2, 1, 2, 5), None, None) for n in fields]  # two programs of one task
+    rec = P.records(P.execute(spark.createDataFrame(leaves, SCHEMA), g), ("direct", "relative")).cache()
+    assert rec.count() == 72 and P.tampered(rec.repartition(7), g.repartition(3)).count() == 0
+    changes = {
+        "answer": ("answer", F.lit("[0.0]")), "values": ("values", F.transform("values", lambda v: v + 1e-3)), "metadata": ("operation_count", F.lit(9)), "question": ("question", F.lit("?")),
+        "precision": ("tolerance", F.lit(9.0)), "ties": ("encoding", F.lit("rows")), "qa_id": ("qa_id", F.lit("x")), "missing_state": ("state_ref", F.lit("gone")), "semantic_id": ("semantic_id", F.lit("x")),
+    }
+    for problem, (column, value) in changes.items():
+        assert {r.problem for r in P.tampered(rec.withColumn(column, value), g).collect()} == {problem}, problem
+
+
+def test_greatest_common_divisor(spark):
+    rng = np.random.default_rng(3)
+    pairs = [(96, 192), (0, 7), (7, 0), (1, 1), (832040, 514229), (2**62, 2**40 * 3)] + [tuple(map(int, rng.integers(1, 1 << 40, 2))) for _ in range(30)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", N.gcd(F.col("a"), F.col("b")).alias("g")).collect()
+    assert all(r.g == math.gcd(r.a, r.b) for r in got)
+
+
+def test_crops_of_static_and_moving_fields(spark):
+    frames = [("f", "u", None, s, t, 3, 4, [float(100 * (s or 0) + 10 * (t or 0) + k) for k in range(12)]) for s in (0, 1) for t in (0, 1)] + [("f", "mask", None, None, None, 3, 4, [float(k) for k in range(12)]), ("f", "v", 1, 0, 0, 2, 2, [1.0, 2.0, 3.0, 4.0])]
+    schema = "source_file_id string, field_key string, component int, sample_index int, time_index int, height int, width int, values array<double>"
+    frame = spark.createDataFrame(frames, schema)
+    want = "source_file_id string, field_key string, component int, sample_index int, time_index int, top int, left int, h int, w int"
+    states = [("f", "u", None, 1, 0, 1, 2, 2, 2), ("f", "mask", None, None, None, 0, 0, 1, 3), ("f", "v", 1, 0, 0, 1, 0, 1, 2)]
+    got = {r.field_key: r.x for r in grids.crop_states(frame, spark.createDataFrame(states, want)).collect()}
+    assert got == {"u": [106.0, 107.0, 110.0, 111.0], "mask": [0.0, 1.0, 2.0], "v": [3.0, 4.0]}
+    for bad in (("f", "u", None, 1, 0, 2, 2, 2, 2), ("f", "u", None, 9, 0, 0, 0, 1, 1)):
+        with pytest.raises(Exception):
+            grids.crop_states(frame, spark.createDataFrame([bad], want)).collect()
+
+
+def test_partly_annotated_dimensions_fail(spark):
+    rows = [("a", "x", None, 1, 1, True, True), ("b", None, None, 1, 0, False, True)]
+    sc = spark.createDataFrame(rows, "task string, half string, none string, units int, hits int, all_correct boolean, valid boolean")
+    assert {r.dim for r in scoring.summarize(sc, ["task", "none"]).collect()} == {"all", "task"}
+    with pytest.raises(Exception, match="half"):
+        scoring.summarize(sc, ["task", "half"]).collect()
+
+
+def test_runs_have_to_hold_the_same_ids(spark):
+    a = spark.createDataFrame([("q1", "t", True), ("q2", "t", False)], "qa_id string, task string, ok boolean")
+    assert scoring.compare_runs(a, a.withColumn("ok", F.lit(True)), "task", "ok").first().delta_points == 50
+    with pytest.raises(ValueError):
+        scoring.compare_runs(a, a.limit(1), "task", "ok")
+
+
+def test_allocation_differs_by_one_at_most(spark):
+    groups = [("f1", "a"), ("f1", "b"), ("f1", "c"), ("f2", "d")]
+    got = {(r.f, r.s): r.quota for r in sampling.allocation(spark.createDataFrame(groups, "f string, s string"), 11, "f", "s").collect()}
+    assert got == {("f1", "a"): 2, ("f1", "b"): 2, ("f1", "c"): 2, ("f2", "d"): 5}
+
+
+def test_missing_splits_and_states(spark):
+    f = spark.createDataFrame([("a", "train"), ("b", None), ("c", "val")], "path string, split string")
+    assert [r.split for r in audit.missing_splits(f).collect()] == ["test"]
+    have, named = spark.createDataFrame([("s1",)], "state_ref string"), spark.createDataFrame([("s1",), ("s2",), ("s2",)], "state_ref string")
+    assert [r.state_ref for r in audit.missing_states(named, have).collect()] == ["s2"]
