@@ -1,9 +1,10 @@
 """Packing along a space-filling curve.
 
-Each document's ids are hashed to a vector (a signed projection per id, heavier for rarer ids),
-its direction is put on a grid of DIMS x BITS, and the cell's Hilbert index becomes the sort key.
-A range sort by (key, doc_id) puts like documents side by side, on as many tasks as wanted; equal
-keys are split by doc_id, so a large group of copies spreads over tasks. Each task cuts its run
+Each document's ids are hashed to a vector (every id adds its weight, heavier for rarer ids, with
+a hashed sign to a hashed one of BUCKETS entries), which is projected to DIMS dimensions; its
+direction is put on a grid of BITS a dimension, and the cell's Hilbert index becomes the sort key.
+A range sort by (key, doc_id, row) puts like documents side by side, on as many tasks as wanted;
+equal keys and ids are split by the row's number, so a large group spreads over tasks. Each task cuts its run
 of ids every `length` ids. The rest at a task's end becomes sequences of power-of-two lengths, so
 there is no padding at all.
 """
@@ -19,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import id_and_text, materialize, rows_out, text_batches
+from .hashing import STEP, mix
 from .tokens import word_ids
 
-DIMS, BITS = 4, 12
+DIMS, BITS, BUCKETS = 4, 12, 4096
 
 KEYED = pa.schema([("doc_id", pa.int64()), ("curve_key", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 PIECES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length")] + [("ids", pa.binary())] + [(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset")])
@@ -58,9 +60,11 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def projection(size: int, dims: int = DIMS, seed: int = 7) -> np.ndarray:
-    """A row per id: hashed signs times a weight that grows with the id, as later merges are rarer."""
-    rng = np.random.Generator(np.random.Philox(seed))
-    return (rng.normal(size=(size, dims)) * np.log2(2 + np.arange(size))[:, None]).astype(np.float32)
+    """What each id adds to the projected vector: the projection of its bucket, times its sign and a weight that grows with the id, as later merges are rarer."""
+    h = mix(np.arange(size, dtype=np.uint64) * STEP + np.uint64(seed))
+    sign = 1.0 - 2.0 * (h >> np.uint64(63)).astype(np.float64)
+    buckets = np.random.Generator(np.random.Philox(seed)).normal(size=(BUCKETS, dims))
+    return (buckets[(h % np.uint64(BUCKETS)).astype(np.int64)] * (sign * np.log2(2 + np.arange(size)))[:, None]).astype(np.float32)
 
 
 def curve_keys(ids: list[np.ndarray], size: int, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
@@ -144,8 +148,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, length: i
     """
     width = word_ids(tokenizer_path).dtype.str
     keyed = id_and_text(docs).mapInArrow(partial(_key, tokenizer_path, end_id), "doc_id long, curve_key long, n_tokens long, ids binary")
-    keyed = materialize(keyed, "curve").drop("n_tokens")
-    ranged = keyed.repartitionByRange("curve_key", "doc_id").sortWithinPartitions("curve_key", "doc_id", "ids")
+    keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "curve").drop("n_tokens")  # written with the rows, so a number stays with its row
+    ranged = keyed.repartitionByRange("curve_key", "doc_id", "row").sortWithinPartitions("curve_key", "doc_id", "row")
     last = "ids binary" if ids else "ids_crc32 long"
     return ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(
         partial(_cut, width, length, ids), f"doc_id long, start long, length long, {last}, doc_tokens long, sequence_id long, offset long"

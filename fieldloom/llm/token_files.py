@@ -247,20 +247,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode whole texts and write them in ascending doc_id order.
 
     Null text: empty (the end id alone). Null doc_id: kept, sorted first. Repeated rows and equal
-    ids: a document each, equal ids in text-token order. Empty table: files without blocks. Other
+    ids: a document each, equal ids in the order in which they were read, over as many files as
+    their number asks for. Empty table: files without blocks. Other
     columns are ignored. The frequency table is counted over all documents; every vocabulary entry
     has a frequency of at least 1, so a table may also encode later files.
     """
     spark = docs.sparkSession
     width = word_ids(tokenizer_path).dtype.str
     size = word_ids(tokenizer_path).tokenizer.get_vocab_size()
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id), "tokens")
+    # the row's number is written with it, so that it stays when an executor is lost
+    tokens = materialize(tokenize(docs, tokenizer_path, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     counts = np.zeros(size, np.int64)
     for row in count_tokens(tokens, width).collect():  # at most one row per vocabulary entry
         counts[row.token] = row.n
     freq = scale_counts(counts)
     spark.createDataFrame(pa.table({"token": np.arange(size, dtype=np.int32), "freq": freq})).coalesce(1).write.parquet(f"{path}/table")
-    ranged = tokens.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "ids").withColumn("file_no", F.spark_partition_id())
+    ranged = tokens.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row").withColumn("file_no", F.spark_partition_id())
     table = spark.sparkContext.broadcast(freq)
     blocks = ranged.mapInArrow(partial(_encode, table, width, block_ids), "file_no int, block_no long, first_doc long, n_docs long, n_tokens long, block binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
