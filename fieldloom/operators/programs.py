@@ -377,7 +377,24 @@ def tampered(records_df: DataFrame, grids: DataFrame) -> DataFrame:
     return problems.unionByName(again.filter("grid is null").select(said("qa_id").alias("qa_id"), F.lit("missing_state").alias("problem")))
 
 
+#: The tasks that the older record form has.
+LEGACY_TASKS = L.READ_TASKS + L.STAT_TASKS + L.LOCATION_TASKS
+
+
+def legacy_records(executed: DataFrame) -> DataFrame:
+    """Records in the older form, of the eleven tasks without a second operand: every tie as a (row, column) pair instead of runs; lines have to step by one cell."""
+    rows = executed.filter(F.col("task").isin(*LEGACY_TASKS))
+    unit = F.forall(_steps(), lambda x: x)
+    cells = F.flatten(F.transform("runs", lambda x: F.transform(F.sequence(x["c0"], x["c1"]), lambda c: F.struct(x["r"].alias("r"), c.alias("c")))))
+    base = _answered(rows.filter((F.col("task") != "line_profile") | unit))
+    return base.select("state_ref", "task", "left", "target", "answer", "values", "tolerance", "answer_kind", F.when(F.col("runs").isNotNull(), cells).alias("valid_coordinates"))
+
+
+def _steps() -> Column:
+    """Of consecutive spans of a line, whether each lies one cell to the right of or below the one before."""
+    return F.zip_with(F.slice("left", 1, F.size("left") - 1), F.slice("left", 2, F.size("left") - 1), lambda a, b: ((b["r1"] - a["r1"] == 1) & (b["c1"] == a["c1"])) | ((b["c1"] - a["c1"] == 1) & (b["r1"] == a["r1"])))
+
+
 def unit_lines(programs: DataFrame) -> DataFrame:
     """Line programs that step by one cell, rightwards or downwards: those that the older protocol allows."""
-    steps = F.zip_with(F.slice("left", 1, F.size("left") - 1), F.slice("left", 2, F.size("left") - 1), lambda a, b: ((b["r1"] - a["r1"] == 1) & (b["c1"] == a["c1"])) | ((b["c1"] - a["c1"] == 1) & (b["r1"] == a["r1"])))
-    return programs.filter(F.col("task") == "line_profile").filter(F.forall(steps, lambda x: x))
+    return programs.filter(F.col("task") == "line_profile").filter(F.forall(_steps(), lambda x: x))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.numeric import draw, order_key
+from ..functions.numeric import draw, gcd, order_key
 
 
 def ranked(rows: DataFrame, order: str, out: str = "rank") -> DataFrame:
@@ -69,13 +69,13 @@ def cycled(members: DataFrame, group: str, key: str, draws: int, seed: int = 1)
     return cycles.withColumn("i", (F.col("cycle") * F.col("n") + place).cast("int")).filter(F.col("i") < draws).select(group, "i", key, "cycle")
 
 
-def coprime_times(visits: DataFrame, steps: int, seed: int = 1) -> DataFrame:
+def coprime_times(visits: DataFrame, steps: Column | int, seed: int = 1) -> DataFrame:
     """visits (key, visit) with time: an offset plus visit times a stride that shares no divisor with steps, so that every time comes before any repeats."""
-    from math import gcd
-
-    strides = [s for s in range(1, steps) if gcd(s, steps) == 1] or [1]
-    stride = F.element_at(F.array(*[F.lit(s) for s in strides]), draw(len(strides), seed, "stride", F.col("key")) + 1)
-    return visits.withColumn("time", ((draw(steps, seed, "offset", F.col("key")) + F.col("visit") * stride) % steps).cast("int"))
+    n = steps if isinstance(steps, Column) else F.lit(steps)
+    strides = F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda s: gcd(s, n) == 1)
+    drawn = visits.withColumn("strides_", strides)
+    stride = F.element_at("strides_", draw(F.size("strides_"), seed, "stride", F.col("key")) + 1)
+    return drawn.withColumn("time", ((draw(n, seed, "offset", F.col("key")) + F.col("visit") * stride) % n).cast("int")).drop("strides_")
 
 
 def weighted_order(items: DataFrame, group: str, key: str, weight: str, k: int, seed: int = 1) -> DataFrame:

@@ -62,3 +62,46 @@ def identity(config: Mapping) -> str:
     """SHA-256 of what a run computes; runs of equal identity may continue one another."""
     kept = {k: v for k, v in config.items() if k not in EXECUTION_KEYS}
     return hashlib.sha256(json.dumps(kept, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+#: Of a training run, by section: keys that have to be positive whole numbers, and those with a default.
+POSITIVE = {"training": ("batch_size", "gradient_accumulation_steps", "epochs", "max_prompt_tokens", "max_target_tokens", "log_interval", "save_every_updates", "eval_every_updates")}
+POSITIVE_OR_ABSENT = {"runtime": ("max_micro_batch_size", "eval_batch_size"), "training": ("max_updates",)}
+WHOLE_OR_ABSENT = {"runtime": ("micro_batch_token_budget", "eval_parity_check_questions")}
+FLAGS = {"runtime": ("auto_micro_batch", "adaptive_micro_batch", "length_balanced_batches")}
+RATES = {"training": ("lr", "gate_lr", "grad_clip_norm")}
+PRECISIONS = ("bfloat16", "float32")
+
+
+def run_problems(config: Mapping) -> list[str]:
+    """What is wrong with a training run's configuration, as section.key: rule; empty if nothing is."""
+    absent = object()
+    whole = lambda v, least: type(v) is int and v >= least
+    number = lambda v: type(v) in (int, float) and math.isfinite(v)
+    rules = [
+        (POSITIVE, lambda v: whole(v, 1), "needs a positive whole number"),
+        (POSITIVE_OR_ABSENT, lambda v: v is absent or v is None or whole(v, 1), "needs a positive whole number, if given"),
+        (WHOLE_OR_ABSENT, lambda v: v is absent or whole(v, 0), "needs a whole number of zero or more, if given"),
+        (FLAGS, lambda v: v is absent or type(v) is bool, "needs true or false, if given"),
+        (RATES, lambda v: number(v) and v > 0, "needs a finite positive number"),
+    ]
+    at = lambda section, key: config.get(section, {}).get(key, absent)
+    found = [f"{section}.{key}: {text}" for keys, fine, text in rules for section, names in keys.items() for key in names if not fine(at(section, key))]
+    generated, target = at("evaluation", "max_new_tokens"), at("training", "max_target_tokens")
+    if not whole(generated, 1) or (whole(target, 1) and generated < target):
+        found.append("evaluation.max_new_tokens: has to cover the longest training answer")
+    weight = at("training", "value_reconstruction_weight")
+    if weight is not absent and not (number(weight) and weight >= 0):
+        found.append("training.value_reconstruction_weight: needs a number of zero or more, if given")
+    layers = at("cross_attention", "layers_1based")
+    if not isinstance(layers, list) or not layers or len(set(layers)) != len(layers) or not all(whole(x, 1) for x in layers):
+        found.append("cross_attention.layers_1based: needs distinct positive layers")
+    heads, size = at("cross_attention", "heads"), at("cross_attention", "bridge_dim")
+    if not (whole(heads, 1) and whole(size, 1) and size % heads == 0):
+        found.append("cross_attention.bridge_dim: has to be a multiple of heads")
+    if at("model", "torch_dtype") not in PRECISIONS:
+        found.append(f"model.torch_dtype: needs one of {', '.join(PRECISIONS)}")
+    block = config.get("memory", {}).get("block_shape", [1, 1])
+    if len(block) != 2 or not all(whole(x, 1) for x in block):
+        found.append("memory.block_shape: needs two positive whole numbers")
+    return found

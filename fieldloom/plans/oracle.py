@@ -260,3 +260,5 @@ ORACLE["benchmark_requests"] = """WITH q AS (SELECT 'q' || vec_id AS qa_id, 'lab
     top AS (SELECT bin, max(cells) AS had, max(rank) AS last FROM r WHERE rank <= 12 GROUP BY bin),
     stand AS (SELECT r.bin, qa_id, task, cells, last AS rank FROM r JOIN top ON top.bin = r.bin AND had < largest AND cells = largest QUALIFY row_number() OVER (PARTITION BY r.bin ORDER BY h) = 1)
     SELECT bin, qa_id, task, cells, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 12 AND (bin, rank) NOT IN (SELECT (bin, rank) FROM stand) UNION ALL SELECT bin, qa_id, task, cells, CAST(rank AS INTEGER) FROM stand"""
+ORACLE["legacy_records"] = f"""WITH {RECORDS} SELECT state_ref, task, answer, CASE WHEN place THEN array_to_string(flatten(list_transform(runs, lambda q: list_transform(range(q.c0, q.c1 + 1), lambda c: q.r || ',' || c))), ';') END AS ties FROM records
+    WHERE task NOT IN ('point_difference', 'region_mean_difference', 'threshold_fraction', 'line_profile')"""

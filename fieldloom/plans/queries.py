@@ -11,6 +11,7 @@ from ..functions.answers import answer_text, parse_answer
 from ..operators import audit, batching, normalize, programs as P, sampling, scoring
 from ..sources import grids
 from ..sources.grids import table
+from .build import BuildConfig, Dataset, build_dataset
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIMS = ["task", "shape", "field", "answer_kind", "shape_partition", "source_id", "family", "is_static", "is_constant", "capability", "difficulty", "language_group", "template_family", "query_area_bucket", "query_points_bucket", "output_length_bucket", "block_relation", "operation_count", "roughness_bin", "split"]
@@ -248,6 +249,13 @@ def record_identity(s, d):
     return r.select("state_ref", "task", "template_family", "semantic_id", "qa_id")
 
 
+@query
+def legacy_records(s, d):
+    """Records in the older form, every tie listed."""
+    ties = F.array_join(F.transform("valid_coordinates", lambda x: F.format_string("%d,%d", x["r"], x["c"])), ";")
+    return P.legacy_records(executed(s, d)).select("state_ref", "task", "answer", ties.alias("ties"))
+
+
 @query
 def record_questions(s, d):
     """H1: the question texts of all six families."""
@@ -610,6 +618,57 @@ def coverage_counts(s, d):
     return audit.coverage(_build_rows(s, d), ["split", "source_id"], distinct)
 
 
+def event_frames(s, d) -> DataFrame:
+    """Two sources of frames: event values by weekday and hour, per group of events, week and type; order prices by month and eighth of the month, per customer group, year and priority, with numbers of orders as a field without time, and over all customers as one without samples."""
+
+    def frame(rows: DataFrame, h: int, w: int) -> DataFrame:
+        """A frame for every trajectory, time and field of a source, cells without rows being zero."""
+        kinds = rows.agg(F.max("time_index").alias("last"), F.array_sort(F.collect_set(F.struct("field_key", F.coalesce("component", F.lit(-1)).alias("component")))).alias("fields")).first()  # a source's few fields
+        names = F.array(*[F.struct(F.lit(x.field_key).alias("field_key"), F.lit(None if x.component < 0 else x.component).cast("int").alias("component")) for x in kinds.fields or []])
+        times = F.array(F.lit(None).cast("int")) if kinds.last is None else F.sequence(F.lit(0), F.lit(kinds.last))
+        every = rows.select(*keys[:3], "sample_index").distinct().withColumn("time_index", F.explode(times)).withColumn("f", F.explode(names)).select("*", "f.*").drop("f")
+        sums = rows.groupBy(*keys, "cell").agg((F.sum("c") / 100).alias("v")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "v"))).alias("m"))
+        met = every.alias("a").join(sums.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
+        values = F.transform(F.sequence(F.lit(0), F.lit(h * w - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+        return met.select(*[F.col(f"a.{k}") for k in keys], F.lit(h).alias("height"), F.lit(w).alias("width"), values.alias("values"))
+
+    keys = ["source_id", "family", "source_file_id", "field_key", "component", "sample_index", "time_index"]
+    none = F.lit(None).cast("int")
+    e = table(s, d, "events").select(F.lit("evt").alias("source_id"), F.lit("use").alias("family"), F.concat(F.lit("e"), (F.col("event_id") % 4).cast("string")).alias("source_file_id"), F.col("event_type").alias("field_key"), none.alias("component"), (F.col("event_id") % 48).cast("int").alias("sample_index"), (F.floor((F.dayofyear("ts") - 1) / 7)).cast("int").alias("time_index"), ((F.dayofweek("ts") - 1) * 24 + F.hour("ts")).alias("cell"), F.round(F.col("value") * 100).alias("c"))
+    o = table(s, d, "orders").withColumn("cell", (F.month("o_orderdate") - 1) * 8 + F.least(F.floor((F.dayofmonth("o_orderdate") - 1) / 4), F.lit(7)).cast("int"))
+    trade = [F.lit("ord").alias("source_id"), F.lit("trade").alias("family"), F.lit("o0").alias("source_file_id")]
+    p = o.select(*trade, F.lit("price").alias("field_key"), (F.ascii("o_orderpriority") - 49).alias("component"), (F.col("o_custkey") % 40).cast("int").alias("sample_index"), (F.year("o_orderdate") - 1992).cast("int").alias("time_index"), "cell", F.round("o_totalprice").alias("c"))
+    k = o.select(*trade, F.lit("count").alias("field_key"), none.alias("component"), (F.col("o_custkey") % 40).cast("int").alias("sample_index"), none.alias("time_index"), "cell", F.lit(100.0).alias("c"))
+    u = o.select(*trade, F.lit("season").alias("field_key"), none.alias("component"), none.alias("sample_index"), none.alias("time_index"), "cell", F.lit(100.0).alias("c"))
+    out = frame(e, 7, 24)
+    for x in (p, k, u):
+        out = out.unionByName(frame(x, 12, 8))
+    return out
+
+
+def built(s, d) -> Dataset:
+    return build_dataset(s, event_frames(s, d), BuildConfig(train_states=240, eval_states=48, heights=(1, 7), widths=(1, 8), tasks_per_state=5, capability_weights={"localization": 2.0}, diagnostic_states=4))
+
+
+@query
+def dataset_build(s, d):
+    """States with exact budgets over families and sources, crops, programs and records; their counters."""
+    return built(s, d).counters()
+
+
+@query
+def dataset_audit(s, d):
+    """Rule breaks of a build (none): budgets, repeated crops, shared trajectories, replay."""
+    data = built(s, d)
+    split = data.states.groupBy("split").agg(F.count("*").alias("n")).filter("n <> case when split = 'train' then 240 else 48 end").select(F.lit("budget").alias("problem"))
+    repeated = audit.repeated_ids(data.states, "state_ref").select(F.lit("repeated_crop").alias("problem"))
+    moving = data.states.filter("sample_index is not null").withColumn("trajectory", F.concat_ws("/", "source_id", "source_file_id", "sample_index"))
+    shared = audit.overlaps(moving, "trajectory", "split").select(F.lit("shared_trajectory").alias("problem"))
+    replay = P.tampered(data.records, data.grids).select("problem")
+    every = split.unionByName(repeated).unionByName(shared).unionByName(replay)
+    return every.groupBy("problem").agg(F.count("*").alias("n"))
+
+
 @query
 def template_partitions(s, d):
     """Wordings that more than one split has, and the number of each split's."""

@@ -21,6 +21,32 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     guarded.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """One line of names, then the rows; refuses a target that exists. Columns have to be plain values."""
+    nested = [n for n, kind in df.dtypes if kind.startswith(("array", "map", "struct", "binary"))]
+    if nested:
+        raise ValueError(f"columns that a CSV file can't hold: {nested}")
+    df.write.mode("errorifexists").option("header", "true").csv(path)
+
+
+def append_log(df: DataFrame, path: str, step: int) -> None:
+    """Rows of one step of a metric log, as JSON lines in a folder of the step's number: a step that is tried again replaces its own rows only."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/step={step}")
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write a table so that readers see all of it or nothing: written beside the target, then renamed to it. Refuses a target that exists; what a broken run left is replaced."""
+    session = df.sparkSession
+    hadoop = session._jvm.org.apache.hadoop.fs.Path
+    target, building = hadoop(path), hadoop(path.rstrip("/") + ".building")
+    store = target.getFileSystem(session._jsc.hadoopConfiguration())
+    if store.exists(target):
+        raise FileExistsError(path)
+    df.write.mode("overwrite").parquet(building.toString())
+    if not store.rename(building, target):
+        raise OSError(f"can't rename to {path}")
+
+
 def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, size_bytes, mtime, sha256, git_sha1) of every file below path."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
