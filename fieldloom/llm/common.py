@@ -45,13 +45,13 @@ def discarding(spark: SparkSession) -> Iterator[None]:
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, so that lost executors cost no recomputation."""
+def materialize(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None, outer: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, so that lost executors cost no recomputation. With outer, the table outlives the discarding() that it is written in, but not the one around that."""
     spark = df.sparkSession
     if path is None:
         path = work_path(spark, name)
-        if _written:
-            _written[-1].append(path)
+        if len(_written) > outer:
+            _written[-1 - outer].append(path)
     df.write.mode("errorifexists").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

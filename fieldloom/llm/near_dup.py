@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize, text_batches
+from .common import discarding, materialize, text_batches
 from .hashing import BASE, STEP, mix, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -228,7 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _placed(docs: DataFrame, key: str | None = None) -> DataFrame:
-    """(key, doc_id, comp) of every row; rows of one comp are one class."""
+    """(key, doc_id, comp) of every row, written; rows of one comp are one class. Tables of the work go when it is done."""
+    with discarding(docs.sparkSession):
+        return materialize(_grouped(docs, key), "placed", outer=True)
+
+
+def _grouped(docs: DataFrame, key: str | None) -> DataFrame:
     signed = materialize(sign(docs, key), "signed")
     full = signed.filter(F.size("bands") > 0)
     own = ("weight", "bands", *SKETCH)
@@ -260,7 +265,7 @@ def _placed(docs: DataFrame, key: str | None = None) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     rows = signed.select(*["key"] * bool(key), "doc_id", "node").join(labels, "node", "left")
-    return materialize(rows.select(*["key"] * bool(key), "doc_id", F.coalesce("comp", "node").alias("comp")), "placed")
+    return rows.select(*["key"] * bool(key), "doc_id", F.coalesce("comp", "node").alias("comp"))
 
 
 def near_dup_classes(docs: DataFrame) -> DataFrame:
