@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import draw, order_key
+from ..sources.tables import written
 
 
 def running_offsets(rows: DataFrame, order: str, size: str, out: str = "offset") -> DataFrame:
     """rows with the sum of size over all earlier rows: range-partitioned by order, summed within and between partitions.
 
-    Only one row per partition takes part in the sum between partitions.
+    Only one row per partition takes part in the sum between partitions. Rows are written with their
+    partition, as two scans of a range partitioning need not have the same bounds.
     """
-    ranged = rows.repartitionByRange(order).withColumn("part_", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(order).withColumn("part_", F.spark_partition_id()), "ranged")
     within = Window.partitionBy("part_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = ranged.withColumn("inner_", F.coalesce(F.sum(size).over(within), F.lit(0)))
     totals = inner.groupBy("part_").agg(F.sum(size).alias("t_"))
@@ -32,8 +34,10 @@ def offset_breaks(rows: DataFrame, group: str, order: str, offset: str, size: st
 
 def shape_batches(rows: DataFrame, batch: int, seed: int, epoch: int) -> DataFrame:
     """rows (id, h, w) with batch: shuffled within each shape by hash, cut into batches, the batches shuffled among themselves (batch_order)."""
-    place = F.row_number().over(Window.partitionBy("h", "w").orderBy(order_key(seed + epoch, F.col("id")))) - 1
-    cut = rows.withColumn("batch", F.floor(place / batch).cast("int"))
+    order = F.concat_ws(":", "h", "w", order_key(seed + epoch, F.col("id")), F.col("id").cast("string"))
+    placed = running_offsets(rows.withColumn("order_", order).withColumn("one_", F.lit(1)), "order_", "one_", "place_")
+    first = placed.groupBy("h", "w").agg(F.min("place_").alias("first_"))  # a shape's rows are neighbours
+    cut = placed.join(first, ["h", "w"]).withColumn("batch", F.floor((F.col("place_") - F.col("first_")) / batch).cast("int")).drop("order_", "one_", "place_", "first_")
     return cut.withColumn("batch_order", order_key(seed + epoch, "batch", F.col("h"), F.col("w"), F.col("batch")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import roughness_bin
 from ..functions.numeric import fp16
@@ -36,21 +36,28 @@ def roughness(cells: DataFrame, value: str = "z") -> DataFrame:
     return per.select("state_ref", rms.alias("roughness"), roughness_bin(F.col("is_constant"), rms).alias("roughness_bin"))
 
 
+def _total(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+
+
+def packed_roughness(grids: DataFrame) -> DataFrame:
+    """grids (h, w, z row-major) with roughness and roughness_bin, as roughness() has them, each grid by itself."""
+    places, w, n = F.sequence(F.lit(0), F.size("z") - 1), F.col("w"), F.size("z")
+    square = lambda i, j: (F.get("z", j) - F.get("z", i)) * (F.get("z", j) - F.get("z", i))
+    edges = (w - 1) * F.col("h") + w * (F.col("h") - 1)
+    sums = _total(F.transform(places, lambda i: F.when(i % w < w - 1, square(i, i + 1)).otherwise(0.0) + F.when(i + w < n, square(i, i + w)).otherwise(0.0)))
+    flat = F.array_min("z") == F.array_max("z")
+    rough = grids.withColumn("roughness", F.when(flat | (edges == 0), 0.0).otherwise(F.sqrt(sums / edges)))
+    return rough.withColumn("roughness_bin", roughness_bin(flat, F.col("roughness")))
+
+
 def standardize_grids(grids: DataFrame, value: str = "x") -> DataFrame:
     """(state_ref, h, w, z, mean, std, is_constant, roughness, roughness_bin) of grids (state_ref, h, w, x row-major): as standardize and roughness, each grid by itself in its own order, without a shuffle."""
-    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
     x, n = F.col(value), F.size(value)
-    with_mean = grids.select("state_ref", "h", "w", value, (total(x) / n).alias("mean"), (F.array_min(x) == F.array_max(x)).alias("is_constant"))
-    spread = F.sqrt(total(F.transform(x, lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / n)
-    with_std = with_mean.withColumn("std", spread)
+    with_mean = grids.select("state_ref", "h", "w", value, (_total(x) / n).alias("mean"), (F.array_min(x) == F.array_max(x)).alias("is_constant"))
+    with_std = with_mean.withColumn("std", F.sqrt(_total(F.transform(x, lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / n))
     z = F.transform(x, lambda v: F.when(F.col("is_constant"), 0.0).otherwise(fp16((v - F.col("mean")) / (F.col("std") + EPSILON))))
-    done = with_std.withColumn("z", z)
-    places, w = F.sequence(F.lit(0), F.size("z") - 1), F.col("w")
-    square = lambda i, j: (F.get("z", j) - F.get("z", i)) * (F.get("z", j) - F.get("z", i))
-    right, down = (w - 1) * F.col("h"), w * (F.col("h") - 1)
-    sums = total(F.transform(places, lambda i: F.when(i % w < w - 1, square(i, i + 1)).otherwise(0.0) + F.when(i + w < F.size("z"), square(i, i + w)).otherwise(0.0)))
-    rms = F.when(F.col("is_constant") | (right + down == 0), 0.0).otherwise(F.sqrt(sums / (right + down)))
-    return done.withColumn("roughness", rms).select("state_ref", "h", "w", "z", "mean", "std", "is_constant", "roughness", roughness_bin(F.col("is_constant"), F.col("roughness")).alias("roughness_bin"))
+    return packed_roughness(with_std.withColumn("z", z)).select("state_ref", "h", "w", "z", "mean", "std", "is_constant", "roughness", "roughness_bin")
 
 
 def scale_channels(values: DataFrame, mode: str, keys: list[str], clip: float | None = None) -> DataFrame:

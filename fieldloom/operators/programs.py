@@ -118,12 +118,8 @@ def sample_programs(states: DataFrame, seed: int = 1, tasks: tuple[str, ...] = L
     return drawn.select("state_ref", "h", "w", "task", op.alias("op"), left.cast(SPANS).alias("left"), right.cast(SPANS).alias("right"), target.alias("target_cell"))
 
 
-def with_targets(programs: DataFrame, grids: DataFrame) -> DataFrame:
-    """target: the displayed (one-decimal) value of each program's target cell, null where it has none."""
-    return _with_target(_on_grids(programs, grids)).drop("grid_w", "grid")
-
-
 def _with_target(attached: DataFrame) -> DataFrame:
+    """target: the displayed (one-decimal) value of each program's target cell, null where it has none."""
     cell = F.get("grid", (F.col("target_cell.r") - 1) * F.col("grid_w") + F.col("target_cell.c") - 1)
     return attached.withColumn("target", F.when(F.col("target_cell").isNotNull(), exact_round(cell, 1)))
 
@@ -166,6 +162,14 @@ def block_diagnostics(programs: DataFrame, block_h: int, block_w: int) -> DataFr
     return out.withColumn("block_relation", F.when(F.col("distinct_blocks") == 1, "single_block").otherwise("multiple_blocks"))
 
 
+def block_relation(block_h: int, block_w: int) -> Column:
+    """single_block if all cells of a program lie in one block, else multiple_blocks: from the bounds, without listing cells."""
+    left, right = bounds(F.col("left")), F.when(F.col("right").isNotNull(), bounds(F.col("right")))
+    block = lambda v, size: F.floor((v - 1) / size)
+    one = lambda low, high, size: block(F.least(left[low], right[low]), size) == block(F.greatest(left[high], right[high]), size)
+    return F.when(one("r1", "r2", block_h) & one("c1", "c2", block_w), "single_block").otherwise("multiple_blocks")
+
+
 def violations(programs: DataFrame) -> DataFrame:
     """(state_ref, task, problem) of programs that break a rule, a row for each rule broken."""
     task, left, right = F.col("task"), F.col("left"), F.col("right")

@@ -103,12 +103,10 @@ def scored(s: SparkSession, d: str) -> DataFrame:
 
 def annotated(s: SparkSession, d: str) -> DataFrame:
     """Scored rows with what the metric groups need of their states and blocks: shapes seen in training, family, static and constant fields, roughness, block relation."""
-    sc = scored(s, d)
-    grid = cells(s, d)
-    own = normalize.roughness(grid).select("state_ref", "roughness_bin", (F.col("roughness_bin") == "constant").alias("is_constant"))
+    sc = scored(s, d).withColumn("block_relation", P.block_relation(3, 3))
+    own = normalize.packed_roughness(packed(s, d)).select("state_ref", "roughness_bin", (F.col("roughness_bin") == "constant").alias("is_constant"))
     seen = states(s, d).filter("n % 10 < 8").select("h", "w").distinct().withColumn("shape_partition", F.lit("seen"))
-    blocks = P.block_diagnostics(fixed_programs(states(s, d)), 3, 3).select("state_ref", "task", "block_relation")
-    rows = sc.join(own, "state_ref").join(blocks, ["state_ref", "task"]).join(seen, ["h", "w"], "left")
+    rows = sc.join(own, "state_ref").join(seen, ["h", "w"], "left")
     return rows.withColumn("shape_partition", F.coalesce("shape_partition", F.lit("heldout"))).withColumn("family", F.when(F.col("n") % 2 == 0, "even").otherwise("odd")).withColumn("is_static", F.col("n") % 3 == 0)
 
 

@@ -68,6 +68,9 @@ def test_two_region_geometry(spark):
     g = P.with_geometry(p).first()
     assert (g.query_point_count, g.operand_point_count, g.operation_count, g.query_extent_cells) == (10, 12, 5, 12)
     assert P.block_diagnostics(p, 2, 2).first().distinct_blocks == 4
+    inside = spark.createDataFrame([leaf("region_mean", "mean", region(3, 5, 2, 2)), leaf("point_difference", "read", region(1, 1, 1, 1), region(3, 1, 1, 1)), leaf("line_profile", "read", [(0, 1, 1, 1, 1), (1, 1, 1, 3, 3)])], SCHEMA)
+    got = {r.task: r for r in P.block_diagnostics(inside, 2, 2).join(inside.select("task", P.block_relation(2, 2).alias("closed")), "task").collect()}
+    assert all(r.closed == r.block_relation for r in got.values()) and got["region_mean"].closed == "single_block" != got["line_profile"].closed
 
 
 def test_half_precision_and_rounding(spark):

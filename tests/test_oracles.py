@@ -75,5 +75,15 @@ def test_changed_answers(spark):
     assert len(got) == 128 and len(set(ids)) == 256 and len({r.pair_id for r in got}) == 128
 
 
+def test_dataset_queries(spark):
+    counts = {}
+    for r in REGISTRY["dataset_build"](spark, FOLDER).collect():
+        counts.setdefault((r.split, r.dim), {})[r.key] = (r.records, r.states)
+    for split, budget in (("train", 240), ("val", 48), ("test", 48)):
+        assert {k: v[1] for k, v in counts[split, "family"].items()} == {"trade": budget // 2, "use": budget // 2}
+        assert len({sum(v[0] for v in counts[split, dim].values()) for dim in ("family", "source_id", "field", "shape", "task", "capability", "difficulty")}) == 1
+    assert REGISTRY["dataset_audit"](spark, FOLDER).collect() == []
+
+
 def test_every_query_is_tested():
-    assert set(REGISTRY) - set(ORACLE) <= {"record_questions", "sampled_programs", "changed_answers", "dataset_build"}
+    assert set(REGISTRY) - set(ORACLE) == {"record_questions", "sampled_programs", "changed_answers", "dataset_build", "dataset_audit"}
