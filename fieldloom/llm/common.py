@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: The six white-space characters that separate words (space, and tab to carriage return).
 SPACES = "\\x20\\x09-\\x0D"
@@ -75,3 +75,21 @@ def text_batches(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20, m
         step = max(1, min(most_rows, most_bytes * batch.num_rows // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: monotonically_increasing_id() holds a row's place within its partition in as many lower bits.
+PLACE_BITS = 33
+
+
+def positioned(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with `position`, from 0, along order over all rows: written in ranges of the order, so that no task sees more than a range.
+
+    Where the order leaves ties, equal rows share a range; give it a last column that differs where these may be many.
+    """
+    at = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), name)
+    at = at.withColumn("part_", F.shiftright("at_", PLACE_BITS))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = at.groupBy("part_").agg(F.count("*").alias("n_"))  # a row per range
+    bases = sizes.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    place = F.col("at_").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    return at.join(F.broadcast(bases), "part_").withColumn("position", F.col("base_") + place).drop("at_", "part_", "base_")

@@ -100,3 +100,20 @@ sure AS (SELECT host, 1 - CASE WHEN a >= (a + b) * {FLOOR} THEN {_below("a", "b"
 SELECT p.page_id, p.host, p.path, rule, coalesce(best.verdict, CASE WHEN sure < 1 - {RISK} THEN 'block' ELSE 'allow' END) AS verdict, round(sure, 9) AS reputation
 FROM p JOIN sure ON sure.host = p.host LEFT JOIN best ON best.page_id = p.page_id
 """
+
+# the CRC of each distinct word by its bytes, with the table that the polynomial gives
+ORACLE["op11_importance_resampling"] = """
+WITH crc_table AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS tab),
+texts AS (SELECT true AS own, doc_id AS id, coalesce(text, '') AS t FROM documents UNION ALL SELECT false, item_id, coalesce(text, '') FROM benchmark),
+w AS (SELECT own, id, unnest(list_filter(string_split_regex(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS w FROM texts),
+spelt AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM w)),
+crcs AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM spelt, crc_table),
+hit AS (SELECT own, id, bucket, count(*) AS n FROM w JOIN crcs USING (w) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (own), 0) AS s, coalesce(sum(n) FILTER (NOT own), 0) AS t FROM hit GROUP BY bucket),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * CAST((SELECT sum(s) FROM sums) + 10000 AS DOUBLE) / ((CAST(s AS DOUBLE) + 1) * CAST((SELECT sum(t) FROM sums) + 10000 AS DOUBLE)))) AS BIGINT) AS g FROM sums),
+per AS (SELECT id AS doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * g) AS BIGINT) AS weight FROM hit JOIN gain USING (bucket) WHERE own GROUP BY id),
+noisy AS (SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN per USING (doc_id)),
+scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM noisy),
+best AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20 QUALIFY rank <= 10 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN best USING (doc_id)
+"""

@@ -14,6 +14,7 @@ from .near_dup import near_dup_classes
 from .oracles import ORACLE
 from .packing import pack
 from .quality_rules import judge
+from .resampling import resample
 from .secrets import secret_digest
 from .token_files import write_token_files
 from .url_filter import judge_urls
@@ -72,8 +73,13 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenth of the documents that the benchmark's words favour; null and empty texts have weight 0 and aren't drawn, see resample()."""
+    return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed="2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search)}
+    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the dri
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_same_rows(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "labels"):
+    for t in ("documents", "embeddings", "pages", "labels", "benchmark"):
         db.execute(f"create view {t} as select * from read_parquet('{FOLDER}/{t}.parquet')")
     df = queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
