@@ -117,3 +117,18 @@ scored AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln
 best AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20 QUALIFY rank <= 10 * count(*) OVER () // 100)
 SELECT doc_id, n_features, weight, score, rank FROM scored LEFT JOIN best USING (doc_id)
 """
+
+ORACLE["op12_collocations"] = """
+WITH cut AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS x FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(x, '[\\x20\\x09]+'), lambda e: e <> '') AS w FROM cut),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, w[i:i + k - 1] AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, array_to_string(p, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[1:j], ' ') AS lp, array_to_string(w[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cuts.lang, cuts.phrase, a, j, l.f AS l, r.f AS r, 2000000 * CAST(a AS HUGEINT) // (l.f + r.f) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = lp JOIN f r ON r.lang = cuts.lang AND r.phrase = rp),
+lowest AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS cover FROM (SELECT lang, w, k, a, n, unnest(range(1, k - n + 2)) AS i FROM c, (SELECT unnest(range(2, 4)) AS n) WHERE n < k) GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE cover IS NULL OR 100 * CAST(cover AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import graded_quality, toxicity
+from .collocations import collocations
 from .common import read, work_path
 from .lattice_sampling import sample_segmentations
 from .near_dup import near_dup_classes
@@ -78,8 +79,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed="2024")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases; null texts have none, a null language is `und`, see collocations()."""
+    return collocations(read(spark, sf_dir, "documents"), least=30, top=2000, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search, op11_importance_resampling)}
+    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search, op11_importance_resampling, op12_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
