@@ -56,6 +56,18 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd", path: str | None
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> Iterator[None]:
+    """Arrow batches of bounded bytes for what runs inside, where a join may repeat a long text on many rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -46,10 +46,26 @@ def joined_bytes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"\n".join(raw) + b"\n" * bool(raw), np.uint8), np.concatenate([[0], ends]).astype(np.int64)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document index, 64-bit hash) of every word, in order; words are runs between ASCII white space."""
+def word_hashes(texts: list[str], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, 64-bit hash) of every word, in order; words are runs between ASCII white space. With lower, A-Z count as a-z."""
     data, edges = joined_bytes(texts)
+    if lower:
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     return np.searchsorted(edges[1:], starts, side="right"), run_hashes(data, starts, ends)
+
+
+def word_runs(doc: np.ndarray, word: np.ndarray, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, 64-bit hash) of every run of `size` words, in order, of n documents; a document of fewer words, but one at least, has one run: all of it."""
+    if len(word) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    counts = np.bincount(doc, minlength=n)
+    rank = np.arange(len(word)) - (np.cumsum(counts) - counts)[doc]
+    at = np.flatnonzero(rank + size <= np.maximum(counts[doc], size * (rank == 0)))
+    h = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        inside = rank[at] + j < counts[doc[at]]
+        h = h * STEP + np.where(inside, word[np.minimum(at + j, len(word) - 1)], np.uint64(0))
+    return doc[at].astype(np.int64), mix(h)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discarding, materialize, text_batches
-from .hashing import BASE, STEP, mix, word_hashes
+from .hashing import BASE, STEP, mix, word_hashes, word_runs
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 5
@@ -48,19 +48,8 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Words are runs between ASCII white space. A text of fewer than SHINGLE words, but one at least, has one shingle: all of it.
     """
-    doc, word = word_hashes(texts)
-    if len(word) == 0:
-        return np.empty(0, np.int64), np.empty(0, np.uint32)
-    counts = np.bincount(doc, minlength=len(texts))
-    first = np.cumsum(counts) - counts
-    rank = np.arange(len(word)) - first[doc]
-    begin = rank + SHINGLE <= np.maximum(counts[doc], SHINGLE * (rank == 0))  # the places where a shingle starts
-    at = np.flatnonzero(begin)
-    h = np.zeros(len(at), np.uint64)
-    for j in range(SHINGLE):
-        inside = rank[at] + j < counts[doc[at]]
-        h = h * STEP + np.where(inside, word[np.minimum(at + j, len(word) - 1)], np.uint64(0))
-    key = (doc[at].astype(np.uint64) << np.uint64(32)) | (mix(h) >> np.uint64(32))
+    doc, h = word_runs(*word_hashes(texts), len(texts), SHINGLE)
+    key = (doc.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
     key.sort()
     return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32)
 

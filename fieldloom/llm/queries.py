@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import graded_quality, toxicity
 from .collocations import collocations
 from .common import read, work_path
+from .jaccard_join import jaccard_components
 from .lattice_sampling import sample_segmentations
 from .near_dup import near_dup_classes
 from .oracles import ORACLE
@@ -84,8 +85,13 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"), least=30, top=2000, percent=80)
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that link by their 5-word shingles; null and empty texts link with nothing, see jaccard_components()."""
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search, op11_importance_resampling, op12_collocations)}
+    return {f.__name__: f for f in (op1_lattice_sampling, op2_packing, op3_near_dup, op4_graded_quality, op5_secrets, op6_url_filter, op7_token_files, op8_quality_rules, op9_toxicity, op10_vector_search, op11_importance_resampling, op12_collocations, op13_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
