@@ -1,15 +1,17 @@
 """Token-ID files: static range asymmetric numeral system over independent interleaved blocks.
 
 One frequency table, counted over the whole corpus and scaled to 2**20, serves all files. A block
-holds whole documents. Its ids are dealt round-robin to LANES coders that numpy steps together;
-each lane has a 64-bit state and shares one stream of 32-bit words. A block carries a document
-table, its lanes' starting states, resume points (state of all lanes and the stream position at
-every RESUME steps) and a checksum, so blocks, and parts of a block, decode in parallel.
-
-Block layout, little-endian: magic 'FLR1', u32 crc32 of all that follows, u32 documents, u32 ids,
-u32 lanes, u32 steps, u32 resume points, u32 words, i64 first token of the block within its file;
-then i64 doc_id per document, u8 flag per document (1: id is null), u32 ids per document, u64 state
-per lane and resume point (the first is the start), u32 word offset per resume point, u32 words.
+holds whole documents, but one longer than a block is cut over as many as it needs. Its ids are
+dealt round-robin to LANES coders that numpy steps together; each lane has a 64-bit state and shares
+one stream of 32-bit words. A block carries a document table, its lanes' starting states, resume
+points (state of all lanes and the stream position at every RESUME steps) and a checksum, so blocks,
+and parts of a block, decode in parallel: read_range() starts at the resume point before what it wants.
+
+Block layout, little-endian: magic 'FLR2', u32 crc32 of all that follows, u32 documents, u32 ids,
+u32 lanes, u32 steps, u32 resume points, u32 words, i64 first token of the block within its file,
+i64 ids of the block's first document in blocks before; then i64 doc_id per document, u8 flags per
+document (1: id is null, 2: cut), u32 ids per document, u64 state per lane and resume point (the
+first is the start), u32 word offset per resume point, u32 words.
 """
 
 from __future__ import annotations
@@ -21,23 +23,26 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import id_and_text, materialize, rows_out, text_batches
 from .tokens import word_ids
 
-MAGIC = b"FLR1"
+MAGIC = b"FLR2"
 SCALE_BITS = 20
 LOW = 1 << 31
 LANES = 512
 RESUME = 128
 BLOCK_IDS = 1 << 17
-_HEAD = struct.Struct("<IIIIIIq")
+_HEAD = struct.Struct("<IIIIIIqq")
+NULL, CUT = 1, 2
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 BLOCKS = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
-DECODED = pa.schema([("file_no", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-DIGEST = pa.schema([("file_no", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+_PLACE = [("file_no", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64())]
+#: before: ids of a cut document in earlier blocks, null for whole documents; in digests only cut ones have ids.
+DECODED = pa.schema([*_PLACE, ("before", pa.int64()), ("ids", pa.binary())])
+DIGEST = pa.schema([*_PLACE, ("before", pa.int64()), ("ids", pa.binary()), ("ids_crc32", pa.int64())])
 
 
 # ---------------------------------------------------------------- codec
@@ -110,11 +115,13 @@ def decode_ids(n: int, states: np.ndarray, words: np.ndarray, table: Table, lane
     return out
 
 
-def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, first: int, table: Table, lanes: int = LANES, resume: int = RESUME) -> bytes:
+def pack_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, first: int, table: Table, lanes: int = LANES, resume: int = RESUME, before: int = 0, cut: bool = False) -> bytes:
+    """before: ids of the first document in earlier blocks; cut: whether that document is cut."""
     lanes = max(1, min(lanes, len(ids) // 8))
     states, offsets, words = encode_ids(ids, table, lanes, resume)
-    body = _HEAD.pack(len(doc_ids), len(ids), lanes, resume, len(offsets), len(words), first) + b"".join(
-        a.tobytes() for a in (np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], "u1"), np.array(lengths, "<u4"), states.astype("<u8"), offsets.astype("<u4"), words.astype("<u4"))
+    flags = [NULL * (d is None) | CUT * (cut and k == 0) for k, d in enumerate(doc_ids)]
+    body = _HEAD.pack(len(doc_ids), len(ids), lanes, resume, len(offsets), len(words), first, before) + b"".join(
+        a.tobytes() for a in (np.array([d or 0 for d in doc_ids], "<i8"), np.array(flags, "u1"), np.array(lengths, "<u4"), states.astype("<u8"), offsets.astype("<u4"), words.astype("<u4"))
     )
     return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
 
@@ -129,7 +136,7 @@ def unpack_block(block: bytes, table: Table) -> tuple[list[int | None], np.ndarr
 def read_block(block: bytes) -> dict:
     if block[:4] != MAGIC or struct.unpack_from("<I", block, 4)[0] != zlib.crc32(memoryview(block)[8:]):
         raise ValueError("damaged block: magic or checksum is wrong")
-    docs, n, lanes, resume, points, n_words, first = _HEAD.unpack_from(block, 8)
+    docs, n, lanes, resume, points, n_words, first, before = _HEAD.unpack_from(block, 8)
     at = 8 + _HEAD.size
 
     def take(dtype: str, k: int) -> np.ndarray:
@@ -138,9 +145,18 @@ def read_block(block: bytes) -> dict:
         at += got.nbytes
         return got
 
-    ids, null, lengths = take("<i8", docs), take("u1", docs), take("<u4", docs)
+    ids, flags, lengths = take("<i8", docs), take("u1", docs), take("<u4", docs)
     states, offsets, words = take("<u8", points * lanes).reshape(points, lanes), take("<u4", points), take("<u4", n_words)
-    return {"docs": [None if z else int(d) for d, z in zip(ids, null, strict=True)], "lengths": lengths, "n": n, "lanes": lanes, "resume": resume, "states": states, "offsets": offsets, "words": words, "first": first}
+    names = [None if z & NULL else int(d) for d, z in zip(ids, flags, strict=True)]
+    return {"docs": names, "lengths": lengths, "n": n, "lanes": lanes, "resume": resume, "states": states, "offsets": offsets, "words": words, "first": first, "before": before, "cut": bool(docs and flags[0] & CUT)}
+
+
+def decode_slice(view: dict, table: Table, a: int, b: int) -> np.ndarray:
+    """Ids a to b of a block that read_block() has read, decoded from the resume point before a."""
+    point = a // view["lanes"] // view["resume"]
+    step = point * view["resume"]
+    ids = decode_ids(view["n"], view["states"][point], view["words"], table, view["lanes"], step, int(view["offsets"][point]), -(-b // view["lanes"]))
+    return ids[a - step * view["lanes"] : b - step * view["lanes"]]
 
 
 # ---------------------------------------------------------------- Spark stages
@@ -179,24 +195,34 @@ def count_tokens(tokens: DataFrame, width: str = "<u2") -> DataFrame:
 
 def _encode(table, width: str, block_ids: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = Table(table.value)
+    size = np.dtype(width).itemsize
     docs, parts, lengths, first, number, held = [], [], [], 0, 0, 0
 
-    def flush(file_no: int) -> pa.RecordBatch:
+    def flush(file_no: int, before: int = 0, cut: bool = False) -> pa.RecordBatch:
+        nonlocal docs, parts, lengths, first, number, held
         ids = np.frombuffer(b"".join(parts), width)
-        return rows_out(BLOCKS, [[file_no], [number], [docs[0]], [len(docs)], [len(ids)], [pack_block(docs, lengths, ids, first, coder)]])
+        out = rows_out(BLOCKS, [[file_no], [number], [docs[0]], [len(docs)], [len(ids)], [pack_block(docs, lengths, ids, first, coder, before=before, cut=cut)]])
+        docs, parts, lengths, first, number, held = [], [], [], first + held, number + 1, 0
+        return out
 
     file_no = 0
     for batch in batches:
         columns = (batch.column(n).to_pylist() for n in ("file_no", "doc_id", "n_tokens", "ids"))
         for file_no, doc, n, ids in zip(*columns, strict=True):
+            if n > block_ids:  # blocks of its own
+                if docs:
+                    yield flush(file_no)
+                for a in range(0, n, block_ids):
+                    held = min(block_ids, n - a)
+                    docs, parts, lengths = [doc], [ids[size * a : size * (a + held)]], [held]
+                    yield flush(file_no, before=a, cut=True)
+                continue
             docs.append(doc)
             parts.append(ids)
             lengths.append(n)
             held += n
             if held >= block_ids:
                 yield flush(file_no)
-                number, first, held = number + 1, first + held, 0
-                docs, parts, lengths = [], [], []
     if docs:
         yield flush(file_no)
 
@@ -205,13 +231,31 @@ def _decode(table, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
     coder = Table(table.value)
     for batch in batches:
         for file_no, block in zip(batch.column("file_no").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            docs, lengths, ids, first = unpack_block(block, coder)
-            ends = np.cumsum(lengths, dtype=np.int64)
-            starts = ends - lengths
+            view = read_block(block)
+            ids = decode_ids(view["n"], view["states"][0], view["words"], coder, view["lanes"])
+            ends = np.cumsum(view["lengths"], dtype=np.int64)
+            starts = ends - view["lengths"]
             raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
-            cuts = list(zip(starts.tolist(), ends.tolist(), strict=True))
-            head = [[file_no] * len(docs), docs, first + starts, lengths.astype(np.int64)]
-            yield rows_out(DECODED, [*head, [bytes(raw[4 * a : 4 * b]) for a, b in cuts]]) if keep else rows_out(DIGEST, [*head, [zlib.crc32(raw[4 * a : 4 * b]) for a, b in cuts]])
+            cuts = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            whole = [None] * len(cuts)
+            before = [view["before"], *whole[1:]] if view["cut"] else whole
+            place = [[file_no] * len(cuts), view["docs"], view["first"] + starts - (view["before"] if view["cut"] else 0), view["lengths"].astype(np.int64), before]
+            if keep:
+                yield rows_out(DECODED, [*place, list(map(bytes, cuts))])
+            else:
+                yield rows_out(DIGEST, [*place, [bytes(cuts[0]), *whole[1:]] if view["cut"] else whole, list(map(zlib.crc32, cuts))])
+
+
+def _slices(table, start: int, stop: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(start, ids) of what each block holds of the ids from start to stop; base: ids in files before."""
+    coder = Table(table.value)
+    for batch in batches:
+        for base, block in zip(batch.column("base").to_pylist(), batch.column("block").to_pylist(), strict=True):
+            view = read_block(block)
+            at = base + view["first"]
+            a, b = max(0, start - at), min(view["n"], stop - at)
+            if a < b:
+                yield pa.RecordBatch.from_arrays([pa.array([at + a]), pa.array([decode_slice(view, coder, a, b).astype("<u4").tobytes()], pa.binary())], names=["start", "ids"])
 
 
 class TokenFiles:
@@ -229,18 +273,29 @@ class TokenFiles:
 
     def _starts(self) -> DataFrame:
         """Ids in all files before each file: a row per file."""
-        from pyspark.sql import Window
-
         totals = self.blocks().groupBy("file_no").agg(F.sum("n_tokens").alias("n"))
         before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
         return totals.select("file_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def documents(self, ids: bool = True) -> DataFrame:
         """(doc_id, start, n_tokens, ids or ids_crc32) decoded from the files; ids are little-endian unsigned 32-bit."""
-        table, last = self.spark.sparkContext.broadcast(self.freq), "ids binary" if ids else "ids_crc32 long"
-        out = self.blocks().select("file_no", "block").mapInArrow(partial(_decode, table, ids), f"file_no int, doc_id long, local_start long, n_tokens long, {last}")
+        table, last = self.spark.sparkContext.broadcast(self.freq), "ids" if ids else "ids_crc32"
+        made = "file_no int, doc_id long, local_start long, n_tokens long, before long, ids binary" + ("" if ids else ", ids_crc32 long")
+        out = self.blocks().select("file_no", "block").mapInArrow(partial(_decode, table, ids), made)
+        whole = out.filter("before is null").select("file_no", "doc_id", "local_start", "n_tokens", last)
+        joined = F.aggregate(F.array_sort(F.collect_list(F.struct("before", "ids"))), F.lit(b""), lambda x, y: F.concat(x, y["ids"]))
+        cut = out.filter("before is not null").groupBy("file_no", "doc_id", "local_start").agg(F.sum("n_tokens").alias("n_tokens"), joined.alias("ids"))
+        both = whole.unionByName(cut.select("file_no", "doc_id", "local_start", "n_tokens", "ids" if ids else F.crc32("ids").alias("ids_crc32")))
         # one row per file: bounded by the number of write tasks
-        return out.join(F.broadcast(self._starts()), "file_no").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", last.split()[0])
+        return both.join(F.broadcast(self._starts()), "file_no").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", last)
+
+    def read_range(self, start: int, n: int) -> DataFrame:
+        """(start, ids): the n ids of the whole set from start on, in pieces by block. Only blocks that hold some are read, each from the resume point before its first one."""
+        table = self.spark.sparkContext.broadcast(self.freq)
+        heads = self.blocks().select("file_no", "block_no", "n_tokens", (F.sum("n_tokens").over(Window.partitionBy("file_no").orderBy("block_no")) - F.col("n_tokens")).alias("first"))
+        placed = heads.join(F.broadcast(self._starts()), "file_no").withColumn("at", F.col("base") + F.col("first"))
+        wanted = placed.filter((F.col("at") < start + n) & (F.col("at") + F.col("n_tokens") > start)).select("file_no", "block_no", "base")
+        return self.blocks().join(wanted, ["file_no", "block_no"]).select("base", "block").mapInArrow(partial(_slices, table, start, start + n), "start long, ids binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, block_ids: int = BLOCK_IDS) -> TokenFiles:
@@ -248,8 +303,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     Null text: empty (the end id alone). Null doc_id: kept, sorted first. Repeated rows and equal
     ids: a document each, equal ids in the order in which they were read, over as many files as
-    their number asks for. Empty table: files without blocks. Other
-    columns are ignored. The frequency table is counted over all documents; every vocabulary entry
+    their number asks for. A document of more than block_ids ids is cut over blocks of its own.
+    Empty table: files without blocks. Other columns are ignored. The frequency table is counted over all documents; every vocabulary entry
     has a frequency of at least 1, so a table may also encode later files.
     """
     spark = docs.sparkSession

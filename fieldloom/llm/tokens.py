@@ -1,21 +1,24 @@
-"""Token ids of whole texts with a public BPE vocabulary, cached by word.
+"""Token ids of whole texts with a public BPE vocabulary, cached by pre-token.
 
-The vocabulary's pre-tokenizer never joins characters across an ASCII space, so a text's ids are the
-ids of its space-separated chunks, one after the other. Each worker keeps the chunks it has met (a
-bounded two-generation cache), since words repeat far more often than they are new.
+Texts of Latin letters, digits and ASCII marks are cut into the vocabulary's own pre-tokens here, by
+its pattern, after lower-casing; other texts are cut at ASCII spaces, across which no pre-token
+reaches, and go through the tokenizers library chunk by chunk. Either way a text's ids are those of
+its parts, one after the other, and each worker keeps the parts that it has met (a bounded
+two-generation cache), since words repeat far more often than they are new.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: A word of Latin letters only: one pre-token, and lower case is letter by letter.
-_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-#: Such a word with one closing mark: two pre-tokens.
-_CLOSED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|])")
+#: Texts whose pre-tokens _PART finds: printable ASCII, white space, Latin-1 letters and the two signs among them.
+_SAFE = re.compile(r"[\x20-\x7E\t-\rÀ-ÿ]*")
+#: The pre-tokens of lower-case safe texts.
+_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~×÷]+")
 #: Entries of one generation of the cache.
 CACHE = 400_000
 
@@ -28,7 +31,7 @@ def _byte_letters() -> dict[int, int]:
 
 
 class WordIds(dict):
-    """chunk -> its ids as little-endian bytes; misses are encoded by the tokenizers library."""
+    """pre-token -> its ids as little-endian bytes; misses go to the vocabulary's model."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
@@ -37,46 +40,59 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.letters, self.cache, self.old = _byte_letters(), cache, {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.letters, self.cache, self.old, self.chunks = _byte_letters(), cache, {}, {}
         self.plain = self._plain()
 
     def _plain(self) -> bool:
-        """Whether a lone letter word may go straight to the model: true if both ways agree on a few words."""
-        probes = ["of", "thonener", "Mément", "über", "WORD", "çñß"]
+        """Whether pre-tokens may go straight to the model: true if both ways agree on texts of every kind of part."""
+        probes = ["of thonener Mément\tÜBER WORD\nçñß ×2÷", "it's don'T we'Ll I'm 'd'' they've''re o'neil's", "a1b22 3,50% x--y (z)!!\x0b[q]_{}~`@#", "<a|b> \\ /|\\ ^&*"]
         try:
-            return all(self._model(w.lower()) == self._whole(w) for w in probes)
+            return all(self._parts(t) == self._whole(t) for t in probes)
         except Exception:  # a model without tokenize(): every chunk goes through the whole pipeline
             return False
 
-    def _model(self, word: str) -> bytes:
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], self.dtype).tobytes()
+    def _model(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self.old.get(chunk)
+    def _parts(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, _PART.findall(text.lower())))
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
         if found is None:
-            if self.plain and _WORD.fullmatch(chunk):
-                low = chunk.lower()
-                found = self._model(chunk) if low == chunk else self[low]
-            elif self.plain and (m := _CLOSED.fullmatch(chunk)):
-                found = self[m[1]] + self[m[2]]
-            else:
-                found = self._whole(chunk)
-        if len(chunk) <= 64:
+            found = self._model(part)
+        if len(part) <= 64:
             if len(self) >= self.cache:
                 self.old = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[part] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a run between ASCII spaces."""
+        if self.plain and _SAFE.fullmatch(chunk):
+            return self._parts(chunk)
+        found = self.chunks.get(chunk)
+        if found is None:
+            found = self._whole(chunk)
+            if len(chunk) <= 64:
+                if len(self.chunks) >= self.cache // 4:
+                    self.chunks.clear()
+                self.chunks[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
         if "<|" in text:  # special tokens are matched before anything else
             return self._whole(text)
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.plain and _SAFE.fullmatch(text):
+            return self._parts(text)
+        return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)

@@ -29,6 +29,15 @@ def test_word_cache_gives_the_library_ids():
         assert np.frombuffer(words.ids(text or ""), words.dtype).tolist() == ids[:-1], text
 
 
+@pytest.mark.parametrize("letters", ["abcDEF éÜß'st'llvem,.!?-_09\n\t ", "aB' 1,.\x0b×÷ºª\xa0\x85É中á́İ𝔘<|"])
+def test_parts_are_the_librarys_pre_tokens(letters):
+    rng = np.random.default_rng(len(letters))
+    texts = ["".join(rng.choice(list(letters), int(rng.integers(1, 60)))) for _ in range(3000)]
+    words = WordIds(PATH, cache=500)
+    for text, ids in zip(texts, truth(texts, 0), strict=True):
+        assert np.frombuffer(words.ids(text), words.dtype).tolist() == ids[:-1], repr(text)
+
+
 def test_codec_round_trip_and_resume():
     rng = np.random.default_rng(1)
     for n, lanes in ((0, 1), (1, 1), (7, 3), (5000, 16), (4096, 64)):
@@ -63,6 +72,23 @@ def test_token_files(spark, tmp_path, n):
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in again.collect()} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize(("start", "n"), [(0, 5), (90, 30), (333, 9000), (9000, 40000), (10**6, 5), (7, 0)])
+def test_ranges_from_resume_points(spark, tmp_path, start, n):
+    files = tf.write_token_files(rows(spark), f"file://{tmp_path}/files", PATH, end_id=1, block_ids=100)
+    assert files.blocks().groupBy("first_doc").count().filter("count > 50").count() == 2  # the two long texts lie in blocks of their own
+    ids = [i for t in truth(ODD, 1) for i in t][start : start + n]
+    got = files.read_range(start, n).orderBy("start").collect()
+    assert [i for r in got for i in np.frombuffer(r.ids, "<u4").tolist()] == ids and (not got or got[0].start == start)
+
+
+def test_slices_decode_from_the_resume_point():
+    ids = np.random.default_rng(3).integers(0, 50, 70_000).astype(np.uint16)
+    table = tf.Table(tf.scale_counts(np.bincount(ids, minlength=50)))
+    view = tf.read_block(tf.pack_block([1], [len(ids)], ids, 0, table, lanes=64, resume=32))
+    for a, b in ((0, 1), (2047, 2049), (2048, 70_000), (69_999, 70_000), (5000, 5000 + 64 * 32 * 3)):
+        assert (tf.decode_slice(view, table, a, b) == ids[a:b]).all()
+
+
 def test_token_files_null_ids_and_ties(spark, tmp_path):
     df = spark.createDataFrame([(None, "b"), (3, "a a"), (3, "a"), (3, "a")], "doc_id long, text string")
     got = tf.write_token_files(df, f"file://{tmp_path}/t", PATH).documents().orderBy("start").collect()
