@@ -15,9 +15,16 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _re2(pattern: str) -> str:
+    """A pattern without possessive repeats, which RE2 has no need of."""
+    for kind in ("*", "+", "}", "?"):
+        pattern = pattern.replace(f"{kind}+", kind)
+    return pattern
+
+
 # pieces between matches and the matches themselves, alternating, give each match's place
 _MATCHES = " UNION ALL ".join(
-    f"SELECT doc_id, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least_, string_split_regex(t, {_quoted(r.pattern)}) AS gaps, regexp_extract_all(t, {_quoted(r.pattern)}) AS hits, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) AS vals FROM d"
+    f"SELECT doc_id, '{r.kind}' AS kind, {k} AS rank, {r.least} AS least_, string_split_regex(t, {_quoted(_re2(r.pattern))}) AS gaps, regexp_extract_all(t, {_quoted(_re2(r.pattern))}) AS hits, regexp_extract_all(t, {_quoted(_re2(r.pattern))}, {r.group}) AS vals FROM d"
     for k, r in enumerate(SECRETS)
 )
 ORACLE["op5_secrets"] = f"""

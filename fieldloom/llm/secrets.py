@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import materialize
 
@@ -37,15 +37,18 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]{12,}"),
     Rule("hex", r"[0-9a-f]{32,}"),
 )
-#: A key block: from BEGIN to END if no other line of five dashes comes first, else over headers, base64 lines (with the first word of a line after them) and up to 300 long runs of base64 that are indented or follow spaces. No look-around: SQL uses it, too.
+_BLANK, _BASE64 = r"[\x09-\x0D\x20]", "[A-Za-z0-9+/]"
+#: A key block: from BEGIN to END if no other line of five dashes comes first, else over headers, base64 lines (with the first word of a line after them) and long runs of base64 that are indented or follow spaces, with a short padded one at their end. Every repeat is possessive: nothing is bounded, nothing is tried twice and no stack grows with the text.
 PEM = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:\r?\n(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}[A-Za-z0-9+/=\r\n]*" + r"(?:\s+[A-Za-z0-9+/]{16,}={0,2}){0,60}" * 5 + r"[A-Za-z0-9+/=\r\n]*)"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-{1,4}+[^-])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\r?\n(?:Proc-Type|DEK-Info):[^\r\n]*+)*+[A-Za-z0-9+/=\r\n]*+" + f"(?:{_BLANK}++{_BASE64}{{16,}}+={{0,2}}+)*+[A-Za-z0-9+/=\\r\\n]*+(?:{_BLANK}++{_BASE64}++={{1,2}}+)?+)"
 )
+#: A web token, group 1 its second and third parts. Where these don't follow, the match takes the whole head without counting, so that no head is read again from within.
+JWT = "eyJ(?:W{8,}+(\\.eyJW{8,}+\\.W{8,}+)?+)?+".replace("W", "[A-Za-z0-9_-]")
 #: Kinds that the ledger's rule set adds: key blocks, web tokens, and tokens with an issuer's prefix.
 ADDED = (
-    Rule("pem", PEM, version=2),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", version=2),  # a bounded head, so that a long run of heads isn't read once for each
+    Rule("pem", PEM, version=3),
+    Rule("jwt", JWT, group=1, version=3),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE + ADDED
@@ -157,14 +160,38 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """(blob, found) of a ledger that scan_into() keeps, the latest row of each blob; None before its first run."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = spark.read.schema(f"{LEDGER}, run long").parquet(path)
+    return rows.groupBy("blob").agg(F.max_by("found", "run").alias("found"))
+
+
+def scan_into(versions: DataFrame, path: str, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The whole ledger at path, after scanning what it lacks of these versions and appending that as one run.
+
+    A run that breaks appends nothing and is simply done again. Versions or rules that are known
+    add no rows.
+    """
+    spark, known = versions.sparkSession, read_ledger(versions.sparkSession, path)
+    run = 0 if known is None else (spark.read.schema(f"{LEDGER}, run long").parquet(path).agg(F.max("run")).first()[0] or 0) + 1
+    scan_versions(versions, text_col, rules, known).withColumn("run", F.lit(run).cast("long")).write.mode("append").option("compression", "zstd").parquet(path)
+    return read_ledger(spark, path)
+
+
+def find_secrets(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, path: str | None = None) -> DataFrame:
     """Scan what the ledger lacks and return the findings of every version row: (id, all).
 
     Null text: empty, no findings. Null id: kept. Repeated rows and copies: scanned once, a row
-    each. Empty table: no rows. Other columns are ignored, whatever their names. The updated
-    ledger rows are written to the shared folder before findings join back, so that a large group
-    of copies is an ordinary join side that Spark may split.
+    each. Empty table: no rows. Other columns are ignored, whatever their names. With a path,
+    the ledger lies there and keeps what this run scans; else new rows go to the shared folder. Either
+    way they are written before findings join back, so that a large group of copies is an ordinary
+    join side that Spark may split.
     """
+    if path is not None:
+        return findings(versions, scan_into(versions, path, text_col, rules), id_col, text_col, rules)
     return findings(versions, merge_ledger(ledger, materialize(scan_versions(versions, text_col, rules, ledger), "ledger")), id_col, text_col, rules)
 
 
