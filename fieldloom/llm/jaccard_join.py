@@ -316,9 +316,18 @@ def links_and_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     tries = materialize(open_pairs(lists, cards), "tries")
     with small_batches(spark):
         near, rest = derived(tries.filter("way = 1").select("a", "b"), answers.join(wanted.select("node", "n"), "node"))
-        read = compared(tries.filter("way = 2").select("a", "b").unionByName(rest), texts).filter("linked").select("a", "b")
-        more = materialize(tries.filter("way = 0").select("a", "b").unionByName(near).unionByName(read), "links")
-    return (labels if more.isEmpty() else components(links.unionByName(more))), nodes.select("key", "node", "n")
+        links = materialize(links.unionByName(tries.filter("way = 0").select("a", "b")).unionByName(near), "links")
+        # of what is to be read, first one pair of each two components, then those that these leave apart
+        unread = materialize(tries.filter("way = 2").select("a", "b").unionByName(rest), "unread")
+        for one_each in (True, False):
+            labels = components(links)
+            comp = lambda s: labels.select(F.col("node").alias(s), F.col("comp").alias(f"{s}_comp"))  # noqa: B023, E731
+            apart = unread.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select("a", "b", F.coalesce("a_comp", "a").alias("x"), F.coalesce("b_comp", "b").alias("y")).filter("x <> y")
+            if one_each:
+                apart = apart.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+            more = materialize(compared(materialize(apart.select("a", "b"), "apart"), texts).filter("linked").select("a", "b"), "links")
+            links = links.unionByName(more)
+    return (labels if more.isEmpty() else components(links)), nodes.select("key", "node", "n")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
