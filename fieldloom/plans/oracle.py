@@ -124,6 +124,19 @@ ORACLE["vector_components"] = "SELECT o_orderkey, 'velocity[' || k || ']' AS fie
 ORACLE["packed_grids"] = f"WITH {CELLS}, g AS (SELECT state_ref, list(z ORDER BY r, c) AS z FROM cells GROUP BY state_ref) SELECT state_ref, CAST(64 * (row_number() OVER (ORDER BY CAST(state_ref[5:] AS BIGINT)) - 1) AS BIGINT) AS cache_offset, CAST(len(z) AS INTEGER) AS size, {text6('z')} AS z FROM g"
 ORACLE["full_matrix_prompt"] = f"""WITH {CELLS}, rows_ AS (SELECT state_ref, r, '[' || string_agg(CAST(CAST(round(z, 3) AS DECIMAL(12,3)) AS VARCHAR), ',' ORDER BY c) || ']' AS t FROM cells GROUP BY ALL)
     SELECT state_ref, '8 x 8 grid: [' || string_agg(t, ',' ORDER BY r) || ']' AS prompt FROM rows_ GROUP BY state_ref"""
+SHIPPED = """base AS (SELECT min(s_suppkey) AS low, CAST(max(s_suppkey) - min(s_suppkey) + 1 AS INTEGER) AS height FROM supplier),
+    frames AS (SELECT DISTINCT l_returnflag AS file, CAST(l_linestatus = 'O' AS INTEGER) AS sample, CAST(l_linenumber - 1 AS INTEGER) AS time, height FROM lineitem, base),
+    sums AS (SELECT l_returnflag AS file, CAST(l_linestatus = 'O' AS INTEGER) AS sample, CAST(l_linenumber - 1 AS INTEGER) AS time, l_suppkey - low + 1 AS r, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS c, sum(l_quantity) AS x FROM lineitem, base GROUP BY ALL),
+    shipped AS (SELECT file, sample, time, height, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, coalesce(x, 0.0) AS x FROM frames CROSS JOIN (SELECT unnest(range(1, height + 1)) AS r FROM base) CROSS JOIN (SELECT unnest(range(1, 85)) AS c) LEFT JOIN sums USING (file, sample, time, r, c))"""
+ORACLE["tile_crops"] = f"""WITH {SHIPPED}, crops AS (SELECT file, sample, time, k, least(5 + 3 * k, height) AS h, 7 + 11 * k AS w, (time * 7 + k * 13) % (height - least(5 + 3 * k, height) + 1) AS top, (sample * 29 + k * 17 + time * 5) % (84 - 7 - 11 * k + 1) AS lft FROM frames, (SELECT unnest(range(0, 3)) AS k))
+    SELECT concat_ws(':', file, sample, time, k) AS state_ref, CAST(r - top AS INTEGER) AS r, CAST(c - lft AS INTEGER) AS c, x FROM crops JOIN shipped USING (file, sample, time) WHERE r BETWEEN top + 1 AND top + h AND c BETWEEN lft + 1 AND lft + w"""
+ORACLE["tile_layout"] = f"""WITH {SHIPPED}, n AS (SELECT file, CAST(max(sample) + 1 AS INTEGER) AS samples, CAST(max(time) + 1 AS INTEGER) AS times, CAST(max(r) AS INTEGER) AS height, 84 AS width, count(*) AS value_count, count(*) FILTER (x = 0) AS empty FROM shipped GROUP BY file)
+    SELECT file AS source_file_id, samples, times, height, width, 'float64' AS dtype, value_count, value_count * 8 AS bytes, CASE WHEN file = 'R' THEN 'frames,missing_tiles,times,value_count' WHEN file = 'N' AND empty > 0 THEN 'not_finite' ELSE '' END AS problems FROM n"""
+REGIONS = f"""{SHIPPED}, regions AS (SELECT *, 1 + (k * 7 + time) % (height - height // 2) AS r1, 1 + (k * 11 + sample * 5) % 40 AS c1 FROM frames, (SELECT unnest(range(0, 4)) AS k)),
+    inside AS (SELECT concat_ws(':', g.file, g.sample, g.time, k) AS region, s.r, s.c, s.x FROM regions g JOIN shipped s USING (file, sample, time) WHERE s.r BETWEEN r1 AND r1 + g.height // 2 AND s.c BETWEEN c1 AND c1 + 30 + 4 * k)"""
+ORACLE["pyramid_statistics"] = f"WITH {REGIONS} SELECT region, count(*) AS n, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x) AS low, max(x) AS high FROM inside GROUP BY region"
+ORACLE["pyramid_ties"] = f"""WITH {REGIONS}, tied AS (SELECT * FROM inside QUALIFY x = max(x) OVER (PARTITION BY region))
+    SELECT region, CAST(r AS INTEGER) AS r, CAST(min(c) AS INTEGER) AS c0, CAST(max(c) AS INTEGER) AS c1 FROM (SELECT *, c - row_number() OVER (PARTITION BY region, r ORDER BY c) AS g FROM tied) GROUP BY region, r, g"""
 ORACLE["program_values"] = f"WITH {EXECUTED} SELECT state_ref, task, {text6('vals')} AS answer, {text6('operands')} AS operands FROM numeric_"
 ORACLE["program_locations"] = f"WITH {EXECUTED} SELECT state_ref, task, runs[1].r AS r, runs[1].c0 AS c, encoding, array_to_string(list_transform(runs, lambda q: q.r || ':' || q.c0 || '-' || q.c1), ';') AS runs FROM located"
 ORACLE["tie_set_audit"] = f"""WITH {EXECUTED}, bent AS (SELECT l.state_ref, l.task, s.c1 AS low, s.c2 AS high, CASE l.n % 4 WHEN 1 THEN runs[2:1] WHEN 2 THEN list_concat(runs[1:1], runs) WHEN 3 THEN list_transform(runs, lambda q: {{'r': q.r, 'c0': q.c0 + 2, 'c1': q.c1 + 2}}) ELSE runs END AS runs FROM located l JOIN spans s ON s.state_ref = l.state_ref AND s.task = l.task)

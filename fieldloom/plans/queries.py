@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import labels as L, numeric as N
 from ..functions.answers import answer_text, parse_answer
-from ..operators import audit, batching, normalize, programs as P, sampling, scoring
-from ..sources import grids
+from ..operators import audit, batching, normalize, programs as P, pyramid, sampling, scoring
+from ..sources import grids, tiles
 from ..sources.grids import table
+from ..sources.tables import discarding, written
 from .build import BuildConfig, Dataset, build_dataset
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,6 +186,81 @@ def full_matrix_prompt(s, d):
     return packed(s, d).select("state_ref", F.concat(F.format_string("%d x %d grid: [", "h", "w"), F.array_join(rows, ","), F.lit("]")).alias("prompt"))
 
 
+# ---------------------------------------------------------------- large fields in tiles
+
+
+def _frame_name() -> Column:
+    return F.concat_ws(":", "source_file_id", "sample_index", "time_index")
+
+
+def _shipment_store(s: SparkSession, d: str, side: int = 16) -> tiles.TileStore:
+    return tiles.write_store(tiles.tiles_of_cells(grids.shipment_cells(s, d), side), side)
+
+
+@query
+def tile_crops(s, d):
+    """A1 A2: three crops of every frame of shipped quantities, read from a tile store by the tiles they touch."""
+    store = _shipment_store(s, d)
+    with discarding(s):
+        frames = store.tiles.filter("tr = 0 and tc = 0").select(*tiles.FRAME, "height", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+        k, t = F.col("k"), F.col("time_index")
+        sized = frames.withColumn("h", F.least(5 + 3 * k, F.col("height"))).withColumn("w", 7 + 11 * k)
+        placed = sized.withColumn("top", (t * 7 + k * 13) % (F.col("height") - F.col("h") + 1)).withColumn("left", (F.col("sample_index") * 29 + k * 17 + t * 5) % (84 - F.col("w") + 1))
+        states = placed.select(F.concat_ws(":", _frame_name(), "k").alias("state_ref"), *tiles.FRAME, "top", "left", "h", "w")
+        crops = tiles.read_crops(store, states).select("state_ref", "w", F.posexplode("x").alias("i", "x"))
+        out = written(crops.select("state_ref", (F.floor(F.col("i") / F.col("w")) + 1).cast("int").alias("r"), (F.col("i") % F.col("w") + 1).cast("int").alias("c"), "x"), "crops", outer=True)
+    store.remove()
+    return out
+
+
+@query
+def tile_layout(s, d):
+    """Shape, values, bytes and problems of each file of a tile store; file N has values that aren't finite, file R lacks a time step, both by the data's own keys."""
+    whole = _shipment_store(s, d)
+    with discarding(s):
+        file = F.col("source_file_id")
+        x = F.transform("values", lambda v: F.when(v == 0, float("nan")).otherwise(v))
+        bent = whole.tiles.filter((file != "R") | (F.col("time_index") != 6)).withColumn("values", F.when(file == "N", x).otherwise(F.col("values")))
+        found = tiles.layout_problems(tiles.TileStore(bent, whole.layout, whole.side, whole.path)).groupBy("source_file_id").agg(F.array_join(F.array_sort(F.collect_list("problem")), ",").alias("problems"))
+        out = whole.layout.join(found, "source_file_id", "left").select("source_file_id", "samples", "times", "height", "width", "dtype", "value_count", "bytes", F.coalesce("problems", F.lit("")).alias("problems"))
+        out = written(out, "layout", outer=True)
+    whole.remove()
+    return out
+
+
+def _shipment_regions(frames: DataFrame) -> DataFrame:
+    """Four regions of every frame, about half its rows and columns; frames: (state_ref, source_file_id, sample_index, time_index, height, width)."""
+    k = F.col("k")
+    each = frames.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
+    half = F.floor(F.col("height") / 2).cast("int")
+    r1, c1 = 1 + (k * 7 + F.col("time_index")) % (F.col("height") - half), 1 + (k * 11 + F.col("sample_index") * 5) % 40
+    return each.select(F.concat_ws(":", "state_ref", "k").alias("region"), "state_ref", "height", "width", r1.alias("r1"), (r1 + half).alias("r2"), c1.alias("c1"), (c1 + 30 + 4 * k).alias("c2"))
+
+
+def _shipment_pyramid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(regions, tiles, pyramid) of the shipped quantities."""
+    own = written(tiles.tiles_of_cells(grids.shipment_cells(s, d), pyramid.SIDE).withColumn("state_ref", _frame_name()), "tiles")
+    regions = _shipment_regions(own.filter("tr = 0 and tc = 0").select("state_ref", "source_file_id", "sample_index", "time_index", "height", "width"))
+    return regions, own, written(pyramid.pyramid(own), "pyramid")
+
+
+@query
+def pyramid_statistics(s, d):
+    """Statistics of large regions from tile summaries and their rims."""
+    with discarding(s):
+        stats = pyramid.region_statistics(*_shipment_pyramid(s, d))
+        return written(stats.select("region", "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "low", "high"), "statistics", outer=True)
+
+
+@query
+def pyramid_ties(s, d):
+    """Row runs of the greatest values of large regions; only tiles that have them are read."""
+    with discarding(s):
+        regions, own, levels = _shipment_pyramid(s, d)
+        stats = written(pyramid.region_statistics(regions, own, levels), "statistics")
+        return written(pyramid.region_extrema(regions, stats, own, levels, "argmax"), "ties", outer=True)
+
+
 # ---------------------------------------------------------------- programs
 
 

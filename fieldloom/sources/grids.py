@@ -45,6 +45,22 @@ def lineitem_cells(spark: SparkSession, folder: str) -> DataFrame:
     return full.select(F.concat(F.lit("lin:"), F.col("l_suppkey").cast("string")).alias("state_ref"), F.lit("lin").alias("source_id"), F.lit("discount").alias("field"), F.col("l_suppkey").alias("trajectory"), F.lit(7).alias("h"), F.lit(7).alias("w"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
+def shipment_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantities shipped by supplier (rows) and month (84 columns), a frame for each return flag (file), line status (sample) and line number (time): (source_file_id, field_key, component, sample_index, time_index, height, width, r, c, x), 0 where nothing was shipped."""
+    li, months = table(spark, folder, "lineitem"), 84
+    low, high = table(spark, folder, "supplier").agg(F.min("s_suppkey").cast("int"), F.max("s_suppkey").cast("int")).first()  # two numbers
+    height = high - low + 1
+    month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("int")
+    sums = li.select("l_returnflag", "l_linestatus", "l_linenumber", (F.col("l_suppkey").cast("int") - low + 1).alias("r"), month.alias("c"), "l_quantity").withColumn("r", _within("r", height)).withColumn("c", _within("c", months))
+    sums = sums.groupBy("l_returnflag", "l_linestatus", "l_linenumber", "r", "c").agg(F.sum("l_quantity").alias("x"))
+    frame = li.select("l_returnflag", "l_linestatus", "l_linenumber").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(height))).alias("r")).select("*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("c"))
+    full = frame.join(sums, ["l_returnflag", "l_linestatus", "l_linenumber", "r", "c"], "left")
+    return full.select(
+        F.col("l_returnflag").alias("source_file_id"), F.lit("quantity").alias("field_key"), F.lit(None).cast("int").alias("component"), (F.col("l_linestatus") == "O").cast("int").alias("sample_index"), (F.col("l_linenumber") - 1).cast("int").alias("time_index"),
+        F.lit(height).alias("height"), F.lit(months).alias("width"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"),
+    )
+
+
 def crop(cells: DataFrame, top: int, left: int, h: int, w: int) -> DataFrame:
     """Cells of the rectangle at the zero-based corner (top, left), with one-based coordinates of their own."""
     inside = cells.filter(F.col("r").between(top + 1, top + h) & F.col("c").between(left + 1, left + w))
