@@ -38,6 +38,8 @@ CHUNKS = 64
 HOT, SALT = 4096, 64
 #: Entries of a block of a list.
 BLOCK = 256
+#: Node pairs that are tried at once.
+AT_ONCE = 1 << 20
 FACTS = ("node", "n", "place", "comp", "leader", "shared", "leader_n")
 
 
@@ -221,28 +223,40 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
     return known.join(top, "token").groupBy(F.col("node").alias("b")).agg(F.max("top")["node"].alias("a")).filter("a <> b").select("a", "b")
 
 
-def _matrix(batch: pa.RecordBatch, side: str, i: int) -> dict[str, np.ndarray]:
-    return {c: batch.column(f"{side}_{c}")[i].values.to_numpy(zero_copy_only=False) for c in FACTS}
-
-
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, way) of a block pair's nodes that may link: way 0 link by bounds alone, 1 have the same leader, 2 are to be read."""
+    """(a, b, way) of the block pairs' nodes that may link: way 0 link by bounds alone, 1 have the same leader, 2 are to be read. Many block pairs, with AT_ONCE node pairs about, are tried together."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            x, y = _matrix(batch, "x", i), _matrix(batch, "y", i)
-            col = {c: v[:, None] for c, v in x.items()}
-            n = col["n"] + y["n"]
-            reach = np.minimum(col["n"] - col["place"], y["n"] - y["place"])  # exact for a pair's first common shingle
-            may = (col["comp"] != y["comp"]) & (100 * np.minimum(col["n"], y["n"]) >= PERCENT * np.maximum(col["n"], y["n"])) & ((100 + PERCENT) * reach >= PERCENT * n)
-            may &= (col["leader"] != y["node"]) & (y["leader"] != col["node"])  # answered
-            same = (col["leader"] == y["leader"]) & (col["leader"] >= 0)
-            least = col["shared"] + y["shared"] - col["leader_n"]
-            most = np.minimum(col["shared"], y["shared"]) + np.minimum(col["n"] - col["shared"], y["n"] - y["shared"])
-            may &= ~same | ((100 + PERCENT) * most >= PERCENT * n)
-            way = np.where(same, np.where((100 + PERCENT) * least >= PERCENT * n, 0, 1), 2)
-            r, c = np.nonzero(may)
-            a, b = x["node"][r], y["node"][c]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(way[r, c].astype(np.int32))], names=["a", "b", "way"])
+        ends = {s: batch.column(f"{s}_node").offsets.to_numpy() for s in "xy"}
+        lengths = {s: np.diff(ends[s]) for s in "xy"}
+        count = lengths["x"].astype(np.int64) * lengths["y"]
+        cuts = np.flatnonzero(np.diff(np.cumsum(count) // AT_ONCE, prepend=-1)).tolist() + [batch.num_rows]
+        facts = {f"{s}_{c}": batch.column(f"{s}_{c}").values.to_numpy(zero_copy_only=False) for s in "xy" for c in FACTS}
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            own = count[first:last]
+            row = np.repeat(np.arange(first, last), own)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own)
+            wide = lengths["y"][row]
+            at = {"x": ends["x"][row] + nth // wide, "y": ends["y"][row] + nth % wide}
+
+            def keep(on: np.ndarray) -> None:
+                for s in "xy":
+                    at[s] = at[s][on]  # noqa: B023
+
+            def get(c: str) -> tuple[np.ndarray, np.ndarray]:
+                return facts[f"x_{c}"][at["x"]], facts[f"y_{c}"][at["y"]]  # noqa: B023
+
+            keep(np.not_equal(*get("comp")))
+            (nx, ny), (px, py) = get("n"), get("place")
+            reach = np.minimum(nx - px, ny - py)  # exact for a pair's first common shingle
+            keep((100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)) & linked(reach, nx, ny))
+            (x, y), (lx, ly) = get("node"), get("leader")
+            keep((lx != y) & (ly != x))  # the others are answered
+            (x, y), (lx, ly), (nx, ny), (sx, sy) = get("node"), get("leader"), get("n"), get("shared")
+            same = (lx == ly) & (lx >= 0)
+            may = ~same | linked(np.minimum(sx, sy) + np.minimum(nx - sx, ny - sy), nx, ny)
+            way = np.where(same, np.where(linked(sx + sy - get("leader_n")[0], nx, ny), 0, 1), 2)[may]
+            x, y = x[may], y[may]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(way.astype(np.int32))], names=["a", "b", "way"])
 
 
 def open_pairs(lists: DataFrame, cards: DataFrame) -> DataFrame:

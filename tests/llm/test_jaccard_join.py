@@ -118,3 +118,25 @@ def test_differences_give_the_overlap():
     lead, x, z = J.shingle_sets(sets)
     plus, minus = [np.setdiff1d(v, lead) for v in (x, z)], [np.setdiff1d(lead, v) for v in (x, z)]
     assert len(lead) - len(np.union1d(*minus)) + len(np.intersect1d(*plus)) == len(np.intersect1d(x, z))
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 1 << 20])
+def test_block_pairs_together_and_one_by_one(monkeypatch, at_once):
+    monkeypatch.setattr(J, "AT_ONCE", at_once)
+    rng = np.random.default_rng(1)
+    rows, want = [], set()
+    for _ in range(40):
+        sides = [[(int(rng.integers(0, 60)), int(rng.integers(40, 60)), int(rng.integers(0, 9)), int(rng.integers(0, 4)), int(rng.integers(-1, 3)), 30, 45) for _ in range(int(rng.integers(1, 5)))] for _ in "xy"]
+        rows.append(sides)
+        for x in sides[0]:
+            for y in sides[1]:
+                need, n = 80 * (x[1] + y[1]), (x[1], y[1])
+                if x[3] == y[3] or 100 * min(n) < 80 * max(n) or 180 * min(x[1] - x[2], y[1] - y[2]) < need or x[4] == y[0] or y[4] == x[0]:
+                    continue
+                same = x[4] == y[4] and x[4] >= 0
+                if same and 180 * (min(x[5], y[5]) + min(x[1] - x[5], y[1] - y[5])) < need:
+                    continue
+                want.add((min(x[0], y[0]), max(x[0], y[0]), 2 if not same else 0 if 180 * (x[5] + y[5] - x[6]) >= need else 1))
+    columns = {f"{s}_{c}": pa.array([[e[k] for e in sides[j]] for sides in rows], pa.list_(pa.int64())) for j, s in enumerate("xy") for k, c in enumerate(J.FACTS)}
+    got = {t for b in J._block_pairs(iter([pa.RecordBatch.from_pydict(columns)])) for t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)}
+    assert got == want and len(want) > 20
