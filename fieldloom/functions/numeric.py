@@ -57,6 +57,39 @@ def order_key(*key: Column | str | int) -> Column:
     return F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256)
 
 
+def uniform(*key: Column | str | int) -> Column:
+    """A double in [0, 1), of 48 bits, from the SHA-256 of the key's parts."""
+    parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in key]
+    h = F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 12), 16, 10).cast("bigint")
+    return h / F.lit(float(1 << 48))
+
+
+#: Rounds of the Feistel network, an even number; and how often a number may be walked on: each walk ends with a chance over one half.
+ROUNDS, WALKS = 8, 64
+
+
+def permuted(i: Column, n: Column, *key: Column | str | int) -> Column:
+    """The i-th number of a random order of 0 ... n - 1 that the key sets: distinct for distinct i below n, without listing the others.
+
+    A Feistel network permutes the numbers of as many bits as n - 1 has; one that lands at n or above walks on until it doesn't.
+    """
+    bits = F.greatest(F.lit(2), F.length(F.conv((n - 1).cast("string"), 10, 2)))
+    left = F.pow(F.lit(2.0), F.floor(bits / 2)).cast("long")
+    right = F.pow(F.lit(2.0), bits - F.floor(bits / 2)).cast("long")
+
+    def once(x: Column) -> Column:
+        start = F.struct(F.floor(x / right).cast("long").alias("l"), (x % right).cast("long").alias("r"))
+
+        def step(s: Column, k: Column) -> Column:
+            size = F.when(k % 2 == 0, left).otherwise(right)
+            return F.struct(s["r"].alias("l"), ((s["l"] + draw(size, *key, "round", k, s["r"])) % size).cast("long").alias("r"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * right + s["r"])
+
+    walked = F.aggregate(F.sequence(F.lit(2), F.lit(WALKS)), once(i.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("no number below n was met")).cast("long"))
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two whole numbers by Euclid's rule; 91 steps suffice for 63 bits."""
     start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))

@@ -72,6 +72,48 @@ def merged_reports(reports: DataFrame) -> DataFrame:
     return reports.agg(F.sum("rows").alias("rows"), F.max("longest").alias("longest"), F.max_by("longest_id", F.struct("longest", -F.col("longest_id"))).alias("longest_id"), F.sum("over").alias("over"))
 
 
+#: What a token report says of one question.
+DETAIL = ("position", "qa_id", "task", "template_family", "prompt_tokens", "target_tokens")
+
+
+def token_budget_report(rows: DataFrame, prompt_limit: int, target_limit: int, parts: list[str] | None = None, examples: int = 8) -> DataFrame:
+    """Per part (one row without parts): questions, longest prompt and target with their first records, overflow counts, and the first `examples` questions over a limit.
+
+    rows: DETAIL and the parts' columns; position is a question's place in the whole set. A report
+    holds a bounded number of examples, and reports of parts merge in any order to that of the whole.
+    """
+    keys = list(parts or [])
+    detail = F.struct(*DETAIL)
+    first = lambda c: F.max_by(detail, F.struct(F.col(c), -F.col("position")))
+    over = lambda c, limit: F.count(F.when(F.col(c) > limit, 1))
+    either = (F.col("prompt_tokens") > prompt_limit) | (F.col("target_tokens") > target_limit)
+    sums = rows.groupBy(*keys).agg(
+        F.count("*").alias("questions"), F.max("prompt_tokens").alias("max_prompt_tokens"), first("prompt_tokens").alias("max_prompt_record"), F.max("target_tokens").alias("max_target_tokens"), first("target_tokens").alias("max_target_record"),
+        over("prompt_tokens", prompt_limit).alias("prompt_overflow"), over("target_tokens", target_limit).alias("target_overflow"), F.count(F.when(either, 1)).alias("overflow"),
+    )
+    found = rows.filter(either).select(*keys, detail.alias("d"))
+    if keys:
+        own = Window.partitionBy(*keys).orderBy("d.position")
+        few = found.withColumn("n_", F.row_number().over(own)).filter(F.col("n_") <= examples).groupBy(*keys).agg(F.array_sort(F.collect_list("d")).alias("examples"))
+        out = sums.join(few, keys, "left")
+    else:
+        few = found.orderBy("d.position").limit(examples).agg(F.array_sort(F.collect_list("d")).alias("examples"))
+        out = sums.withColumn("one_", F.lit(1)).join(few.withColumn("one_", F.lit(1)), "one_", "left").drop("one_")  # a row each
+    none = F.array().cast(out.schema["examples"].dataType)
+    return out.withColumn("examples", F.coalesce("examples", none)).withColumn("status", F.when(F.col("overflow") > 0, "overflow").otherwise("ok"))
+
+
+def merged_token_reports(reports: DataFrame, keys: list[str] | None = None, examples: int = 8) -> DataFrame:
+    """Reports of token_budget_report as one (per keys): sums, longest with their first records, and the first examples by position."""
+    longest = lambda c: F.max_by(f"max_{c}_record", F.struct(F.col(f"max_{c}_tokens"), -F.col(f"max_{c}_record.position")))
+    sums = ("questions", "prompt_overflow", "target_overflow", "overflow")
+    out = reports.groupBy(*(keys or [])).agg(
+        *[F.sum(c).alias(c) for c in sums], *[x for c in ("prompt", "target") for x in (F.max(f"max_{c}_tokens").alias(f"max_{c}_tokens"), longest(c).alias(f"max_{c}_record"))],
+        F.slice(F.array_sort(F.flatten(F.collect_list("examples"))), 1, examples).alias("examples"),  # `examples` of each report
+    )
+    return out.withColumn("status", F.when(F.col("overflow") > 0, "overflow").otherwise("ok"))
+
+
 def merge_strided(parts: DataFrame) -> DataFrame:
     """(i, length) of vectors (part, parts, k, length) that hold every parts-th item."""
     return parts.select((F.col("part") + F.col("k") * F.col("parts")).alias("i"), "length").groupBy("i").agg(F.sum("length").alias("length"))
@@ -111,6 +153,48 @@ def state_shards(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", draw(shards, "shard", F.col("state_ref")))
 
 
+def _filled(loads: list[int], room: int) -> list[int]:
+    """How much of room each part gets so that the fullest ends as low as can be: the lowest parts are filled to one level."""
+    order = sorted(range(len(loads)), key=lambda j: loads[j])
+    level, k = loads[order[0]], 1
+    left = room
+    while k < len(order) and (loads[order[k]] - level) * k <= left:
+        left -= (loads[order[k]] - level) * k
+        level, k = loads[order[k]], k + 1
+    share, rest = divmod(left, k)
+    out = [0] * len(loads)
+    for i, j in enumerate(order[:k]):
+        out[j] = level - loads[j] + share + (i < rest)
+    return out
+
+
+def least_loaded_shards(rows: DataFrame, shards: int, seed: int = 1, fine: int = 16) -> DataFrame:
+    """(state_ref, n, shard): all rows of a state in one shard, and shards of nearly equal numbers of rows.
+
+    States that hold more than 1 / fine of a shard's mean, at most shards * fine, are dealt to the
+    least loaded shard, the largest first; the others fill what is left, in hash order, by running
+    sums. No shard exceeds the larger of 4/3 of the best and the filled level by more than one small state.
+    """
+    loads = written(rows.groupBy("state_ref").agg(F.count("*").alias("n")), "loads")
+    total = loads.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * shards * fine > total
+    placed, held = {}, [0] * shards
+    for r in sorted(loads.filter(heavy).collect(), key=lambda r: (-r.n, r.state_ref)):  # fewer than shards * fine
+        j = min(range(shards), key=held.__getitem__)
+        placed[r.state_ref], held[j] = j, held[j] + r.n
+    ends, before = [], 0
+    for share in _filled(held, total - sum(held)):
+        before += share
+        ends.append(before)
+    light = running_offsets(loads.filter(~heavy).withColumn("order_", order_key(seed, "shard", F.col("state_ref"))), "order_", "n", "at_")
+    full = F.array(*[F.lit(e).cast("long") for e in ends])
+    out = light.select("state_ref", "n", F.least(F.size(F.filter(full, lambda e: e <= F.col("at_"))), F.lit(shards - 1)).alias("shard"))
+    if placed:
+        dealt = loads.sparkSession.createDataFrame(list(placed.items()), "state_ref string, shard int")
+        out = out.unionByName(loads.filter(heavy).join(dealt, "state_ref").select("state_ref", "n", "shard"))
+    return out
+
+
 def geometry_extrema(rows: DataFrame) -> DataFrame:
     """(criterion, id): the first rows with the most cells, the greatest height, the greatest width and the longest side over short side."""
     w = {"cells": F.col("h") * F.col("w"), "height": F.col("h"), "width": F.col("w"), "aspect": F.greatest("h", "w") / F.least("h", "w")}

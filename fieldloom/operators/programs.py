@@ -11,13 +11,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import labels as L
-from ..functions.numeric import bound, draw, exact_round
+from ..functions.numeric import bound, draw, exact_round, permuted
 
 SPANS = "array<struct<pos:int,r1:int,r2:int,c1:int,c2:int>>"
 #: Operator of each task's leaves, limits of sampled selectors, and answer precision.
 OPS = {**dict.fromkeys(L.READ_TASKS, "read"), "region_mean": "mean", "region_std": "std", "region_min": "min", "region_max": "max", "region_argmin": "argmin", "region_argmax": "argmax",
        "nearest_value_location": "nearest", "point_difference": "read", "region_mean_difference": "mean", "threshold_fraction": "fraction_gt"}
 LIMITS = {"read": 32, "line": 32, "region_values": 32, "statistic": 4096}
+#: Fixed value: how often a second region is drawn before a single cell stands for it.
+REDRAWS = 32
 DECIMALS, TOLERANCE, FRACTION_DECIMALS, FRACTION_TOLERANCE = 1, 0.2, 3, 0.02
 
 
@@ -86,8 +88,8 @@ def sample_programs(states: DataFrame, seed: int = 1, tasks: tuple[str, ...] = L
     b = (a + 1 + draw(F.greatest(cells - 1, F.lit(1)), "b", *key)) % cells
     count = F.least(cells, F.lit(LIMITS["read"]), 2 + draw(F.lit(6), "count", *key))
     cell = lambda i: F.struct((F.floor(i / w) + 1).cast("int").alias("r"), (i % w + 1).cast("int").alias("c"))
-    # distinct cells: an arithmetic walk that cannot meet itself within `count` steps
-    walk = F.transform(F.sequence(F.lit(0), count - 1), lambda i: cell((a + i * F.greatest(F.lit(1), F.floor(cells / count).cast("int"))) % cells))
+    # distinct cells, uniform without replacement: the first of a random order of all cells
+    walk = F.transform(F.sequence(F.lit(0), count - 1), lambda i: cell(permuted(i, cells, *key, "points")))
     vertical = ((h >= 2) & (draw(2, "axis", *key) == 0)) | (w < 2)
     extent = F.when(vertical, h).otherwise(w)
     length = 2 + draw(F.greatest(F.least(extent, F.lit(LIMITS["line"])) - 1, F.lit(1)), "length", *key)
@@ -103,10 +105,13 @@ def sample_programs(states: DataFrame, seed: int = 1, tasks: tuple[str, ...] = L
     spans_of = lambda s: region_spans(s["r"], s["c"], s["h"], s["w"])
     proper = task.isin("region_mean", "region_std", "region_mean_difference")
     region = F.when(proper, drawn_region(h, w, LIMITS["statistic"], True, "left", *key)).when(task == "region_values", drawn_region(h, w, LIMITS["region_values"], False, "left", *key)).otherwise(drawn_region(h, w, LIMITS["statistic"], False, "left", *key))
-    other = drawn_region(h, w, LIMITS["statistic"], True, "right", *key)
-    drawn = every.withColumn("region", region).withColumn("other", other)
-    region, other = F.col("region"), F.col("other")
-    # equal draws: the single cell that follows the first region's corner
+    drawn = every.withColumn("region", region)
+    region = F.col("region")
+    again = lambda o, i: F.when(o.isNull() | (o == region), drawn_region(h, w, LIMITS["statistic"], True, "right", i, *key)).otherwise(o)
+    other = F.aggregate(F.sequence(F.lit(1), F.lit(REDRAWS)), F.lit(None).cast("struct<r:int,c:int,h:int,w:int>"), again)
+    drawn = drawn.withColumn("other", F.when(task == "region_mean_difference", other))
+    other = F.col("other")
+    # equal however often drawn: the single cell that follows the first region's corner
     after = ((region["r"] - 1) * w + region["c"]) % cells
     fallback = F.struct((F.floor(after / w) + 1).cast("int").alias("r"), (after % w + 1).cast("int").alias("c"), F.lit(1).alias("h"), F.lit(1).alias("w"))
     distinct = F.when(other == region, fallback).otherwise(other)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.numeric import draw, gcd, order_key
+from ..functions.numeric import bound, draw, gcd, order_key, uniform
 
 
 def ranked(rows: DataFrame, order: str, out: str = "rank") -> DataFrame:
@@ -85,6 +85,40 @@ def weighted_order(items: DataFrame, group: str, key: str, weight: str, k: int,
     return ranked.filter(F.col("rank") <= k).drop("race")
 
 
+def sequential_draw(items: Column, weights: dict[str, float], k: int, *key) -> Column:
+    """Up to k of an array of struct(task, kind), one after the other without replacement: each draw gives a kind its weight, shared equally by the kind's items that are still there.
+
+    So the odds change after every draw, other than in weighted_order, where each item keeps its weight. An unknown kind weighs 1.
+    """
+    weight = F.lit(1.0)
+    of = lambda kind: F.coalesce(*[F.when(kind == name, F.lit(float(w))) for name, w in weights.items()], weight) if weights else weight
+    kind = items.getItem(0).getField("task")  # only for its type
+    start = F.struct(items.alias("rest"), F.array_compact(F.array(F.when(F.lit(False), kind))).alias("done"))
+
+    def step(s: Column, i: Column) -> Column:
+        rest = s["rest"]
+        shares = F.transform(rest, lambda x: of(x["kind"]) / F.size(F.filter(rest, lambda y: y["kind"] == x["kind"])))
+
+        def pick(v: Column) -> Column:
+            aim = uniform(*key, i) * F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+            zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+            passed = F.aggregate(v, zero, lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["at"] + F.when(a["sum"] + x <= aim, 1).otherwise(0)).alias("at")), lambda a: a["at"])
+            return F.least(passed, F.size(v) - 1)
+
+        at = bound(shares, pick)
+        moved = bound(at, lambda j: F.struct(F.filter(rest, lambda _, q: q != j).alias("rest"), F.concat(s["done"], F.array(F.get(rest, j)["task"])).alias("done")))
+        return F.when(F.size(rest) > 0, moved).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step, lambda s: s["done"])
+
+
+def shortfall(groups: DataFrame, selected: DataFrame, wanted: int, part: str, key: str) -> DataFrame:
+    """Per part: groups, items wanted and selected, and how many are missing because a group allows fewer. groups: (key, part), a row each; selected: a row per item."""
+    n = selected.groupBy(key).agg(F.count("*").alias("n"))
+    per = groups.select(key, part).join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return per.groupBy(part).agg(F.count("*").alias("groups"), (F.count("*") * wanted).alias("wanted"), F.sum("n").alias("selected"), F.sum(F.greatest(F.lit(wanted) - F.col("n"), F.lit(0))).alias("missing"))
+
+
 def round_robin(rows: DataFrame, bins: str, groups: list[str], per_bin: int, seed: int = 1, size: str = "cells") -> DataFrame:
     """Per bin, rows in turn from every group in hash order, up to per_bin; the last one gives way to the bin's largest row if that would be missed."""
     h = order_key(seed, F.col("qa_id"))

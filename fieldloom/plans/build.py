@@ -66,6 +66,10 @@ class Dataset:
         rows = self.records.join(self.states.select("state_ref", "split", "family", "source_id", "field"), "state_ref").withColumn("shape", L.shape_label(F.col("h"), F.col("w")))
         return audit.counters(rows, "split", ["family", "source_id", "field", "shape", "task", "capability", "difficulty"])
 
+    def shortfall(self, config: BuildConfig) -> DataFrame:
+        """Per split, records wanted and made; missing ones are tasks that a state's shape doesn't allow."""
+        return sampling.shortfall(self.states, self.records, config.tasks_per_state or len(config.tasks), "split", "state_ref")
+
     def coverage(self) -> DataFrame:
         """Distinct files, trajectories, frames, corners, shapes and crops by split and source."""
         one = {"source_files": ["source_file_id"], "trajectories": ["source_file_id", "sample_index"], "field_trajectories": ["source_file_id", "field", "sample_index"], "field_frames": ["source_file_id", "field", "sample_index", "time_index"]}
@@ -174,10 +178,10 @@ def build_dataset(spark: SparkSession, frames: DataFrame, config: BuildConfig) -
     grids = grids.select("state_ref", "h", "w", "z")
     drawn = P.sample_programs(states.select("state_ref", "h", "w"), config.seed, config.tasks)
     if config.tasks_per_state is not None:
-        weights = config.capability_weights
-        weight = F.coalesce(*[F.when(L.capability(F.col("task")) == c, F.lit(float(w))) for c, w in weights.items()], F.lit(1.0)) if weights else F.lit(1.0)
-        picked = sampling.weighted_order(drawn.withColumn("weight", weight), "state_ref", "task", "weight", config.tasks_per_state, config.seed)
-        drawn = picked.drop("weight", "rank")
+        fits = F.transform(P.fitting_tasks(F.col("h"), F.col("w")), lambda t: F.struct(t.alias("task"), L.capability(t).alias("kind")))
+        allowed = F.filter(fits, lambda x: x["task"].isin(*config.tasks))
+        picks = states.select("state_ref", F.explode(sampling.sequential_draw(allowed, config.capability_weights, config.tasks_per_state, config.seed, F.col("state_ref"), "pick")).alias("task"))
+        drawn = drawn.join(picks, ["state_ref", "task"], "left_semi")
     done = written(P.execute(drawn, grids), "executed")
     names = L.TEMPLATES["train"]
     rows = P.records(done, names)

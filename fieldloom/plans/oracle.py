@@ -266,6 +266,24 @@ ORACLE["efficiency_summary"] = f"""WITH {_TIMES}, u AS (SELECT *, status IN ('co
     SELECT method, decode_mode, bin, count(*) AS attempts, count(DISTINCT qa_id) AS unique_questions, count(*) FILTER (done) AS completed, count(*) FILTER (status = 'length_limit') AS length_limited, count(*) FILTER (status = 'oom') AS out_of_memory, round(count(*) FILTER (done) / (sum(ms) / 1000), 7) AS completed_per_second, round(sum(tok) / (sum(ms) / 1000), 7) AS tokens_per_second,
     round(quantile_cont(ms, 0.5) FILTER (done), 7) AS completed_p50_ms, round(quantile_cont(ms, 0.95) FILTER (done), 7) AS completed_p95_ms, round(avg(ms) FILTER (ran), 7) AS request_ms_mean, round(quantile_cont(ttft, 0.5) FILTER (ran), 7) AS ttft_ms_p50, round(avg(ttft) FILTER (ran), 7) AS ttft_ms_mean, round(avg(tok) FILTER (ran), 7) AS generated_tokens_mean, round(max(peak) FILTER (ran), 7) AS peak_gib, round(max(peak) FILTER (status = 'oom'), 7) AS oom_peak_gib FROM u GROUP BY method, decode_mode, bin"""
 ORACLE["paired_speed"] = f"WITH {_TIMES}, g AS (SELECT * FROM t WHERE status IN ('complete', 'fixed_length')) SELECT a.decode_mode, a.bin, count(*) AS pairs, round(sum(a.ms) / sum(b.ms), 9) AS time_ratio, round(avg(a.tok), 9) AS slow_tokens_mean, round(avg(b.tok), 9) AS fast_tokens_mean FROM g a JOIN g b ON a.method = 'serialized' AND b.method = 'interface' AND a.decode_mode = b.decode_mode AND a.bin = b.bin AND a.qa_id = b.qa_id GROUP BY ALL"
+ORACLE["distinct_points"] = f"""WITH RECURSIVE walk AS (SELECT s_suppkey, i, 0 AS t, i // 8 AS l, i % 8 AS r FROM supplier, (SELECT unnest(range(0, 6)) AS i)
+    UNION ALL SELECT s_suppkey, i, t + 1, r, (l + {draw('8', "'1:' || s_suppkey || ':points:round:' || (t % 8) || ':' || r")}) % 8 FROM walk WHERE NOT (t > 0 AND t % 8 = 0 AND l * 8 + r < 49))
+    SELECT s_suppkey, CAST(i AS INTEGER) AS i, CAST(l * 8 + r AS BIGINT) AS cell FROM walk WHERE t > 0 AND t % 8 = 0 AND l * 8 + r < 49"""
+_KIND = "CASE WHEN {0} < 4 THEN 4.0 WHEN {0} < 8 THEN 2.0 WHEN {0} < 11 THEN 3.0 ELSE 1.0 END::DOUBLE"
+_SHARE = _KIND.format("x") + " / len(list_filter(rest, lambda y: " + _KIND.format("y") + " = " + _KIND.format("x") + "))"
+_NAMES = "['single_point','multi_point','line_profile','region_values','region_mean','region_std','region_min','region_max','region_argmin','region_argmax','nearest_value_location','point_difference','region_mean_difference','threshold_fraction']"
+ORACLE["sequential_tasks"] = f"""WITH RECURSIVE {STATES}, fold AS (SELECT state_ref, 0 AS i, range(0, 14) AS rest, CAST(NULL AS BIGINT) AS task FROM states
+    UNION ALL SELECT state_ref, i + 1, list_filter(rest, lambda x: x <> rest[pos]), rest[pos] FROM (
+        SELECT state_ref, i, rest, least(len(list_filter(range(1, len(rest) + 1), lambda j: list_sum(shares[1:j]) <= u * list_sum(shares))) + 1, len(rest)) AS pos
+        FROM (SELECT state_ref, i, rest, list_transform(rest, lambda x: {_SHARE}) AS shares, CAST('0x' || sha256('1:' || state_ref || ':pick:' || (i + 1))[:12] AS BIGINT) / 281474976710656.0::DOUBLE AS u FROM fold WHERE i < 4)))
+    SELECT state_ref, i AS rank, {_NAMES}[task + 1] AS task FROM fold WHERE i > 0"""
+ORACLE["budget_shortfall"] = """WITH p AS (SELECT p_brand AS split, p_size % 3 + 1 AS h, (p_size // 3) % 3 + 1 AS w FROM part),
+    n AS (SELECT split, 8 + CASE WHEN h * w >= 2 THEN 5 ELSE 0 END + CASE WHEN greatest(h, w) >= 2 THEN 1 ELSE 0 END AS n FROM p)
+    SELECT split, count(*) AS groups, count(*) * 14 AS wanted, CAST(sum(n) AS BIGINT) AS selected, CAST(sum(14 - n) AS BIGINT) AS missing FROM n GROUP BY split"""
+ORACLE["token_budgets"] = """WITH q AS (SELECT o_orderkey AS position, 'o' || o_orderkey AS qa_id, o_orderstatus AS template_family, CAST(floor(o_totalprice) AS BIGINT) % 400 AS p, o_custkey % 45 AS t FROM orders)
+    SELECT template_family, count(*) AS questions, CAST(max(p) AS BIGINT) AS max_prompt_tokens, arg_max(qa_id, p * 1000000000 - position) AS max_prompt_qa_id, CAST(max(t) AS BIGINT) AS max_target_tokens, arg_max(qa_id, t * 1000000000 - position) AS max_target_qa_id,
+    count(*) FILTER (p > 380) AS prompt_overflow, count(*) FILTER (t > 42) AS target_overflow, count(*) FILTER (p > 380 OR t > 42) AS overflow, coalesce(array_to_string((list(qa_id ORDER BY position) FILTER (p > 380 OR t > 42))[1:8], ','), '') AS examples, CASE WHEN count(*) FILTER (p > 380 OR t > 42) > 0 THEN 'overflow' ELSE 'ok' END AS status FROM q GROUP BY template_family"""
+ORACLE["balanced_shards"] = "SELECT count(*) AS rows, count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END) AS states, CAST(0 AS BIGINT) AS split_states, CAST(6 AS BIGINT) AS shards, true AS within FROM orders"
 ORACLE["state_shards"] = f"SELECT 'emb:' || vec_id AS state_ref, CAST({draw('8', "'shard:emb:' || vec_id")} AS INTEGER) AS shard, CAST(1 AS BIGINT) AS shards, CAST(14 AS BIGINT) AS rows FROM embeddings"
 ORACLE["benchmark_requests"] = """WITH q AS (SELECT 'q' || vec_id AS qa_id, 'label' || label AS task, CAST((CAST(vec_id AS INTEGER) * 37) % 300 + 1 AS INTEGER) AS cells FROM embeddings),
     b AS (SELECT *, CASE WHEN cells <= 64 THEN 'cells_1_64' ELSE 'cells_65_256' END AS bin, sha256('1:' || qa_id) AS h FROM q WHERE cells <= 256), t AS (SELECT *, row_number() OVER (PARTITION BY bin, task ORDER BY h) AS turn FROM b),

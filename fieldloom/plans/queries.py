@@ -650,6 +650,32 @@ def weighted_tasks(s, d):
     return sampling.weighted_order(p, "p_brand", "p_partkey", "weight", 3).select("p_brand", "p_partkey", "rank")
 
 
+@query
+def distinct_points(s, d):
+    """L3: six distinct cells of each supplier's 7 x 7 grid, the first of a keyed random order."""
+    v = table(s, d, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    return v.select("s_suppkey", "i", N.permuted(F.col("i"), F.lit(49), 1, F.col("s_suppkey"), "points").alias("cell"))
+
+
+@query
+def sequential_tasks(s, d):
+    """Four tasks per state, drawn one after the other: a capability's weight is shared by its tasks that are still there."""
+    st = states(s, d)
+    tasks = F.transform(P.fitting_tasks(F.col("h"), F.col("w")), lambda t: F.struct(t.alias("task"), L.capability(t).alias("kind")))
+    weights = {"readout": 4.0, "localization": 3.0, "aggregation": 2.0, "composition": 1.0}
+    drawn = st.select("state_ref", F.posexplode(sampling.sequential_draw(tasks, weights, 4, 1, F.col("state_ref"), "pick")).alias("i", "task"))
+    return drawn.select("state_ref", (F.col("i") + 1).alias("rank"), "task")
+
+
+@query
+def budget_shortfall(s, d):
+    """Tasks wanted and allowed on grids of many shapes: a part's type number sets its shape."""
+    k = F.col("p_size")
+    p = table(s, d, "part").select(F.col("p_partkey").cast("string").alias("state_ref"), F.col("p_brand").alias("split"), (k % 3 + 1).cast("int").alias("h"), (F.floor(k / 3) % 3 + 1).cast("int").alias("w"))
+    made = p.select("state_ref", F.explode(P.fitting_tasks(F.col("h"), F.col("w"))).alias("task"))
+    return sampling.shortfall(p, made, len(L.TASKS), "split", "state_ref").select("split", "groups", "wanted", long("selected").alias("selected"), long("missing").alias("missing"))
+
+
 @query
 def benchmark_requests(s, d):
     """12 requests per area bin, in turn over tasks, with the largest grid."""
@@ -796,6 +822,38 @@ def token_examples(s, d):
     return batching.first_over(_requests(s, d), 900).select("id", "tokens")
 
 
+def _token_rows(s: SparkSession, d: str) -> DataFrame:
+    """A question per order: its price and customer as token counts."""
+    return table(s, d, "orders").select(
+        F.col("o_orderkey").alias("position"), F.concat(F.lit("o"), "o_orderkey").alias("qa_id"), F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("template_family"),
+        (F.floor("o_totalprice") % 400).cast("int").alias("prompt_tokens"), (F.col("o_custkey") % 45).cast("int").alias("target_tokens"), (F.col("o_orderkey") % 5).alias("part"),
+    )
+
+
+@query
+def token_budgets(s, d):
+    """Reports of five parts merged per template, with the first eight questions over a limit."""
+    parts = batching.token_budget_report(_token_rows(s, d), 380, 42, ["template_family", "part"])
+    out = batching.merged_token_reports(parts, ["template_family"])
+    return out.select(
+        "template_family", long("questions").alias("questions"), long("max_prompt_tokens").alias("max_prompt_tokens"), F.col("max_prompt_record.qa_id").alias("max_prompt_qa_id"), long("max_target_tokens").alias("max_target_tokens"), F.col("max_target_record.qa_id").alias("max_target_qa_id"),
+        long("prompt_overflow").alias("prompt_overflow"), long("target_overflow").alias("target_overflow"), long("overflow").alias("overflow"), F.array_join(F.transform("examples", lambda x: x["qa_id"]), ",").alias("examples"), "status",
+    )
+
+
+@query
+def balanced_shards(s, d):
+    """customers' orders in 6 shards, a customer in one: rows, states, states in several shards, and whether the fullest keeps its bound."""
+    o = table(s, d, "orders").select(F.concat(F.lit("c"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_custkey")).cast("string")).alias("state_ref"))
+    with discarding(s):
+        placed = written(batching.least_loaded_shards(o, 6), "shards")
+        loads = placed.groupBy("shard").agg(F.sum("n").alias("load"))
+        most = placed.agg(F.sum("n").alias("rows"), F.count("*").alias("states"), F.countDistinct("state_ref").alias("distinct"), F.max("n").alias("largest"))
+        both = most.withColumn("one", F.lit(1)).join(loads.agg(F.max("load").alias("fullest"), F.count("*").alias("shards")).withColumn("one", F.lit(1)), "one")
+        bound = F.greatest(F.col("rows") / 6 * 4 / 3, F.col("largest")) + F.col("rows") / 6 / 16 + 1
+        return written(both.select(long("rows").alias("rows"), F.col("distinct").alias("states"), (F.col("states") - F.col("distinct")).alias("split_states"), "shards", (F.col("fullest") <= bound).alias("within")), "summary", outer=True)
+
+
 @query
 def strided_merge(s, d):
     """Vectors of every third item put together."""
