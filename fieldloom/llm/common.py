@@ -2,60 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..sources.tables import discarding as discarding, shared_folder as shared_folder, work_path as work_path, written as materialize
+
 #: The six white-space characters that separate words (space, and tab to carriage return).
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-_written: list[list[str]] = []
-
-
-@contextmanager
-def discarding(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables that materialize() wrote inside; what is to stay is written with a path of its own."""
-    _written.append([])
-    try:
-        yield
-    finally:
-        for path in _written.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def materialize(df: DataFrame, name: str, codec: str = "zstd", path: str | None = None, outer: bool = False) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, so that lost executors cost no recomputation. With outer, the table outlives the discarding() that it is written in, but not the one around that."""
-    spark = df.sparkSession
-    if path is None:
-        path = work_path(spark, name)
-        if len(_written) > outer:
-            _written[-1 - outer].append(path)
-    df.write.mode("errorifexists").option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextmanager
 def small_batches(spark: SparkSession, most_bytes: int = 16 << 20) -> Iterator[None]:
     """Arrow batches of bounded bytes for what runs inside, where a join may repeat a long text on many rows."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .quality_rules import ALPHA, CUTOFFS, DELTA, RULES, STRATA
 from .secrets import BASE
 from .secrets import RULES as SECRETS
-from .url_filter import FLOOR, LONG_SUFFIXES, PRIOR, RISK, STRONGEST, WEAKEST
+from .url_filter import FLOOR, PRIOR, RISK, SECOND, STRONGEST, WEAKEST
 from .url_filter import RULES as URL_RULES
 
 ORACLE: dict[str, str] = {}
@@ -86,7 +86,7 @@ def _below(a: str, b: str, x: float) -> str:
     return f"exp(lgamma({a} + {b}) - lgamma({a} + 1) - lgamma({b}) + {a} * ln({x}) + {b} * ln({1 - x})) * list_sum(list_transform({terms}, lambda m: exp(lgamma({a} + {b} + m) - lgamma({a} + {b}) - lgamma({a} + 1 + m) + lgamma({a} + 1) + m * ln({x}))))"
 
 
-_LONG = ", ".join(f"'{s}'" for s in LONG_SUFFIXES)
+_SECOND = ", ".join(f"'{s}'" for s in SECOND)
 _FITS = " UNION ALL ".join(f"SELECT page_id, '{r.text}' AS rule, '{r.verdict}' AS verdict FROM p WHERE (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in URL_RULES)
 ORACLE["op6_url_filter"] = f"""
 WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS u FROM pages),
@@ -95,7 +95,7 @@ best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, l
 one AS (SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 lab AS (SELECT host, count(*) AS n, CAST(sum(good) AS BIGINT) AS good FROM p JOIN one USING (page_id) GROUP BY host),
 h0 AS (SELECT host, coalesce(n, 0) AS n, coalesce(good, 0) AS good, string_split(host, '.') AS l FROM (SELECT DISTINCT host FROM p) LEFT JOIN lab USING (host)),
-parts AS (SELECT host, n, good, l, len(l) < 2 OR regexp_matches(host, '^[0-9.]+$|:|^\\[') AS figures, CASE WHEN len(l) > 2 AND array_to_string(l[-2:], '.') IN ({_LONG}) THEN 2 ELSE 1 END AS k FROM h0),
+parts AS (SELECT host, n, good, l, len(l) < 2 OR regexp_matches(host, '^[0-9.]+$|:|^\\[') AS figures, CASE WHEN len(l) > 2 AND regexp_full_match(l[-1], '[a-z]{{2}}') AND l[-2] IN ({_SECOND}) THEN 2 ELSE 1 END AS k FROM h0),
 h AS (SELECT host, n, good, CASE WHEN figures THEN host ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN figures THEN host ELSE array_to_string(l[-k:], '.') END AS suffix FROM parts),
 s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (coalesce(sum(good), 0) + {PRIOR}) / (coalesce(sum(n), 0) + 1) FROM h) AS above FROM h GROUP BY suffix),
 s AS (SELECT suffix, (good + m * above) / (n + m) AS mean FROM s0, (SELECT {_strength("s0")} AS m)),

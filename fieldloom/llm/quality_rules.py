@@ -23,7 +23,7 @@ CUTOFFS = (0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.0
 #: Declared strata; other languages, and null, share one more.
 STRATA = ("en", "de", "fr", "es")
 #: Of good documents, the share that all rules together may reject, and the chance that a cutoff breaks that.
-ALPHA, DELTA = 0.01, 0.05
+ALPHA, DELTA = 0.025, 0.05
 
 
 def stratum_of(lang: Column) -> Column:

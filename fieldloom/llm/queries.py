@@ -27,18 +27,22 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_lattice_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sampled segmentations of every text, with digests; null and empty texts have the empty one, see sample_segmentations()."""
     return sample_segmentations(read(spark, sf_dir, "documents"), PIECE_BPE, k=3, digest=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 4096 along the curve; null texts are the end id alone, see pack()."""
     return pack(read(spark, sf_dir, "documents"), WORD_BPE, end_id=2, length=4096, ids=False)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document; empty texts are copies of each other, null ids count for no class_id, see near_dup_classes()."""
     return near_dup_classes(read(spark, sf_dir, "documents"))
 
 
 def op4_graded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tails of every document; documents without a label are scored by their text as any, see score()."""
     docs = read(spark, sf_dir, "documents")
     graded = read(spark, sf_dir, "labels").select("doc_id", graded_quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
     scored = graded_quality.score(docs, graded_quality.train(docs, graded))
@@ -46,10 +50,12 @@ def op4_graded_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of every document; null texts have none, copies are scanned once, see find_secrets()."""
     return secret_digest(read(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; null texts fail the base rules, see judge()."""
     judged = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -61,16 +67,19 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read back from written token files; null texts are the end id alone, see write_token_files()."""
     files = write_token_files(read(spark, sf_dir, "documents"), work_path(spark, "token-files"), WORD_BPE, end_id=1)
     return files.documents(ids=False)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document; empty and null texts have the curve's value at zero, see score()."""
     docs = read(spark, sf_dir, "documents")
     return toxicity.score(docs, *toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty best of every twentieth vector against all; null and non-finite vectors take no part, see top_k()."""
     vectors = scaled(read(spark, sf_dir, "embeddings"), scale=64)
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 

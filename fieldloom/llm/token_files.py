@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import id_and_text, materialize, rows_out, text_batches
+from .common import discarding, id_and_text, materialize, rows_out, text_batches
 from .tokens import word_ids
 
 MAGIC = b"FLR2"
@@ -310,6 +310,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     spark = docs.sparkSession
     width = word_ids(tokenizer_path).dtype.str
     size = word_ids(tokenizer_path).tokenizer.get_vocab_size()
+    with discarding(spark):  # the ids' table goes once the files are written
+        return _write(docs, path, tokenizer_path, end_id, block_ids, width, size)
+
+
+def _write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None, block_ids: int, width: str, size: int) -> TokenFiles:
+    spark = docs.sparkSession
     # the row's number is written with it, so that it stays when an executor is lost
     tokens = materialize(tokenize(docs, tokenizer_path, end_id).withColumn("row", F.monotonically_increasing_id()), "tokens")
     counts = np.zeros(size, np.int64)

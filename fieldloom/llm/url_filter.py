@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import discarding, materialize
 from .special import beta_below
 
 
@@ -36,8 +36,8 @@ RULES = (
     UrlRule("block", "net", "/es/"),
     UrlRule("block", "net", "/fr/"),
 )
-#: Suffixes of several labels under which names are registered, where the caller has no table of them.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
+#: Labels that registries of countries set before their code of two letters, as in co.uk: with it they are a suffix, where the caller has no table of suffixes.
+SECOND = ("ac", "asn", "co", "com", "edu", "gen", "go", "gob", "gouv", "gov", "govt", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch", "web")
 PRIOR = 0.9  # the share of good pages before any is seen, worth one page
 #: Prior strengths lie between the first two; a host is good enough if its share is below FLOOR with a chance of RISK at most.
 WEAKEST, STRONGEST, FLOOR, RISK = 2.0, 200.0, 0.5, 0.05
@@ -65,13 +65,15 @@ def rule_of(host: Column, path: Column, rules: tuple[UrlRule, ...]) -> Column:
 def domains_of(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, domain, suffix) of distinct hosts: the longest suffix of the table that is a proper end of the host, else its last label; the domain has one label more.
 
-    suffixes: (suffix), a table of any size; LONG_SUFFIXES if none is given. A host of one label, or an address in figures, is its own domain and suffix.
+    suffixes: (suffix), a table of any size; where none is given, a label of SECOND and a country's two letters are a suffix. A host of one label, or an address in figures, is its own domain and suffix.
     """
-    if suffixes is None:
-        suffixes = hosts.sparkSession.createDataFrame([(x,) for x in LONG_SUFFIXES], "suffix string")
     labels = F.split("host", r"\.")
     figures = F.col("host").rlike(r"^[0-9.]+$|:|^\[") | (F.size(labels) < 2)
     end = lambda n: F.array_join(F.slice(labels, -n, n), ".")
+    if suffixes is None:
+        two = (F.size(labels) > 2) & F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.get(labels, F.size(labels) - 2).isin(*SECOND)
+        n = F.when(two, 2).otherwise(1)
+        return hosts.select("host", F.when(figures, F.col("host")).otherwise(end(n + 1)).alias("domain"), F.when(figures, F.col("host")).otherwise(end(n)).alias("suffix"))
     ends = hosts.filter(~figures).select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda n: F.struct(n.alias("n"), end(n).alias("suffix")))).alias("x"))
     known = ends.select("host", "x.*").join(suffixes.select("suffix").distinct(), "suffix", "left_semi").groupBy("host").agg(F.max("n").alias("n"))
     n = F.coalesce("n", F.lit(1))
@@ -95,6 +97,11 @@ def prior_strength(groups: DataFrame, parent_mean: Column) -> float:
 
 def reputation(pages: DataFrame, outcomes: DataFrame, floor: float = FLOOR, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, mean, strength, sure) of every host of pages (page_id, host): the posterior's mean and strength, and its chance of a share of floor or more; outcomes: (page_id, good 0/1)."""
+    with discarding(pages.sparkSession):
+        return _reputation(pages, outcomes, floor, suffixes)
+
+
+def _reputation(pages: DataFrame, outcomes: DataFrame, floor: float, suffixes: DataFrame | None) -> DataFrame:
     one = outcomes.filter(F.col("page_id").isNotNull() & F.col("good").isNotNull()).groupBy("page_id").agg(F.min("good").cast("long").alias("good"))
     labelled = pages.join(one, "page_id").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     names = materialize(pages.select("host").distinct(), "host-names")
@@ -113,7 +120,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, floor: float = FLOOR, suff
     domains = materialize(shrunk(materialize(domains, "domains").join(suffixes, "suffix"), F.col("above")), "domains").select("domain", F.col("mean").alias("above"))
     leaves = shrunk(materialize(hosts.join(domains, "domain"), "leaves"), F.col("above"))
     sure = 1 - beta_below(F.col("mean") * F.col("strength"), (1 - F.col("mean")) * F.col("strength"), floor)
-    return materialize(leaves.select("host", "mean", "strength", sure.alias("sure")), "reputation")
+    return materialize(leaves.select("host", "mean", "strength", sure.alias("sure")), "reputation", outer=True)
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[UrlRule, ...] = RULES, floor: float = FLOOR, suffixes: DataFrame | None = None) -> DataFrame:

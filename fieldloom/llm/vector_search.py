@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialize
+from .common import discarding, materialize
 
 #: Bits of a cell's number: a component is a byte of the approximation file.
 BITS = 8
@@ -149,6 +149,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = BITS)
     id with several vectors is a query for each, ranked on its own. A query without candidates gives no rows. Empty
     tables: no rows. A score beyond 63 bits fails the job.
     """
+    with discarding(vectors.sparkSession):
+        return materialize(_top_k(vectors, queries, k, bits), "best", outer=True)
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int) -> DataFrame:
     index = materialize(build_index(vectors, k), "index")
     asked = materialize(queries.select("vec_id", "v").distinct().withColumn("mark", F.xxhash64("v")), "queries")
     cells = cells_of(index, bits)

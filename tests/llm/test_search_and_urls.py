@@ -94,6 +94,8 @@ def test_suffixes(spark):
     hosts = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.org",), ("host",), ("1.2.3.4",), ("co.uk",), ("q.x.y.deep.io",)], "host string")
     got = {r.host: (r.domain, r.suffix) for r in U.domains_of(hosts).collect()}
     assert got == {"a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "x.y.org": ("y.org", "org"), "host": ("host", "host"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "co.uk": ("co.uk", "uk"), "q.x.y.deep.io": ("deep.io", "io")}
+    more = spark.createDataFrame([("a.gov.au",), ("x.a.com.mx",), ("a.com.info",), ("go.jp",), ("b.web.za",), ("b.shop.za",)], "host string")
+    assert {r.host: r.suffix for r in U.domains_of(more).collect()} == {"a.gov.au": "gov.au", "x.a.com.mx": "com.mx", "a.com.info": "info", "go.jp": "jp", "b.web.za": "web.za", "b.shop.za": "za"}
     table = spark.createDataFrame([("deep.io",), ("y.deep.io",), ("io",)], "suffix string")
     got = {r.host: (r.domain, r.suffix) for r in U.domains_of(hosts, table).collect()}
     assert got["q.x.y.deep.io"] == ("x.y.deep.io", "y.deep.io") and got["b.co.uk"] == ("co.uk", "uk")
