@@ -78,6 +78,29 @@ def content_digests(cells: DataFrame, keys: list[str], value: str = "x", scale:
     return row.groupBy(*keys).agg(joined("r", F.col("d")).alias("digest"))
 
 
+def trajectory_digests(frames: DataFrame, values: str = "values") -> DataFrame:
+    """(source_id, source_file_id, sample_index, digest, initial): SHA-256 over all fields and times of a trajectory, and over its fields' first frames; fields without time, and those that all samples of a file share, count for both.
+
+    frames: (source_id, source_file_id, field_key, component, sample_index, time_index, height, width, values).
+    """
+    text = F.concat_ws("|", "field_key", F.coalesce(F.col("component").cast("string"), F.lit("-")), F.col("height").cast("string"), F.col("width").cast("string"), F.array_join(F.transform(values, lambda v: v.cast("string")), ","))
+    each = frames.select("source_id", "source_file_id", "sample_index", "field_key", F.coalesce("component", F.lit(-1)).alias("component"), F.coalesce("time_index", F.lit(-1)).alias("time_index"), F.sha2(text, 256).alias("d"))
+    own, shared = each.filter("sample_index is not null"), each.filter("sample_index is null").drop("sample_index")
+    samples = own.select("source_id", "source_file_id", "sample_index").distinct()
+    every = own.unionByName(samples.join(shared, ["source_id", "source_file_id"]))
+    key = ["source_id", "source_file_id", "sample_index"]
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["d"]), ","), 256)
+    row = F.struct("field_key", "component", "time_index", "d")
+    fields = every.groupBy(*key, "field_key", "component").agg(joined(row).alias("d"), F.min_by("d", "time_index").alias("first"))  # one field's times
+    return fields.groupBy(*key).agg(joined(F.struct("field_key", "component", "d")).alias("digest"), joined(F.struct("field_key", "component", F.col("first").alias("d"))).alias("initial"))
+
+
+def shared_initial_states(digests: DataFrame, splits: DataFrame | None = None) -> DataFrame:
+    """(initial, trajectories, distinct, splits): first frames that several trajectories have; equal first frames alone are a note, not proof of a copy. splits: (source_id, source_file_id, sample_index, split)."""
+    rows = digests.withColumn("split", F.lit(None).cast("string")) if splits is None else digests.join(splits, ["source_id", "source_file_id", "sample_index"], "left")
+    return rows.groupBy("initial").agg(F.count("*").alias("trajectories"), F.countDistinct("digest").alias("distinct"), F.countDistinct("split").alias("splits")).filter("trajectories > 1")
+
+
 def leaks(states: DataFrame, splits: DataFrame, key: str = "trajectory") -> DataFrame:
     """States whose split isn't their trajectory's, or whose trajectory has none."""
     given = splits.select(key, F.col("split").alias("wanted"))

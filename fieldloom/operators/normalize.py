@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.labels import roughness_bin
-from ..functions.numeric import fp16
+from ..functions.numeric import bound, fp16
 
 EPSILON = 1e-6
 
@@ -54,10 +54,12 @@ def packed_roughness(grids: DataFrame) -> DataFrame:
 def standardize_grids(grids: DataFrame, value: str = "x") -> DataFrame:
     """(state_ref, h, w, z, mean, std, is_constant, roughness, roughness_bin) of grids (state_ref, h, w, x row-major): as standardize and roughness, each grid by itself in its own order, without a shuffle."""
     x, n = F.col(value), F.size(value)
-    with_mean = grids.select("state_ref", "h", "w", value, (_total(x) / n).alias("mean"), (F.array_min(x) == F.array_max(x)).alias("is_constant"))
-    with_std = with_mean.withColumn("std", F.sqrt(_total(F.transform(x, lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / n))
-    z = F.transform(x, lambda v: F.when(F.col("is_constant"), 0.0).otherwise(fp16((v - F.col("mean")) / (F.col("std") + EPSILON))))
-    return packed_roughness(with_std.withColumn("z", z)).select("state_ref", "h", "w", "z", "mean", "std", "is_constant", "roughness", "roughness_bin")
+    flat = F.array_min(x) == F.array_max(x)
+    # bound, so that neither mean nor deviation is worked out again for every cell
+    of = lambda m, s: F.struct(m.alias("mean"), s.alias("std"), F.transform(x, lambda v: F.when(flat, 0.0).otherwise(fp16((v - m) / (s + EPSILON)))).alias("z"))
+    deviation = lambda m: F.sqrt(_total(F.transform(x, lambda v: (v - m) * (v - m))) / n)
+    done = grids.select("state_ref", "h", "w", flat.alias("is_constant"), bound(_total(x) / n, lambda m: bound(deviation(m), lambda s: of(m, s))).alias("s"))
+    return packed_roughness(done.select("state_ref", "h", "w", "s.*", "is_constant")).select("state_ref", "h", "w", "z", "mean", "std", "is_constant", "roughness", "roughness_bin")
 
 
 def scale_channels(values: DataFrame, mode: str, keys: list[str], clip: float | None = None) -> DataFrame:

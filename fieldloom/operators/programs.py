@@ -206,8 +206,11 @@ def violations(programs: DataFrame) -> DataFrame:
 
 
 def _on_grids(programs: DataFrame, grids: DataFrame, how: str = "inner") -> DataFrame:
-    """programs with their state's width (grid_w) and row-major values (grid): one join, by state."""
-    return programs.join(grids.select("state_ref", F.col("w").alias("grid_w"), F.col("z").alias("grid")), "state_ref", how)
+    """programs with their state's width (grid_w) and row-major values (grid): one join, by state. A program without its state has nulls where how is left, and fails the job where it is inner."""
+    met = programs.join(grids.select("state_ref", F.col("w").alias("grid_w"), F.col("z").alias("grid")), "state_ref", "left")
+    if how == "left":
+        return met
+    return met.withColumn("grid", F.when(F.col("grid").isNull(), F.raise_error(F.concat(F.lit("no grid for state "), "state_ref")).cast("array<double>")).otherwise(F.col("grid")))
 
 
 def _cells(spans: Column) -> Column:

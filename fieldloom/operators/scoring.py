@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.answers import parse_answer
 from ..functions.labels import count_bucket
@@ -32,7 +32,14 @@ def score(records: DataFrame, predictions: DataFrame) -> DataFrame:
     An error is, in order: a parse error, generation_truncated (which overrides it), wrong_value_count, invalid_coordinate; missing_prediction last.
     """
     given = predictions.select("qa_id", F.col("prediction"), F.coalesce("terminated", F.lit(True)).alias("terminated"), F.lit(True).alias("given"))
-    j = records.join(given, "qa_id", "left").withColumn("parsed", parse_answer(F.coalesce("prediction", F.lit(""))))
+    return scored_pairs(records.join(given, "qa_id", "left"))
+
+
+def scored_pairs(rows: DataFrame) -> DataFrame:
+    """score() of records that have their prediction beside them (prediction, terminated, and given, which is null where there is none)."""
+    if "given" not in rows.columns:
+        rows = rows.withColumn("given", F.lit(True))
+    j = rows.withColumn("parsed", parse_answer(F.coalesce("prediction", F.lit(""))))
     parsed, expected, n = F.col("parsed.values"), F.col("values"), F.size("values")
     place = F.col("answer_kind") == "coordinate"
     whole = F.forall(parsed, lambda v: v == F.floor(v)) & (parsed[0] >= 1) & (parsed[0] <= F.col("h")) & (F.get(parsed, F.lit(1)) >= 1) & (F.get(parsed, F.lit(1)) <= F.col("w"))
@@ -78,18 +85,13 @@ def summarize(scored: DataFrame, dims: list[str]) -> DataFrame:
 
     A dimension that no row has is left out; one that only some rows have fails the job.
     """
-    named = scored.select(*[F.col(d).cast("string").alias(d) for d in dims], *[F.col(d).isNotNull().cast("int").alias(f"has_{d}") for d in dims], "units", "hits", "all_correct", "valid")
-    sets = [[F.col(d)] for d in dims]
-    out = named.groupingSets([[], *sets], *[F.col(d) for d in dims]).agg(*_sums(), *[F.grouping(d).alias(f"g_{d}") for d in dims], *[F.sum(f"has_{d}").alias(f"has_{d}") for d in dims])
-    dim, key, whole = F.lit("all"), F.lit("all"), F.lit(True)
-    for d in dims:
-        dim, key = F.when(F.col(f"g_{d}") == 0, d).otherwise(dim), F.when(F.col(f"g_{d}") == 0, F.col(d)).otherwise(key)
-        whole = whole & (F.col(f"g_{d}") == 1)
-    partly = F.lit(None).cast("string")
-    for d in dims:
-        partly = F.when(whole & (F.col(f"has_{d}") > 0) & (F.col(f"has_{d}") < F.col("questions")), d).otherwise(partly)
-    checked = F.when(partly.isNotNull(), F.raise_error(F.concat(F.lit("some rows lack the dimension "), partly)).cast("string")).otherwise(dim)
-    return out.select(checked.alias("dim"), key.alias("key"), "questions", "units", "unit_accuracy", "answer_accuracy", "valid_rate").filter("key is not null")
+    named = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("string").alias("key")) for d in dims], F.struct(F.lit("all").alias("dim"), F.lit("all").alias("key")))
+    narrow = scored.select("units", "hits", "all_correct", "valid", F.explode(named).alias("x")).select("x.*", "units", "hits", "all_correct", "valid")
+    out = narrow.groupBy("dim", "key").agg(*_sums())
+    own = Window.partitionBy("dim")  # a row per key
+    partly = (F.max(F.col("key").isNull()).over(own)) & (F.count("key").over(own) > 0)
+    checked = out.withColumn("dim", F.when(partly, F.raise_error(F.concat(F.lit("some rows lack the dimension "), "dim")).cast("string")).otherwise(F.col("dim")))
+    return checked.filter("key is not null").select("dim", "key", "questions", "units", "unit_accuracy", "answer_accuracy", "valid_rate")
 
 
 def errors(scored: DataFrame, dim: str) -> DataFrame:

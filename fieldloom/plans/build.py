@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import labels as L
 from ..functions.numeric import draw, order_key
 from ..operators import audit, batching, normalize, programs as P, sampling
+from ..sources import versions
 from ..sources.grids import crop_states
 from ..sources.tables import written
+from .config import identity as run_identity
 
 #: Of a frame: source_id, family and these, then height, width, values (row-major); nulls as crop_states has them.
 FRAME = ("source_file_id", "field_key", "component", "sample_index", "time_index")
@@ -197,15 +199,66 @@ def build_dataset(spark: SparkSession, frames: DataFrame, config: BuildConfig) -
     return Dataset(states, grids, records, diagnostics, splits)
 
 
-def publish(data: Dataset, folder: str, config: BuildConfig) -> None:
-    """states, grids with running cache offsets, a folder of records per split, diagnostics and metadata; folders that exist fail, and metadata comes last: a build without it isn't complete."""
+#: Each published table's column without equal values.
+KEYS = {"states": "state_ref", "grids": "state_ref", "records": "qa_id", "diagnostics": "diagnostic_id", "splits": "trajectory_id"}
+
+
+def publish(data: Dataset, folder: str, config: BuildConfig, replace: bool = False) -> versions.Version:
+    """All tables of a build as one version of a set: states, grids with running cache offsets, records, diagnostics, splits. A set that has a version stays as it is unless replace is given."""
     sizes = batching.running_offsets(data.grids.withColumn("size", F.col("h") * F.col("w")), "state_ref", "size", "cache_offset")
-    data.states.write.mode("errorifexists").parquet(f"{folder}/states")
-    sizes.write.mode("errorifexists").parquet(f"{folder}/grids")
-    data.records.join(data.states.select("state_ref", "split"), "state_ref").write.mode("errorifexists").partitionBy("split").parquet(f"{folder}/records")
-    data.diagnostics.write.mode("errorifexists").parquet(f"{folder}/diagnostics")
-    note = json.dumps({"config": {k: v for k, v in vars(config).items()}, "templates": L.TEMPLATES, "normalization": "population z-score, epsilon 1e-6, half precision, constant to zero"})
-    data.states.sparkSession.createDataFrame([(note,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/metadata")
+    records = data.records.join(data.states.select("state_ref", "split"), "state_ref")
+    trajectory = F.concat_ws("/", "source_id", "source_file_id", F.col("sample_index").cast("string"))
+    tables = {"states": data.states, "grids": sizes, "records": records, "diagnostics": data.diagnostics.withColumn("diagnostic_id", F.concat_ws("/", "state_ref", "qa_id")), "splits": data.splits.withColumn("trajectory_id", trajectory)}
+    settings = json.loads(json.dumps(vars(config)))
+    identity = {"run": run_identity(settings), "config": settings, "templates": {k: list(v) for k, v in L.TEMPLATES.items()}, "normalization": "population z-score, epsilon 1e-6, half precision, constant to zero"}
+    return versions.commit(data.states.sparkSession, folder, tables, KEYS, identity, replace)
+
+
+def load_dataset(spark: SparkSession, folder: str, number: int | None = None, scan: bool = False) -> tuple[Dataset, versions.Version]:
+    """The current version of a published set, or an earlier one, after its checks: what dataset_problems() finds is an error that names the first problems. With scan, all rows are compared to the digest trees, too."""
+    version = versions.open_version(spark, folder, number)
+    found = dataset_problems(version)
+    if scan:
+        found = found.unionByName(versions.damage(version).select(F.concat(F.lit("damaged_"), "name").alias("problem"), F.concat_ws(" to ", "first_key", "last_key").alias("detail")))
+    few = found.orderBy("problem", "detail").limit(8).collect()
+    if few:
+        raise ValueError("the set has problems: " + "; ".join(f"{r.problem} ({r.detail})" for r in few))
+    tables = {name: version.table(name) for name in KEYS}
+    return Dataset(tables["states"], tables["grids"], tables["records"].drop("split"), tables["diagnostics"].drop("diagnostic_id"), tables["splits"].drop("trajectory_id")), version
+
+
+def dataset_problems(version: versions.Version) -> DataFrame:
+    """(problem, detail) of a published set: rows and roots that the manifest doesn't have, budgets, states of no split or of another trajectory's, grids of another shape or with gaps between offsets, records of no state, of another split's wording, or counted twice."""
+    spark, told, config = version.spark, version.manifest["tables"], version.manifest["identity"]["config"]
+    states, grids, records, splits = (version.table(n) for n in ("states", "grids", "records", "splits"))
+    tops = version.tree().groupBy("name").agg(F.max_by("digest", "level").alias("root"), F.max_by("n", "level").alias("n"))
+    said = spark.createDataFrame([(n, t["root"], t["rows"]) for n, t in told.items()], "name string, said_root string, said_n long")
+    where = lambda rows, problem, detail: rows.select(F.lit(problem).alias("problem"), F.col(detail).cast("string").alias("detail"))
+    roots = said.join(tops, "name", "left").filter(~F.col("root").eqNullSafe(F.col("said_root")) | (F.coalesce("n", F.lit(0)) != F.col("said_n")))
+    counts = None
+    for name in told:
+        one = version.table(name).agg(F.count("*").alias("here")).select(F.lit(name).alias("name"), "here")
+        counts = one if counts is None else counts.unionByName(one)
+    lost = said.join(counts, "name").filter("here <> said_n")
+    wanted = spark.createDataFrame([(s, config["train_states"] if s == "train" else config["eval_states"]) for s in SPLITS], "split string, wanted long")
+    budgets = wanted.join(states.groupBy("split").count(), "split", "left").filter(F.coalesce("count", F.lit(0)) != F.col("wanted"))
+    key = ["source_id", "source_file_id", "sample_index"]
+    leaks = states.filter("sample_index is not null").join(splits.select(*key, F.col("split").alias("own")), key, "left").filter(~F.col("split").eqNullSafe(F.col("own")))
+    shapes = states.select("state_ref", "h", "w").join(grids.select("state_ref", F.col("h").alias("gh"), F.col("w").alias("gw"), F.size("z").alias("cells")), "state_ref", "full")
+    shapes = shapes.filter(~(F.col("h").eqNullSafe(F.col("gh")) & F.col("w").eqNullSafe(F.col("gw")) & (F.col("cells") == F.col("h") * F.col("w"))))
+    gaps = batching.running_offsets(grids.select("state_ref", "size", "cache_offset"), "state_ref", "size", "sum_").filter("cache_offset <> sum_")
+    orphans = records.join(states.select("state_ref", F.col("split").alias("own")), "state_ref", "left").filter(~F.col("split").eqNullSafe(F.col("own")))
+    names = F.array(*[F.lit(t) for t in L.TEMPLATES["train"]])
+    wording = records.filter(~F.array_contains(names, F.col("template_family")) | (F.col("language_group") != "seen"))
+    twice = audit.repeated_ids(records, "qa_id")
+    parts = [
+        where(roots, "root", "name"), where(lost, "rows", "name"), where(budgets, "budget", "split"), where(leaks, "leak", "state_ref"), where(shapes, "grid", "state_ref"), where(gaps, "offset", "state_ref"),
+        where(orphans, "record_state", "qa_id"), where(wording, "wording", "qa_id"), where(twice, "repeated_record", "qa_id"), where(audit.repeated_ids(states, "state_ref"), "repeated_state", "state_ref"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def byte_tokens(texts: pd.Series) -> pd.Series:

@@ -40,7 +40,7 @@ def raw(s: SparkSession, d: str) -> DataFrame:
 
 
 def cells(s: SparkSession, d: str) -> DataFrame:
-    return normalize.standardize(raw(s, d))
+    return grids.cells_of(packed(s, d))
 
 
 def states(s: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,8 @@ def fixed_programs(st: DataFrame) -> DataFrame:
 
 
 def packed(s: SparkSession, d: str) -> DataFrame:
-    return grids.grids_of(cells(s, d))
+    """Every vector as a standardized grid, each by itself: no cell is shuffled."""
+    return normalize.standardize_grids(grids.embedding_grids(s, d)).select("state_ref", "h", "w", "z")
 
 
 def executed(s: SparkSession, d: str) -> DataFrame:
@@ -85,8 +86,8 @@ def records(s: SparkSession, d: str, templates: tuple[str, ...] = ("direct",)) -
     return P.records(executed(s, d), templates).withColumn("shape", L.shape_label(F.col("h"), F.col("w"))).withColumn("split", split)
 
 
-def predictions(rec: DataFrame) -> DataFrame:
-    """Set by (n + task length) mod 8: exact, close, far, too many, not JSON, cut short, none, not finite."""
+def answered(rec: DataFrame) -> DataFrame:
+    """rec with prediction, terminated and given, set by (n + task length) mod 8: exact, close, far, too many, not JSON, cut short, none, not finite."""
     mode = (F.col("n") + F.length("task")) % 8
     place = F.col("answer_kind") == "coordinate"
     shifted = lambda x: answer_text(F.transform("values", lambda v: F.round(v + x, 4)))
@@ -94,12 +95,17 @@ def predictions(rec: DataFrame) -> DataFrame:
     far = F.when(place, "[99, 1]").otherwise(shifted(0.5))
     more = F.concat(F.regexp_replace("answer", r"\]$", ""), F.lit(", 1.0]"))
     text = F.when(mode == 1, near).when(mode == 2, far).when(mode == 3, more).when(mode == 4, F.concat(F.lit("it is "), "answer")).when(mode == 7, "[NaN]").otherwise(F.col("answer"))
-    return rec.filter(mode != 6).select("qa_id", text.alias("prediction"), (mode != 5).alias("terminated"))
+    given = lambda x: F.when(mode != 6, x)
+    return rec.withColumn("prediction_", given(text)).withColumn("terminated_", given(mode != 5)).withColumn("given_", given(F.lit(True))).withColumnsRenamed({f"{c}_": c for c in ("prediction", "terminated", "given")})
+
+
+def predictions(rec: DataFrame) -> DataFrame:
+    return answered(rec).filter("given").select("qa_id", "prediction", "terminated")
 
 
 def scored(s: SparkSession, d: str) -> DataFrame:
-    rec = records(s, d)
-    return scoring.annotate(scoring.score(rec, predictions(rec)))
+    """Every record with its own prediction scored: programs run once."""
+    return scoring.annotate(scoring.scored_pairs(answered(records(s, d))))
 
 
 def annotated(s: SparkSession, d: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from .tables import written
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """One object per line; a malformed line fails the read, NaN tokens are refused."""
@@ -60,3 +62,61 @@ def stale(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
     now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("now_size"), F.col("modificationTime").alias("now_mtime"))
     joined = manifest.join(now, "path", "left")
     return joined.filter(F.col("now_size").isNull() | (F.col("now_size") != F.col("size_bytes")) | (F.col("now_mtime") != F.col("mtime")))
+
+
+#: Of each file that was ever read: path, size, time and digest, and the run that read it.
+STATE = "path string, size_bytes long, mtime timestamp, sha256 string, run long"
+#: So many changed paths go into the scan's filter one by one; beyond that their least time does.
+BY_PATH = 1000
+
+
+def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, size_bytes, mtime) of every file below path, without opening any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("mtime"))
+
+
+def known_files(spark: SparkSession, state: str) -> DataFrame:
+    """(path, size_bytes, mtime, sha256): what the last run that read each file found; empty before the first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(state)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], STATE).drop("run")
+    rows = spark.read.schema(STATE).parquet(state)
+    return rows.groupBy("path").agg(F.max_by(F.struct("size_bytes", "mtime", "sha256"), "run").alias("x")).select("path", "x.*")
+
+
+def changed_files(spark: SparkSession, path: str, state: str, pattern: str = "*") -> DataFrame:
+    """(path, size_bytes, mtime) of files that are new or whose size or time differs from the state's."""
+    return listing(spark, path, pattern).join(known_files(spark, state), ["path", "size_bytes", "mtime"], "left_anti")
+
+
+def verify_files(spark: SparkSession, path: str, state: str, pattern: str = "*") -> DataFrame:
+    """(path, size_bytes, mtime, sha256) of every file below path; only files that changed since the state's last run are opened.
+
+    Their digests are appended to the state, a Parquet table outside path. The names of changed files,
+    or their least time where they are many, reach the scan, which opens no other file.
+    """
+    changed = written(changed_files(spark, path, state, pattern), "changed")
+    few = [r.path for r in changed.select("path").limit(BY_PATH + 1).collect()]
+    if few:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+        if len(few) <= BY_PATH:
+            files = files.filter(F.col("_metadata.file_path").isin(few))
+        else:
+            files = files.filter(F.col("_metadata.file_modification_time") >= F.lit(changed.agg(F.min("mtime")).first()[0]))
+        read = files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256")).join(changed, "path")
+        last = 0 if len(known_files(spark, state).limit(1).collect()) == 0 else spark.read.schema(STATE).parquet(state).agg(F.max("run")).first()[0]
+        read.select("path", "size_bytes", "mtime", "sha256", F.lit(last + 1).cast("long").alias("run")).write.mode("append").parquet(state)
+    return listing(spark, path, pattern).join(known_files(spark, state), ["path", "size_bytes", "mtime"])
+
+
+def file_problems(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, problem) between a manifest (path, split, size_bytes, sha256) and files found (path, size_bytes, sha256), each path as the other has it: missing, unlisted, truncated, size, digest, and content that files of several splits share."""
+    m = manifest.select("path", "split", F.col("size_bytes").alias("ms"), F.col("sha256").alias("mh"), F.lit(True).alias("im"))
+    j = m.join(found.select("path", F.col("size_bytes").alias("fs"), F.col("sha256").alias("fh"), F.lit(True).alias("here")), "path", "full")
+    both = F.col("im").isNotNull() & F.col("here").isNotNull()
+    rules = {"missing": F.col("here").isNull(), "unlisted": F.col("im").isNull(), "truncated": both & (F.col("fs") < F.col("ms")), "size": both & (F.col("fs") > F.col("ms")), "digest": both & (F.col("fs") == F.col("ms")) & (F.col("fh") != F.col("mh"))}
+    named = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]), lambda x: x.isNotNull())
+    own = j.select("path", F.explode(named).alias("problem"))
+    copies = j.filter(both).groupBy("fh").agg(F.countDistinct("split").alias("splits")).filter("splits > 1").select("fh")
+    return own.unionByName(j.filter(both).join(copies, "fh", "left_semi").select("path", F.lit("shared_by_splits").alias("problem")))

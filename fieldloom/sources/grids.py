@@ -26,6 +26,12 @@ def embedding_cells(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def embedding_grids(spark: SparkSession, folder: str) -> DataFrame:
+    """(state_ref, h, w, x): the same grids as row-major arrays."""
+    values = F.transform("embedding", lambda v: v.cast("double"))
+    return table(spark, folder, "embeddings").select(F.concat(F.lit("emb:"), F.col("vec_id").cast("string")).alias("state_ref"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), values.alias("x"))
+
+
 def event_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Per event type the mean value by day (30) and hour (24), in hundredths so that sums are exact; hours without events are 0."""
     e = table(spark, folder, "events")

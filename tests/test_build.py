@@ -90,9 +90,13 @@ def test_same_rows_whatever_the_partitions(spark, frames, data):
 
 def test_publish_and_training_arrays(spark, data, tmp_path):
     build.publish(data, f"file://{tmp_path}/set", CONFIG)
-    with pytest.raises(Exception):
+    with pytest.raises(FileExistsError):
         build.publish(data, f"file://{tmp_path}/set", CONFIG)
-    assert spark.read.parquet(f"file://{tmp_path}/set/records").groupBy("split").count().count() == 3
+    loaded, version = build.load_dataset(spark, f"file://{tmp_path}/set", scan=True)
+    assert version.table("records").groupBy("split").count().count() == 3
+    for name in ("states", "records", "diagnostics", "splits"):
+        assert getattr(loaded, name).exceptAll(getattr(data, name)).count() == 0 == getattr(data, name).exceptAll(getattr(loaded, name)).count()
+    assert version.manifest["identity"]["config"]["train_states"] == 130 and len(version.manifest["identity"]["run"]) == 64
     words = lambda texts: texts.map(lambda t: [len(w) for w in t.split()])
     rows = build.training_arrays(data, "val", words, end_id=9).orderBy("token_offset").collect()
     assert len(rows) == data.records.join(data.states.filter("split = 'val'").select("state_ref"), "state_ref", "left_semi").count()
