@@ -132,6 +132,9 @@ ORACLE["tile_crops"] = f"""WITH {SHIPPED}, crops AS (SELECT file, sample, time,
     SELECT concat_ws(':', file, sample, time, k) AS state_ref, CAST(r - top AS INTEGER) AS r, CAST(c - lft AS INTEGER) AS c, x FROM crops JOIN shipped USING (file, sample, time) WHERE r BETWEEN top + 1 AND top + h AND c BETWEEN lft + 1 AND lft + w"""
 ORACLE["tile_layout"] = f"""WITH {SHIPPED}, n AS (SELECT file, CAST(max(sample) + 1 AS INTEGER) AS samples, CAST(max(time) + 1 AS INTEGER) AS times, CAST(max(r) AS INTEGER) AS height, 84 AS width, count(*) AS value_count, count(*) FILTER (x = 0) AS empty FROM shipped GROUP BY file)
     SELECT file AS source_file_id, samples, times, height, width, 'float64' AS dtype, value_count, value_count * 8 AS bytes, CASE WHEN file = 'R' THEN 'frames,missing_tiles,times,value_count' WHEN file = 'N' AND empty > 0 THEN 'not_finite' ELSE '' END AS problems FROM n"""
+ORACLE["trajectory_digests"] = f"""WITH {SHIPPED}, frame AS (SELECT file, sample, time, sha256('quantity|-|' || any_value(height) || '|84|' || string_agg(CAST(x AS VARCHAR), ',' ORDER BY r, c)) AS d FROM shipped GROUP BY file, sample, time),
+    t AS (SELECT file AS source_file_id, CAST(sample AS INTEGER) AS sample_index, sha256(sha256(string_agg(d, ',' ORDER BY time))) AS digest, sha256(arg_min(d, time)) AS initial FROM frame GROUP BY file, sample)
+    SELECT *, count(*) OVER (PARTITION BY initial) AS sharing FROM t"""
 REGIONS = f"""{SHIPPED}, regions AS (SELECT *, 1 + (k * 7 + time) % (height - height // 2) AS r1, 1 + (k * 11 + sample * 5) % 40 AS c1 FROM frames, (SELECT unnest(range(0, 4)) AS k)),
     inside AS (SELECT concat_ws(':', g.file, g.sample, g.time, k) AS region, s.r, s.c, s.x FROM regions g JOIN shipped s USING (file, sample, time) WHERE s.r BETWEEN r1 AND r1 + g.height // 2 AND s.c BETWEEN c1 AND c1 + 30 + 4 * k)"""
 ORACLE["pyramid_statistics"] = f"WITH {REGIONS} SELECT region, count(*) AS n, round(avg(x), 9) AS mean, round(stddev_pop(x), 9) AS std, min(x) AS low, max(x) AS high FROM inside GROUP BY region"
@@ -209,11 +212,13 @@ ORACLE["content_digests"] = f"""WITH {RAW}, rows_ AS (SELECT state_ref, field, r
     SELECT state_ref, field, sha256(string_agg(d, ',' ORDER BY r)) AS digest FROM rows_ GROUP BY ALL"""
 ORACLE["trajectory_split"] = "WITH r AS (SELECT c_custkey AS trajectory, row_number() OVER (ORDER BY sha256('1:' || c_custkey)) - 1 AS i, count(*) OVER () AS n FROM customer) SELECT trajectory, CASE WHEN i < n * 8 // 10 THEN 'train' WHEN i < n * 9 // 10 THEN 'val' ELSE 'test' END AS split FROM r"
 _POOLS = "s AS (SELECT h, w, h IN (1, 32) AND w IN (1, 24) AS anchor FROM (SELECT unnest(range(1, 33)) AS h), (SELECT unnest(range(1, 25)) AS w)), pools AS (SELECT CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, anchor, CASE WHEN NOT anchor AND row_number() OVER (PARTITION BY anchor ORDER BY sha256('1:' || h || ':' || w)) <= 153 THEN 'heldout' ELSE 'train' END AS pool FROM s)"
-ORACLE["shape_pools"] = f"WITH {_POOLS} SELECT h, w, anchor, pool FROM pools"
+ORACLE["shape_pools"] = """WITH size AS (SELECT (SELECT max(p_size) FROM part) AS high, (SELECT count(*) FROM nation) AS wide), s AS (SELECT h, w, high, wide, h IN (1, high) AND w IN (1, wide) AS anchor FROM size CROSS JOIN (SELECT unnest(range(1, high + 1)) AS h FROM size) CROSS JOIN (SELECT unnest(range(1, wide + 1)) AS w FROM size)),
+    pools AS (SELECT CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w, anchor, CASE WHEN NOT anchor AND row_number() OVER (PARTITION BY anchor ORDER BY sha256('1:' || h || ':' || w)) <= floor(high * wide * 0.2::DOUBLE) THEN 'heldout' ELSE 'train' END AS pool FROM s),
+    p AS (SELECT CAST(p_size AS INTEGER) AS h, CAST(p_partkey % (SELECT wide FROM size) + 1 AS INTEGER) AS w, count(*) AS parts FROM part GROUP BY ALL) SELECT h, w, anchor, pool, coalesce(parts, 0) AS parts FROM pools LEFT JOIN p USING (h, w)"""
 ORACLE["evaluation_plan"] = """WITH f AS (SELECT r_name AS field, row_number() OVER (ORDER BY r_regionkey) - 1 AS i FROM region), k AS (SELECT unnest(range(0, 180)) AS k), p AS (SELECT CASE WHEN k % 2 = 0 THEN 'heldout' ELSE 'train' END AS part, field FROM k JOIN f ON k % 5 = i UNION ALL SELECT 'boundary', field FROM f, (SELECT unnest(range(0, 4))))
     SELECT part, field, count(*) AS rows FROM p GROUP BY ALL"""
-ORACLE["fitting_tasks"] = """WITH s AS (SELECT CAST(h AS INTEGER) AS h, CAST(w AS INTEGER) AS w FROM (SELECT unnest(range(1, 5)) AS h), (SELECT unnest(range(1, 5)) AS w)), t AS (SELECT unnest(['single_point', 'region_values', 'region_min', 'region_max', 'region_argmin', 'region_argmax', 'nearest_value_location', 'threshold_fraction']) AS task, 1 AS least_ UNION ALL SELECT unnest(['multi_point', 'point_difference', 'region_mean', 'region_std', 'region_mean_difference', 'line_profile']), 2)
-    SELECT h, w, task FROM s, t WHERE h * w >= least_"""
+ORACLE["fitting_tasks"] = """WITH s AS (SELECT CAST(p_size % 4 + 1 AS INTEGER) AS h, CAST((p_size // 4) % 4 + 1 AS INTEGER) AS w FROM part), t AS (SELECT unnest(['single_point', 'region_values', 'region_min', 'region_max', 'region_argmin', 'region_argmax', 'nearest_value_location', 'threshold_fraction']) AS task, 1 AS least_ UNION ALL SELECT unnest(['multi_point', 'point_difference', 'region_mean', 'region_std', 'region_mean_difference', 'line_profile']), 2)
+    SELECT h, w, task, count(*) AS parts FROM s, t WHERE h * w >= least_ GROUP BY ALL"""
 ORACLE["balanced_quotas"] = """WITH f AS (SELECT r_name, 1000 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY r_name) - 1 < 1000 % count(*) OVER () THEN 1 ELSE 0 END AS share FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)),
     m AS (SELECT r_name, n_name, share, row_number() OVER (PARTITION BY r_name ORDER BY n_name) - 1 AS j, count(*) OVER (PARTITION BY r_name) AS k FROM nation JOIN region ON n_regionkey = r_regionkey JOIN f USING (r_name)) SELECT r_name, n_name, CAST(share // k + CASE WHEN j < share % k THEN 1 ELSE 0 END AS BIGINT) AS quota FROM m"""
 ORACLE["trajectory_cycles"] = """WITH m AS (SELECT s_nationkey, s_suppkey, count(*) OVER (PARTITION BY s_nationkey) AS n FROM supplier), y AS (SELECT m.*, unnest(range(0, 39 // n + 1)) AS cycle FROM m), r AS (SELECT *, cycle * n + row_number() OVER (PARTITION BY s_nationkey, cycle ORDER BY sha256('1:' || cycle || ':' || s_suppkey)) - 1 AS i FROM y)
@@ -233,7 +238,7 @@ _SPLIT = "CASE WHEN n % 10 < 8 THEN 'train' WHEN n % 10 = 8 THEN 'val' ELSE 'tes
 _COUNTED = {"family": "CASE WHEN n % 2 = 0 THEN 'even' ELSE 'odd' END", "source_id": "'emb'", "field": "field", "shape": "'8x8'", "task": "task", "capability": "capability", "difficulty": "difficulty"}
 ORACLE["build_counters"] = f"WITH {PROGRAMS}, {GEOMETRY} " + " UNION ALL ".join(f"SELECT {_SPLIT} AS split, '{k}' AS dim, {v} AS key, count(*) AS records, count(DISTINCT state_ref) AS states FROM sized GROUP BY ALL" for k, v in _COUNTED.items())
 ORACLE["coverage_counts"] = f"SELECT {_SPLIT} AS split, 'emb' AS source_id, count(DISTINCT n % 6) AS source_files, count(DISTINCT (n % 6, n % 50)) AS trajectories, count(DISTINCT (n % 6, field, n % 50)) AS field_trajectories, count(DISTINCT (n % 6, field, n % 50, n % 7)) AS field_frames, count(DISTINCT (n % 3, n % 5)) AS top_left_coordinates, CAST(1 AS BIGINT) AS shapes, count(*) AS sampled_crops FROM (SELECT vec_id AS n, label AS field FROM embeddings) GROUP BY ALL"
-ORACLE["template_partitions"] = "WITH t AS (SELECT * FROM (VALUES ('train', 'direct'), ('train', 'question'), ('train', 'region_first'), ('train', 'coordinate_tuple'), ('val', 'interval'), ('test', 'relative')) AS v(split, template)), x AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT split) > 1) SELECT split, count(*) AS templates, count(*) FILTER (template IN (SELECT template FROM x)) AS shared FROM t GROUP BY split"
+ORACLE["template_partitions"] = "WITH t AS (SELECT * FROM (VALUES ('train', 'direct'), ('train', 'question'), ('train', 'region_first'), ('train', 'coordinate_tuple'), ('val', 'interval'), ('test', 'relative')) AS v(split, template)), x AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT split) > 1) SELECT split, count(*) AS templates, count(*) FILTER (template IN (SELECT template FROM x)) AS shared, CAST(count(*) * 14 * (SELECT count(*) FROM embeddings) AS BIGINT) AS records FROM t GROUP BY split"
 ORACLE["prompt_lengths"] = f"WITH q AS ({ORACLE['full_matrix_prompt']}) SELECT CAST(min(length(prompt)) AS INTEGER) AS least, CAST(max(length(prompt)) AS INTEGER) AS most, avg(length(prompt)) AS mean FROM q"
 _REQ = "q AS (SELECT o_orderkey AS id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS h, CAST(o_custkey % 3 + 1 AS INTEGER) AS w, CAST(floor(o_totalprice % 997 + 1) AS INTEGER) AS tokens FROM orders)"
 ORACLE["shape_batches"] = f"""WITH {_REQ}, n AS (SELECT count(*) AS n FROM q GROUP BY h, w), b AS (SELECT unnest(list_concat(list_transform(range(0, n // 32), lambda x: 32), CASE WHEN n % 32 > 0 THEN [n % 32] ELSE [] END)) AS k FROM n)

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import labels as L, numeric as N
 from ..functions.answers import answer_text, parse_answer
 from ..operators import audit, batching, normalize, programs as P, pyramid, sampling, scoring
-from ..sources import grids, tiles
+from ..sources import files, grids, tiles, versions
 from ..sources.grids import table
-from ..sources.tables import discarding, written
-from .build import BuildConfig, Dataset, build_dataset
+from ..sources.tables import discarding, removed, work_path, written
+from .build import BuildConfig, Dataset, build_dataset, dataset_problems, load_dataset, publish
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIMS = ["task", "shape", "field", "answer_kind", "shape_partition", "source_id", "family", "is_static", "is_constant", "capability", "difficulty", "language_group", "template_family", "query_area_bucket", "query_points_bucket", "output_length_bucket", "block_relation", "operation_count", "roughness_bin", "split"]
@@ -598,6 +598,33 @@ def content_digests(s, d):
     return audit.content_digests(raw(s, d), ["state_ref", "field"])
 
 
+@query
+def trajectory_digests(s, d):
+    """Digests of every trajectory of shipped quantities and of its first frame, and how many trajectories share that."""
+    cells = grids.shipment_cells(s, d)
+    frames = cells.groupBy(F.lit("ship").alias("source_id"), *tiles.FRAME, "height", "width").agg(F.array_sort(F.collect_list(F.struct("r", "c", "x"))).alias("v")).withColumn("values", F.transform("v", lambda c: c["x"])).drop("v")
+    with discarding(s):
+        found = written(audit.trajectory_digests(frames), "digests")
+        shared = audit.shared_initial_states(found).select("initial", "trajectories")
+        out = found.join(shared, "initial", "left").select("source_file_id", "sample_index", "digest", "initial", long(F.coalesce("trajectories", F.lit(1))).alias("sharing"))
+        return written(out, "shared", outer=True)
+
+
+@query
+def file_verification(s, d):
+    """Size and digest of every file of the given tables, read once, and found unchanged by a second run that opens none."""
+    state = work_path(s, "file-state")
+    with discarding(s):
+        first = written(files.verify_files(s, d, state), "files")
+        again = files.verify_files(s, d, state).select("path", F.col("sha256").alias("again"))
+        changed = files.changed_files(s, d, state).select("path", F.lit(True).alias("changed"))
+        name = F.regexp_extract("path", r"[^/]+\.parquet(/.*)?$", 0)
+        out = first.join(again, "path").join(changed, "path", "left").select(name.alias("name"), long("size_bytes").alias("size_bytes"), "sha256", (F.col("sha256") == F.col("again")).alias("same"), F.coalesce("changed", F.lit(False)).alias("changed"))
+        out = written(out, "verified", outer=True)
+    removed(s, state)
+    return out
+
+
 # ---------------------------------------------------------------- sampling and plans
 
 
@@ -609,8 +636,12 @@ def trajectory_split(s, d):
 
 @query
 def shape_pools(s, d):
-    """G1: shapes 1-32 x 1-24 by pool."""
-    return sampling.shape_pools(s, (1, 32), (1, 24))
+    """G1: shapes up to the greatest part size and the number of nations by pool, and the parts that have each."""
+    high = table(s, d, "part").agg(F.max("p_size").cast("int")).first()[0]  # two numbers
+    wide = table(s, d, "nation").count()
+    parts = table(s, d, "part").select(F.col("p_size").cast("int").alias("h"), (F.col("p_partkey") % wide + 1).cast("int").alias("w")).groupBy("h", "w").agg(F.count("*").alias("parts"))
+    pools = sampling.shape_pools(s, (1, high), (1, wide)).join(parts, ["h", "w"], "left")
+    return pools.select("h", "w", "anchor", "pool", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"))
 
 
 @query
@@ -623,9 +654,10 @@ def evaluation_plan(s, d):
 
 @query
 def fitting_tasks(s, d):
-    """Tasks by shape."""
-    p = sampling.shape_pools(s, (1, 4), (1, 4)).withColumn("task", F.explode(P.fitting_tasks(F.col("h"), F.col("w"))))
-    return p.select("h", "w", "task")
+    """The tasks that parts' shapes allow: a part's size number sets its shape."""
+    k = F.col("p_size")
+    p = table(s, d, "part").select((k % 4 + 1).cast("int").alias("h"), (F.floor(k / 4) % 4 + 1).cast("int").alias("w"))
+    return p.withColumn("task", F.explode(P.fitting_tasks(F.col("h"), F.col("w")))).groupBy("h", "w", "task").agg(F.count("*").alias("parts"))
 
 
 @query
@@ -752,8 +784,11 @@ def event_frames(s, d) -> DataFrame:
     return out
 
 
+BUILD = BuildConfig(train_states=240, eval_states=48, heights=(1, 7), widths=(1, 8), tasks_per_state=5, capability_weights={"localization": 2.0}, diagnostic_states=4)
+
+
 def built(s, d) -> Dataset:
-    return build_dataset(s, event_frames(s, d), BuildConfig(train_states=240, eval_states=48, heights=(1, 7), widths=(1, 8), tasks_per_state=5, capability_weights={"localization": 2.0}, diagnostic_states=4))
+    return build_dataset(s, event_frames(s, d), BUILD)
 
 
 @query
@@ -764,23 +799,30 @@ def dataset_build(s, d):
 
 @query
 def dataset_audit(s, d):
-    """Rule breaks of a build (none): budgets, repeated crops, shared trajectories, replay."""
-    data = built(s, d)
+    """Rule breaks of a build (none): what the loader of its published set checks, leaves that differ from the digest trees, budgets, repeated crops, shared trajectories, replay."""
+    folder = work_path(s, "dataset")
+    publish(built(s, d), folder, BUILD)
+    data, version = load_dataset(s, folder, scan=True)
+    checks = dataset_problems(version).select("problem").unionByName(versions.damage(version).select(F.concat(F.lit("damaged_"), "name").alias("problem")))
     split = data.states.groupBy("split").agg(F.count("*").alias("n")).filter("n <> case when split = 'train' then 240 else 48 end").select(F.lit("budget").alias("problem"))
     repeated = audit.repeated_ids(data.states, "state_ref").select(F.lit("repeated_crop").alias("problem"))
     moving = data.states.filter("sample_index is not null").withColumn("trajectory", F.concat_ws("/", "source_id", "source_file_id", "sample_index"))
     shared = audit.overlaps(moving, "trajectory", "split").select(F.lit("shared_trajectory").alias("problem"))
     replay = P.tampered(data.records, data.grids).select("problem")
-    every = split.unionByName(repeated).unionByName(shared).unionByName(replay)
-    return every.groupBy("problem").agg(F.count("*").alias("n"))
+    every = checks.unionByName(split).unionByName(repeated).unionByName(shared).unionByName(replay)
+    with discarding(s):
+        out = written(every.groupBy("problem").agg(F.count("*").alias("n")), "problems", outer=True)
+    removed(s, folder)
+    return out
 
 
 @query
 def template_partitions(s, d):
-    """Wordings that more than one split has, and the number of each split's."""
-    rows = [(split, t) for split, names in L.TEMPLATES.items() for t in names]
-    frame = s.createDataFrame(rows, "split string, template string")
-    return frame.join(audit.overlaps(frame, "template", "split"), "template", "left").groupBy("split").agg(F.count("*").alias("templates"), F.count("parts").alias("shared"))
+    """Of all records' wordings, those of each split, how many another split has, too, and the records."""
+    split = F.coalesce(*[F.when(F.col("template_family").isin(*names), k) for k, names in L.TEMPLATES.items()])
+    rows = records(s, d, L.TEMPLATES["train"] + L.TEMPLATES["val"] + L.TEMPLATES["test"]).select(split.alias("split"), "template_family").groupBy("split", "template_family").agg(F.count("*").alias("n"))
+    shared = audit.overlaps(rows, "template_family", "split")
+    return rows.join(shared, "template_family", "left").groupBy("split").agg(F.count("*").alias("templates"), F.count("parts").alias("shared"), F.sum("n").alias("records"))
 
 
 @query
