@@ -151,20 +151,37 @@ def with_geometry(programs: DataFrame) -> DataFrame:
     )
 
 
-def listed_cells(programs: DataFrame, side: str) -> DataFrame:
-    """(state_ref, task, r, c) of every cell of a leaf."""
-    spans = programs.filter(F.col(side).isNotNull()).select("state_ref", "task", F.explode(side).alias("s"))
-    rows = spans.select("state_ref", "task", "s", F.explode(F.sequence(F.col("s.r1"), F.col("s.r2"))).alias("r"))
-    return rows.select("state_ref", "task", "r", F.explode(F.sequence(F.col("s.c1"), F.col("s.c2"))).alias("c"))
+def block_diagnostics(programs: DataFrame, block_h: int, block_w: int) -> DataFrame:
+    """Distinct blocks that a program's cells touch, single or multiple, and the share of cells at a block's lower or right edge; cells of both leaves count once.
 
+    In closed form from the spans: a leaf is a list of single cells or one rectangle, and two rectangles share a rectangle, of cells as of blocks.
+    """
+    left, right = F.col("left"), F.coalesce("right", F.array().cast(SPANS))
+    cells = F.array_distinct(F.transform(F.concat(left, right), lambda x: F.struct(x["r1"].alias("r"), x["c1"].alias("c"))))
+    single = F.forall(F.concat(left, right), lambda x: (x["r1"] == x["r2"]) & (x["c1"] == x["c2"]))
+    block = lambda v, size: F.floor((v - 1) / size)
+    at_edge = lambda x: (x["r"] % block_h == 0) | (x["c"] % block_w == 0)
+    listed = F.struct(
+        F.size(F.array_distinct(F.transform(cells, lambda x: F.struct(block(x["r"], block_h), block(x["c"], block_w))))).cast("long").alias("blocks"), F.size(F.filter(cells, at_edge)).cast("long").alias("edges"), F.size(cells).cast("long").alias("cells"),
+    )
 
-def block_diagnostics(programs: DataFrame, block_h: int, block_w: int) -> DataFrame:
-    """Distinct blocks that a program's cells touch, single or multiple, and the share of cells at a block's lower or right edge."""
-    cells = listed_cells(programs, "left").union(listed_cells(programs, "right")).distinct()
-    block = F.struct(F.floor((F.col("r") - 1) / block_h), F.floor((F.col("c") - 1) / block_w))
-    edge = ((F.col("r") % block_h == 0) | (F.col("c") % block_w == 0)).cast("int")
-    out = cells.groupBy("state_ref", "task").agg(F.countDistinct(block).alias("distinct_blocks"), F.avg(edge).alias("boundary_point_fraction"))
-    return out.withColumn("block_relation", F.when(F.col("distinct_blocks") == 1, "single_block").otherwise("multiple_blocks"))
+    def counts(r1: Column, r2: Column, c1: Column, c2: Column) -> tuple[Column, Column, Column]:
+        """Blocks, edge cells and cells of a rectangle, zeros if it is empty."""
+        some, high, wide = (r2 >= r1) & (c2 >= c1), r2 - r1 + 1, c2 - c1 + 1
+        rows, columns = F.floor(r2 / block_h) - block(r1, block_h), F.floor(c2 / block_w) - block(c1, block_w)  # edge lines inside
+        blocks = (block(r2, block_h) - block(r1, block_h) + 1) * (block(c2, block_w) - block(c1, block_w) + 1)
+        return tuple(F.when(some, v.cast("long")).otherwise(0) for v in (blocks, rows * wide + columns * high - rows * columns, high * wide))
+
+    one, two = F.col("left")[0], F.col("right")[0]
+    sides = ("r1", "r2", "c1", "c2")
+    own, other = counts(*[one[k] for k in sides]), counts(*[two[k] for k in sides])
+    meet = counts(F.greatest(one["r1"], two["r1"]), F.least(one["r2"], two["r2"]), F.greatest(one["c1"], two["c1"]), F.least(one["c2"], two["c2"]))
+    shared = lambda k, size: F.greatest(F.least(block(one[f"{k}2"], size), block(two[f"{k}2"], size)) - F.greatest(block(one[f"{k}1"], size), block(two[f"{k}1"], size)) + 1, F.lit(0))
+    blocks = own[0] + F.when(F.col("right").isNotNull(), other[0] - shared("r", block_h) * shared("c", block_w)).otherwise(0)
+    both = lambda k: own[k] + F.when(F.col("right").isNotNull(), other[k] - meet[k]).otherwise(0)
+    rectangles = F.struct(blocks.cast("long").alias("blocks"), both(1).alias("edges"), both(2).alias("cells"))
+    out = programs.select("state_ref", "task", F.when(single, listed).otherwise(rectangles).alias("x"))
+    return out.select("state_ref", "task", F.col("x.blocks").alias("distinct_blocks"), (F.col("x.edges") / F.col("x.cells")).alias("boundary_point_fraction"), F.when(F.col("x.blocks") == 1, "single_block").otherwise("multiple_blocks").alias("block_relation"))
 
 
 def block_relation(block_h: int, block_w: int) -> Column:

@@ -154,7 +154,7 @@ def sampled_states(spark: SparkSession, frames: DataFrame, splits: DataFrame, co
         first = F.row_number().over(Window.partitionBy("state_ref").orderBy("split", "source_id", "i")) == 1
         tried = written(tried.withColumn("won", F.col("taken").isNull() & first), "tried")
         won = tried.filter("won").drop("won", "taken")
-        done = won if done is None else written(done.unionByName(won), "states")
+        done = won if done is None else done.unionByName(won)  # a written table of each attempt
         waiting = tried.filter("not won").select(waiting.columns)
         if waiting.isEmpty():
             break

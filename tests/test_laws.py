@@ -116,3 +116,33 @@ def test_reports_of_parts_merge_to_that_of_the_whole(spark):
             break
     none = B.token_budget_report(df, 1000, 1000).collect()[0]
     assert none.status == "ok" and none.examples == [] and none.overflow == 0
+
+
+def test_block_diagnostics_equal_listed_cells(spark):
+    import random
+
+    rng = random.Random(4)
+    spans = "array<struct<pos:int,r1:int,r2:int,c1:int,c2:int>>"
+    rows, want = [], {}
+    for i in range(300):
+        points = lambda n: [(k, r, r, c, c) for k, (r, c) in enumerate(rng.sample([(r, c) for r in range(1, 10) for c in range(1, 12)], n))]
+
+        def region():
+            r, c = sorted(rng.choices(range(1, 30), k=2)), sorted(rng.choices(range(1, 25), k=2))
+            return [(0, r[0], r[1], c[0], c[1])]
+
+        left, right = [(points(3), None), (points(1), points(1)), (region(), None), (region(), region())][i % 4]
+        rows.append((f"s{i}", "t", left, right))
+        cells = {(r, c) for s in left + (right or []) for r in range(s[1], s[2] + 1) for c in range(s[3], s[4] + 1)}
+        blocks = {((r - 1) // 4, (c - 1) // 5) for r, c in cells}
+        want[f"s{i}"] = (len(blocks), sum(r % 4 == 0 or c % 5 == 0 for r, c in cells) / len(cells), "single_block" if len(blocks) == 1 else "multiple_blocks")
+    df = spark.createDataFrame(rows, f"state_ref string, task string, left {spans}, right {spans}")
+    got = {r.state_ref: (r.distinct_blocks, r.boundary_point_fraction, r.block_relation) for r in P.block_diagnostics(df, 4, 5).collect()}
+    assert {k: (a, round(b, 12), c) for k, (a, b, c) in got.items()} == {k: (a, round(b, 12), c) for k, (a, b, c) in want.items()}
+
+
+def test_a_program_without_its_state_fails(spark):
+    p = spark.createDataFrame([("gone", "region_mean", "mean", 0.0, [(0, 1, 1, 1, 1)], None)], "state_ref string, task string, op string, target double, left array<struct<pos:int,r1:int,r2:int,c1:int,c2:int>>, right array<struct<pos:int,r1:int,r2:int,c1:int,c2:int>>")
+    grids = spark.createDataFrame([("here", 1, 1, [0.0])], "state_ref string, h int, w int, z array<double>")
+    with pytest.raises(Exception, match="no grid for state gone"):
+        P.execute(p, grids).collect()
