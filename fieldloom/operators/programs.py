@@ -424,6 +424,42 @@ def _steps() -> Column:
     return F.zip_with(F.slice("left", 1, F.size("left") - 1), F.slice("left", 2, F.size("left") - 1), lambda a, b: ((b["r1"] - a["r1"] == 1) & (b["c1"] == a["c1"])) | ((b["c1"] - a["c1"] == 1) & (b["r1"] == a["r1"])))
 
 
+#: Choices of the older sampler: points, line lengths, and region sizes of reads and of statistics.
+LEGACY_COUNTS, LEGACY_LINES, LEGACY_REGIONS, LEGACY_AREAS = (2, 3, 4), (3, 4, 5), ((2, 2),), ((2, 2), (4, 4))
+
+
+def sample_legacy(states: DataFrame, seed: int = 1, tasks: tuple[str, ...] = LEGACY_TASKS, counts: tuple[int, ...] = LEGACY_COUNTS, lines: tuple[int, ...] = LEGACY_LINES, regions: tuple[tuple[int, int], ...] = LEGACY_REGIONS, areas: tuple[tuple[int, int], ...] = LEGACY_AREAS) -> DataFrame:
+    """Programs in the older form, one per state (state_ref, h, w) and task: counts and sizes are drawn from what is configured and fits, lines step by one cell to the right or down.
+
+    Same columns as sample_programs. A grid that no configured line or region fits fails the job.
+    """
+    every = states.select("state_ref", "h", "w", F.explode(F.array(*map(F.lit, tasks))).alias("task"))
+    h, w, task, key = F.col("h"), F.col("w"), F.col("task"), (F.lit(seed), F.col("state_ref"), F.col("task"))
+    option = lambda a, b: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    lengths = F.filter(F.array(*[option(n, down) for n in lines for down in (0, 1)]), lambda x: x["a"] <= F.when(x["b"] == 1, h).otherwise(w))
+    fits = lambda sizes: F.filter(F.array(*[option(*s) for s in sizes]), lambda x: (x["a"] <= h) & (x["b"] <= w))
+    options = F.when(task == "line_profile", lengths).when(task == "region_values", fits(regions)).otherwise(fits(areas))
+    choice = F.get("options", draw(F.size("options"), "choice", *key))
+    none = F.raise_error(F.concat(F.lit("no configured selector fits a grid of "), L.shape_label(h, w))).cast("struct<a:int,b:int>")
+    points = task.isin("single_point", "multi_point")
+    chosen = every.withColumn("options", options).withColumn("x", F.when(points, F.lit(None)).when(F.size("options") > 0, choice).otherwise(none)).drop("options")
+    a, b = F.col("x.a"), F.col("x.b")
+    line = task == "line_profile"
+    high, wide = F.when(points, 1).when(line, 1 + (a - 1) * b).otherwise(a), F.when(points, 1).when(line, 1 + (a - 1) * (1 - b)).otherwise(b)
+    at = chosen.withColumn("r", 1 + draw(h - high + 1, "row", *key)).withColumn("c", 1 + draw(w - wide + 1, "column", *key))
+    r, c = F.col("r"), F.col("c")
+    cell = lambda i: F.struct((F.floor(i / w) + 1).cast("int").alias("r"), (i % w + 1).cast("int").alias("c"))
+    count = F.get(F.array(*map(F.lit, counts)), draw(len(counts), "count", *key))
+    several = F.transform(F.sequence(F.lit(0), F.least(count, h * w) - 1), lambda i: cell(permuted(i, h * w, *key, "points")))
+    left = (
+        F.when(task == "single_point", point_spans(F.array(F.struct(r.alias("r"), c.alias("c"))))).when(task == "multi_point", point_spans(several))
+        .when(line, line_spans(r, c, b, 1 - b, a)).otherwise(region_spans(r, c, a, b))
+    )
+    inside = F.struct((r + draw(a, "tr", *key)).alias("r"), (c + draw(b, "tc", *key)).alias("c"))
+    op = reduce(lambda acc, t: acc.when(task == t, OPS[t]), LEGACY_TASKS[1:], F.when(task == LEGACY_TASKS[0], OPS[LEGACY_TASKS[0]]))
+    return at.select("state_ref", "h", "w", "task", op.alias("op"), left.cast(SPANS).alias("left"), F.lit(None).cast(SPANS).alias("right"), F.when(task == "nearest_value_location", inside).alias("target_cell"))
+
+
 def unit_lines(programs: DataFrame) -> DataFrame:
     """Line programs that step by one cell, rightwards or downwards: those that the older protocol allows."""
     return programs.filter(F.col("task") == "line_profile").filter(F.forall(_steps(), lambda x: x))

@@ -289,6 +289,13 @@ ORACLE["token_budgets"] = """WITH q AS (SELECT o_orderkey AS position, 'o' || o_
     SELECT template_family, count(*) AS questions, CAST(max(p) AS BIGINT) AS max_prompt_tokens, arg_max(qa_id, p * 1000000000 - position) AS max_prompt_qa_id, CAST(max(t) AS BIGINT) AS max_target_tokens, arg_max(qa_id, t * 1000000000 - position) AS max_target_qa_id,
     count(*) FILTER (p > 380) AS prompt_overflow, count(*) FILTER (t > 42) AS target_overflow, count(*) FILTER (p > 380 OR t > 42) AS overflow, coalesce(array_to_string((list(qa_id ORDER BY position) FILTER (p > 380 OR t > 42))[1:8], ','), '') AS examples, CASE WHEN count(*) FILTER (p > 380 OR t > 42) > 0 THEN 'overflow' ELSE 'ok' END AS status FROM q GROUP BY template_family"""
 ORACLE["balanced_shards"] = "SELECT count(*) AS rows, count(DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END) AS states, CAST(0 AS BIGINT) AS split_states, CAST(6 AS BIGINT) AS shards, true AS within FROM orders"
+_OLD = lambda n, what: draw(n, f"'{what}:1:' || state_ref || ':' || task")
+ORACLE["legacy_programs"] = f"""WITH {STATES}, t AS (SELECT state_ref, unnest({_NAMES}[1:11]) AS task FROM states),
+    o AS (SELECT *, CASE WHEN task IN ('single_point', 'multi_point') THEN NULL WHEN task = 'line_profile' THEN [[3, 0], [3, 1], [4, 0], [4, 1], [5, 0], [5, 1]][{_OLD('6', 'choice')} + 1] WHEN task = 'region_values' THEN [2, 2] ELSE [[2, 2], [4, 4]][{_OLD('2', 'choice')} + 1] END AS x FROM t),
+    e AS (SELECT *, CASE WHEN x IS NULL THEN 1 WHEN task = 'line_profile' THEN 1 + (x[1] - 1) * x[2] ELSE x[1] END AS high, CASE WHEN x IS NULL THEN 1 WHEN task = 'line_profile' THEN 1 + (x[1] - 1) * (1 - x[2]) ELSE x[2] END AS wide FROM o),
+    p AS (SELECT *, 1 + {_OLD('(8 - high + 1)', 'row')} AS r, 1 + {_OLD('(8 - wide + 1)', 'column')} AS c FROM e)
+    SELECT state_ref, task, CAST(CASE WHEN task <> 'multi_point' THEN r END AS INTEGER) AS r1, CAST(CASE WHEN task <> 'multi_point' THEN c END AS INTEGER) AS c1, CAST(CASE WHEN task <> 'multi_point' THEN r + high - 1 END AS INTEGER) AS r2, CAST(CASE WHEN task <> 'multi_point' THEN c + wide - 1 END AS INTEGER) AS c2,
+    CAST(CASE WHEN task = 'multi_point' THEN 2 + {_OLD('3', 'count')} ELSE high * wide END AS BIGINT) AS cells, CAST(CASE WHEN task = 'nearest_value_location' THEN r + {_OLD('high', 'tr')} END AS INTEGER) AS tr, CAST(CASE WHEN task = 'nearest_value_location' THEN c + {_OLD('wide', 'tc')} END AS INTEGER) AS tc FROM p"""
 ORACLE["state_shards"] = f"SELECT 'emb:' || vec_id AS state_ref, CAST({draw('8', "'shard:emb:' || vec_id")} AS INTEGER) AS shard, CAST(1 AS BIGINT) AS shards, CAST(14 AS BIGINT) AS rows FROM embeddings"
 ORACLE["benchmark_requests"] = """WITH q AS (SELECT 'q' || vec_id AS qa_id, 'label' || label AS task, CAST((CAST(vec_id AS INTEGER) * 37) % 300 + 1 AS INTEGER) AS cells FROM embeddings),
     b AS (SELECT *, CASE WHEN cells <= 64 THEN 'cells_1_64' ELSE 'cells_65_256' END AS bin, sha256('1:' || qa_id) AS h FROM q WHERE cells <= 256), t AS (SELECT *, row_number() OVER (PARTITION BY bin, task ORDER BY h) AS turn FROM b),

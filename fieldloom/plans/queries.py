@@ -336,6 +336,14 @@ def legacy_records(s, d):
     return P.legacy_records(executed(s, d)).select("state_ref", "task", "answer", ties.alias("ties"))
 
 
+@query
+def legacy_programs(s, d):
+    """Programs of the older sampler: first and last cell (of single draws), cells and target cell."""
+    p = P.sample_legacy(states(s, d))
+    one, first, last = F.col("task") != "multi_point", F.col("left")[0], F.element_at("left", -1)
+    return p.select("state_ref", "task", *[F.when(one, x).alias(n) for n, x in (("r1", first["r1"]), ("c1", first["c1"]), ("r2", last["r2"]), ("c2", last["c2"]))], long(P.bounds(F.col("left"))["n"]).alias("cells"), F.col("target_cell.r").alias("tr"), F.col("target_cell.c").alias("tc"))
+
+
 @query
 def record_questions(s, d):
     """H1: the question texts of all six families."""

@@ -146,3 +146,15 @@ def test_a_program_without_its_state_fails(spark):
     grids = spark.createDataFrame([("here", 1, 1, [0.0])], "state_ref string, h int, w int, z array<double>")
     with pytest.raises(Exception, match="no grid for state gone"):
         P.execute(p, grids).collect()
+
+
+def test_older_programs_keep_to_what_is_configured(spark):
+    states = spark.createDataFrame([(f"s{i}", *[(4, 5), (5, 4), (9, 3), (3, 9)][i % 4]) for i in range(80)], "state_ref string, h int, w int")
+    drawn = P.sample_legacy(states, 2, areas=((2, 2), (3, 3), (4, 4)))
+    assert P.violations(drawn.withColumn("target", F.lit(0.0))).filter("problem <> 'whole_grid'").count() == 0
+    assert P.unit_lines(drawn).count() == drawn.filter("task = 'line_profile'").count() == 80
+    sizes = Counter((r.task, len(r.left) if r.task in ("multi_point", "line_profile") else (r.left[0].r2 - r.left[0].r1 + 1, r.left[0].c2 - r.left[0].c1 + 1)) for r in drawn.collect())
+    assert {n for t, n in sizes if t == "multi_point"} == {2, 3, 4} and {n for t, n in sizes if t == "line_profile"} == {3, 4, 5}
+    assert {n for t, n in sizes if t == "region_values"} == {(2, 2)} and {n for t, n in sizes if t == "region_mean"} == {(2, 2), (3, 3), (4, 4)}
+    with pytest.raises(Exception, match="no configured selector fits"):
+        P.sample_legacy(spark.createDataFrame([("s", 1, 2)], "state_ref string, h int, w int"), tasks=("line_profile",)).collect()
