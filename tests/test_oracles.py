@@ -85,5 +85,16 @@ def test_dataset_queries(spark):
     assert REGISTRY["dataset_audit"](spark, FOLDER).collect() == []
 
 
+def test_file_verification(spark):
+    import hashlib
+
+    rows = {r.name: r for r in REGISTRY["file_verification"](spark, FOLDER).collect()}
+    assert set(rows) == {f"{t}.parquet" for t in TABLES}
+    for name, r in rows.items():
+        with open(f"{FOLDER}/{name}", "rb") as f:
+            body = f.read()
+        assert (r.size_bytes, r.sha256, r.same, r.changed) == (len(body), hashlib.sha256(body).hexdigest(), True, False)
+
+
 def test_every_query_is_tested():
-    assert set(REGISTRY) - set(ORACLE) == {"record_questions", "sampled_programs", "changed_answers", "dataset_build", "dataset_audit"}
+    assert set(REGISTRY) - set(ORACLE) == {"record_questions", "sampled_programs", "changed_answers", "dataset_build", "dataset_audit", "file_verification"}
