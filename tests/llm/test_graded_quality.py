@@ -47,3 +47,43 @@ def test_odd_rows(spark, rows):
     model = G.train(df, spark.createDataFrame([(1, 1), (1, None), (7, 2)], "doc_id long, grade int"))
     got = G.score(df, model).collect()
     assert len(got) == len(rows) and all(0 <= r.expected_grade <= 2 for r in got)
+
+
+def loss(w, cuts, x, grade, ridge=2e-4):
+    """Negative log-likelihood a row and the ridge, straight from the definition."""
+    below = lambda j, z: 0.0 if j < 0 else 1.0 if j >= len(cuts) else 1 / (1 + np.exp(-(cuts[j] - z)))
+    total = -sum(np.log(max(below(g, z) - below(g - 1, z), 1e-12)) for z, g in zip(x @ w, grade, strict=True))
+    return total / len(grade) + ridge / 2 * (w @ w)
+
+
+def searched(x, grade, grades):
+    """The least loss by a pattern search over weights and thresholds: no gradients, another start."""
+    p = np.concatenate([np.zeros(x.shape[1]), np.linspace(-1, 1, grades - 1)])
+    value = lambda p: loss(p[: x.shape[1]], p[x.shape[1] :], x, grade) if (np.diff(p[x.shape[1] :]) > 0).all() else np.inf
+    best, step = value(p), 1.0
+    while step > 1e-3:
+        better = False
+        for i in range(len(p)):
+            for move in (step, -step):
+                q = p.copy()
+                q[i] += move
+                if (v := value(q)) < best:
+                    p, best, better = q, v, True
+        step = step if better else step / 2
+    return best, p
+
+
+@pytest.mark.parametrize(("grades", "seed"), [(2, 1), (3, 2), (4, 3)])
+def test_fit_reaches_the_least_loss(grades, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(150, 3))
+    z = x @ np.array([2.0, -1.0, 0.5]) + rng.logistic(size=150)
+    grade = np.searchsorted(np.quantile(z, np.arange(1, grades) / grades), z)
+    doc, at = np.repeat(np.arange(150), 3), np.tile([5, 77, 4000], 150)
+    model = G.fit(doc, at, x.ravel(), grade, grades, steps=2000)
+    least, p = searched(x, grade, grades)
+    own = loss(model.weights[[5, 77, 4000]], model.thresholds, x, grade)
+    assert abs(own - least) < 1e-4 and np.count_nonzero(model.weights) == 3
+    assert np.abs(model.weights[[5, 77, 4000]] - p[:3]).max() < 0.05 and np.abs(model.thresholds - p[3:]).max() < 0.05
+    tails = model.tails(np.array([0.3]))[0]
+    assert np.allclose(tails, [1 - 1 / (1 + np.exp(-(c - 0.3))) for c in model.thresholds]) and (np.diff(tails) < 0).all()
