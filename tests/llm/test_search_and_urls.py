@@ -41,6 +41,22 @@ def test_top_k_matches_brute_force(spark, monkeypatch, n, copies):
     assert {q: sorted(g) for q, g in got.items()} == want
 
 
+def test_outliers_beside_ordinary_vectors(spark):
+    """Two vectors of one huge component: their products need decimals on the way and fit 63 bits; ordinary queries rank as ever, and huge ones rank ordinary vectors exactly."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(0, 0.3, 12).round(2).astype(float).tolist()) for i in range(1, 300)]
+    rows[39] = (40, [2.5e7] + [0.25] * 11)
+    rows[100] = (101, [-2.0e7] + [0.5] * 11)
+    rows[200] = (201, [2.25e7] + [-0.5] * 11)
+    scaled = V.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {}
+    for r in V.top_k(scaled, scaled.filter("vec_id % 20 = 0"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5)
+    assert {q: sorted(g) for q, g in got.items()} == want
+    assert want[40][0] == (1, 201, 1600000000 * 1440000000 + 11 * 16 * -32)
+
+
 URLS = [
     ("HTTP://WWW.Example.COM/en/x?y#z", "www.example.com", "/en/x", "www.example.com/en/", "allow"), ("https://example.com/en/", "example.com", "/en/", "example.com/en/", "block"),
     ("https://a.example.com/en/1", "a.example.com", "/en/1", "example.com/en/", "block"), ("https://notexample.com/en/1", "notexample.com", "/en/1", "com/", "allow"), ("https://a.com", "a.com", "", None, "allow"),
