@@ -38,7 +38,7 @@ _HEAD = struct.Struct("<IIIIIIqq")
 NULL, CUT = 1, 2
 
 TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-BLOCKS = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("block", pa.binary())])
+BLOCKS = pa.schema([("file_no", pa.int32()), ("block_no", pa.int64()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("cut", pa.bool_()), ("block", pa.binary())])
 _PLACE = [("file_no", pa.int32()), ("doc_id", pa.int64()), ("local_start", pa.int64()), ("n_tokens", pa.int64())]
 #: before: ids of a cut document in earlier blocks, null for whole documents; in digests only cut ones have ids.
 DECODED = pa.schema([*_PLACE, ("before", pa.int64()), ("ids", pa.binary())])
@@ -201,7 +201,7 @@ def _encode(table, width: str, block_ids: int, batches: Iterator[pa.RecordBatch]
     def flush(file_no: int, before: int = 0, cut: bool = False) -> pa.RecordBatch:
         nonlocal docs, parts, lengths, first, number, held
         ids = np.frombuffer(b"".join(parts), width)
-        out = rows_out(BLOCKS, [[file_no], [number], [docs[0]], [len(docs)], [len(ids)], [pack_block(docs, lengths, ids, first, coder, before=before, cut=cut)]])
+        out = rows_out(BLOCKS, [[file_no], [number], [docs[0]], [len(docs)], [len(ids)], [cut], [pack_block(docs, lengths, ids, first, coder, before=before, cut=cut)]])
         docs, parts, lengths, first, number, held = [], [], [], first + held, number + 1, 0
         return out
 
@@ -269,7 +269,7 @@ class TokenFiles:
         self.freq = freq
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("file_no int, block_no long, first_doc long, n_docs long, n_tokens long, block binary").parquet(f"{self.path}/blocks")
+        return self.spark.read.schema("file_no int, block_no long, first_doc long, n_docs long, n_tokens long, cut boolean, block binary").parquet(f"{self.path}/blocks")
 
     def _starts(self) -> DataFrame:
         """Ids in all files before each file: a row per file."""
@@ -281,10 +281,10 @@ class TokenFiles:
         """(doc_id, start, n_tokens, ids or ids_crc32) decoded from the files; ids are little-endian unsigned 32-bit."""
         table, last = self.spark.sparkContext.broadcast(self.freq), "ids" if ids else "ids_crc32"
         made = "file_no int, doc_id long, local_start long, n_tokens long, before long, ids binary" + ("" if ids else ", ids_crc32 long")
-        out = self.blocks().select("file_no", "block").mapInArrow(partial(_decode, table, ids), made)
-        whole = out.filter("before is null").select("file_no", "doc_id", "local_start", "n_tokens", last)
+        decoded = lambda which: self.blocks().filter(which).select("file_no", "block").mapInArrow(partial(_decode, table, ids), made)
+        whole = decoded("not cut").select("file_no", "doc_id", "local_start", "n_tokens", last)
         joined = F.aggregate(F.array_sort(F.collect_list(F.struct("before", "ids"))), F.lit(b""), lambda x, y: F.concat(x, y["ids"]))
-        cut = out.filter("before is not null").groupBy("file_no", "doc_id", "local_start").agg(F.sum("n_tokens").alias("n_tokens"), joined.alias("ids"))
+        cut = decoded("cut").groupBy("file_no", "doc_id", "local_start").agg(F.sum("n_tokens").alias("n_tokens"), joined.alias("ids"))
         both = whole.unionByName(cut.select("file_no", "doc_id", "local_start", "n_tokens", "ids" if ids else F.crc32("ids").alias("ids_crc32")))
         # one row per file: bounded by the number of write tasks
         return both.join(F.broadcast(self._starts()), "file_no").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", last)
@@ -325,6 +325,6 @@ def _write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None,
     spark.createDataFrame(pa.table({"token": np.arange(size, dtype=np.int32), "freq": freq})).coalesce(1).write.parquet(f"{path}/table")
     ranged = tokens.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").drop("row").withColumn("file_no", F.spark_partition_id())
     table = spark.sparkContext.broadcast(freq)
-    blocks = ranged.mapInArrow(partial(_encode, table, width, block_ids), "file_no int, block_no long, first_doc long, n_docs long, n_tokens long, block binary")
+    blocks = ranged.mapInArrow(partial(_encode, table, width, block_ids), "file_no int, block_no long, first_doc long, n_docs long, n_tokens long, cut boolean, block binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     return TokenFiles(spark, path, freq)
