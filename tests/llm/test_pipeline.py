@@ -54,7 +54,7 @@ def test_stages_take_effect(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries()} == {f"op{i}" for i in range(1, 14)}
     assert set(oracle_sql()) <= set(queries())
     assert zlib.crc32(b"") == 0 and os.path.exists(corpus_pipeline.__file__)
 
