@@ -95,7 +95,8 @@ def summarize(scored: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def errors(scored: DataFrame, dim: str) -> DataFrame:
-    return scored.filter("error is not null").groupBy(F.col(dim).cast("string").alias("key"), "error").agg(F.count("*").alias("questions"))
+    """Rows by dim and error. Rows without one are dropped after the count: a filter on the error itself would be pushed below all that it is made from, a copy of the programs' expressions for each use."""
+    return scored.groupBy(F.col(dim).cast("string").alias("key"), "error").agg(F.count("error").alias("questions")).filter("questions > 0")
 
 
 def macro(scored: DataFrame, task: str = "task") -> DataFrame:
