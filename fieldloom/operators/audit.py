@@ -78,13 +78,36 @@ def content_digests(cells: DataFrame, keys: list[str], value: str = "x", scale:
     return row.groupBy(*keys).agg(joined("r", F.col("d")).alias("digest"))
 
 
+#: What names a frame of a source.
+TOLD = ("source_id", "source_file_id", "field_key", "component", "sample_index", "time_index")
+
+
+def _values_text(values: str) -> Column:
+    return F.array_join(F.transform(values, lambda v: v.cast("string")), ",")
+
+
+def _frame_text(values: Column) -> Column:
+    return F.concat_ws("|", "field_key", F.coalesce(F.col("component").cast("string"), F.lit("-")), F.col("height").cast("string"), F.col("width").cast("string"), values)
+
+
 def trajectory_digests(frames: DataFrame, values: str = "values") -> DataFrame:
     """(source_id, source_file_id, sample_index, digest, initial): SHA-256 over all fields and times of a trajectory, and over its fields' first frames; fields without time, and those that all samples of a file share, count for both.
 
     frames: (source_id, source_file_id, field_key, component, sample_index, time_index, height, width, values).
     """
-    text = F.concat_ws("|", "field_key", F.coalesce(F.col("component").cast("string"), F.lit("-")), F.col("height").cast("string"), F.col("width").cast("string"), F.array_join(F.transform(values, lambda v: v.cast("string")), ","))
-    each = frames.select("source_id", "source_file_id", "sample_index", "field_key", F.coalesce("component", F.lit(-1)).alias("component"), F.coalesce("time_index", F.lit(-1)).alias("time_index"), F.sha2(text, 256).alias("d"))
+    return digests_of_frames(frames.select(*TOLD, F.sha2(_frame_text(_values_text(values)), 256).alias("d")))
+
+
+def strip_digests(strips: DataFrame, values: str = "values") -> DataFrame:
+    """(TOLD, d): the frame digests that trajectory_digests() makes, of frames in strips of whole rows (tr, their order). SHA-256 runs over a frame's text from end to end, so one group holds that text, but no cells."""
+    told = strips.select(*TOLD, "height", "width", "tr", _values_text(values).alias("part"))
+    whole = told.groupBy(*TOLD, "height", "width").agg(F.array_sort(F.collect_list(F.struct("tr", "part"))).alias("parts"))
+    return whole.select(*TOLD, F.sha2(_frame_text(F.array_join("parts.part", ",")), 256).alias("d"))
+
+
+def digests_of_frames(frames: DataFrame) -> DataFrame:
+    """trajectory_digests() of frames (TOLD) with digests d of their own."""
+    each = frames.select("source_id", "source_file_id", "sample_index", "field_key", F.coalesce("component", F.lit(-1)).alias("component"), F.coalesce("time_index", F.lit(-1)).alias("time_index"), "d")
     own, shared = each.filter("sample_index is not null"), each.filter("sample_index is null").drop("sample_index")
     samples = own.select("source_id", "source_file_id", "sample_index").distinct()
     every = own.unionByName(samples.join(shared, ["source_id", "source_file_id"]))

@@ -200,7 +200,7 @@ def _frame_name() -> Column:
 
 
 def _shipment_store(s: SparkSession, d: str, side: int = 16) -> tiles.TileStore:
-    return tiles.write_store(tiles.tiles_of_cells(grids.shipment_cells(s, d), side), side)
+    return tiles.write_store(grids.shipment_tiles(s, d, side, side), side)
 
 
 @query
@@ -245,7 +245,7 @@ def _shipment_regions(frames: DataFrame) -> DataFrame:
 
 def _shipment_pyramid(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(regions, tiles, pyramid) of the shipped quantities."""
-    own = written(tiles.tiles_of_cells(grids.shipment_cells(s, d), pyramid.SIDE).withColumn("state_ref", _frame_name()), "tiles")
+    own = written(grids.shipment_tiles(s, d, pyramid.SIDE, pyramid.SIDE).withColumn("state_ref", _frame_name()), "tiles")
     regions = _shipment_regions(own.filter("tr = 0 and tc = 0").select("state_ref", "source_file_id", "sample_index", "time_index", "height", "width"))
     return regions, own, written(pyramid.pyramid(own), "pyramid")
 
@@ -609,10 +609,10 @@ def content_digests(s, d):
 @query
 def trajectory_digests(s, d):
     """Digests of every trajectory of shipped quantities and of its first frame, and how many trajectories share that."""
-    cells = grids.shipment_cells(s, d)
-    frames = cells.groupBy(F.lit("ship").alias("source_id"), *tiles.FRAME, "height", "width").agg(F.array_sort(F.collect_list(F.struct("r", "c", "x"))).alias("v")).withColumn("values", F.transform("v", lambda c: c["x"])).drop("v")
+    strips = grids.shipment_tiles(s, d, tiles.SIDE, 84).withColumn("source_id", F.lit("ship"))
     with discarding(s):
-        found = written(audit.trajectory_digests(frames), "digests")
+        each = written(audit.strip_digests(strips), "frame-digests")  # read several times
+        found = written(audit.digests_of_frames(each), "digests")
         shared = audit.shared_initial_states(found).select("initial", "trajectories")
         out = found.join(shared, "initial", "left").select("source_file_id", "sample_index", "digest", "initial", long(F.coalesce("trajectories", F.lit(1))).alias("sharing"))
         return written(out, "shared", outer=True)

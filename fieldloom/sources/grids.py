@@ -51,19 +51,36 @@ def lineitem_cells(spark: SparkSession, folder: str) -> DataFrame:
     return full.select(F.concat(F.lit("lin:"), F.col("l_suppkey").cast("string")).alias("state_ref"), F.lit("lin").alias("source_id"), F.lit("discount").alias("field"), F.col("l_suppkey").alias("trajectory"), F.lit(7).alias("h"), F.lit(7).alias("w"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def shipment_cells(spark: SparkSession, folder: str) -> DataFrame:
-    """Quantities shipped by supplier (rows) and month (84 columns), a frame for each return flag (file), line status (sample) and line number (time): (source_file_id, field_key, component, sample_index, time_index, height, width, r, c, x), 0 where nothing was shipped."""
+def dense(cells: str, size: Column) -> Column:
+    """A row-major array of size cells from the sparse ones (array<struct<at int, x double>>, at from 0, each once): 0 where there is none, by runs between neighbours rather than by a look-up for each cell."""
+    entries, zeros = F.array_sort(cells), lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    run = lambda v: F.transform(v, lambda e, i: F.concat(F.array(e["x"]), zeros(F.coalesce(F.get(v, i + 1)["at"], size) - e["at"] - 1)))
+    full = lambda v: F.when(F.size(v) == 0, zeros(size)).otherwise(F.concat(zeros(F.get(v, F.lit(0))["at"]), F.flatten(run(v))))
+    return F.get(F.transform(F.array(entries), full), F.lit(0))  # sorted once
+
+
+def shipment_tiles(spark: SparkSession, folder: str, high: int, wide: int) -> DataFrame:
+    """Quantities shipped by supplier (rows) and month (84 columns), a frame for each return flag (file), line status (sample) and line number (time), in tiles of high x wide cells: (source_file_id, field_key, component, sample_index, time_index, height, width, tr, tc, values), 0 where nothing was shipped.
+
+    Only cells with shipments are shuffled; each tile fills itself up. Tiles without any come from the list of all tiles.
+    """
     li, months = table(spark, folder, "lineitem"), 84
-    low, high = table(spark, folder, "supplier").agg(F.min("s_suppkey").cast("int"), F.max("s_suppkey").cast("int")).first()  # two numbers
-    height = high - low + 1
+    low, most = table(spark, folder, "supplier").agg(F.min("s_suppkey").cast("int"), F.max("s_suppkey").cast("int")).first()  # two numbers
+    height = most - low + 1
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate")).cast("int")
-    sums = li.select("l_returnflag", "l_linestatus", "l_linenumber", (F.col("l_suppkey").cast("int") - low + 1).alias("r"), month.alias("c"), "l_quantity").withColumn("r", _within("r", height)).withColumn("c", _within("c", months))
-    sums = sums.groupBy("l_returnflag", "l_linestatus", "l_linenumber", "r", "c").agg(F.sum("l_quantity").alias("x"))
-    frame = li.select("l_returnflag", "l_linestatus", "l_linenumber").distinct().select("*", F.explode(F.sequence(F.lit(1), F.lit(height))).alias("r")).select("*", F.explode(F.sequence(F.lit(1), F.lit(months))).alias("c"))
-    full = frame.join(sums, ["l_returnflag", "l_linestatus", "l_linenumber", "r", "c"], "left")
-    return full.select(
+    frame = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    sums = li.select(*frame, (F.col("l_suppkey").cast("int") - low + 1).alias("r"), month.alias("c"), "l_quantity").withColumn("r", _within("r", height)).withColumn("c", _within("c", months))
+    sums = sums.groupBy(*frame, "r", "c").agg(F.sum("l_quantity").alias("x"))
+    place = lambda c, side: F.floor((F.col(c) - 1) / side).cast("int")
+    tall, broad = F.least(F.lit(high), height - F.col("tr") * high), F.least(F.lit(wide), months - F.col("tc") * wide)
+    at = ((F.col("r") - 1 - F.col("tr") * high) * broad + F.col("c") - 1 - F.col("tc") * wide).cast("int")
+    cells = sums.withColumn("tr", place("r", high)).withColumn("tc", place("c", wide)).select(*frame, "tr", "tc", F.struct(at.alias("at"), F.coalesce("x", F.lit(0.0)).alias("x")).alias("cell"))
+    strips = spark.range(-(-height // high)).select(F.col("id").cast("int").alias("tr"))
+    every = strips.crossJoin(F.broadcast(li.select(*frame).distinct())).select(*frame, "tr", F.explode(F.sequence(F.lit(0), F.lit(-(-months // wide) - 1))).alias("tc"))
+    met = cells.unionByName(every.withColumn("cell", F.lit(None).cast(cells.schema["cell"].dataType))).groupBy(*frame, "tr", "tc").agg(F.collect_list("cell").alias("cells"))  # high * wide at most
+    return met.select(
         F.col("l_returnflag").alias("source_file_id"), F.lit("quantity").alias("field_key"), F.lit(None).cast("int").alias("component"), (F.col("l_linestatus") == "O").cast("int").alias("sample_index"), (F.col("l_linenumber") - 1).cast("int").alias("time_index"),
-        F.lit(height).alias("height"), F.lit(months).alias("width"), "r", "c", F.coalesce("x", F.lit(0.0)).alias("x"),
+        F.lit(height).alias("height"), F.lit(months).alias("width"), "tr", "tc", dense("cells", tall * broad).alias("values"),
     )
 
 

@@ -128,3 +128,28 @@ def test_statistics_and_ties_equal_whole_grids(spark, h, w, side, factor, levels
         for i, (_, _, _, r1, r2, c1, c2) in enumerate(rows):
             part = grid[r1 - 1 : r2, c1 - 1 : c2]
             assert sum(c1_ - c0 + 1 for _, c0, c1_ in runs[i, op]) == (part == (part.min() if op == "argmin" else part.max())).sum()
+
+
+def test_shipments_in_tiles(spark, tmp_path):
+    """Tiles made from shipped cells alone, among them short ones at both edges and whole ones without any shipment, and digests of strips against those of whole frames."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from fieldloom.operators import audit
+    from fieldloom.sources import grids
+
+    day = lambda y, m: datetime.date(y, m, 3)
+    sold = [("R", "F", 1, 3, day(1995, 1), 5.0), ("R", "F", 1, 3, day(1995, 1), 2.0), ("R", "F", 1, 21, day(2001, 12), 4.0), ("R", "O", 2, 12, day(1997, 6), 1.0), ("A", "F", 1, 12, day(1997, 6), None)]
+    spark.createDataFrame(sold, "l_returnflag string, l_linestatus string, l_linenumber int, l_suppkey long, l_shipdate date, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(3,), (21,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {(f, s, t): [[0.0] * 84 for _ in range(19)] for f, s, t in (("R", 0, 0), ("R", 1, 1), ("A", 0, 0))}
+    want["R", 0, 0][0][0], want["R", 0, 0][18][83], want["R", 1, 1][9][29] = 7.0, 4.0, 1.0
+    rows = grids.shipment_tiles(spark, f"file://{tmp_path}", 16, 16).collect()
+    assert len(rows) == 3 * 2 * 6 and {(r.height, r.width) for r in rows} == {(19, 84)}
+    for r in rows:
+        part = [v[r.tc * 16 : r.tc * 16 + 16] for v in want[r.source_file_id, r.sample_index, r.time_index][r.tr * 16 : r.tr * 16 + 16]]
+        assert list(r["values"]) == [x for v in part for x in v]
+    strips = grids.shipment_tiles(spark, f"file://{tmp_path}", 4, 84).withColumn("source_id", F.lit("ship"))
+    frames = spark.createDataFrame([("ship", f, "quantity", None, s, t, 19, 84, [x for v in g for x in v]) for (f, s, t), g in want.items()], "source_id string, source_file_id string, field_key string, component int, sample_index int, time_index int, height int, width int, values array<double>")
+    assert sorted(audit.digests_of_frames(audit.strip_digests(strips)).collect()) == sorted(audit.trajectory_digests(frames).collect())
