@@ -4,10 +4,10 @@ Per class, the highest order (ORDER letters, padded at a word's start) is counte
 lower orders are one shared chain of continuation counts (numbers of distinct left extensions)
 over both classes, so rare expressions fall back to the same probabilities in both models and
 barely move the comparison. Counts come from every labelled training row, by Spark, with the
-letters themselves as keys, so no two grams share a count. What goes to the tasks is, per order,
-the grams counted least_count times or more, the smallest power of two that leaves at most MOST of
-them; the mass of the others goes to the lower order of their context, so every distribution still
-sums to one. A document's evidence is the difference of the two log-likelihoods, normalised by
+letters themselves as keys, so no two grams share a count, and stay in tables of the shared folder.
+Of all grams that the documents hold, Spark joins the log ratio of the two models; the HEAD grams
+that the documents have most are broadcast, and documents with other grams get theirs by a join, so
+no gram is left out and HEAD doesn't change a score. A document's evidence is the difference of the two log-likelihoods, normalised by
 length: over the whole text, and over its strongest runs of a few words. A logistic curve, fitted
 on at most FIT_ROWS labelled rows under a model that hasn't counted them, makes the score.
 """
@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
+from math import isnan
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from .common import discarding, id_and_text, materialize, text_batches
 from .hashing import STEP, mix
 
 ORDER = 5
-#: Grams of one order that a model may hold.
+#: Grams of one order that a Model in memory may hold; the queries' model is in tables and has no such limit.
 MOST = 500_000
+#: Grams whose log ratios are broadcast; a join brings those of the others.
+HEAD = 500_000
 DISCOUNT = 0.75
 WINDOWS = (1, 3, 12)
 FIT_ROWS = 20_000
@@ -153,7 +157,7 @@ class Table:
 
 
 class Model:
-    """Discounted shares of grams and backoff weights of contexts: of the shared chain, and of both classes at the highest order."""
+    """A small model in memory: discounted shares of grams and backoff weights of contexts: of the shared chain, and of both classes at the highest order."""
 
     def __init__(self, letters: Table, shares: dict[int, Table], backoffs: dict[int, Table]):
         self.letters, self.shares, self.backoffs = letters, shares, backoffs
@@ -251,10 +255,124 @@ def _table(keys: np.ndarray, columns: list[np.ndarray], default: float) -> Table
     return Table(keys[some], [c[some] for c in columns], default)
 
 
+@dataclass
+class GramTables:
+    """Models in tables, by name: per order (gram, counts) and (context, total and discounted sum of each count), and the letters' counts with their sums."""
+
+    levels: dict[int, tuple[DataFrame, DataFrame]]
+    letters: DataFrame
+    totals: dict[str, float]
+    counts: dict[str, tuple[str, ...]]
+
+    @staticmethod
+    def of(grams: DataFrame, rows: dict[str, Column]) -> GramTables:
+        """For every named condition on the rows (gram, label, fold, n). The tables outlive the discarding() that this is called in."""
+        n = lambda name, y: F.sum(F.when(rows[name] & (F.col("label") == y), F.col("n")).otherwise(0)).alias(f"{name}_{y}")
+        level = materialize(grams.groupBy("gram").agg(*[n(name, y) for name in rows for y in (1, 0)]), "grams", outer=True)
+        top = {name: (f"{name}_1", f"{name}_0") for name in rows}
+        counts, levels = top, {}
+        for order in range(ORDER, 1, -1):
+            own = [c for cs in counts.values() for c in cs]
+            sums = [x for c in own for x in (F.sum(c).alias(f"total_{c}"), F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(f"kept_{c}"))]
+            levels[order] = level, materialize(level.groupBy(F.substring("gram", 1, order - 1).alias("context")).agg(*sums), "contexts", outer=True)
+            # the grams of the next lower order, with the number of distinct letters before them
+            met = {name: sum((F.col(c) for c in cs[1:]), F.col(cs[0])) > 0 for name, cs in counts.items()}
+            lower = level.select(F.substring("gram", 2, order).alias("gram"), *[F.when(m, 1).otherwise(0).alias(name) for name, m in met.items()])
+            level = materialize(lower.groupBy("gram").agg(*[F.sum(name).alias(name) for name in rows]), "lower-grams", outer=True)
+            counts = {name: (name,) for name in rows}
+        sums = level.agg(*[F.sum(name).alias(name) for name in rows]).first()
+        return GramTables(levels, level, {name: float(sums[name] or 0) + FAINT * LETTERS for name in rows}, top)
+
+    def ratios(self, asked: DataFrame, name: str) -> DataFrame:
+        """asked (gram, of ORDER letters, each once) with ratio: the logarithm of the quotient of the last letter's probabilities under the toxic and the ordinary model."""
+        ends = lambda k: asked.select(F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
+        p = ends(1).join(self.letters, "gram", "left").select("gram", ((F.coalesce(name, F.lit(0)) + FAINT) / self.totals[name]).cast("float").cast("double").alias("p"))
+        for order in range(2, ORDER + 1):
+            level, contexts = self.levels[order]
+            own = self.counts[name] if order == ORDER else (name,)
+            q = (asked if order == ORDER else ends(order)).join(level.select("gram", *own), "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
+            q = q.join(contexts.select("context", *[f"{x}_{c}" for c in own for x in ("total", "kept")]), "context", "left")
+            q = q.withColumn("end", F.substring("gram", 2, order - 1)).join(p.withColumnRenamed("gram", "end"), "end")
+            part = lambda c: F.coalesce(F.try_divide(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)), F.col(f"total_{c}")), F.lit(0.0)).cast("float")
+            back = lambda c: (1 - F.coalesce(F.try_divide(F.col(f"kept_{c}"), F.col(f"total_{c}")), F.lit(0.0))).cast("float")
+            mixed = [part(c).cast("double") + back(c).cast("double") * F.col("p") for c in own]
+            if order < ORDER:
+                p = q.select("gram", mixed[0].alias("p"))
+        return q.select(*asked.columns, (F.log(mixed[0]) - F.log(mixed[1])).cast("float").alias("ratio"))
+
+
+class Ratios:
+    """Log ratios of grams, as WordScores asks for them; NaN for a gram that it doesn't hold."""
+
+    def __init__(self, grams: list[str], ratios: np.ndarray, under: Ratios | None = None):
+        self.table, self.under = Table(gram_keys(grams), [ratios], np.nan), under
+
+    def log_ratio(self, codes: np.ndarray) -> np.ndarray:
+        found = self.table.get(window_keys(codes)[ORDER - 1])[0].astype(np.float64)
+        return found if self.under is None else np.where(np.isnan(found), self.under.log_ratio(codes), found)
+
+
+def _places(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """Padded words, one after the other; the places where a gram of one of them ends, and that word's number."""
+    padded = [_padded(w) for w in words]
+    sizes = np.fromiter(map(len, padded), np.int64, len(padded))
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.flatnonzero(place >= ORDER - 1)
+    return "".join(padded), ends, np.repeat(np.arange(len(words)), sizes)[ends]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts: dict[str, int] = {}
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        words = list(counts)
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            text, ends, of = _places(some)
+            n = np.fromiter((counts[w] for w in some), np.int64, len(some))[of]
+            _, first, which = np.unique(window_keys(_codes(text))[ORDER - 1][ends], return_index=True, return_inverse=True)
+            grams = [text[i - ORDER + 1 : i + 1] for i in ends[first].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(np.bincount(which, weights=n, minlength=len(grams)).astype(np.int64))], names=["gram", "n"])
+        counts.clear()
+
+    for batch in text_batches(batches):
+        for text in batch.column("text").to_pylist():
+            for w in _words(text or ""):
+                counts[w] = counts.get(w, 0) + 1
+        if len(counts) > CACHE:
+            yield from sums()
+    yield from sums()
+
+
+def _absent(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, gram): the grams of each text that the broadcast ones lack, each once."""
+    for batch in text_batches(batches, most_rows=512):
+        rows, grams = [], []
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            whole, ends, _ = _places(list(set(_words(text))))
+            lost = ends[np.isnan(shared.model.value.log_ratio(_codes(whole))[ends])]
+            own = {whole[i - ORDER + 1 : i + 1] for i in lost.tolist()}
+            rows += [row] * len(own)
+            grams += own
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(grams, pa.string())], names=["row", "gram"])
+
+
+def _completed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, features) of texts whose absent grams come along."""
+    for batch in text_batches(batches, most_rows=512):
+        found = []
+        for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            words = _words(text)
+            scores = WordScores(Ratios([x["gram"] for x in own], np.array([x["ratio"] for x in own], np.float32), shared.model.value))
+            scores.learn(set(words))
+            found.append(features(words, scores))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, pa.float64()) for c in zip(*found, strict=True)]], names=["row", *FEATURES])
+
+
 class WordScores(dict):
     """word -> log ratio of its letters, for the words met so far; starts anew when full."""
 
-    def __init__(self, model: Model):
+    def __init__(self, model: Model | Ratios):
         self.model = model
 
     def learn(self, words: set[str]) -> None:
@@ -298,22 +416,37 @@ def _feature_rows(shared, carry: tuple[str, ...], batches: Iterator[pa.RecordBat
         scores.learn(set().union(*words))
         rows = [features(w, scores) for w in words]
         found = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, carry), *found], names=["doc_id", *carry, *FEATURES])
+        short = pa.array([t if isnan(r[0]) else None for t, r in zip(batch.column("text").to_pylist(), rows, strict=True)], pa.string())  # holds a gram that isn't broadcast
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, carry), *found, short], names=["doc_id", *carry, *FEATURES, "short_"])
 
 
 class Shared:
-    """A broadcast model and the id by which workers keep its word scores."""
+    """Broadcast ratios and the id by which workers keep its word scores."""
 
-    def __init__(self, spark, model: Model):
+    def __init__(self, spark, model: Ratios):
         self.model = spark.sparkContext.broadcast(model)
         self.id = f"{spark.sparkContext.applicationId}-{self.model._jbroadcast.id()}"
 
 
-def feature_rows(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, features) of docs (doc_id, text and what is carried)."""
+def feature_rows(docs: DataFrame, tables: GramTables, name: str, carry: tuple[str, ...] = (), head: int | None = None) -> DataFrame:
+    """(doc_id, carried columns, features) of docs (doc_id, text and what is carried) under one of the models."""
+    head = HEAD if head is None else head
     rows = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[rows.schema[c] for c in carry], *[T.StructField(f, T.DoubleType()) for f in FEATURES]])
-    return rows.mapInArrow(partial(_feature_rows, Shared(docs.sparkSession, model), carry), schema)
+    met = materialize(rows.select("text").mapInArrow(_met, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "met-grams")
+    known = materialize(tables.ratios(met, name), "ratios")
+    some = known.orderBy(F.desc("n"), "gram").limit(head).select("gram", "ratio").toArrow()  # head rows at most
+    shared = Shared(docs.sparkSession, Ratios(some.column("gram").to_pylist(), some.column("ratio").to_numpy().astype(np.float32)))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[rows.schema[c] for c in carry], *[T.StructField(f, T.DoubleType()) for f in FEATURES], T.StructField("short_", T.StringType())])
+    out = rows.mapInArrow(partial(_feature_rows, shared, carry), schema)
+    if known.count() <= head:
+        return out.drop("short_")
+    out = materialize(out.withColumn("row_", F.monotonically_increasing_id()), "first-features")
+    short = out.filter("short_ is not null").select(F.col("row_").alias("row"), F.col("short_").alias("text"))
+    own = short.mapInArrow(partial(_absent, shared), "row long, gram string").join(known.select("gram", "ratio"), "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "ratio")).alias("own"))  # as many as the text has
+    done = short.join(own, "row").mapInArrow(partial(_completed, shared), T.StructType([T.StructField("row", T.LongType()), *[T.StructField(f, T.DoubleType()) for f in FEATURES]]))
+    mended = out.filter("short_ is not null").drop("short_", *FEATURES).join(done, F.col("row_") == F.col("row"))
+    columns = ["doc_id", *carry, *FEATURES]
+    return out.filter("short_ is null").select(*columns).unionByName(mended.select(*columns))
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -336,35 +469,35 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return np.append(raw, w[k] - (raw * mean).sum())
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[Model, np.ndarray]:
-    """(model over all training rows, curve). A document labelled 0 and 1 counts as toxic; rows of the held-out fold are never read."""
-    with discarding(docs.sparkSession):  # the model is in memory at the end
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[GramTables, np.ndarray]:
+    """(tables with the model `whole` over all training rows, curve). A document labelled 0 and 1 counts as toxic; rows of the held-out fold are never read."""
+    with discarding(docs.sparkSession):  # the model's tables stay
         return _train(docs, labels, fit_rows)
 
 
-def _train(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[Model, np.ndarray]:
+def _train(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[GramTables, np.ndarray]:
     one = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
     rows = id_and_text(docs).withColumn("fold", fold_of(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT)
     # texts move once at any size of the labels
     labelled = materialize(rows.join(one.hint("merge"), "doc_id").select("doc_id", "text", "label", "fold"), "labelled")
     grams = materialize(count_grams(labelled), "class-grams")
-    models = Model.each(grams, {"part": F.col("fold") != CURVE, "whole": F.lit(True)})
+    tables = GramTables.of(grams, {"part": F.col("fold") != CURVE, "whole": F.lit(True)})
     held = labelled.filter(F.col("fold") == CURVE)
     share = min(1.0, fit_rows / max(1, held.count()))
     held = held.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text", "label")
-    frame = feature_rows(held, models["part"]).join(held.select("doc_id", "label"), "doc_id").toArrow()  # about fit_rows rows of a few numbers
+    frame = feature_rows(held, tables, "part").join(held.select("doc_id", "label"), "doc_id").toArrow()  # about fit_rows rows of a few numbers
     curve = fit_curve(np.column_stack([frame.column(f).to_numpy() for f in FEATURES]), frame.column("label").to_numpy().astype(float))
-    return models["whole"], curve
+    return tables, curve
 
 
-def score(docs: DataFrame, model: Model, curve: np.ndarray, carry: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: GramTables, curve: np.ndarray, carry: tuple[str, ...] = (), head: int | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every whole text, and the columns to carry along.
 
     Null or empty text: no evidence, the curve's value at zero. Null doc_id: scored, not held out.
     Repeated rows: a row each. Empty table: no rows. Other columns are ignored.
     """
     text = F.col("text").cast("string")
-    rows = feature_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[c for c in carry if c != "text"]), model, carry)
+    rows = feature_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[c for c in carry if c != "text"]), model, "whole", carry, head)
     z = F.lit(float(curve[-1]))
     for w, f in zip(curve, FEATURES, strict=False):
         z = z + float(w) * F.col(f)

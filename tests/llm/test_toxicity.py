@@ -147,3 +147,20 @@ def test_a_long_word_is_one_word():
     pieces = len(T._pieces(T._padded(long)))
     whole, *runs, size = T.features(words, scores)
     assert size == np.log1p(5) and whole == (2 + 3 * pieces) / 5 and runs[0] == pieces
+
+
+def test_no_gram_is_left_out(spark):
+    """Scores don't depend on how many grams are broadcast, and ratios in tables are those of the definition."""
+    docs, labels, _ = corpus(spark, 300)
+    docs = docs.unionByName(spark.createDataFrame([(1000, "", "de"), (1001, None, "de"), (1002, "zqurk " + "文x" * 90 + " vobbx", "de"), (1002, "one", "de")], docs.schema))
+    trained = T.train(docs, labels)
+    rows = lambda head: sorted((r.doc_id, r.text, r.score) for r in T.score(docs.fillna(""), *trained, carry=("text",), head=head).collect())
+    every = rows(10_000)
+    assert len(every) == 304 and rows(40) == every and rows(0) == every
+    df = spark.createDataFrame([(t, y, 0) for t, y in ROWS], "text string, label int, fold int")
+    p = kneser_ney(ROWS)
+    tests = sorted({g for t, _ in ROWS for g in grams_of(t)} | {"athex", "\x02\x02\x02zq", "zzzzz", "the\x01\x01", "文文文文文"})
+    got = T.GramTables.of(T.count_grams(df), {"all": T.F.lit(True)}).ratios(spark.createDataFrame([(g,) for g in tests], "gram string"), "all").collect()
+    assert len(got) == len(tests)
+    for r in got:
+        assert r.ratio == pytest.approx(np.log(p(r.gram, 1)) - np.log(p(r.gram, 0)), rel=1e-4, abs=1e-6)
