@@ -15,6 +15,7 @@ on at most FIT_ROWS labelled rows under a model that hasn't counted them, makes
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -22,6 +23,7 @@ from math import isnan
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import discarding, id_and_text, materialize, text_batches
@@ -44,6 +46,7 @@ CACHE, LONG = 400_000, 64
 PAD, END, PIECE, FAINT, LETTERS = "\x02" * (ORDER - 1), "\x01", "\x00\x00", 2.0**-10, 0x110000
 
 _TRIM = re.compile(r"^\W+|\W+$")
+_MARKS = string.punctuation.replace("_", "")
 COUNTED = pa.schema([("word", pa.string()), ("label", pa.int32()), ("fold", pa.int32()), ("n", pa.int64())])
 FEATURES = ("whole", *[f"strongest_{w}" for w in WINDOWS], "words")
 
@@ -65,8 +68,19 @@ def _words(text: str) -> list[str]:
     return words
 
 
+def _dealt(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words between white space (as str.split() takes it) of some texts; of each word in turn, the number in these; and of each text, where its words end. Null texts have none."""
+    split = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+    words = split.flatten()
+    some = pc.not_equal(words, "")  # white space at an end leaves an empty word
+    ends = np.cumsum(np.append(0, some.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+    coded = words.filter(some).dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), ends
+
+
 def _plain(word: str) -> str:
-    return _TRIM.sub("", word.lower()) or word
+    bare = (low := word.lower()).strip(_MARKS)
+    return bare if bare.isalnum() else _TRIM.sub("", low) or word  # most words need no pattern
 
 
 def _padded(word: str) -> str:
@@ -301,11 +315,17 @@ class GramTables:
         return q.select(*asked.columns, (F.log(mixed[0]) - F.log(mixed[1])).cast("float").alias("ratio"))
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, ratio) of (gram, ratio): eight bytes for a gram's letters, which the driver needn't have."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(gram_keys(batch.column("gram").to_pylist()).view(np.int64)), batch.column("ratio")], names=["key", "ratio"])
+
+
 class Ratios:
     """Log ratios of grams, as WordScores asks for them; NaN for a gram that it doesn't hold."""
 
-    def __init__(self, grams: list[str], ratios: np.ndarray, under: Ratios | None = None):
-        self.table, self.under = Table(gram_keys(grams), [ratios], np.nan), under
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray, under: Ratios | None = None):
+        self.table, self.under = Table(keys, [ratios], np.nan), under
 
     def log_ratio(self, codes: np.ndarray) -> np.ndarray:
         found = self.table.get(window_keys(codes)[ORDER - 1])[0].astype(np.float64)
@@ -336,9 +356,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts.clear()
 
     for batch in text_batches(batches):
-        for text in batch.column("text").to_pylist():
-            for w in _words(text or ""):
-                counts[w] = counts.get(w, 0) + 1
+        words, which, _ = _dealt(batch.column("text"))
+        for w, n in zip(words, np.bincount(which, minlength=len(words)).tolist(), strict=True):
+            for p in _pieces(_padded(w)) if len(w) > LONG else (w,):
+                counts[p] = counts.get(p, 0) + n
         if len(counts) > CACHE:
             yield from sums()
     yield from sums()
@@ -362,10 +383,9 @@ def _completed(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     for batch in text_batches(batches, most_rows=512):
         found = []
         for text, own in zip(batch.column("text").to_pylist(), batch.column("own").to_pylist(), strict=True):
-            words = _words(text)
-            scores = WordScores(Ratios([x["gram"] for x in own], np.array([x["ratio"] for x in own], np.float32), shared.model.value))
-            scores.learn(set(words))
-            found.append(features(words, scores))
+            words, which, _ = _dealt(pa.array([text]))
+            scores = WordScores(Ratios(gram_keys([x["gram"] for x in own]), np.array([x["ratio"] for x in own], np.float32), shared.model.value))
+            found.append(_measures(scores.of(words)[which]))
         yield pa.RecordBatch.from_arrays([batch.column("row"), *[pa.array(c, pa.float64()) for c in zip(*found, strict=True)]], names=["row", *FEATURES])
 
 
@@ -389,6 +409,13 @@ class WordScores(dict):
             ratio[place < ORDER - 1] = 0.0  # pads, or letters that the piece before has
             self.update(zip(part, np.add.reduceat(ratio, np.cumsum(sizes) - sizes).tolist(), strict=True))
 
+    def of(self, words: list[str]) -> np.ndarray:
+        """The log ratio of each of these, all different; of a long word, the sum of its pieces'."""
+        pieces = {w: _pieces(_padded(w)) for w in words if len(w) > LONG}
+        plain = [w for w in words if w not in pieces] if pieces else words
+        self.learn({*plain, *(p for ps in pieces.values() for p in ps)})
+        return np.fromiter((sum(map(self.__getitem__, pieces[w])) if w in pieces else self[w] for w in words) if pieces else map(self.__getitem__, words), np.float64, len(words))
+
 
 def features(words: list[str], scores: WordScores) -> tuple[float, ...]:
     """Log ratio per word of the whole text, then of its strongest run of each of WINDOWS (shorter texts as if filled up with neutral words), and the log of the words. Texts without words: zeros."""
@@ -398,6 +425,13 @@ def features(words: list[str], scores: WordScores) -> tuple[float, ...]:
     if any(w.startswith(PIECE) for w in words):  # the pieces of a long word are one word
         later = np.fromiter((w.startswith(PIECE) and not w.startswith(PIECE + PAD) for w in words), bool, len(words))
         v = np.bincount(np.cumsum(~later) - 1, weights=v)
+    return _measures(v)
+
+
+def _measures(v: np.ndarray) -> tuple[float, ...]:
+    """features() of the words' log ratios."""
+    if not len(v):
+        return (0.0,) * len(FEATURES)
     total = np.concatenate([[0.0], np.cumsum(v)])
     runs = [float((total[min(w, len(v)) :] - total[: len(total) - min(w, len(v))]).max() / w) for w in WINDOWS]
     return float(total[-1] / len(v)), *runs, float(np.log1p(len(v)))
@@ -411,10 +445,10 @@ def _feature_rows(shared, carry: tuple[str, ...], batches: Iterator[pa.RecordBat
     if scores is None:
         _scores.clear()
         scores = _scores[shared.id] = WordScores(shared.model.value)
-    for batch in text_batches(batches, most_rows=512):
-        words = [_words(t or "") for t in batch.column("text").to_pylist()]
-        scores.learn(set().union(*words))
-        rows = [features(w, scores) for w in words]
+    for batch in text_batches(batches):
+        words, which, ends = _dealt(batch.column("text"))
+        v, starts = scores.of(words)[which], [0, *ends[:-1].tolist()]
+        rows = [_measures(v[a:b]) for a, b in zip(starts, ends.tolist(), strict=True)]
         found = [pa.array(c, pa.float64()) for c in zip(*rows, strict=True)]
         short = pa.array([t if isnan(r[0]) else None for t, r in zip(batch.column("text").to_pylist(), rows, strict=True)], pa.string())  # holds a gram that isn't broadcast
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(batch.column, carry), *found, short], names=["doc_id", *carry, *FEATURES, "short_"])
@@ -434,11 +468,13 @@ def feature_rows(docs: DataFrame, tables: GramTables, name: str, carry: tuple[st
     rows = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
     met = materialize(rows.select("text").mapInArrow(_met, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "met-grams")
     known = materialize(tables.ratios(met, name), "ratios")
-    some = known.orderBy(F.desc("n"), "gram").limit(head).select("gram", "ratio").toArrow()  # head rows at most
-    shared = Shared(docs.sparkSession, Ratios(some.column("gram").to_pylist(), some.column("ratio").to_numpy().astype(np.float32)))
+    every = known.count() <= head
+    most = known if every else known.orderBy(F.desc("n"), "gram").limit(head)
+    some = most.select("gram", "ratio").mapInArrow(_keyed, "key long, ratio float").toArrow()  # head rows of two numbers at most
+    shared = Shared(docs.sparkSession, Ratios(some.column("key").to_numpy().view(np.uint64), some.column("ratio").to_numpy()))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[rows.schema[c] for c in carry], *[T.StructField(f, T.DoubleType()) for f in FEATURES], T.StructField("short_", T.StringType())])
     out = rows.mapInArrow(partial(_feature_rows, shared, carry), schema)
-    if known.count() <= head:
+    if every:
         return out.drop("short_")
     out = materialize(out.withColumn("row_", F.monotonically_increasing_id()), "first-features")
     short = out.filter("short_ is not null").select(F.col("row_").alias("row"), F.col("short_").alias("text"))

@@ -164,3 +164,30 @@ def test_no_gram_is_left_out(spark):
     assert len(got) == len(tests)
     for r in got:
         assert r.ratio == pytest.approx(np.log(p(r.gram, 1)) - np.log(p(r.gram, 0)), rel=1e-4, abs=1e-6)
+
+
+def test_words_are_those_of_split():
+    """Over all white space of Unicode and empty, null and blank texts; trimmed words are those of the pattern."""
+    texts = ["".join(f"{chr(c)}a{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000), "", None, "  ", " one two\tone\x1c", "b"]
+    words, which, ends = T._dealt(T.pa.array(["cut off", *texts])[1:])
+    starts = [0, *ends[:-1].tolist()]
+    assert [[words[i] for i in which[a:b]] for a, b in zip(starts, ends.tolist(), strict=True)] == [(t or "").split() for t in texts]
+    assert len(set(words)) == len(words)
+    for w in [*words, "_a_", "'_a'", "--", "a-b,", "É!", "ß.", "«x»", "İ,", "x²)", "_", "\x02a"]:
+        assert T._plain(w) == (T._TRIM.sub("", w.lower()) or w)
+
+
+def test_the_driver_gets_numbers_not_letters(spark):
+    """What comes to the driver for the broadcast is some numbers a gram; the grams' letters and their codes took over 400 bytes each."""
+    import tracemalloc
+
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(12)) for _ in range(60))) for i in range(300)], "doc_id long, text string")
+    tables = T.GramTables.of(T.count_grams(docs.limit(3).selectExpr("text", "int(doc_id % 2) as label", "0 as fold")), {"all": T.F.lit(True)})
+    grams = len({g for r in docs.collect() for g in grams_of(r.text)})
+    assert grams > 100_000
+    tracemalloc.start()
+    T.feature_rows(docs, tables, "all")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * grams
