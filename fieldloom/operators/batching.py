@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import draw, order_key
@@ -130,22 +134,34 @@ def field_runs(rows: DataFrame, group: str, order: str, key: str) -> DataFrame:
     return rows.withColumn("run", F.sum(F.coalesce(change, F.lit(0))).over(Window.partitionBy(group).orderBy(order)))
 
 
-def _balance(parts: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """Longest first, each to the part whose padded cost would grow least; parts stay within one of equal size."""
-    frame = frame.sort_values(["length", "id"], ascending=[False, True])
-    most = math.ceil(len(frame) / parts)
-    size, longest, out = [0] * parts, [0] * parts, []
-    for length in frame["length"]:
-        growth = [(max(longest[p], length) * (size[p] + 1) - longest[p] * size[p], -longest[p], p) for p in range(parts) if size[p] < most]
-        p = min(growth)[2]
-        size[p], longest[p] = size[p] + 1, max(longest[p], length)
-        out.append(p)
-    return frame.assign(part=out)
+def _balance(parts: int, rows: list[dict]) -> list[int]:
+    """The part of each row, in their order. Longest first, each to the part whose padded cost would grow least; parts stay within one of equal size."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i]["length"] is None, -(rows[i]["length"] or 0), rows[i]["id"] is None, rows[i]["id"] or 0))
+    most = math.ceil(len(rows) / parts)
+    size, longest, out = [0] * parts, [0] * parts, [0] * len(rows)
+    for i in order:
+        length = rows[i]["length"] or 0
+        p = min((max(longest[p], length) * (size[p] + 1) - longest[p] * size[p], -longest[p], p) for p in range(parts) if size[p] < most)[2]
+        size[p], longest[p], out[i] = size[p] + 1, max(longest[p], length), p
+    return out
+
+
+def _balanced(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own, sizes = batch.column("rows"), pc.list_value_length(batch.column("rows"))
+        rows = own.flatten()
+        part = [p for r in own.to_pylist() for p in _balance(parts, r)]
+        group = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes.to_numpy())))
+        yield pa.RecordBatch.from_arrays([group, rows.field("id"), rows.field("length"), pa.array(part, pa.int32())], names=[batch.schema.names[0], "id", "length", "part"])
 
 
 def length_balanced(rows: DataFrame, parts: int, group: str = "batch") -> DataFrame:
-    """rows (batch, id, length) with part, per batch; a batch is bounded by the training step's size."""
-    return rows.groupBy(group).applyInPandas(lambda f: _balance(parts, f)[["batch", "id", "length", "part"]], "batch int, id long, length int, part int")
+    """rows (batch, id, length) with part, per batch; a batch is bounded by the training step's size.
+
+    Batches go to Python many at a time: a call a batch cost more than its rows.
+    """
+    whole = rows.groupBy(F.col(group).cast("int").alias(group)).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("length").cast("int").alias("length"))).alias("rows"))
+    return whole.mapInArrow(partial(_balanced, parts), f"`{group}` int, id long, length int, part int")
 
 
 def state_shards(rows: DataFrame, shards: int) -> DataFrame:

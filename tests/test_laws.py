@@ -158,3 +158,26 @@ def test_older_programs_keep_to_what_is_configured(spark):
     assert {n for t, n in sizes if t == "region_values"} == {(2, 2)} and {n for t, n in sizes if t == "region_mean"} == {(2, 2), (3, 3), (4, 4)}
     with pytest.raises(Exception, match="no configured selector fits"):
         P.sample_legacy(spark.createDataFrame([("s", 1, 2)], "state_ref string, h int, w int"), tasks=("line_profile",)).collect()
+
+
+def test_batches_are_balanced_many_at_a_time(spark):
+    """Parts are those of the definition, in bulk and not by a call a batch."""
+    import random
+
+    from fieldloom.operators import batching
+
+    rng = random.Random(3)
+    rows = [(b, 100 * b + i, rng.choice([1, 2, 2, 5, 9, 40])) for b in range(60) for i in range(rng.randint(1, 20))]
+    found = batching.length_balanced(spark.createDataFrame(rows, "batch int, id long, length int"), 3)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.batch, r.id): (r.length, r.part) for r in found.collect()}
+    assert len(got) == len(rows)
+    for b in range(60):
+        own = sorted((r for r in rows if r[0] == b), key=lambda r: (-r[2], r[1]))
+        parts = [[], [], []]
+        for _, i, length in own:
+            cost = lambda p: max(p, default=0) * len(p)
+            free = [p for p in range(3) if len(parts[p]) < -(-len(own) // 3)]
+            p = min(free, key=lambda p: (cost([*parts[p], length]) - cost(parts[p]), -max(parts[p], default=0), p))
+            parts[p].append(length)
+            assert got[b, i] == (length, p)
