@@ -3,14 +3,15 @@
 Texts of Latin letters, digits and ASCII marks are cut into the vocabulary's own pre-tokens here, by
 its pattern, after lower-casing; other texts are cut at ASCII spaces, across which no pre-token
 reaches, and go through the tokenizers library chunk by chunk. Either way a text's ids are those of
-its parts, one after the other, and each worker keeps the parts that it has met (a bounded
-two-generation cache), since words repeat far more often than they are new.
+its parts, one after the other, and each worker keeps the parts and the words between white space
+that it has met (bounded two-generation caches), since words repeat far more often than they are new.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -30,18 +31,37 @@ def _byte_letters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class WordIds(dict):
+class Kept(dict):
+    """What make gives for a short text, of the last two generations of entries."""
+
+    def __init__(self, make: Callable[[str], bytes], cache: int):
+        super().__init__()
+        self.make, self.cache, self.old = make, cache, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = self.make(part)
+        if len(part) <= 64:
+            if len(self) >= self.cache:
+                self.old = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+
+class WordIds(Kept):
     """pre-token -> its ids as little-endian bytes; misses go to the vocabulary's model."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(self._model, cache)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.letters, self.cache, self.old, self.chunks = _byte_letters(), cache, {}, {}
+        self.letters, self.chunks, self.words = _byte_letters(), {}, Kept(self._cut, cache)
         self.plain = self._plain()
 
     def _plain(self) -> bool:
@@ -60,19 +80,12 @@ class WordIds(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _parts(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _PART.findall(text.lower())))
+    def _cut(self, word: str) -> bytes:
+        """Ids of a lower-case safe word between white space."""
+        return b"".join(map(self.__getitem__, _PART.findall(word)))
 
-    def __missing__(self, part: str) -> bytes:
-        found = self.old.get(part)
-        if found is None:
-            found = self._model(part)
-        if len(part) <= 64:
-            if len(self) >= self.cache:
-                self.old = dict(self)
-                self.clear()
-            self[part] = found
-        return found
+    def _parts(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, text.lower().split()))
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a run between ASCII spaces."""

@@ -148,3 +148,10 @@ def test_packing_ties_lie_together(spark):
     got = packing.pack(df, PATH, length=1 << 20).orderBy("sequence_id", "offset").toPandas()
     odd = (got.drop_duplicates("doc_id").doc_id % 2).tolist()
     assert sum(a != b for a, b in zip(odd, odd[1:], strict=False)) <= 2
+
+
+def test_words_met_are_not_cut_again():
+    words = WordIds(PATH)
+    first, words._cut = words.ids("The cat, the dog's"), None
+    words.words.make = None
+    assert words.ids("the dog's\tcat, THE")[-2:] == first[:2]
