@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discarding, materialize, text_batches
+from .common import discarding, materialize, small_batches, text_batches, without_state
 from .hashing import BASE, STEP, mix, word_hashes, word_runs
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -133,7 +133,8 @@ def differing(x, y) -> Column:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches, most_bytes=1 << 20):
+    without_state()
+    for batch in text_batches(batches, most_bytes=1 << 19):
         texts = batch.column("text").to_pylist()
         n = len(texts)
         doc, hashes = shingle_hashes(texts)
@@ -218,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, key: str | None = None) -> DataFrame:
     """(key, doc_id, comp) of every row, written; rows of one comp are one class. Tables of the work go when it is done."""
-    with discarding(docs.sparkSession):
+    with discarding(docs.sparkSession), small_batches(docs.sparkSession, 4 << 20):
         return materialize(_grouped(docs, key), "placed", outer=True)
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_and_text, materialize, rows_out, text_batches
+from .common import id_and_text, materialize, rows_out, small_batches, text_batches
 from .hashing import STEP, mix
 from .tokens import word_ids
 
@@ -148,7 +148,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, length: i
     """
     width = word_ids(tokenizer_path).dtype.str
     keyed = id_and_text(docs).mapInArrow(partial(_key, tokenizer_path, end_id), "doc_id long, curve_key long, n_tokens long, ids binary")
-    keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "curve").drop("n_tokens")  # written with the rows, so a number stays with its row
+    with small_batches(docs.sparkSession, 4 << 20):
+        keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "curve").drop("n_tokens")  # written with the rows, so a number stays with its row
     ranged = keyed.repartitionByRange("curve_key", "doc_id", "row").sortWithinPartitions("curve_key", "doc_id", "row")
     last = "ids binary" if ids else "ids_crc32 long"
     return ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(

@@ -12,10 +12,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 
+from .common import worker_state
+
 #: Texts whose pre-tokens _PART finds: printable ASCII, white space, Latin-1 letters and the two signs among them.
 _SAFE = re.compile(r"[\x20-\x7E\t-\rÀ-ÿ]*")
 #: The pre-tokens of lower-case safe texts.
@@ -108,6 +109,5 @@ class WordIds(Kept):
         return b"".join(map(self._chunk, text.replace("\n", " ").split(" ")))
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return worker_state(("word ids", path), lambda: WordIds(path))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import discarding, id_and_text, materialize, text_batches
+from .common import discarding, id_and_text, materialize, small_batches, text_batches, without_state, worker_state
 from .hashing import STEP, mix
 
 ORDER = 5
@@ -90,6 +90,7 @@ def _padded(word: str) -> str:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[int, int], dict[str, int]] = {}
+    without_state()
 
     def sums() -> Iterator[pa.RecordBatch]:
         for (label, fold), words in counts.items():
@@ -343,6 +344,7 @@ def _places(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, int] = {}
+    without_state()
 
     def sums() -> Iterator[pa.RecordBatch]:
         words = list(counts)
@@ -437,14 +439,8 @@ def _measures(v: np.ndarray) -> tuple[float, ...]:
     return float(total[-1] / len(v)), *runs, float(np.log1p(len(v)))
 
 
-_scores: dict[int, WordScores] = {}
-
-
 def _feature_rows(shared, carry: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    scores = _scores.get(shared.id)
-    if scores is None:
-        _scores.clear()
-        scores = _scores[shared.id] = WordScores(shared.model.value)
+    scores = worker_state(shared.id, lambda: WordScores(shared.model.value))
     for batch in text_batches(batches):
         words, which, ends = _dealt(batch.column("text"))
         v, starts = scores.of(words)[which], [0, *ends[:-1].tolist()]
@@ -466,7 +462,8 @@ def feature_rows(docs: DataFrame, tables: GramTables, name: str, carry: tuple[st
     """(doc_id, carried columns, features) of docs (doc_id, text and what is carried) under one of the models."""
     head = HEAD if head is None else head
     rows = docs.select("doc_id", "text", *[c for c in carry if c != "text"])
-    met = materialize(rows.select("text").mapInArrow(_met, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "met-grams")
+    with small_batches(docs.sparkSession, 4 << 20):
+        met = materialize(rows.select("text").mapInArrow(_met, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")), "met-grams")
     known = materialize(tables.ratios(met, name), "ratios")
     every = known.count() <= head
     most = known if every else known.orderBy(F.desc("n"), "gram").limit(head)
@@ -476,7 +473,8 @@ def feature_rows(docs: DataFrame, tables: GramTables, name: str, carry: tuple[st
     out = rows.mapInArrow(partial(_feature_rows, shared, carry), schema)
     if every:
         return out.drop("short_")
-    out = materialize(out.withColumn("row_", F.monotonically_increasing_id()), "first-features")
+    with small_batches(docs.sparkSession, 4 << 20):
+        out = materialize(out.withColumn("row_", F.monotonically_increasing_id()), "first-features")
     short = out.filter("short_ is not null").select(F.col("row_").alias("row"), F.col("short_").alias("text"))
     own = short.mapInArrow(partial(_absent, shared), "row long, gram string").join(known.select("gram", "ratio"), "gram").groupBy("row").agg(F.collect_list(F.struct("gram", "ratio")).alias("own"))  # as many as the text has
     done = short.join(own, "row").mapInArrow(partial(_completed, shared), T.StructType([T.StructField("row", T.LongType()), *[T.StructField(f, T.DoubleType()) for f in FEATURES]]))
@@ -507,7 +505,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[GramTables, np.ndarray]:
     """(tables with the model `whole` over all training rows, curve). A document labelled 0 and 1 counts as toxic; rows of the held-out fold are never read."""
-    with discarding(docs.sparkSession):  # the model's tables stay
+    with discarding(docs.sparkSession), small_batches(docs.sparkSession, 4 << 20):  # the model's tables stay
         return _train(docs, labels, fit_rows)
 
 
