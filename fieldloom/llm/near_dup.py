@@ -317,8 +317,8 @@ def rare_shingle_buckets(nodes: DataFrame, shingles: DataFrame) -> DataFrame:
     """
     own = materialize(shingles.join(nodes.select("node"), "node"), "own", codec="none")
     counts = np.zeros(RARE_SLOTS, np.int64)
-    for row in own.select("shingles").mapInArrow(_common, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        counts[row.slot] = row.n
+    common = own.select("shingles").mapInArrow(_common, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[common.column("slot").to_numpy()] = common.column("n").to_numpy()
     shared = own.sparkSession.sparkContext.broadcast(counts)
     held = materialize(own.mapInArrow(partial(_prefixes, shared), "band long, node binary, place int"), "prefixes")
     sizes = materialize(held.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")

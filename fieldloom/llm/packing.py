@@ -91,8 +91,8 @@ def _key(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> It
         yield rows_out(KEYED, [batch.column("doc_id"), keys, [len(r) // encoder.dtype.itemsize for r in raw], raw])
 
 
-def _cut(width: str, length: int, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of one task's run; sequence ids are the task's number in the upper bits, so that they are unique without a count over tasks."""
+def _cut(length: int, keep: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of one task's run, of ids as wide as their number says; sequence ids are the task's number in the upper bits, so that they are unique without a count over tasks."""
     sequence, offset, schema = 0, 0, PIECES if keep else DIGEST
     part, tail = 0, []  # tail: pieces of the sequence that is open
 
@@ -105,9 +105,9 @@ def _cut(width: str, length: int, keep: bool, batches: Iterator[pa.RecordBatch])
 
     for batch in text_batches(batches):
         done = []
-        columns = (batch.column(n).to_pylist() for n in ("part", "doc_id", "ids"))
-        for part, doc, raw in zip(*columns, strict=True):
-            ids = np.frombuffer(raw, width)
+        columns = (batch.column(n).to_pylist() for n in ("part", "doc_id", "n_tokens", "ids"))
+        for part, doc, n, raw in zip(*columns, strict=True):
+            ids = np.frombuffer(raw, f"<u{len(raw) // n if n else 2}")
             a = 0
             while a < len(ids):
                 b = min(len(ids), a + length - offset)
@@ -146,12 +146,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, length: i
     sequences. Other columns are ignored. ids are little-endian unsigned 32-bit. The pieces of a
     sequence lie in one partition, in order.
     """
-    width = word_ids(tokenizer_path).dtype.str
     keyed = id_and_text(docs).mapInArrow(partial(_key, tokenizer_path, end_id), "doc_id long, curve_key long, n_tokens long, ids binary")
     with small_batches(docs.sparkSession, 4 << 20):
-        keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "curve").drop("n_tokens")  # written with the rows, so a number stays with its row
+        keyed = materialize(keyed.withColumn("row", F.monotonically_increasing_id()), "curve")  # written with the rows, so a number stays with its row
     ranged = keyed.repartitionByRange("curve_key", "doc_id", "row").sortWithinPartitions("curve_key", "doc_id", "row")
     last = "ids binary" if ids else "ids_crc32 long"
-    return ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(
-        partial(_cut, width, length, ids), f"doc_id long, start long, length long, {last}, doc_tokens long, sequence_id long, offset long"
+    return ranged.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "ids").mapInArrow(
+        partial(_cut, length, ids), f"doc_id long, start long, length long, {last}, doc_tokens long, sequence_id long, offset long"
     )

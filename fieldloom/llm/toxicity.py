@@ -299,20 +299,23 @@ class GramTables:
         return GramTables(levels, level, {name: float(sums[name] or 0) + FAINT * LETTERS for name in rows}, top)
 
     def ratios(self, asked: DataFrame, name: str) -> DataFrame:
-        """asked (gram, of ORDER letters, each once) with ratio: the logarithm of the quotient of the last letter's probabilities under the toxic and the ordinary model."""
+        """asked (gram, of ORDER letters, each once) with ratio: the logarithm of the quotient of the last letter's probabilities under the toxic and the ordinary model.
+
+        Joins are merged, however small the tables: a broadcast is held by the driver, in blocks of several MB each, and here they would be a dozen at once. Each order is a query of its own.
+        """
         ends = lambda k: asked.select(F.substring("gram", ORDER - k + 1, k).alias("gram")).distinct()
-        p = ends(1).join(self.letters, "gram", "left").select("gram", ((F.coalesce(name, F.lit(0)) + FAINT) / self.totals[name]).cast("float").cast("double").alias("p"))
+        p = ends(1).join(self.letters.hint("merge"), "gram", "left").select("gram", ((F.coalesce(name, F.lit(0)) + FAINT) / self.totals[name]).cast("float").cast("double").alias("p"))
         for order in range(2, ORDER + 1):
             level, contexts = self.levels[order]
             own = self.counts[name] if order == ORDER else (name,)
-            q = (asked if order == ORDER else ends(order)).join(level.select("gram", *own), "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
-            q = q.join(contexts.select("context", *[f"{x}_{c}" for c in own for x in ("total", "kept")]), "context", "left")
-            q = q.withColumn("end", F.substring("gram", 2, order - 1)).join(p.withColumnRenamed("gram", "end"), "end")
+            q = (asked if order == ORDER else ends(order)).join(level.select("gram", *own).hint("merge"), "gram", "left").withColumn("context", F.substring("gram", 1, order - 1))
+            q = q.join(contexts.select("context", *[f"{x}_{c}" for c in own for x in ("total", "kept")]).hint("merge"), "context", "left")
+            q = q.withColumn("end", F.substring("gram", 2, order - 1)).join(p.withColumnRenamed("gram", "end").hint("merge"), "end")
             part = lambda c: F.coalesce(F.try_divide(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)), F.col(f"total_{c}")), F.lit(0.0)).cast("float")
             back = lambda c: (1 - F.coalesce(F.try_divide(F.col(f"kept_{c}"), F.col(f"total_{c}")), F.lit(0.0))).cast("float")
             mixed = [part(c).cast("double") + back(c).cast("double") * F.col("p") for c in own]
             if order < ORDER:
-                p = q.select("gram", mixed[0].alias("p"))
+                p = materialize(q.select("gram", mixed[0].alias("p")), "lower-ratios")
         return q.select(*asked.columns, (F.log(mixed[0]) - F.log(mixed[1])).cast("float").alias("ratio"))
 
 
