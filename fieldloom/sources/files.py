@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import partial
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from .tables import written
@@ -68,6 +75,15 @@ def stale(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
 STATE = "path string, size_bytes long, mtime timestamp, sha256 string, run long"
 #: So many changed paths go into the scan's filter one by one; beyond that their least time does.
 BY_PATH = 1000
+#: A task holds a file of up to so many bytes whole; a larger one passes through it in lines.
+WHOLE = 64 << 20
+#: A task holds a line of up to so many bytes, and batches of about so many.
+LINE, BATCH = 16 << 20, 4 << 20
+#: What ends a line: files that line feeds don't cut into lines below LINE are cut at runs of zeros.
+LINE_FEED, ZEROS = "\n", "\0" * 64
+#: Names by which Spark's reader of lines unpacks a file, whatever it holds.
+PACKED = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zstd?)$"
+MARK = b"\xef\xbb\xbf"  # that reader drops it at a file's start
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -90,23 +106,101 @@ def changed_files(spark: SparkSession, path: str, state: str, pattern: str = "*"
     return listing(spark, path, pattern).join(known_files(spark, state), ["path", "size_bytes", "mtime"], "left_anti")
 
 
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings for what runs inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _files_of(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
+    """(path, size, lines) of each file that a batch has lines of."""
+    runs, begin = pc.run_end_encode(batch.column("path")), 0
+    for path, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+        yield path, batch.column("size")[begin].as_py(), batch.column("line").slice(begin, end - begin)
+        begin = end
+
+
+def _digest_lines(end: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(path, sha256) of files whose lines (path, size, line) come in order, file after file. The digest is null where the lines don't add up to the file's size."""
+    gap = end.encode()
+
+    def row(path, size, seen, plain, marked):
+        # the last line may have had its end, and the first one a mark before it
+        known = {0: (plain, b""), len(gap): (plain, gap), len(MARK): (marked, b""), len(MARK) + len(gap): (marked, gap)}
+        digest, rest = known.get(size - seen, (None, b""))
+        if digest:
+            digest.update(rest)
+        return pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "sha256": pa.array([digest and digest.hexdigest()], pa.string())})
+
+    def run(batches):
+        file, seen, digests = None, 0, ()
+        for batch in batches:
+            for path, size, lines in _files_of(batch):
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), gap)[0].as_buffer()
+                if file == (path, size):
+                    parts = (gap, text)
+                else:
+                    if file:
+                        yield row(*file, seen, *digests)
+                    file, seen, digests, parts = (path, size), 0, (hashlib.sha256(), hashlib.sha256(MARK)), (text,)
+                for part in parts:
+                    seen += len(part)
+                    for digest in digests:
+                        digest.update(part)
+        if file:
+            yield row(*file, seen, *digests)
+
+    return run
+
+
+def _whole_digests(spark: SparkSession, reader: dict[str, str], path: str, chosen: Column, largest: int) -> DataFrame:
+    """(path, sha256) of the chosen files, each held whole; Spark refuses those of 2 GB or more."""
+    files = spark.read.format("binaryFile").options(**reader).load(path).filter(chosen)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
+
+
+def _line_digests(end: str, spark: SparkSession, reader: dict[str, str], path: str, chosen: Column, largest: int) -> DataFrame:
+    """(path, sha256) of the chosen files, each read in order by one task that holds a batch of lines; null or no row where lines don't give the whole file."""
+    lines = spark.read.options(**reader).option("lineSep", end).option("ignoreCorruptFiles", "true").option("mapreduce.input.linerecordreader.line.maxlength", str(LINE)).text(path)
+    told = lines.filter(chosen & ~F.col("_metadata.file_name").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    one_task_a_file = {"spark.sql.files.maxPartitionBytes": str(largest), "spark.sql.files.openCostInBytes": str(largest)}
+    with _settings(spark, {**one_task_a_file, "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}):
+        return written(told.mapInArrow(_digest_lines(end), "path string, sha256 string"), "digests")
+
+
 def verify_files(spark: SparkSession, path: str, state: str, pattern: str = "*") -> DataFrame:
     """(path, size_bytes, mtime, sha256) of every file below path; only files that changed since the state's last run are opened.
 
     Their digests are appended to the state, a Parquet table outside path. The names of changed files,
-    or their least time where they are many, reach the scan, which opens no other file.
+    or their least time where they are many, reach the scan, which opens no other file. Files above WHOLE
+    pass through a task in lines; those that don't come out whole so are cut at zeros, else held whole.
     """
     changed = written(changed_files(spark, path, state, pattern), "changed")
-    few = [r.path for r in changed.select("path").limit(BY_PATH + 1).collect()]
-    if few:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-        if len(few) <= BY_PATH:
-            files = files.filter(F.col("_metadata.file_path").isin(few))
-        else:
-            files = files.filter(F.col("_metadata.file_modification_time") >= F.lit(changed.agg(F.min("mtime")).first()[0]))
-        read = files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256")).join(changed, "path")
+    sizes = changed.agg(F.min("size_bytes"), F.max("size_bytes")).first()
+    if sizes[0] is not None:
+        reader, above = {"pathGlobFilter": pattern, "recursiveFileLookup": "true"}, F.col("_metadata.file_size") > WHOLE
         last = 0 if len(known_files(spark, state).limit(1).collect()) == 0 else spark.read.schema(STATE).parquet(state).agg(F.max("run")).first()[0]
-        read.select("path", "size_bytes", "mtime", "sha256", F.lit(last + 1).cast("long").alias("run")).write.mode("append").parquet(state)
+        ways = [(F.col("size_bytes") <= WHOLE, ~above, _whole_digests)] if sizes[0] <= WHOLE else []
+        if sizes[1] > WHOLE:
+            ways += [(F.col("size_bytes") > WHOLE, above, way) for way in (partial(_line_digests, LINE_FEED), partial(_line_digests, ZEROS), _whole_digests)]
+        for wanted, fits, digests in ways:
+            left = written(changed.filter(wanted).join(known_files(spark, state), ["path", "size_bytes", "mtime"], "left_anti"), "left")
+            few = [r.path for r in left.select("path").limit(BY_PATH + 1).collect()]
+            if not few:
+                break
+            if len(few) <= BY_PATH:
+                among = F.col("_metadata.file_path").isin(few)
+            else:
+                among = F.col("_metadata.file_modification_time") >= F.lit(left.agg(F.min("mtime")).first()[0])
+            read = digests(spark, reader, path, among & fits, sizes[1]).filter("sha256 IS NOT NULL").join(left, "path")
+            read.select("path", "size_bytes", "mtime", "sha256", F.lit(last + 1).cast("long").alias("run")).write.mode("append").parquet(state)
     return listing(spark, path, pattern).join(known_files(spark, state), ["path", "size_bytes", "mtime"])
 
 

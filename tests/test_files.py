@@ -72,3 +72,65 @@ def test_problems_against_a_manifest(spark):
     got = sorted((r.path, r.problem) for r in S.file_problems(m, f).collect())
     assert got == [("b", "digest"), ("c", "truncated"), ("d", "size"), ("e", "shared_by_splits"), ("f", "shared_by_splits"), ("new", "unlisted")]
     assert [(r.path, r.problem) for r in S.file_problems(m.filter("path = 'a'"), f.limit(0)).collect()] == [("a", "missing")]
+
+
+def test_large_files_pass_in_lines(spark, tmp_path, monkeypatch):
+    """Spark's reader of whole files refuses those above a length: 2 GB, lowered here. A file's bytes come out whatever they are, by one task, however it would be split."""
+    import random
+
+    draw = random.Random(3)
+    noise, mark = draw.randbytes(300_000), b"\xef\xbb\xbf"
+    runs = b"".join(draw.randbytes(draw.randrange(50)) + bytes(draw.randrange(300)) for _ in range(3000))
+    bodies = {
+        "noise": noise, "ended": noise + b"\n", "twice": noise + b"\n\n", "begun": b"\n" + noise, "marked": mark + noise, "marked and ended": mark + mark + noise + b"\n",
+        "breaks": b"a\r\nb\rc\n\n\r" * 2000, "feeds": b"\n" * 25_000, "text": "ä\u2028ß\x85\n".encode() * 3000, "runs": runs, "zeros": bytes(200_001), "holes": b"x" + bytes(90_000) + noise[:9000] + bytes(90_063), "small": b"s",
+        "marked zeros": mark + bytes(64 * 2000), "a.gz.parquet": noise[1:],
+    }
+    folder, state = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    os.makedirs(f"{folder}/deeper")
+    for name, body in bodies.items():
+        with open(f"{folder}/{'deeper/' if name == 'text' else ''}{name}", "wb") as f:
+            f.write(body)
+    monkeypatch.setattr(S, "WHOLE", 1000, raising=False)
+    monkeypatch.setattr(S, "LINE", 20_000, raising=False)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "50000"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {os.path.basename(r.path).replace("%20", " "): (r.size_bytes, r.sha256) for r in S.verify_files(spark, f"file://{folder}", state).collect()}
+        assert {k: spark.conf.get(k) for k in settings} == settings
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+    assert spark.read.parquet(state).count() == len(bodies) and S.changed_files(spark, f"file://{folder}", state).count() == 0
+
+
+def test_large_files_that_lines_dont_give(spark, tmp_path, monkeypatch):
+    """One long line, and names by which the reader of lines would unpack a file, are read whole after all."""
+    import random
+
+    noise = random.Random(4).randbytes(100_000)
+    bodies = {"line": b"x" * 100_000, "a.gz": noise, "a.ZST": noise, "b.lz4": b"y\n" * 5000, "d.zstd": noise[1:], "e.snappy": noise[2:], "noise": noise[3:]}
+    folder, state = f"{tmp_path}/in", f"file://{tmp_path}/state"
+    os.makedirs(folder)
+    for name, body in bodies.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(body)
+    monkeypatch.setattr(S, "WHOLE", 1000)
+    monkeypatch.setattr(S, "LINE", 20_000)
+    monkeypatch.setattr(S, "BY_PATH", 2)
+    got = {os.path.basename(r.path): r.sha256 for r in S.verify_files(spark, f"file://{folder}", state).collect()}
+    assert got == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+    assert spark.read.parquet(state).count() == len(bodies)
+    with S._settings(spark, {"spark.sql.sources.binaryFile.maxLength": "1000"}):  # nothing is left to read
+        assert S.verify_files(spark, f"file://{folder}", state).count() == len(bodies)
+
+
+def test_lines_of_several_files_in_a_batch():
+    import pyarrow as pa
+
+    batch = lambda *rows: pa.RecordBatch.from_pydict({"path": [r[0] for r in rows], "size": [r[1] for r in rows], "line": pa.array([r[2] for r in rows], pa.binary())})
+    got = S._digest_lines("\n")([batch(("a", 3, b"x"), ("a", 3, b"y"), ("b", 2, b"z")), batch(), batch(("c", 9, b"cut")), batch(("d", 8, b"p"), ("d", 8, b"q"), ("d", 8, b""))])
+    want = {"a": b"x\ny", "b": b"z\n", "c": None, "d": b"\xef\xbb\xbfp\nq\n\n"}
+    assert {r["path"]: r["sha256"] for b in got for r in b.to_pylist()} == {k: v and hashlib.sha256(v).hexdigest() for k, v in want.items()}
