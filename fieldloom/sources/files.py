@@ -127,35 +127,32 @@ def _files_of(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.Array]]:
         begin = end
 
 
-def _digest_lines(end: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(path, sha256) of files whose lines (path, size, line) come in order, file after file. The digest is null where the lines don't add up to the file's size."""
+def _digest_lines(end: str, mark: bytes = b"") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(path, sha256) of files that begin with mark and whose lines after it (path, size, line) come in order, file after file. The digest is null where these don't add up to the file's size."""
     gap = end.encode()
 
-    def row(path, size, seen, plain, marked):
-        # the last line may have had its end, and the first one a mark before it
-        known = {0: (plain, b""), len(gap): (plain, gap), len(MARK): (marked, b""), len(MARK) + len(gap): (marked, gap)}
-        digest, rest = known.get(size - seen, (None, b""))
-        if digest:
+    def row(path, size, seen, digest):
+        rest = {len(mark): b"", len(mark) + len(gap): gap}.get(size - seen)  # the last line may have had its end
+        if rest:
             digest.update(rest)
-        return pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "sha256": pa.array([digest and digest.hexdigest()], pa.string())})
+        return pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "sha256": pa.array([None if rest is None else digest.hexdigest()], pa.string())})
 
     def run(batches):
-        file, seen, digests = None, 0, ()
+        file, seen, digest = None, 0, None
         for batch in batches:
             for path, size, lines in _files_of(batch):
                 text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), gap)[0].as_buffer()
                 if file == (path, size):
-                    parts = (gap, text)
+                    digest.update(gap)
+                    seen += len(gap)
                 else:
                     if file:
-                        yield row(*file, seen, *digests)
-                    file, seen, digests, parts = (path, size), 0, (hashlib.sha256(), hashlib.sha256(MARK)), (text,)
-                for part in parts:
-                    seen += len(part)
-                    for digest in digests:
-                        digest.update(part)
+                        yield row(*file, seen, digest)
+                    file, seen, digest = (path, size), 0, hashlib.sha256(mark)
+                digest.update(text)
+                seen += len(text)
         if file:
-            yield row(*file, seen, *digests)
+            yield row(*file, seen, digest)
 
     return run
 
@@ -166,13 +163,16 @@ def _whole_digests(spark: SparkSession, reader: dict[str, str], path: str, chose
     return files.select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
-def _line_digests(end: str, spark: SparkSession, reader: dict[str, str], path: str, chosen: Column, largest: int) -> DataFrame:
-    """(path, sha256) of the chosen files, each read in order by one task that holds a batch of lines; null or no row where lines don't give the whole file."""
-    lines = spark.read.options(**reader).option("lineSep", end).option("ignoreCorruptFiles", "true").option("mapreduce.input.linerecordreader.line.maxlength", str(LINE)).text(path)
+def _line_digests(end: str, mark: bytes, spark: SparkSession, reader: dict[str, str], path: str, chosen: Column, largest: int) -> DataFrame:
+    """(path, sha256) of the chosen files, each read in order by one task that holds a batch of lines; null or no row where lines don't give the whole file.
+
+    Without a mark, a file that can't be read to its end is one of these. With one, that is an error, as the lost bytes could be taken for the mark.
+    """
+    lines = spark.read.options(**reader).option("lineSep", end).option("ignoreCorruptFiles", str(not mark)).option("mapreduce.input.linerecordreader.line.maxlength", str(LINE)).text(path)
     told = lines.filter(chosen & ~F.col("_metadata.file_name").rlike(PACKED)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
     one_task_a_file = {"spark.sql.files.maxPartitionBytes": str(largest), "spark.sql.files.openCostInBytes": str(largest)}
     with _settings(spark, {**one_task_a_file, "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH)}):
-        return written(told.mapInArrow(_digest_lines(end), "path string, sha256 string"), "digests")
+        return written(told.mapInArrow(_digest_lines(end, mark), "path string, sha256 string"), "digests")
 
 
 def verify_files(spark: SparkSession, path: str, state: str, pattern: str = "*") -> DataFrame:
@@ -189,7 +189,7 @@ def verify_files(spark: SparkSession, path: str, state: str, pattern: str = "*")
         last = 0 if len(known_files(spark, state).limit(1).collect()) == 0 else spark.read.schema(STATE).parquet(state).agg(F.max("run")).first()[0]
         ways = [(F.col("size_bytes") <= WHOLE, ~above, _whole_digests)] if sizes[0] <= WHOLE else []
         if sizes[1] > WHOLE:
-            ways += [(F.col("size_bytes") > WHOLE, above, way) for way in (partial(_line_digests, LINE_FEED), partial(_line_digests, ZEROS), _whole_digests)]
+            ways += [(F.col("size_bytes") > WHOLE, above, way) for way in (partial(_line_digests, LINE_FEED, b""), partial(_line_digests, ZEROS, b""), partial(_line_digests, LINE_FEED, MARK), _whole_digests)]
         for wanted, fits, digests in ways:
             left = written(changed.filter(wanted).join(known_files(spark, state), ["path", "size_bytes", "mtime"], "left_anti"), "left")
             few = [r.path for r in left.select("path").limit(BY_PATH + 1).collect()]
